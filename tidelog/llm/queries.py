@@ -6,6 +6,7 @@ import importlib
 
 #: Query name: (module, function).
 NAMES = {
+    "op1_ctw_score": ("ctw", "op1_ctw_score"),
     "op4_bpe": ("bpe", "op4_bpe"),
     "op9_mix_sources": ("mixing", "op9_mix_sources"),
     "op10_language_id": ("language", "op10_language_id"),
