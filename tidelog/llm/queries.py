@@ -8,6 +8,7 @@ import importlib
 NAMES = {
     "op1_ctw_score": ("ctw", "op1_ctw_score"),
     "op4_bpe": ("bpe", "op4_bpe"),
+    "op6_topk_search": ("topk", "op6_topk_search"),
     "op9_mix_sources": ("mixing", "op9_mix_sources"),
     "op10_language_id": ("language", "op10_language_id"),
 }
@@ -18,4 +19,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import topk
+
+    return {"op6_topk_search": topk.OP6_SQL}
