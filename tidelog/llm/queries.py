@@ -7,6 +7,7 @@ import importlib
 #: Query name: (module, function).
 NAMES = {
     "op1_ctw_score": ("ctw", "op1_ctw_score"),
+    "op2_ann_search": ("ann", "op2_ann_search"),
     "op4_bpe": ("bpe", "op4_bpe"),
     "op6_topk_search": ("topk", "op6_topk_search"),
     "op9_mix_sources": ("mixing", "op9_mix_sources"),
