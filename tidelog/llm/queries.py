@@ -10,6 +10,7 @@ NAMES = {
     "op2_ann_search": ("ann", "op2_ann_search"),
     "op4_bpe": ("bpe", "op4_bpe"),
     "op6_topk_search": ("topk", "op6_topk_search"),
+    "op7_repeated_passages": ("repeats", "op7_repeated_passages"),
     "op8_jaccard_join": ("jaccard", "op8_jaccard_join"),
     "op9_mix_sources": ("mixing", "op9_mix_sources"),
     "op10_language_id": ("language", "op10_language_id"),
