@@ -8,6 +8,7 @@ import importlib
 NAMES = {
     "op1_ctw_score": ("ctw", "op1_ctw_score"),
     "op2_ann_search": ("ann", "op2_ann_search"),
+    "op3_line_dedup": ("lines", "op3_line_dedup"),
     "op4_bpe": ("bpe", "op4_bpe"),
     "op6_topk_search": ("topk", "op6_topk_search"),
     "op7_repeated_passages": ("repeats", "op7_repeated_passages"),
@@ -22,6 +23,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import topk
+    from . import lines, topk
 
-    return {"op6_topk_search": topk.OP6_SQL}
+    return {"op3_line_dedup": lines.OP3_SQL, "op6_topk_search": topk.OP6_SQL}
