@@ -10,6 +10,7 @@ NAMES = {
     "op2_ann_search": ("ann", "op2_ann_search"),
     "op3_line_dedup": ("lines", "op3_line_dedup"),
     "op4_bpe": ("bpe", "op4_bpe"),
+    "op5_extract_html": ("html", "op5_extract_html"),
     "op6_topk_search": ("topk", "op6_topk_search"),
     "op7_repeated_passages": ("repeats", "op7_repeated_passages"),
     "op8_jaccard_join": ("jaccard", "op8_jaccard_join"),
