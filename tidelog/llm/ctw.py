@@ -32,6 +32,8 @@ END = 0x0A
 END_WORD = np.uint64(1)
 #: Raw bytes of documents a bucket stands for, and slices that one task of a bucket serves.
 BUCKET_BYTES, SERVED = 1 << 23, 256
+#: Bytes of text in a slice; larger ones ask for fewer strings in all.
+SLICE = 3 << 20
 _HALF = -math.log(2)
 
 
@@ -243,7 +245,7 @@ def score_documents(docs: DataFrame, train, depth: int = DEPTH) -> DataFrame:
     """
     if not 2 <= depth <= 7:
         raise ValueError("depth must be from 2 to 7")
-    slices = pack.packed_documents(docs, flag=train)
+    slices = pack.packed_documents(docs, SLICE, train)
     size = slices.agg(F.sum("raw").alias("raw"), F.count("*").alias("n")).first()
     buckets = int(min(4096, max(4, -(-(size["raw"] or 0) // BUCKET_BYTES))))
     salts = max(1, -(-size["n"] // SERVED))
@@ -265,7 +267,7 @@ def score_documents(docs: DataFrame, train, depth: int = DEPTH) -> DataFrame:
             if len(x["w"][0]):
                 at = np.minimum(np.searchsorted(x["w"][0], w), len(x["w"][0]) - 1)
                 n = np.where(x["w"][0][at] == w, x["w"][1][at], 0)
-            out.append((r.slice, r.bucket, lengths[np.searchsorted(every, g)].astype(np.float32).tobytes(), pack.put(n)))
+            out.append((r.slice, r.bucket, pack.put(lengths[np.searchsorted(every, g)].astype(np.float32)), pack.put(n)))
         return pd.DataFrame(out, columns=["slice", "bucket", "lengths", "counts"])
 
     copies = model.select("bucket", "g", "gn", "w", "wn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
@@ -282,7 +284,7 @@ def score_documents(docs: DataFrame, train, depth: int = DEPTH) -> DataFrame:
                 distinct, at = np.unique(keys, return_inverse=True)
                 b = _bucket(distinct, depth, buckets) if kind == "g" else (distinct % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(b, kind="stable")
-                said = np.concatenate([np.frombuffer(x, np.float32).astype(np.float64) for x in right["lengths"]] if kind == "g" else [pack.get(x, np.int64) for x in right["counts"]])
+                said = np.concatenate([pack.get(x, np.float32).astype(np.float64) for x in right["lengths"]] if kind == "g" else [pack.get(x, np.int64) for x in right["counts"]])
                 value = np.empty(len(distinct), said.dtype)
                 value[order] = said
                 value = value[at]
