@@ -24,7 +24,7 @@ def hamming(a: Column, b: Column) -> Column:
 
 def sign_hash(values: Column) -> Column:
     """64 sign bits of a list of numbers as a long."""
-    return F.aggregate(F.transform(F.slice(values, 1, 64), lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), F.lit(0)) * F.lit(1)).otherwise(F.lit(0)).cast("long")), F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
+    return F.aggregate(F.slice(values, 1, 64), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")))
 
 
 def grid_diff(previous: Column, current: Column, delta: float = CELL_DELTA) -> Column:
