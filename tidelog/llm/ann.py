@@ -25,8 +25,8 @@ from . import common, vectors
 SAMPLE = 2000
 #: Tables, hash width in standard deviations of a projection, rows a bucket should hold, wanted recall.
 TABLES, WIDTH, BUCKET_ROWS, RECALL = 3, 1.3, 1500, 0.97
-#: Vectors compared at once.
-BLOCK = 2048
+#: Vectors compared at once, and queries whose best a task holds before it hands them on.
+BLOCK, HELD = 2048, 100_000
 
 
 class Hashes:
@@ -94,18 +94,42 @@ def _collapsed(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return i[place <= k], s[place <= k]
 
 
-def _nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, ids, distances) of each query's k nearest rows by exact distance, own id excluded; x holds no row twice."""
-    out = ([], [], [])
-    for at, v in enumerate(q):
-        d = np.sqrt(((x - v) ** 2).sum(axis=1))
-        d[ids == q_ids[at]] = np.inf
-        some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-        some = some[np.lexsort((ids[some], d[some]))][:k]
-        some = some[np.isfinite(d[some])]
-        for o, y in zip(out, (np.full(len(some), q_ids[at]), ids[some], d[some])):
-            o.append(y)
-    return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
+class Best:
+    """The k nearest rows of each query that a task has seen, each id once."""
+
+    def __init__(self, k: int):
+        self.k, self.of = k, {}
+
+    def see(self, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
+        """Rank the rows of a bucket by exact distance. A product of matrices, with room for its rounding, only leaves out what cannot be near enough."""
+        kth = np.array([d[-1] if len(d) == self.k else np.inf for d, _ in (self.of.get(i, ((), ())) for i in q_ids.tolist())])
+        q2, x2 = (q**2).sum(1), (x**2).sum(1)
+        squared = q2[:, None] + x2 - 2 * (q @ x.T)
+        room = 1e-9 * (q2 + x2.max(initial=0) + 1e-300)
+        limit = kth**2
+        if len(x) > self.k + 1:
+            limit = np.minimum(limit, np.partition(squared, self.k, axis=1)[:, self.k])  # one more than k: the query itself may be among them
+        a, b = np.nonzero(squared <= (limit + 2 * room)[:, None])
+        keep = q_ids[a] != ids[b]
+        a, b = a[keep], b[keep]
+        d = np.sqrt(((x[b] - q[a]) ** 2).sum(axis=1))
+        order = np.lexsort((ids[b], d, a))
+        a, b, d = a[order], ids[b][order], d[order]
+        starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else []
+        for s, e in zip(starts, [*starts[1:], len(a)]):
+            i = int(q_ids[a[s]])
+            old = self.of.get(i)
+            dd, ii = (d[s:e], b[s:e]) if old is None else (np.concatenate([old[0], d[s:e]]), np.concatenate([old[1], b[s:e]]))
+            by = np.lexsort((ii, dd))
+            dd, ii = dd[by], ii[by]
+            _, first = np.unique(ii, return_index=True)
+            first = np.sort(first)[: self.k]
+            self.of[i] = (dd[first], ii[first])
+
+    def rows(self) -> pd.DataFrame:
+        out = vectors.frame_of([np.full(len(d), i) for i, (d, _) in self.of.items()], [i for _, i in self.of.values()], [d for d, _ in self.of.values()], np.float64)
+        self.of = {}
+        return out
 
 
 _SCHEMA = "key long, dim long, ids binary, matrix binary"
@@ -177,12 +201,14 @@ class Index:
                     yield _batch(list(_packed(hashes.keys(slots, np.full(len(own), t)), ids[own], x[own], 256)))
 
         def rank(frames):
+            best = Best(k)
             for frame in frames:
                 for r in frame.itertuples():
                     ids, q_ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_ids, np.int64)
-                    x, q = np.frombuffer(r.matrix).reshape(len(ids), r.dim), np.frombuffer(r.q_matrix).reshape(len(q_ids), r.dim)
-                    a, b, d = _nearest(q, q_ids, x, ids, k)
-                    yield pd.DataFrame({"query_id": a, "vec_id": b, "score": d})
+                    best.see(np.frombuffer(r.q_matrix).reshape(len(q_ids), r.dim), q_ids, np.frombuffer(r.matrix).reshape(len(ids), r.dim), ids)
+                if len(best.of) > HELD:
+                    yield best.rows()
+            yield best.rows()
 
         asks = queries.coalesce(max(1, common.parts(queries.sparkSession) // 4)).mapInArrow(ask, _SCHEMA)
         asks = asks.select("key", "dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
