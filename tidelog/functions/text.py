@@ -95,10 +95,9 @@ def field_pairs(line: Column) -> Column:
 
 
 def fields(line: Column) -> Column:
-    """Key to value; of a repeated key the last. Needs no session setting: earlier repeats are filtered out first."""
-    pairs = field_pairs(line)
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    """Key to value; of a repeated key the last, whatever the session says about repeated map keys."""
+    empty = F.create_map().cast("map<string,string>")
+    return F.aggregate(field_pairs(line), empty, lambda acc, p: F.map_concat(F.map_filter(acc, lambda k, v: k != p["key"]), F.create_map(p["key"], p["value"])))
 
 
 def addresses(line: Column) -> Column:

@@ -29,8 +29,8 @@ def _month(name: Column) -> Column:
 
 def parts_ms(year, month, day, hour, minute, second, fraction=None) -> Column:
     """Calendar parts as epoch milliseconds as if in UTC; null where they are no time. fraction: the digits after the point."""
-    days = F.try_to_date(F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int")), F.lit("yyyy-MM-dd"))
-    h, m, s = hour.cast("int"), minute.cast("int"), second.cast("int")
+    days = F.try_to_date(F.format_string("%04d-%02d-%02d", year.try_cast("int"), month.try_cast("int"), day.try_cast("int")), "yyyy-MM-dd")
+    h, m, s = hour.try_cast("int"), minute.try_cast("int"), second.try_cast("int")
     valid = (h < 24) & (m < 60) & (s < 60)
     whole = F.datediff(days, F.lit("1970-01-01").cast("date")).cast("long") * 86400000 + (h * 3600 + m * 60 + s).cast("long") * 1000
     if fraction is not None:
