@@ -2,16 +2,19 @@
 
 Two sets of which the smaller has at least t of the larger's size can only be
 similar if they share one of their few smallest shingle hashes, so each document
-is filed under these. The documents under one hash form a group, which is looked
-at in tiles of one size band by the same or the next. A signature of hashed bits
-(each bit the parity of the shingles that fall on it) bounds a pair's overlap
-from above, since every unequal bit needs a shingle in which the two differ;
-what passes is settled by intersecting the sorted sets.
-
-Pairs within a group are not all compared. First each document is compared with
-the first of its group in each band; what this links is one component. Then only
-pairs of different components are, so copies, however many, cost one comparison
-each, and no link between components is missed.
+is filed under these. The documents under one hash form a group; what shares
+none with any other document drops out.
+
+Each remaining document goes to the tile of the smallest id that any of its
+groups has in its size band or the next smaller one, and large tiles split into
+parts that all hold that first document. A tile's pairs of one size band or
+neighbouring ones are settled exactly. A signature of hashed bits (each bit the
+parity of the shingles that fall on it) bounds a pair's overlap from above,
+since every unequal bit needs a shingle in which the two differ; what passes is
+settled by intersecting the sorted sets. A pair that is already in one component
+is not compared, so copies, however many, cost one comparison each. At last the
+pairs that share a group but neither a tile nor a component are compared the
+same way, so no link between components is missed.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ WORDS = 5
 NUM, DEN = 3, 4
 #: Bytes of text that a bucket of hashes stands for; parts that a comparison leader's followers are dealt to.
 BUCKET_BYTES, SALTS = 1 << 24, 64
+#: Documents in a part of a tile, about.
+TILE_ROWS = 512
 #: The bits of a shingle's hash that are kept where candidates and sets travel.
 KEPT = np.uint64(16)
 
@@ -152,97 +157,163 @@ def _filed(buckets: int):
     return run
 
 
-def _groups(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Documents of a bucket and their sizes, and (group, document index) of all hashes that two or more have."""
+def _arrays(r) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, sizes, and (group, document index) of a bucket's packed groups."""
+    return pack.get(r.docs, np.int64), pack.get(r.sizes, np.uint32).astype(np.int64), pack.get(r.groups, np.uint32).astype(np.int64), pack.get(r.own, np.uint32).astype(np.int64)
+
+
+def _grouped(key, frame: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's groups: the documents of all hashes that two or more have. Groups of the same documents are one."""
     docs, sizes, keys, own, base = [], [], [], [], 0
     for r in frame.itertuples():
         d = pack.get(r.docs, np.int64)
         docs.append(d)
-        sizes.append(pack.get(r.sizes, np.uint32).astype(np.int64))
+        sizes.append(pack.get(r.sizes, np.uint32))
         keys.append(pack.get_keys(r.keys))
         own.append(pack.get(r.own, np.uint32).astype(np.int64) + base)
         base += len(d)
     docs, sizes, keys, own = (np.concatenate(x) for x in (docs, sizes, keys, own))
-    order = np.argsort(keys, kind="stable")
+    order = np.lexsort((docs[own], keys))
     keys, own = keys[order], own[order]
-    new = np.concatenate([[True], keys[1:] != keys[:-1]])
-    group = np.cumsum(new) - 1
-    many = np.bincount(group)[group] > 1
-    _, group = np.unique(group[many], return_inverse=True)
-    return docs, sizes, group, own[many]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    lengths = np.diff(np.append(starts, len(keys)))
+    marks = np.add.reduceat(common.mix64(docs[own].astype(np.uint64)), starts)
+    many = np.flatnonzero(lengths > 1)
+    _, first = np.unique(np.stack([marks[many], lengths[many].astype(np.uint64)], 1), axis=0, return_index=True)
+    keep = np.zeros(len(starts), bool)
+    keep[many[first]] = True
+    some = np.repeat(keep, lengths)
+    group = np.repeat(np.arange(len(starts)), lengths)[some]
+    _, group = np.unique(group, return_inverse=True)
+    used, at = np.unique(own[some], return_inverse=True)
+    return pd.DataFrame([(key[0], pack.put(docs[used]), pack.put(sizes[used].astype(np.uint32)), pack.put(group.astype(np.uint32)), pack.put(at.astype(np.uint32)))], columns=["bucket", "docs", "sizes", "groups", "own"])
+
+
+def _leaders(frames):
+    """(bucket, doc_id, leader): the smallest id in any of a document's groups, in its size band or the next smaller one."""
+    for frame in frames:
+        for r in frame.itertuples():
+            docs, sizes, group, own = _arrays(r)
+            if not len(group):
+                continue
+            tile = (group << 8) | band(sizes[own])
+            order = np.lexsort((docs[own], tile))
+            tile, own = tile[order], own[order]
+            at = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+            first = docs[own[at]]
+            lead = first[np.searchsorted(tile[at], tile)]
+            below = np.minimum(np.searchsorted(tile[at], tile - 1), len(at) - 1)
+            lead = np.where(tile[at][below] == tile - 1, np.minimum(lead, first[below]), lead)
+            order = np.lexsort((lead, own))
+            own, lead = own[order], lead[order]
+            new = np.concatenate([[True], own[1:] != own[:-1]])
+            yield pd.DataFrame({"bucket": np.full(int(new.sum()), r.bucket), "doc_id": docs[own[new]], "leader": lead[new]})
+
+
+def _tile(key, frame: pd.DataFrame) -> pd.DataFrame:
+    """Links that join what is similar within one part of a tile: each component gets just enough of them."""
+    frame = frame.drop_duplicates("id").sort_values(["n", "id"])
+    ids, n = frame["id"].to_numpy(), frame["n"].to_numpy().astype(np.int64)
+    sets = [np.unique(pack.get_keys(k)) for k in frame["keys"]]
+    part, out = np.arange(len(ids)), []
+    # postings of all shingles, so one document's overlaps with all others are one count
+    every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    bands = band(n)
+
+    def compare(i: int) -> None:
+        near = (part != part[i]) & (np.abs(bands - bands[i]) <= 1) & (DEN * np.minimum(n, n[i]) >= NUM * np.maximum(n, n[i]))
+        if not near.any():
+            return
+        a, b = np.searchsorted(every, sets[i]), np.searchsorted(every, sets[i], "right")
+        lengths = b - a
+        at = np.repeat(a - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(int(lengths.sum()))
+        overlap = np.bincount(owner[at], minlength=len(ids))
+        for j in np.flatnonzero(near & (DEN * overlap >= NUM * (n[i] + n - overlap))).tolist():
+            if part[j] != part[i]:
+                out.append((ids[i], ids[j]))
+                part[part == part[j]] = part[i]
+
+    if len(ids):
+        compare(int(np.argmin(ids)))
+    # every pair of two components has a document outside the largest one
+    done = np.zeros(len(ids), bool)
+    while len(ids):
+        values, counts = np.unique(part, return_counts=True)
+        left = np.flatnonzero(~done & (part != values[np.argmax(counts)]))
+        if not len(left):
+            break
+        done[left[0]] = True
+        compare(int(left[0]))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def _crossing(key, frame: pd.DataFrame, known: pd.DataFrame) -> tuple | None:
+    """A bucket's arrays with each document's component and tile, only of groups with several of both."""
+    if not len(frame) or not len(known):
+        return None
+    docs, sizes, group, own = _arrays(next(frame.itertuples()))
+    table = known.drop_duplicates("doc_id").sort_values("doc_id")
+    at = np.minimum(np.searchsorted(table["doc_id"].to_numpy(), docs), len(table) - 1)
+    return docs, sizes, group, own, table["component"].to_numpy()[at], table["tile"].to_numpy()[at], table, at
 
 
-def _stars(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of each document with the first of its group in its size band and in the next smaller one."""
-    docs, sizes, group, own = _groups(frame)
-    if not len(group):
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    tile = (group << 8) | band(sizes[own])
-    order = np.lexsort((docs[own], tile))
-    tile, own = tile[order], own[order]
-    at = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
-    leaders = own[at]
-    pairs = [(leaders[np.cumsum(np.isin(np.arange(len(tile)), at)) - 1], own)]
-    below = np.minimum(np.searchsorted(tile[at], tile - 1), len(at) - 1)
-    has = tile[at][below] == tile - 1
-    pairs.append((leaders[below[has]], own[has]))
-    a, b = np.concatenate([docs[x] for x, _ in pairs]), np.concatenate([docs[y] for _, y in pairs])
-    na, nb = np.concatenate([sizes[x] for x, _ in pairs]), np.concatenate([sizes[y] for _, y in pairs])
-    keep = (a != b) & (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb))
-    return pd.DataFrame({"a": a[keep], "b": b[keep]}).drop_duplicates()
-
-
-def _members(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """The documents of a bucket that are in any group of two or more."""
-    docs, _, _, own = _groups(frame)
-    some = np.unique(docs[own])
-    return pd.DataFrame({"bucket": np.full(len(some), key[0]), "doc_id": some})
+def _mixed_groups(group: np.ndarray, values: np.ndarray) -> np.ndarray:
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    differ = np.minimum.reduceat(values, starts) != np.maximum.reduceat(values, starts)
+    return np.repeat(differ, np.diff(np.append(starts, len(group))))
+
+
+def _open(key, frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """(bucket, doc_id, component, tile) of the documents in groups that hold several components and several tiles."""
+    x = _crossing(key, frame, known)
+    empty = pd.DataFrame({k: np.zeros(0, np.int64) for k in ("bucket", "doc_id", "component", "tile")})
+    if x is None or not len(x[2]):
+        return empty
+    docs, _, group, own, component, tile, _, _ = x
+    some = np.unique(own[_mixed_groups(group, component[own]) & _mixed_groups(group, tile[own])])
+    return pd.DataFrame({"bucket": np.full(len(some), key[0]), "doc_id": docs[some], "component": component[some], "tile": tile[some]}) if len(some) else empty
 
 
 def _across(key, frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one group and two components whose signatures leave them a chance."""
+    """Pairs of one group, two components and two tiles whose signatures leave them a chance."""
     empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    if not len(frame) or not len(known):
+    x = _crossing(key, frame, known)
+    if x is None or not len(x[2]):
         return empty
-    docs, sizes, group, own = _groups(frame)
-    table = known.drop_duplicates("doc_id").sort_values("doc_id")
-    at = np.searchsorted(table["doc_id"].to_numpy(), docs[own])
-    part, signatures = table["part"].to_numpy()[at], table["signature"].to_numpy()
-    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-    out, done = [], set()
+    docs, sizes, group, own, component, tile, table, at = x
+    here = table["doc_id"].to_numpy()[at] == docs
+    keep = here[own]
+    group, own = group[keep], own[keep]
+    if not len(group):
+        return empty
+    signatures, out = table["signature"].to_numpy(), []
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     for s, e in zip(starts, np.append(starts[1:], len(group))):
-        p = part[s:e]
-        if (p == p[0]).all():
+        who = own[s:e]
+        p, t = component[who], tile[who]
+        if (p == p[0]).all() or (t == t[0]).all():
             continue
-        ids, where = np.unique(docs[own[s:e]], return_index=True)
-        p, n, rows = p[where], sizes[own[s:e]][where], at[s:e][where]
-        mark = hash((ids.tobytes(),))
-        if mark in done:
-            continue
-        done.add(mark)
+        order = np.argsort(sizes[who], kind="stable")
+        who, p, t = who[order], p[order], t[order]
+        n, ids = sizes[who], docs[who]
         values, counts = np.unique(p, return_counts=True)
         largest = values[np.argmax(counts)]
-        order = np.argsort(n, kind="stable")
-        ids, p, n, rows = ids[order], p[order], n[order], rows[order]
-        tiles = band(n)
-        for t in np.unique(tiles):
-            mine = np.flatnonzero(tiles == t)
-            near = np.flatnonzero((tiles == t) | (tiles == t + 1))
-            size = min(len(signatures[rows[i]]) for i in mine)
-            bits = np.stack([folded(signatures[rows[i]], size) for i in near])
-            place = {i: j for j, i in enumerate(near.tolist())}
-            # within the band either may stand first; towards the next band every document of this one does
+        bands = band(n)
+        for b in np.unique(bands):
+            mine, near = np.flatnonzero(bands == b), np.flatnonzero((bands == b) | (bands == b + 1))
+            size = min(len(signatures[at[who[i]]]) for i in mine)
+            bits = np.stack([folded(signatures[at[who[i]]], size) for i in near])
             for i in mine.tolist():
-                if p[i] == largest:
-                    other = near[(tiles[near] == t + 1) & (p[near] != p[i])]
-                else:
-                    other = near[((tiles[near] == t + 1) & (p[near] != p[i])) | ((tiles[near] == t) & (p[near] != p[i]) & ((p[near] == largest) | (near > i)))]
-                other = other[DEN * np.minimum(n[i], n[other]) >= NUM * np.maximum(n[i], n[other])]
-                if not len(other):
-                    continue
-                apart = np.bitwise_count(bits[[place[j] for j in other.tolist()]] ^ bits[place[i]]).sum(axis=1, dtype=np.int64)
-                other = other[may_link(n[i], n[other], apart)]
+                # within the band the one outside the largest component looks, or the earlier of two such; towards the next band every one does
+                look = (p[near] != p[i]) & (t[near] != t[i]) & ((bands[near] == b + 1) | ((p[i] != largest) & ((p[near] == largest) | (near > i))))
+                look &= DEN * np.minimum(n[i], n[near]) >= NUM * np.maximum(n[i], n[near])
+                other = np.flatnonzero(look)
                 if len(other):
+                    apart = np.bitwise_count(bits[other] ^ bits[np.searchsorted(near, i)]).sum(axis=1, dtype=np.int64)
+                    other = near[other[may_link(n[i], n[near[other]], apart)]]
                     out.append(np.stack([np.minimum(ids[i], ids[other]), np.maximum(ids[i], ids[other])], 1))
     return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"]) if out else empty
 
@@ -274,46 +345,41 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     feature = common.checkpointed(docs.mapInArrow(_features, "doc_id long, n long, rep long, signature binary"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(min(4096, max(4, -(-size // BUCKET_BYTES), common.parts(docs.sparkSession))))
+    buckets = int(min(4096, max(4, -(-size // BUCKET_BYTES))))
     filed = docs.mapInArrow(_filed(buckets), "bucket long, keys binary, own binary, docs binary, sizes binary")
-    filed = common.checkpointed(filed)
-    tables = feature.filter(F.col("signature").isNotNull()).select("doc_id", "n", "signature").dropDuplicates(["doc_id"])
-
-    def close(pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs, those whose signatures leave them a chance."""
-        a = tables.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
-        b = tables.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
-
-        def run(frames):
-            for f in frames:
-                ok = [bool(may_link(na, nb, int(np.bitwise_count(folded(sa, min(len(sa), len(sb))) ^ folded(sb, min(len(sa), len(sb)))).sum()))) for na, sa, nb, sb in zip(f["na"], f["sa"], f["nb"], f["sb"])]
-                yield f.loc[ok, ["a", "b"]]
-
-        return pairs.join(a, "a").join(b, "b").select("a", "na", "sa", "b", "nb", "sb").mapInPandas(run, _PAIR)
-
-    def settled(pairs: DataFrame) -> DataFrame:
-        """Of those, the similar ones; a leader's followers are dealt to SALTS parts."""
-        pairs = common.checkpointed(pairs)
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets, "id long, n long, keys binary").dropDuplicates(["id"])
-        sets = common.checkpointed(sets)
-        salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt")
-        of_b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
-        of_a = sets.select(F.col("id").alias("lead"), F.col("n").alias("na"), F.col("keys").alias("ka"))
-        right = pairs.join(of_b, "b").select("a", salt, "b", "nb", "kb")
-        left = pairs.select(F.col("a").alias("lead"), salt.alias("part")).distinct().join(of_a, "lead")
-        return left.groupBy("lead", "part").cogroup(right.groupBy("a", "salt")).applyInPandas(_settled, _PAIR)
-
+    groups = common.checkpointed(filed.groupBy("bucket").applyInPandas(_grouped, "bucket long, docs binary, sizes binary, groups binary, own binary"))
+    members = common.checkpointed(groups.mapInPandas(_leaders, "bucket long, doc_id long, leader long"))
+    tables = feature.filter(F.col("signature").isNotNull()).select("doc_id", "signature").dropDuplicates(["doc_id"])
+
+    # each document's tile; a leader is in its own one as well and in each part of that
+    homes = common.checkpointed(members.groupBy("doc_id").agg(F.min("leader").alias("leader")))
+    parts = homes.groupBy("leader").agg(F.ceil(F.count("*") / TILE_ROWS).cast("long").alias("parts"))
+    homes = common.checkpointed(homes.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).select("doc_id", "leader", "part"))
+    leads = parts.select(F.col("leader").alias("doc_id"), "leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    places = homes.unionByName(leads).distinct()
+    needed = members.select("doc_id").distinct()
+    sets = common.checkpointed(docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets, "id long, n long, keys binary"))
+    placed = sets.join(places, sets["id"] == places["doc_id"]).select("leader", "part", "id", "n", "keys")
     copies = feature.filter(F.col("rep") < F.col("doc_id")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    stars = filed.groupBy("bucket").applyInPandas(_stars, _PAIR).distinct()
-    first = common.checkpointed(settled(close(stars)).union(copies))
-    parts = common.checkpointed(components(first))
-    members = filed.groupBy("bucket").applyInPandas(_members, "bucket long, doc_id long")
-    known = members.join(tables, "doc_id").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "signature", F.coalesce("component_id", "doc_id").alias("part"))
-    across = filed.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(_across, _PAIR).distinct()
-    second = common.checkpointed(settled(across))
-    whole = components(first.union(second)) if not second.isEmpty() else parts
-    return feature.join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = common.checkpointed(placed.groupBy("leader", "part").applyInPandas(_tile, _PAIR).union(copies))
+    joined = common.checkpointed(components(first))
+
+    # what shares a group, but neither a tile nor a component
+    tile = F.xxhash64("leader", "part").alias("tile")
+    state = homes.select("doc_id", tile).join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "tile", F.coalesce("component_id", "doc_id").alias("component"))
+    known = members.select("bucket", "doc_id").join(state, "doc_id")
+    open_ = groups.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(_open, "bucket long, doc_id long, component long, tile long")
+    signed = open_.join(tables, "doc_id").select("bucket", "doc_id", "component", "tile", "signature")
+    across = common.checkpointed(groups.groupBy("bucket").cogroup(signed.groupBy("bucket")).applyInPandas(_across, _PAIR).distinct())
+    if not across.isEmpty():
+        salt = F.pmod(F.xxhash64("b"), F.lit(SALTS))
+        of_b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb")).dropDuplicates(["b"])
+        of_a = sets.select(F.col("id").alias("lead"), F.col("n").alias("na"), F.col("keys").alias("ka")).dropDuplicates(["lead"])
+        right = across.join(of_b, "b").select("a", salt.alias("salt"), "b", "nb", "kb")
+        left = across.select(F.col("a").alias("lead"), salt.alias("lead_part")).distinct().join(of_a, "lead")
+        second = left.groupBy("lead", "lead_part").cogroup(right.groupBy("a", "salt")).applyInPandas(_settled, _PAIR)
+        joined = components(common.checkpointed(first.union(second)))
+    return feature.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
