@@ -58,7 +58,7 @@ def packed_documents(docs: DataFrame, limit: int = common.SLICE_BYTES, flag=None
                     pa.array([piece.column("doc_id").to_pylist()], kind),
                     pa.array([piece.column("flag").to_pylist()]),
                     pa.array([np.diff(offsets)], pa.list_(pa.int64())),
-                    pa.array([zstandard.ZstdCompressor(3).compress(data.tobytes())], pa.binary()),
+                    pa.array([zstandard.ZstdCompressor(6).compress(data.tobytes())], pa.binary()),
                     pa.array([len(data)], pa.int64()),
                 ],
                 ["ids", "flags", "lengths", "texts", "raw"],
