@@ -23,13 +23,9 @@ from . import common
 MIN_WORDS = 10
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-
-def _hash(words: Column) -> Column:
-    """64 bits of a list of words; the joint holds a byte that no word has."""
-    return F.xxhash64(F.array_join(words, " "))
+def _plain(line: Column) -> Column:
+    """A line's words joined by one space."""
+    return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
@@ -38,11 +34,20 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def first_lines(docs: DataFrame) -> DataFrame:
-    """(line_id, first, line): distinct lines by their words and where each stands first; repeated rows of a document tie."""
-    text = F.regexp_replace(F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " ")), "^ | $", "")
-    lines = document_lines(docs).select("doc_id", "line_no", text.alias("line"))
-    return lines.groupBy(F.xxhash64("line").alias("line_id"), F.xxhash64("line", F.lit(1)).alias("line_id2")).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("line").alias("line"))
+def first_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(line_id, line_id2, doc_id, line_no, n, ends): distinct lines by their words, where each stands first, its number of words, and for lines of min_words hashes of its halves.
+
+    Hashes alone travel, no text. Repeated rows of a document tie.
+    """
+    text = F.col("text")
+    lines = document_lines(docs).select("doc_id", "line_no", _plain(F.col("line")).alias("text")).withColumn("n", (F.length("text") - F.length(F.translate("text", " ", "")) + 1).cast("int"))
+    small = F.floor((F.col("n") - 1) / 2).cast("int")
+    large = F.floor(F.col("n") / 2).cast("int")
+    lines = lines.withColumn("small", small).withColumn("large", large)
+    half = lambda end, h: F.when(F.col("n") >= min_words, F.xxhash64(F.lit(end), F.col(h), F.expr(f"substring_index(text, ' ', {'-' if end else ''}{h})")))
+    lines = lines.select(F.xxhash64(text).alias("line_id"), F.xxhash64(text, F.lit(1)).alias("line_id2"), "doc_id", "line_no", "n", half(0, "small").alias("p0"), half(1, "small").alias("s0"), half(0, "large").alias("p1"), half(1, "large").alias("s1"))
+    out = lines.groupBy("line_id", "line_id2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *[F.max(c).alias(c) for c in ("n", "p0", "s0", "p1", "s1")])
+    return out.select("line_id", "line_id2", "first.doc_id", "first.line_no", "n", "p0", "s0", "p1", "s1")
 
 
 def one_word_apart(a: Column, b: Column) -> Column:
@@ -58,41 +63,46 @@ def one_word_apart(a: Column, b: Column) -> Column:
     return (F.abs(n - m) <= 1) & (front + back >= F.greatest(n, m) - 1)
 
 
-def edited_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """line_id, line_id2 of the distinct lines of which an earlier one is a word apart."""
+def edited_copies(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """line_id, line_id2 of the distinct `lines` of which an earlier one is a word apart."""
     key = ["line_id", "line_id2"]
-    n = F.col("n")
-    known = lines.select(*key, "first", "line").withColumn("words", _words(F.col("line"))).withColumn("n", F.size("words")).filter(n >= min_words)
-    halves = []
-    for h in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")):
-        halves += [F.struct(F.lit(0).alias("end"), h.alias("h"), _hash(F.slice("words", F.lit(1), h)).alias("half")), F.struct(F.lit(1).alias("end"), h.alias("h"), _hash(F.slice("words", n - h + 1, h)).alias("half"))]
-    ends = known.select(*key, F.explode(F.array_distinct(F.array(*halves))).alias("e")).select(*key, "e.*")
-    shared = ends.groupBy("end", "h", "half").agg(F.min(F.struct(*key)).alias("low"), F.max(F.struct(*key)).alias("high")).filter(F.col("low") != F.col("high")).select("end", "h", "half")
-    chance = ends.join(shared, ["end", "h", "half"]).select(*key).distinct()
-    chance = common.checkpointed(known.join(chance, key, "left_semi"))
-    # variants: the words without the i-th (place i), and all of them (place 0)
-    without = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("place"), _hash(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, n))).alias("variant")))
-    variants = chance.select(*key, "first", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("place"), _hash(F.col("words")).alias("variant"))), without)).alias("v")).select(*key, "first", "v.*")
-    variants = common.checkpointed(variants)
-    me = F.struct("first", *key)
+    known = lines.filter(F.col("n") >= min_words)
+    # lines that share a half with another: front and back say which
+    ends = known.select("line_id", F.explode(F.array_distinct(F.array(*[F.struct(F.lit(c[0] == "p").alias("front"), F.col(c).alias("half")) for c in ("p0", "p1", "s0", "s1")]))).alias("e")).select("line_id", "e.*")
+    shared = ends.groupBy("half").agg(F.min("line_id").alias("low"), F.max("line_id").alias("high")).filter(F.col("low") < F.col("high")).select("half")
+    chance = ends.join(shared, "half").groupBy("line_id").agg(F.bool_or("front").alias("front"), F.bool_or(~F.col("front")).alias("back"))
+    chance = common.stored(known.select(*key, "doc_id", "line_no").join(chance, "line_id"))
+    # their words, from the documents where they stand first
+    wanted = chance.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("line_no", *key, "front", "back")).alias("wanted"))
+    found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
+    words = F.split(_plain(F.get("all", F.col("w.line_no"))), " ")
+    found = found.select("w.*", "doc_id", words.alias("words")).filter(F.xxhash64(F.array_join("words", " ")) == F.col("line_id"))
+    found = common.stored(found.dropDuplicates(key))
+    n = F.size("words")
+    # variants: all words (place 0), and the words without the i-th (place i) where an edit can be: beyond the shared half
+    may = lambda i: (F.col("front") & (i > F.floor((n - 1) / 2))) | (F.col("back") & (i <= n - F.floor((n - 1) / 2)))
+    places = F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), n), may))
+    variant = F.when(F.col("place") == 0, F.xxhash64(F.array_join("words", " "))).otherwise(F.xxhash64(F.array_join(F.concat(F.slice("words", F.lit(1), F.greatest(F.col("place") - 1, F.lit(0))), F.slice("words", F.col("place") + 1, n)), " ")))
+    variants = found.select(*key, "doc_id", "line_no", "words", F.explode(places).alias("place")).select(*key, "doc_id", "line_no", "place", variant.alias("variant"))
+    equal = variants.groupBy("variant").agg(F.min("line_id").alias("low"), F.max("line_id").alias("high")).filter(F.col("low") < F.col("high")).select("variant")
+    variants = common.stored(variants.join(equal, "variant"))
+    me = F.struct("doc_id", "line_no", *key)
     # the earliest line with each variant at each place, and the earliest that is whole or has lost a word
-    same = common.checkpointed(variants.groupBy("variant", "place").agg(F.min(me).alias("earliest"), F.count("*").alias("lines")))
-    side = same.groupBy("variant").agg(F.min(F.when(F.col("place") == 0, F.col("earliest"))).alias("whole"), F.min(F.when(F.col("place") > 0, F.col("earliest"))).alias("cut"), F.sum("lines").alias("all"))
-    side = common.checkpointed(side.filter((F.col("all") > 1)))
-    replaced = variants.join(same.filter((F.col("lines") > 1) & (F.col("place") > 0)), ["variant", "place"]).select(*key, "first", "earliest")
-    shifted = variants.join(side.filter(F.col("whole").isNotNull() & F.col("cut").isNotNull()), "variant")
-    shifted = shifted.select(*key, "first", F.when(F.col("place") == 0, F.col("cut")).otherwise(F.col("whole")).alias("earliest"))
-    pairs = replaced.union(shifted).filter(F.col("earliest.first") < F.col("first")).select(*key, F.col("earliest.line_id").alias("o1"), F.col("earliest.line_id2").alias("o2")).distinct()
-    mine, other = chance.select(*key, "words"), chance.select(F.col("line_id").alias("o1"), F.col("line_id2").alias("o2"), F.col("words").alias("other"))
+    same = variants.filter(F.col("place") > 0).groupBy("variant", "place").agg(F.min(me).alias("earliest"))
+    side = variants.groupBy("variant").agg(F.min(F.when(F.col("place") == 0, me)).alias("whole"), F.min(F.when(F.col("place") > 0, me)).alias("cut"))
+    replaced = variants.join(common.stored(same), ["variant", "place"]).select(me.alias("me"), "earliest")
+    shifted = variants.join(common.stored(side), "variant").select(me.alias("me"), F.when(F.col("place") == 0, F.col("cut")).otherwise(F.col("whole")).alias("earliest"))
+    pairs = replaced.union(shifted).filter(F.col("earliest").isNotNull() & (F.struct("earliest.doc_id", "earliest.line_no") < F.struct("me.doc_id", "me.line_no"))).select("me.line_id", "me.line_id2", F.col("earliest.line_id").alias("o1"), F.col("earliest.line_id2").alias("o2")).distinct()
+    mine, other = found.select(*key, "words"), found.select(F.col("line_id").alias("o1"), F.col("line_id2").alias("o2"), F.col("words").alias("other"))
     return pairs.join(mine, key).join(other, ["o1", "o2"]).filter(one_word_apart(F.col("words"), F.col("other"))).select(*key).distinct()
 
 
 def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, kept): the numbers of the lines with words that stay, for documents that keep any."""
-    lines = common.checkpointed(first_lines(docs))
-    gone = common.checkpointed(edited_copies(lines, min_words))
-    left = lines.join(gone, ["line_id", "line_id2"], "left_anti")
-    return left.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.array_sort(F.collect_list("first.line_no")).alias("kept"))
+    lines = common.stored(first_lines(docs, min_words))
+    gone = common.stored(edited_copies(docs, lines, min_words))
+    left = lines.select("line_id", "line_id2", "doc_id", "line_no").join(gone, ["line_id", "line_id2"], "left_anti")
+    return left.groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
