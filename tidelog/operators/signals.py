@@ -31,14 +31,13 @@ def unsuppressed(signals: DataFrame, by: list[str], order: list[str], rank: str)
 
 def chosen(signals: DataFrame, by: list[str], rank: str, tie: list[str], limit: int = 3) -> DataFrame:
     """Of each key's highest tier at most `limit` signals; a deadline takes one of the places and a correction comes first."""
-    best = Window.partitionBy(*by)
-    top = signals.withColumn("_top", F.max(rank).over(best)).filter((F.col(rank) == F.col("_top")) | F.col("correction"))
-    order = [F.desc("correction"), *tie]
-    place = F.row_number().over(best.orderBy(*order))
-    late = F.row_number().over(best.orderBy(F.desc("deadline"), *order))
-    ranked = top.withColumn("_p", place).withColumn("_d", late).withColumn("_any", F.max("deadline").over(best))
-    keep = F.when(F.col("_any") & (F.col("_d") == 1) & F.col("deadline"), True).otherwise(F.col("_p") <= F.when(F.col("_any") & ~(F.max(F.when((F.col("_p") <= limit) & F.col("deadline"), True)).over(best).isNotNull()), limit - 1).otherwise(limit))
-    return ranked.filter(keep).drop("_top", "_p", "_d", "_any")
+    key = Window.partitionBy(*by)
+    top = signals.withColumn("_top", F.max(rank).over(key)).filter((F.col(rank) == F.col("_top")) | F.col("correction"))
+    placed = top.withColumn("_p", F.row_number().over(key.orderBy(F.desc("correction"), *tie)))
+    placed = placed.withColumn("_d", F.min(F.when(F.col("deadline"), F.col("_p"))).over(key))
+    late = F.coalesce(F.col("_d") > limit, F.lit(False))
+    keep = F.when(late, (F.col("_p") <= limit - 1) | (F.col("_p") == F.col("_d"))).otherwise(F.col("_p") <= limit)
+    return placed.filter(keep).drop("_top", "_p", "_d")
 
 
 def corrections(claims: DataFrame, live: DataFrame, by: list[str]) -> DataFrame:
