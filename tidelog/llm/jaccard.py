@@ -384,10 +384,14 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group of similar ones, the one with the smallest id, all columns as they were; rows that repeat its id stay one."""
-    found = similar_documents(docs).filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    named = kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(kept.filter(F.col("doc_id").isNull()))
+    found = common.stored(similar_documents(docs))
+    stays = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
+    repeated = common.stored(stays.filter(F.col("__id").isNotNull() & (F.col("__rows") > 1)).select("__id"))
+    kept = docs.join(stays.select("__id"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, kept["doc_id"] == repeated["__id"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, kept["doc_id"] == repeated["__id"], "left_anti").unionByName(once)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
