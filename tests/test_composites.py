@@ -1,4 +1,7 @@
 import json
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -50,3 +53,8 @@ def test_eviction_leaves_a_small_ledger_alone(spark):
     frame = spark.createDataFrame([(1, 10, 0.1), (2, 10, 0.2)], "seq int, bytes long, interest double")
     assert retention.eviction(frame, "bytes", F.lit(0), "interest", "seq", "seq", 100).count() == 0
     assert [r["seq"] for r in retention.eviction(frame, "bytes", F.lit(0), "interest", "seq", "seq", 20).collect()] == [1]
+
+
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])

@@ -1,19 +1,18 @@
-"""The event and frame schemas that all operators share."""
+"""The event and frame schemas that all operators share, as DDL text, so that importing needs no session."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .functions import levels, timeparse
 
-EVENT = T.StructType.fromDDL(
+EVENT = (
     "ts string, ts_ms double, category string, level string, source string, trace_id string, frame_seq bigint, "
     "data map<string,string>, message string, adapter string, raw string, log_label string, log_path string, level_escalated_from string, escalation_reason string"
 )
 STACK_FRAME = "array<struct<file:string,line:int,func:string>>"
-FRAME = T.StructType.fromDDL(
+FRAME = (
     "schema_version string, frame_id string, profile string, sequence bigint, timestamp string, timestamp_ms double, summary string, recommended_next string, confidence double, "
     "tags array<string>, program struct<running:boolean,pid:int,name:string>, "
     f"error struct<type:string,message:string,fingerprint:string,occurrences:int,frames:{STACK_FRAME}>, "
