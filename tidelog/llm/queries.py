@@ -24,6 +24,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import lines, topk
+    from . import jaccard, lines, topk
 
-    return {"op3_line_dedup": lines.OP3_SQL, "op6_topk_search": topk.OP6_SQL}
+    return {"op3_line_dedup": lines.OP3_SQL, "op6_topk_search": topk.OP6_SQL, "op8_jaccard_join": jaccard.OP8_SQL}
