@@ -24,6 +24,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import jaccard, lines, topk
+    from . import jaccard, lines, repeats, topk
 
-    return {"op3_line_dedup": lines.OP3_SQL, "op6_topk_search": topk.OP6_SQL, "op8_jaccard_join": jaccard.OP8_SQL}
+    return {"op3_line_dedup": lines.OP3_SQL, "op6_topk_search": topk.OP6_SQL, "op7_repeated_passages": repeats.OP7_SQL, "op8_jaccard_join": jaccard.OP8_SQL}

@@ -274,3 +274,24 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR,
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without passages of 50 bytes that a document with a smaller id has."""
     return repeated_passages(common.read_table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = """
+WITH h AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), x AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS byte, CASE WHEN 2 * i + 100 <= len(h) THEN substr(h, 2 * i + 1, 100) END AS w
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM h)
+), f AS (
+  SELECT w, min(doc_id) AS first FROM x WHERE w IS NOT NULL GROUP BY w HAVING min(doc_id) < max(doc_id)
+), g AS (
+  SELECT x.doc_id, i, byte, max(CASE WHEN f.first < x.doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY x.doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM x LEFT JOIN f ON x.w = f.w
+), t AS (
+  SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS starts FROM g
+), a AS (
+  SELECT doc_id, sum(gone) AS n_removed, sum(starts) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM t GROUP BY 1
+)
+SELECT h.doc_id, CAST(len(h.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM h LEFT JOIN a ON a.doc_id = h.doc_id
+"""
