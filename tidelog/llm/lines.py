@@ -84,6 +84,7 @@ def edited_copies(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORDS)
     places = F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), n), may))
     variant = F.when(F.col("place") == 0, F.xxhash64(F.array_join("words", " "))).otherwise(F.xxhash64(F.array_join(F.concat(F.slice("words", F.lit(1), F.greatest(F.col("place") - 1, F.lit(0))), F.slice("words", F.col("place") + 1, n)), " ")))
     variants = found.select(*key, "doc_id", "line_no", "words", F.explode(places).alias("place")).select(*key, "doc_id", "line_no", "place", variant.alias("variant"))
+    variants = common.stored(variants)
     equal = variants.groupBy("variant").agg(F.min("line_id").alias("low"), F.max("line_id").alias("high")).filter(F.col("low") < F.col("high")).select("variant")
     variants = common.stored(variants.join(equal, "variant"))
     me = F.struct("doc_id", "line_no", *key)
