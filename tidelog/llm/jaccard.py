@@ -216,15 +216,23 @@ def _tile(key, frame: pd.DataFrame) -> pd.DataFrame:
     ids, n = frame["id"].to_numpy(), frame["n"].to_numpy().astype(np.int64)
     sets = [np.unique(pack.get_keys(k)) for k in frame["keys"]]
     part, out = np.arange(len(ids)), []
-    # postings of all shingles, so one document's overlaps with all others are one count
+    # postings of the shingles that two or more have, so one document's overlaps with all others are one count
     every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(every, kind="stable")
     every, owner = every[order], owner[order]
+    same = every[1:] == every[:-1]
+    several = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(every) else np.zeros(0, bool)
+    every, owner = every[several], owner[several]
+    by_owner = np.argsort(owner, kind="stable")
+    cut = np.searchsorted(owner[by_owner], np.arange(len(sets) + 1))
+    sets = [every[by_owner[x:y]] for x, y in zip(cut[:-1], cut[1:])]
+    # who shares fewer than t of its shingles with all others together links with none of them
+    hope = DEN * np.array([len(s) for s in sets], np.int64) >= NUM * n
     bands = band(n)
 
     def compare(i: int) -> None:
-        near = (part != part[i]) & (np.abs(bands - bands[i]) <= 1) & (DEN * np.minimum(n, n[i]) >= NUM * np.maximum(n, n[i]))
+        near = hope & (part != part[i]) & (np.abs(bands - bands[i]) <= 1) & (DEN * np.minimum(n, n[i]) >= NUM * np.maximum(n, n[i]))
         if not near.any():
             return
         a, b = np.searchsorted(every, sets[i]), np.searchsorted(every, sets[i], "right")
@@ -236,10 +244,10 @@ def _tile(key, frame: pd.DataFrame) -> pd.DataFrame:
                 out.append((ids[i], ids[j]))
                 part[part == part[j]] = part[i]
 
-    if len(ids):
+    if len(ids) and hope[np.argmin(ids)]:
         compare(int(np.argmin(ids)))
     # every pair of two components has a document outside the largest one
-    done = np.zeros(len(ids), bool)
+    done = ~hope
     while len(ids):
         values, counts = np.unique(part, return_counts=True)
         left = np.flatnonzero(~done & (part != values[np.argmax(counts)]))
