@@ -55,8 +55,11 @@ def around_triggers(triggers: DataFrame, events: DataFrame, before: str = "60 se
 class _Suppressor(StatefulProcessor):
     """Per session: a fingerprint surfaces first and then only at a higher tier."""
 
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle) -> None:
-        self.seen = handle.getMapState("seen", "fp string", "tier int", ttlDurationMs=6 * 3_600_000)
+        self.seen = handle.getMapState("seen", "fp string", "tier int", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         out = []
@@ -98,9 +101,9 @@ class _Limiter(StatefulProcessor):
 _SIGNAL = "session string, fp string, tier int, ts_ms double"
 
 
-def suppressed(signals: DataFrame) -> DataFrame:
-    """(session, fp, tier, ts_ms) without repeats at an equal or lower tier; forgotten after six hours."""
-    return signals.groupBy("session").transformWithStateInPandas(_Suppressor(), _SIGNAL, "Append", "ProcessingTime")
+def suppressed(signals: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """(session, fp, tier, ts_ms) without repeats at an equal or lower tier. ttl_ms: forget after so long, for streams that run on."""
+    return signals.groupBy("session").transformWithStateInPandas(_Suppressor(ttl_ms), _SIGNAL, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 def rate_limited(signals: DataFrame) -> DataFrame:
