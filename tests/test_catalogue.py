@@ -40,3 +40,10 @@ def test_query_matches_sql(spark, duck, name):
 def test_window_filter_reaches_no_cartesian(spark):
     plan = catalogue.QUERIES["bookmark_context"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_token_report_has_every_document(spark, tmp_path):
+    sizes = {1: None, 2: 10, 3: 2048, 4: 1048575, 5: 1048576, 6: 3 << 30, 7: 2 << 40}
+    spark.createDataFrame(list(sizes.items()), "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["tokens"], r["size"]) for r in catalogue.QUERIES["token_report"](spark, str(tmp_path)).collect()}
+    assert got == {1: (None, None), 2: (3, "10 B"), 3: (512, "2.0 KB"), 4: (262144, "1024.0 KB"), 5: (262144, "1.0 MB"), 6: (3 << 28, "3.0 GB"), 7: (2 << 38, "2.0 TB")}

@@ -124,8 +124,8 @@ def parse_bytes(text: Column, default: int = 0) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes with a unit, one decimal from kB on."""
-    out = F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))
+    """Bytes with a unit, one decimal from kB on; null for null."""
+    out = F.when(n.isNull(), F.lit(None).cast("string")).when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))
     for i, unit in enumerate(("KB", "MB", "GB"), 1):
         out = out.when(n < 1024 ** (i + 1), F.format_string("%.1f " + unit, n / F.lit(float(1024**i))))
     return out.otherwise(F.format_string("%.1f TB", n / F.lit(float(1024**4))))

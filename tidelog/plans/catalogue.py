@@ -514,7 +514,7 @@ def ledger_report(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(ceil(n_chars / 4) AS BIGINT) AS tokens, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', round(n_chars / 1024.0::DOUBLE, 1)) END AS size FROM documents WHERE n_chars < 1048576")
 def token_report(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(F.col("n_chars") < 1048576).select("doc_id", text.text_tokens(F.col("n_chars")).alias("tokens"), text.human_size(F.col("n_chars")).alias("size"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.text_tokens(F.col("n_chars")).alias("tokens"), text.human_size(F.col("n_chars")).alias("size"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
