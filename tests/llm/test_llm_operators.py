@@ -189,6 +189,32 @@ def test_ann_recall_and_exact_scores(some_vectors):
     assert hit / total >= 0.9
 
 
+def nearest_by_force(rows, i, k=10):
+    x = dict(rows)
+    return [j for _, j in sorted((float(((x[i] - y) ** 2).sum()), j) for j, y in rows if j != i)[:k]]
+
+
+def test_ann_isolated_vectors_get_their_k(spark):
+    rng = np.random.default_rng(3)
+    near = rng.standard_normal((20, 16))[rng.integers(0, 20, 3000)] * 3 + rng.standard_normal((3000, 16)) * 0.01
+    rows = [*enumerate(near), *((3000 + i, v) for i, v in enumerate(rng.standard_normal((10, 16)) * 30))]
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "vec_id long, v array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in ann.Index(v).search(v.filter("vec_id >= 3000")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for i in range(3000, 3010):
+        assert got[i] == nearest_by_force(rows, i)
+
+
+def test_ann_small_tables_give_all_candidates(spark):
+    rows = [(i, np.array([10.0**i, -(10.0**i)])) for i in range(8)]
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "vec_id long, v array<double>")
+    got = defaultdict(list)
+    for r in ann.Index(v).search(v).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert {i: got[i] for i in range(8)} == {i: nearest_by_force(rows, i) for i in range(8)}
+
+
 # 3 lines
 
 

@@ -5,7 +5,9 @@ Gaussian. A query visits perturbed buckets in order of the probability that a
 neighbour at the expected distance falls there, until these probabilities sum to
 what each table needs for the wanted recall. Every vector is in every table;
 candidates of a bucket are ranked by exact distance where they lie, and the
-tables' best are merged.
+tables' best are merged. A query whose kth distance is beyond the expected one
+probes again for that distance; one that found fewer than k, or whose distance
+is far beyond, is ranked against all rows in blocks.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ SAMPLE = 2000
 TABLES, WIDTH, BUCKET_ROWS, RECALL = 3, 1.3, 1500, 0.97
 #: Vectors compared at once, and queries whose best a task holds before it hands them on.
 BLOCK, HELD = 2048, 100_000
+#: Expected distances up to which a query probes again; beyond that all rows are cheaper than the buckets.
+FAR = 1.5
 
 
 class Hashes:
@@ -148,6 +152,23 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["key", "dim", "ids", "matrix"])
 
 
+_FOUND = "query_id long, vec_id long, score double"
+
+
+def _ranking(k: int):
+    def rank(frames):
+        best = Best(k)
+        for frame in frames:
+            for r in frame.itertuples():
+                ids, q_ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_ids, np.int64)
+                best.see(np.frombuffer(r.q_matrix).reshape(len(q_ids), r.dim), q_ids, np.frombuffer(r.matrix).reshape(len(ids), r.dim), ids)
+            if len(best.of) > HELD:
+                yield best.rows()
+        yield best.rows()
+
+    return rank
+
+
 class Index:
     """Fitted on at most `sample` rows of (vec_id, v): the spread of projections and the distance of neighbours, per length of vector."""
 
@@ -169,52 +190,83 @@ class Index:
             self.tables[dim] = (Hashes(dim, bits, spread), float(np.median(near)) if near else spread)
         self.bits = bits
 
-
     def search(self, queries: DataFrame) -> DataFrame:
-        """(query_id, rank, vec_id, score): each query's k nearest found, ties to the smaller vec_id, own id excluded."""
+        """(query_id, rank, vec_id, score): each query's k nearest found, all rows of its length if fewer, ties to the smaller vec_id, own id excluded."""
+        k = self.k
+        near = F.coalesce(*[F.when(F.size("v") == dim, F.lit(d)) for dim, (_, d) in self.tables.items()], F.lit(1.0))
+        first = common.stored(self._nearest(self._probed(queries.withColumn("reach", near))))
+        have = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("found"), F.max("score").alias("kth"))
+        weak = queries.withColumn("near", near).join(have, "vec_id", "left").filter(F.col("found").isNull() | (F.col("found") < k) | (F.col("kth") > F.col("near")))
+        weak = common.stored(weak.select("vec_id", "v", F.when((F.col("found") >= k) & (F.col("kth") <= FAR * F.col("near")), F.col("kth")).alias("reach")))
+        again, rest = weak.filter(F.col("reach").isNotNull()), weak.filter(F.col("reach").isNull()).select("vec_id", "v")
+        found = [first.select("query_id", "vec_id", "score")]
+        found += [self._probed(again)] if not again.isEmpty() else []
+        found += [self._ranked_all(rest)] if not rest.isEmpty() else []
+        if len(found) == 1:
+            return first
+        out = found[0]
+        for more in found[1:]:
+            out = out.union(more)
+        return self._nearest(out)
+
+    def _nearest(self, found: DataFrame) -> DataFrame:
+        return vectors.nearest_of_each(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), self.k, F.asc("score"))
+
+    def _probed(self, queries: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score) of the best in the buckets where a neighbour of (vec_id, v, reach) at the distance `reach` may be."""
         k, tables, bits, wanted = self.k, self.tables, self.bits, self.wanted
 
-        def table(dim: int) -> tuple[Hashes, float]:
+        def table(dim: int) -> Hashes:
             """Lengths that the sample has none of get unit spread."""
             if dim not in tables:
                 tables[dim] = (Hashes(dim, bits, 1.0), 1.0)
-            return tables[dim]
+            return tables[dim][0]
 
         def index(batches):
             for ids, x in vectors.matrices(batches):
                 for at in range(0, len(ids), vectors.PACK):
                     i, v = _collapsed(ids[at : at + vectors.PACK], x[at : at + vectors.PACK], k)
-                    hashes, _ = table(x.shape[1])
+                    hashes = table(x.shape[1])
                     slots = np.floor(hashes.places(v))
                     for t in range(hashes.tables):
                         yield _batch(list(_packed(hashes.keys(slots[:, t], np.full(len(v), t)), i, v, BLOCK)))
 
         def ask(batches):
             for ids, x in vectors.matrices(batches):
-                hashes, near = table(x.shape[1])
+                x, reach = x[:, :-1], x[:, -1]
+                hashes = table(x.shape[1])
                 places = hashes.places(x)
                 for t in range(hashes.tables):
                     # a neighbour's projection differs by a Gaussian of its distance
-                    found = [probes(p, near / hashes.width, wanted) for p in places[:, t]]
+                    found = [probes(p, d / hashes.width, wanted) for p, d in zip(places[:, t], reach)]
                     own = np.repeat(np.arange(len(x)), [len(f) for f in found])
                     slots = np.array([s for f in found for s in f], np.float64).reshape(len(own), hashes.bits)
                     yield _batch(list(_packed(hashes.keys(slots, np.full(len(own), t)), ids[own], x[own], 256)))
 
-        def rank(frames):
-            best = Best(k)
-            for frame in frames:
-                for r in frame.itertuples():
-                    ids, q_ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_ids, np.int64)
-                    best.see(np.frombuffer(r.q_matrix).reshape(len(q_ids), r.dim), q_ids, np.frombuffer(r.matrix).reshape(len(ids), r.dim), ids)
-                if len(best.of) > HELD:
-                    yield best.rows()
-            yield best.rows()
-
-        asks = queries.coalesce(max(1, common.parts(queries.sparkSession) // 4)).mapInArrow(ask, _SCHEMA)
+        asks = queries.select("vec_id", F.concat("v", F.array("reach")).alias("v"))
+        asks = asks.coalesce(max(1, common.parts(queries.sparkSession) // 4)).mapInArrow(ask, _SCHEMA)
         asks = asks.select("key", "dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
         pairs = self.rows.mapInArrow(index, _SCHEMA).join(asks, ["key", "dim"]).select("dim", "ids", "matrix", "q_ids", "q_matrix")
-        found = pairs.mapInPandas(rank, "query_id long, vec_id long, score double")
-        return vectors.nearest_of_each(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), k, F.asc("score"))
+        return pairs.mapInPandas(_ranking(k), _FOUND)
+
+    def _ranked_all(self, queries: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score) of the best of all rows, in blocks dealt out over tiles; every query goes to every tile."""
+        k, tiles = self.k, max(2, common.parts(queries.sparkSession))
+
+        def blocks(batches):
+            for ids, x in vectors.matrices(batches):
+                for at in range(0, len(ids), BLOCK):
+                    i, v = _collapsed(ids[at : at + BLOCK], x[at : at + BLOCK], k)
+                    yield _batch(list(_packed(np.full(len(i), int(common.mix64(i[:1].astype(np.uint64))[0]) % tiles), i, v, BLOCK)))
+
+        def ask(batches):
+            for ids, x in vectors.matrices(batches):
+                yield _batch(list(_packed(np.zeros(len(ids), np.int64), ids, x, 256)))
+
+        asks = queries.coalesce(max(1, common.parts(queries.sparkSession) // 4)).mapInArrow(ask, _SCHEMA)
+        asks = asks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("key"), "dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+        pairs = self.rows.mapInArrow(blocks, _SCHEMA).join(asks, ["key", "dim"]).select("dim", "ids", "matrix", "q_ids", "q_matrix")
+        return pairs.mapInPandas(_ranking(k), _FOUND)
 
 
 def op2_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
