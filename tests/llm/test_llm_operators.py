@@ -174,6 +174,18 @@ def test_pruning_skips_blocks_and_keeps_ties():
     assert got.tolist() == [[499, 499, 498]] and who.tolist() == [[998, 999, 996]]
 
 
+def test_topk_takes_negative_ids(spark):
+    rows = [(i, np.array([float(i % 7), float(i * i % 11)])) for i in range(-100, 60, 10)] + [(-1, np.array([9.0, 9.0]))]
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "vec_id long, v array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_inner_products(v, v.filter("vec_id % 50 = 0")).collect()}
+    want = {}
+    for i, q in rows:
+        if i % 50 == 0:
+            best = sorted((-int(65536 * (q @ x)), j) for j, x in rows if j != i)[:5]
+            want |= {(i, n + 1): (j, -s) for n, (s, j) in enumerate(best)}
+    assert got == want and {i for i, _ in got} == {-100, -50, 0, 50}
+
+
 def test_ann_recall_and_exact_scores(some_vectors):
     frame, rows = some_vectors
     v = vectors.usable(frame).filter(F.exists("v", lambda x: x != 0))

@@ -36,11 +36,15 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def block_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, docs: np.ndarray, k: int, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, ids) of each query's k best documents here, own id excluded; missing ones have id -1.
+    """(scores, ids) of each query's k best documents here, own id excluded; missing ones are masked among the ids.
 
     Scores descend, ties go to the smaller id.
     """
     n, m = len(queries), len(docs)
+    # ids count as their place among the distinct ones, so that -1 is an empty place whatever the ids are
+    names, ids = np.unique(ids, return_inverse=True)
+    at = np.minimum(np.searchsorted(names, query_ids), len(names) - 1)
+    query_ids = np.where(names[at] == query_ids, at, -2)
     # documents of one leading term stand together, which keeps the blocks' bounds tight
     lead = np.argmax(np.abs(docs), axis=1) if docs.shape[1] else np.zeros(m, np.int64)
     order = np.lexsort((docs[np.arange(m), lead] if docs.shape[1] else lead, lead))
@@ -54,7 +58,7 @@ def block_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, do
     best = np.full((n, k), np.iinfo(np.int64).min)
     best_ids = np.full((n, k), -1)
     alive = np.arange(n)
-    near = 2 * k if len(np.unique(ids)) == m else m + k  # with repeated ids any number of scores may count once
+    near = 2 * k if len(names) == m else m + k  # with repeated ids any number of scores may count once
     for turn in range(len(starts)):
         block = visit[alive, turn]
         full = best_ids[alive, k - 1] >= 0
@@ -71,7 +75,7 @@ def block_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, do
             who = np.where(own, -1, who)
             score, who = np.concatenate([best[q], score], 1), np.concatenate([best_ids[q], who], 1)
             best[q], best_ids[q] = _ranked(score, who, k, near)
-    return best, best_ids
+    return best, np.ma.array(names[best_ids], mask=best_ids < 0)
 
 
 def _ranked(score: np.ndarray, who: np.ndarray, k: int, near: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,12 +117,12 @@ def top_inner_products(data: DataFrame, queries: DataFrame, k: int = 5) -> DataF
     """Each query's k largest integer inner products over all usable rows of `data` but those with its own vec_id.
 
     Both are (vec_id, v) as `vectors.usable` gives them; components count as floor(256 * x). Vectors of another length
-    than the query's take no part; repeated vec_ids count once, with their best score; ids are non-negative.
+    than the query's take no part; repeated vec_ids count once, with their best score.
     """
     spark = data.sparkSession
     schema = "dim long, ids binary, matrix binary"
-    packs = data.filter(F.col("vec_id") >= 0).mapInArrow(_packs(vectors.PACK), schema)
-    asks = queries.filter(F.col("vec_id") >= 0).coalesce(max(1, common.parts(spark) // 4)).mapInArrow(_packs(QUERIES), schema)
+    packs = data.mapInArrow(_packs(vectors.PACK), schema)
+    asks = queries.coalesce(max(1, common.parts(spark) // 4)).mapInArrow(_packs(QUERIES), schema)
     groups = max(2, common.parts(spark))
     packs = packs.withColumn("tile", F.pmod(F.xxhash64("ids"), F.lit(groups)))
     asks = asks.select("dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("tile"))
@@ -128,8 +132,8 @@ def top_inner_products(data: DataFrame, queries: DataFrame, k: int = 5) -> DataF
             for r in frame.itertuples():
                 q_ids, ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
                 got, who = block_search(q_ids, np.frombuffer(r.q_matrix, np.float64).reshape(len(q_ids), r.dim), ids, np.frombuffer(r.matrix, np.float64).reshape(len(ids), r.dim), k)
-                some = who >= 0
-                yield pd.DataFrame({"query_id": np.repeat(q_ids, k)[some.ravel()], "vec_id": who[some], "score": got[some]})
+                some = ~np.ma.getmaskarray(who)
+                yield pd.DataFrame({"query_id": np.repeat(q_ids, k)[some.ravel()], "vec_id": who.data[some], "score": got[some]})
 
     found = packs.join(asks, ["dim", "tile"]).select("dim", "ids", "matrix", "q_ids", "q_matrix").mapInPandas(score, "query_id long, vec_id long, score long")
     return vectors.nearest_of_each(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k, F.desc("score"))
