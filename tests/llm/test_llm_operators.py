@@ -464,6 +464,12 @@ def test_languages_of_edges(docs):
     assert kept.columns == docs.columns and kept.count() == len(TEXTS) - 4
 
 
+def test_without_labels_texts_with_letters_stay(spark):
+    frame = spark.createDataFrame([(1, None, "words of a language"), (2, None, "12345 !!!"), (3, None, None), (4, None, ""), (5, None, "\u00dcber")], "doc_id long, lang string, text string")
+    kept = language.with_language(frame, language.learn_profiles(language.training_rows(frame)))
+    assert {r["doc_id"] for r in kept.collect()} == {1, 5}
+
+
 def test_profile_distance_is_out_of_place():
     model = language.Profiles({"x": language.grams(language.letter_codes("ab"))[:3], "y": language.grams(language.letter_codes("cd"))[:3]})
     assert model.best("ab")[0] == "x" and model.best("cd")[0] == "y" and model.best("ab")[1] > model.best("zq")[1]

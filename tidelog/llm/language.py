@@ -156,12 +156,13 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFI
 
 
 def with_language(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE) -> DataFrame:
-    """The documents whose language is known, all columns as they were; `und` goes and nothing else does."""
+    """The documents whose language is known, all columns as they were; `und` goes and nothing else does. Without profiles that is a null text or one without a letter."""
     model = Profiles(profiles, size)
+    known = (lambda t: model.best(t)[0] != "und") if model.langs else (lambda t: bool(t) and len(grams(letter_codes(t))) > 0)
 
     def keep(batches):
         for piece in common.slices(batches, "text"):
-            yield piece.filter(pa.array([model.best(t)[0] != "und" for t in piece.column("text").to_pylist()]))
+            yield piece.filter(pa.array([known(t) for t in piece.column("text").to_pylist()]))
 
     return docs.mapInArrow(keep, docs.schema)
 
