@@ -47,3 +47,12 @@ def test_token_report_has_every_document(spark, tmp_path):
     spark.createDataFrame(list(sizes.items()), "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["tokens"], r["size"]) for r in catalogue.QUERIES["token_report"](spark, str(tmp_path)).collect()}
     assert got == {1: (None, None), 2: (3, "10 B"), 3: (512, "2.0 KB"), 4: (262144, "1024.0 KB"), 5: (262144, "1.0 MB"), 6: (3 << 28, "3.0 GB"), 7: (2 << 38, "2.0 TB")}
+
+
+def test_detect_format_finds_each_source(spark, tmp_path):
+    from test_functions import GOLDEN
+
+    golden = GOLDEN[:12]
+    spark.createDataFrame([(i, name, f"{line}\n\n{line}") for i, (line, name, _) in enumerate(golden)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.queries()["detect_format"](spark, str(tmp_path)).collect()
+    assert {(r["source"], r["adapter"]) for r in got} == {(name, name) for _, name, _ in golden}
