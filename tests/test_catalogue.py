@@ -56,3 +56,38 @@ def test_detect_format_finds_each_source(spark, tmp_path):
     spark.createDataFrame([(i, name, f"{line}\n\n{line}") for i, (line, name, _) in enumerate(golden)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = catalogue.queries()["detect_format"](spark, str(tmp_path)).collect()
     assert {(r["source"], r["adapter"]) for r in got} == {(name, name) for _, name, _ in golden}
+
+
+FAILURES = [
+    ("ok = no", "ok=false"), ("success: false", "success=false"), ("Failed=yes", "failed=true"), ("error=true", "error=true"), ("lost: 07", "non-zero failure count"), ("status=503", "http 4xx/5xx"),
+    ("exit: -1", "non-zero exit code"), ("unable  to open", "failed to ..."), ("it timed out", "timed out"), ("timeout after 3 s", "timeout exceeded"), ("host unreachable", "connection refused"),
+    ("errors=0 dropped=0 rc=0 status=200", None), ("errors=0 dropped=2", "non-zero failure count"), ("a calm line", None),
+]
+
+
+@pytest.fixture(scope="module")
+def failing(spark, tmp_path_factory):
+    """Documents and pages whose lines tell of every kind of failure and name addresses."""
+    at = str(tmp_path_factory.mktemp("failing"))
+    text = "\n".join(line for line, _ in FAILURES)
+    spark.createDataFrame([(1, text), (2, "src=0x11111f dst=0x22222a\n\nsrc=0x11111f owner=0x33333b"), (3, None)], "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, f"<p>{text}</p>"), (2, "<td>dst=0x33333b</td>\n<td>src=0x22222a</td>"), (3, None)], "page_id long, html string").write.parquet(f"{at}/pages.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", ["text_severity", "text_severity_counts"])
+def test_severity_of_documents_and_pages(spark, failing, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{failing}/{t}.parquet/*.parquet'")
+    got = catalogue.QUERIES[name](spark, failing)
+    assert rows(got.toPandas()) == rows(con.execute(catalogue.SQL[name]).df())
+    if name == "text_severity":
+        found = {(r["origin"], r["line_no"]): r["escalation_reason"] for r in got.filter("id = 1").collect()}
+        assert found == {(o, i): reason for o in ("documents", "pages") for i, (_, reason) in enumerate(FAILURES)}
+
+
+def test_roles_of_documents_and_pages(spark, failing):
+    got = {(r["address"], r["role"]): r["n"] for r in catalogue.queries()["text_role_index"](spark, failing).collect()}
+    assert got == {("0x11111f", "src"): 2, ("0x22222a", "dst"): 1, ("0x22222a", "src"): 1, ("0x33333b", "owner"): 1, ("0x33333b", "dst"): 1}
+    assert [(r["address"], r["total"], r["roles"]) for r in catalogue.queries()["text_roles_never"](spark, failing).collect()] == [("0x11111f", 2, 1)]

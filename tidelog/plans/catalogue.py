@@ -224,6 +224,41 @@ def extract_fields_long(spark, sf_dir):
     return lines_of_events(spark, sf_dir).select("event_id", F.explode(text.fields(F.col("line"))).alias("key", "value"))
 
 
+#: All eleven patterns of levels.FAILURE_CONTENT, in their order.
+_REASONS = r"""CASE WHEN regexp_matches(line, '(?i)\bok\s*[=:]\s*(?:false|0|no)\b') THEN 'ok=false'
+ WHEN regexp_matches(line, '(?i)\b(?:success|succeeded|successful)\s*[=:]\s*(?:false|0|no)\b') THEN 'success=false'
+ WHEN regexp_matches(line, '(?i)\b(?:failed|failure|fail)\s*[=:]\s*(?:true|1|yes)\b') THEN 'failed=true'
+ WHEN regexp_matches(line, '(?i)\berror\s*[=:]\s*(?:true|yes)\b') THEN 'error=true'
+ WHEN len(list_filter(regexp_extract_all(line, '(?i)\b(?:errors?|failures?|failed|dropped|lost)\s*[=:]\s*(\d+)\b', 1), lambda x: x <> '0')) > 0 THEN 'non-zero failure count'
+ WHEN regexp_matches(line, '(?i)\bstatus\s*[=:]\s*[45]\d\d\b') THEN 'http 4xx/5xx'
+ WHEN len(list_filter(regexp_extract_all(line, '(?i)\b(?:rc|exit|exitcode|exit_code|returncode)\s*[=:]\s*(-?\d+)\b', 1), lambda x: x <> '0')) > 0 THEN 'non-zero exit code'
+ WHEN regexp_matches(line, '(?i)\b(?:failed|unable)\s+to\b') THEN 'failed to ...'
+ WHEN regexp_matches(line, '(?i)\btimed\s+out\b') THEN 'timed out'
+ WHEN regexp_matches(line, '(?i)\btimeout\s+(?:exceeded|expired|after|waiting|reached)\b') THEN 'timeout exceeded'
+ WHEN regexp_matches(line, '(?i)\brefused\b|\bunreachable\b') THEN 'connection refused' END"""
+#: The lines of documents and of pages without their tags.
+TEXT_LINES = r"""tl AS (SELECT origin, id, line_no, line FROM (
+  SELECT origin, id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM (
+    SELECT 'documents' AS origin, doc_id AS id, text FROM documents UNION ALL SELECT 'pages', page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') FROM pages)) WHERE trim(line) <> '')"""
+
+
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text")
+    p = table(spark, sf_dir, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+    return d.unionByName(p).select("origin", "id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.trim("line") != "")
+
+
+@query(f"WITH {TEXT_LINES}, r AS (SELECT origin, id, line_no, {_REASONS} AS reason FROM tl) SELECT origin, id, line_no, CASE WHEN reason IS NULL THEN 'INFO' ELSE 'WARN' END AS level, reason AS escalation_reason FROM r")
+def text_severity(spark, sf_dir):
+    level, _, reason = levels.escalated(F.lit("INFO"), F.col("line"))
+    return text_lines(spark, sf_dir).select("origin", "id", "line_no", level.alias("level"), reason.alias("escalation_reason"))
+
+
+@query(f"WITH {TEXT_LINES}, r AS (SELECT origin, {_REASONS} AS reason FROM tl) SELECT origin, reason, count(*) AS n FROM r GROUP BY 1, 2")
+def text_severity_counts(spark, sf_dir):
+    return text_lines(spark, sf_dir).groupBy("origin", levels.content_reason(F.col("line")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 _ROLES = r"""f AS (SELECT '0x' || ltrim(substr(regexp_extract(line, 'src=(0x[0-9a-f]+)', 1), 3), '0') AS address, 'src' AS role, line FROM lines
  UNION ALL SELECT '0x' || ltrim(substr(regexp_extract(line, 'dst=(0x[0-9a-f]+)', 1), 3), '0'), 'dst', line FROM lines)"""
 
@@ -524,6 +559,16 @@ def token_report(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.text_tokens(F.col("n_chars")).alias("tokens"), text.human_size(F.col("n_chars")).alias("size"))
 
 
+@without_sql
+def text_role_index(spark, sf_dir):
+    return roles.address_roles(text_lines(spark, sf_dir), "line")
+
+
+@without_sql
+def text_roles_never(spark, sf_dir):
+    return roles.never(roles.address_roles(text_lines(spark, sf_dir), "line"), "dst")
+
+
 @without_sql
 def detect_format(spark, sf_dir):
     return parsing.detect(document_lines(spark, sf_dir), "source", "line", ["doc_id", "line_no"])
