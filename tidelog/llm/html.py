@@ -1,19 +1,27 @@
 """Main-text extraction with wrappers inferred from the pages of a host.
 
-A page's token stream becomes a tree of block elements. Equal elements in a row
-fold into one repeated group. A host's wrapper is a union-free regular
-expression over such trees: pages are aligned with it one after another, equal
-elements match in order, an element that one side lacks becomes optional, and
-text becomes a slot that remembers how much text its pages hold there. The
-wrapper says which group holds the article; a page that lacks this group is
-judged by its own tree.
+A page is a stream of tokens: element opens, element closes, and runs of text.
+The wrapper of a host is a union-free regular expression over such streams, made
+by aligning its pages one with another: tokens that stand below the same chain
+of open elements align. Where streams differ, the mismatch is resolved: an
+element that some pages lack becomes optional, one that comes several times in a
+row becomes a repeated group, and a run of text that differs from page to page
+becomes a slot. What stays the same on nearly all pages of a host is template.
+
+Alignment by chains is associative and does not depend on the order of pages, so
+it is an aggregation: pages give one row per element of their expression and one
+per run of text, and sums over (host, chain) are the host's expression. The group
+with most slot text in its own paragraphs is the article's; what the template
+holds word for word in it is left out. Pages are never shuffled where the
+wrappers are small enough to go to all tasks, which is checked.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
-import json
 import re
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -22,242 +30,402 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Parts that the partial wrappers of one host are merged in before the last merge.
-SALTS = 16
+#: A run of text is template if it stands on this share of the host's different pages, and on this many.
+TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 4
+#: Wrappers of all hosts up to this many bytes go to every task.
+SENT_BYTES = 64 << 20
 # Elements of HTML by what they mean for text.
 BLOCKS = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary fieldset hgroup center nav header footer aside form menu dialog template noscript head title iframe svg button select textarea object canvas video audio search".split())
-RAW = "script style textarea title xmp iframe noembed noframes".split()
+RAW = set("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = set("head title script style noscript template iframe svg object canvas video audio nav footer aside form menu dialog button select textarea search".split())
+FLOW = set("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure li dt dd td th tr tbody thead figcaption caption".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist".split())
-NOISE = set("ad ads adbox adslot adunit nav navbar navigation menu footer sidebar banner comments comment reply replies respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations promo sponsored sponsor breadcrumb breadcrumbs pagination pager toolbar widget widgets skip search masthead topbar".split())
-NOISE_STEMS = ("advert", "sponsor", "commentlist", "commentform", "sidebar", "breadcrumb", "newsletter", "cookie")
-CLOSES_P = BLOCKS - {"html", "body", "p", "button", "object", "select", "textarea"} | {"p"}
+# Names that pages give to parts beside the article. A name counts if all its words are among them.
+BESIDE = set("ad ads adbox adslot adunit advert adverts advertisement advertisements nav navbar navigation menu footer sidebar banner comments comment commentlist commentform reply replies respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations promo sponsored sponsor sponsors breadcrumb breadcrumbs pagination pager toolbar widget widgets skip search masthead topbar site page section list box bar block area wrapper container content form links items left right top bottom main".split())
+PLAIN = set("site page section list box bar block area wrapper container content form links items left right top bottom main".split())
+CLOSES_P = BLOCKS - {"html", "body", "button", "object", "select", "textarea"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)", re.S | re.I)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 
-
-class Node:
-    __slots__ = ("tag", "label", "noise", "items")
-
-    def __init__(self, tag: str, label: str, noise: bool):
-        self.tag, self.label, self.noise, self.items = tag, label, noise, []
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+OPEN, CLOSE, TEXT = 0, 1, 2
+# What a worker has worked out before: labels by tag and attributes, and names of chains.
+_LABELS: dict[tuple[str, str], tuple[str, bool]] = {}
+_CHAINS: dict[tuple[int, str], int] = {}
+
+
+def _label(tag: str, attributes: str) -> tuple[str, bool]:
+    """An element's label (tag, first class, id, digits as 0) and whether its tag, role or name sets it beside the article."""
+    known = _LABELS.get((tag, attributes))
+    if known is None:
+        found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
+        names = [*found.get("class", "").split(), found.get("id", "")]
+        label = tag + "".join("." + re.sub(r"\d+", "0", n) for n in dict.fromkeys(names[:1] + names[-1:]) if n)
+        beside = tag in DROPPED or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+        beside = beside or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
+        if tag in ("html", "body", "main", "article"):
+            beside = False
+        elif tag not in FLOW or tag in ("ul", "ol", "dl", "table"):
+            for n in names:
+                words = {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", n).lower()) if w}
+                beside = beside or bool(words) and words <= BESIDE and bool(words - PLAIN)
+        if len(_LABELS) > 100_000:
+            _LABELS.clear()
+        known = _LABELS[tag, attributes] = (label, beside)
+    return known
+
+
+def tree(page: str) -> list[tuple]:
+    """The page's stream: (OPEN, label, beside, tag), (CLOSE,) and (TEXT, text). Inline markup, scripts, styles and comments are left out; every open has its close.
+
+    One pass from left to right: whatever is searched for ahead is either found, and all up to it is done with, or known to be absent from here on.
+    """
+    out, stack, at, n, loose, opened = [], [], 0, len(page), False, Counter()
+    last = {c: page.rfind(c) for c in "<>\"'"}
+    gone: set[str] = set()
+
+    def ahead(what: str, start: int) -> int:
+        if what in gone:
+            return -1
+        found = page.find(what, start)
+        if found < 0:
+            gone.add(what)
+        return found
+
+    while at < n:
+        mark = page.find("<", at) if at <= last["<"] else -1
+        if mark < 0:
+            out.append((TEXT, page[at:]))
+            break
+        if mark > at:
+            out.append((TEXT, page[at:mark]))
+        at = mark
+        if page.startswith("<!--", at):
+            end = ahead("-->", at + 4)
+            at = n if end < 0 else end + 3
+            continue
+        name = _NAME.match(page, at)
+        if not name:
+            if page[at + 1 : at + 2] in ("!", "?", "/") and at < last[">"]:
+                at = page.find(">", at) + 1
+            else:
+                out.append((TEXT, "<"))
+                at += 1
+            continue
+        # the tag's end: the first > outside of quotes; a quote that never closes is a character like any other
+        end = name.end()
+        while True:
+            if end > last[">"]:
+                end = -1
+                break
+            end = _STOP.search(page, end).start()
+            c = page[end]
+            if c == ">":
+                break
+            if loose:
+                end += 1
+                continue
+            end = page.find(c, end + 1) + 1 if end < last[c] else end + 1
+        if end < 0:
+            # all > from here on stand in quotes: tags end at the next one whatever the quotes say
+            loose = True
+            out.append((TEXT, "<"))
+            at += 1
+            continue
+        closing, tag, attributes = name[1], name[2].lower(), page[name.end() : end]
+        at = end + 1
+        if tag in RAW and not closing:
+            if tag not in gone:
+                shut = re.compile(rf"</{tag}(?![\w:-])[^>]*+>?", re.I).search(page, at)
+                at = shut.end() if shut else n
+                if not shut:
+                    gone.add(tag)
+            else:
+                at = n
+            out.append((TEXT, " "))
+            continue
+        if tag in ("br", "hr"):
+            out.append((TEXT, " "))
+        if tag in _VOID or tag not in BLOCKS:
+            continue
+        if closing:
+            while opened[tag]:
+                top = stack.pop()
+                opened[top] -= 1
+                out.append((CLOSE,))
+                if top == tag:
+                    break
+            continue
+        ends = SIBLINGS.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
+        while stack and stack[-1] in ends:
+            opened[stack.pop()] -= 1
+            out.append((CLOSE,))
+        out.append((OPEN, *_label(tag, attributes), tag))
+        if attributes.endswith("/"):
+            out.append((CLOSE,))
+        else:
+            stack.append(tag)
+            opened[tag] += 1
+    out.extend([(CLOSE,)] * len(stack))
+    return out
 
 
-def _opened(tag: str, attributes: str) -> tuple[str, bool]:
-    """An element's label (tag, first class, id, digits apart) and whether it is anything but article."""
-    found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-    names = [*found.get("class", "").split(), found.get("id", "")]
-    label = tag + "".join("." + re.sub(r"\d+", "0", n) for n in names[:1] + names[-1:] if n)
-    if tag in ("html", "body", "main", "article"):
-        return label, False
-    if tag in DROPPED or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return label, True
-    words = {w for n in names for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", n).lower()) if w}
-    return label, bool(words & NOISE) or any(w.startswith(NOISE_STEMS) for w in words)
+def _chain(parent: int, label: str) -> int:
+    """A signed 64-bit name of a chain of open elements."""
+    known = _CHAINS.get((parent, label))
+    if known is None:
+        if len(_CHAINS) > 200_000:
+            _CHAINS.clear()
+        known = _CHAINS[parent, label] = _hash(f"{parent} {label}")
+    return known
 
 
-def tree(page: str) -> Node:
-    """The block elements and texts of a page; inline markup is left out of the tree and script, style and comments of the text."""
-    root = Node("#root", "#root", False)
-    stack = [root]
-    for raw, close, tag, attributes, text in _TOKEN.findall(page):
-        if text:
-            stack[-1].items.append(text)
-        elif tag:
-            tag = tag.lower()
-            if tag in ("br", "hr"):
-                stack[-1].items.append(" ")
-            if tag in _VOID or tag not in BLOCKS:
-                continue
-            if close:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                continue
-            ends = SIBLINGS.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-            while stack[-1].tag in ends:
-                stack.pop()
-            node = Node(tag, *_opened(tag, attributes))
-            stack[-1].items.append(node)
-            if not attributes.endswith("/"):
-                stack.append(node)
-    return root
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _has_title(node: Node) -> bool:
-    return any(isinstance(x, Node) and (x.tag in ("h1", "h2") or _has_title(x)) for x in node.items)
+ROOT = _hash("#root")
 
 
-def _kept(node: Node, inside: bool) -> bool:
-    """Whether an element may hold article text; a header that titles the article does, inside it."""
-    if node.noise:
-        return False
-    return node.tag != "header" and not re.search(r"\bheader\b", node.label) or (inside and _has_title(node))
+class Wrapper(dict):
+    """chain -> [parent, label, tag, beside, pages, repeated, slot characters, place, runs]: an expression over streams. runs: hash of a run -> pages that have it."""
 
 
-def texts(node: Node, inside: bool) -> list[str]:
-    """The blocks of text below an element, in page order."""
-    out, run = [], []
+def folded(stream: list[tuple]) -> Wrapper:
+    """A page's stream as an expression: elements with one chain are one group, repeated if a parent has several of them."""
+    out = Wrapper({ROOT: [0, "#root", "#root", False, 1, False, 0, 0.0, {}]})
+    stack, text = [(ROOT, {})], []
 
-    def close():
-        block = " ".join(entities.unescape("".join(run)).split())
-        run.clear()
+    def close_run():
+        block = " ".join(entities.unescape("".join(text)).split())
+        text.clear()
         if block:
-            out.append(block)
-
-    def walk(n: Node):
-        for x in n.items:
-            if isinstance(x, str):
-                run.append(x)
-            elif _kept(x, inside):
-                close()
-                walk(x)
-                close()
-
-    walk(node)
-    close()
+            node = out[stack[-1][0]]
+            node[6] += len(block)
+            node[8][_hash(block)] = 1
+
+    for token in stream:
+        if token[0] == TEXT:
+            text.append(token[1])
+            continue
+        if text:
+            close_run()
+        if token[0] == OPEN:
+            parent, seen = stack[-1]
+            chain = _chain(parent, token[1])
+            if chain not in out:
+                out[chain] = [parent, token[1], token[3], token[2], 1, False, 0, float(len(seen)), {}]
+            if chain in seen:
+                out[chain][5] = True
+            seen[chain] = True
+            stack.append((chain, {}))
+        else:
+            stack.pop()
+    if text:
+        close_run()
     return out
 
 
-# A wrapper node is [label, optional, repeated, text characters, pages, children].
-
-
-def folded(node: Node) -> list:
-    """A page's tree as a wrapper: runs of elements with one label become one repeated group."""
-    chars = sum(len(x) for x in node.items if isinstance(x, str) and not x.isspace())
-    out = [node.label, False, False, chars, 1, []]
-    for x in node.items:
-        if isinstance(x, Node) and not x.noise:
-            child = folded(x)
-            if out[5] and out[5][-1][0] == child[0]:
-                child = aligned(out[5].pop(), child, True)
-            out[5].append(child)
+def aligned(a: Wrapper, b: Wrapper) -> Wrapper:
+    """The expression over both: what the same chain names is one group, sums and counts add up. Associative, and the same in any order."""
+    out = Wrapper({c: [*x[:8], dict(x[8])] for c, x in a.items()})
+    for chain, x in b.items():
+        y = out.get(chain)
+        if y is None:
+            out[chain] = [*x[:8], dict(x[8])]
+            continue
+        y[4], y[5], y[6], y[7] = y[4] + x[4], y[5] or x[5], y[6] + x[6], y[7] + x[7]
+        for run, n in x[8].items():
+            y[8][run] = y[8].get(run, 0) + n
     return out
 
 
-def aligned(a: list, b: list, repeated: bool = False) -> list:
-    """The smallest union-free expression over both: matched in order, optional where one side has nothing."""
-    children, i, j = [], 0, 0
-    left, right = a[5], b[5]
-    table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for x in range(len(left) - 1, -1, -1):
-        for y in range(len(right) - 1, -1, -1):
-            table[x][y] = table[x + 1][y + 1] + 1 if left[x][0] == right[y][0] else max(table[x + 1][y], table[x][y + 1])
-    while i < len(left) or j < len(right):
-        if i < len(left) and j < len(right) and left[i][0] == right[j][0]:
-            child = aligned(left[i], right[j])
-            i, j = i + 1, j + 1
-        elif j == len(right) or (i < len(left) and table[i + 1][j] >= table[i][j + 1]):
-            child = [left[i][0], True, *left[i][2:]]
-            i += 1
-        else:
-            child = [right[j][0], True, *right[j][2:]]
-            j += 1
-        if children and children[-1][0] == child[0]:
-            child = aligned(children.pop(), child, True)
-        children.append(child)
-    return [a[0], a[1] or b[1], repeated or a[2] or b[2], a[3] + b[3], a[4] if repeated else a[4] + b[4], children]
-
-
-def expression(wrapper: list) -> str:
-    """The wrapper as text: (#) is a slot, ? optional, + repeated."""
-    label, optional, repeated, chars, _, children = wrapper
-    return f"<{label}>{'(#)' if chars else ''}{''.join(map(expression, children))}</>" + "+" * repeated + "?" * optional
-
-
-def article_path(wrapper: list) -> list[str]:
-    """Labels from the root to the group with the article: an article or main element, or else the one whose own and paragraphs' slots hold most text."""
-    best: tuple[float, list[str]] = (0.0, [])
-
-    def walk(node: list, path: list[str]):
-        nonlocal best
-        total = node[3]
-        own = node[3]
-        for child in node[5]:
-            below = walk(child, [*path, child[0]])
-            total += below
-            if re.split(r"\.", child[0])[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "blockquote", "pre", "table", "dl", "figure"):
-                own += below
-        tag = node[0].split(".")[0]
-        weight = total * 1e6 if tag == "article" else total * 1e3 if tag == "main" else own
-        if weight > best[0]:
-            best = (weight, path)
-        return total
-
-    walk(wrapper, [])
+def _children(wrapper: Wrapper) -> dict[int, list[int]]:
+    below: dict[int, list[int]] = {}
+    for chain, x in wrapper.items():
+        if chain != ROOT:
+            below.setdefault(x[0], []).append(chain)
+    for c in below.values():
+        c.sort(key=lambda k: (wrapper[k][7] / wrapper[k][4], wrapper[k][1]))
+    return below
+
+
+def expression(wrapper: Wrapper) -> str:
+    """The wrapper as text: (#) is a slot, ? optional, + repeated; children stand in the order of their mean place."""
+    below, out, work = _children(wrapper), [], [ROOT]
+    while work:
+        x = work.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        node = wrapper[x]
+        out.append(f"<{node[1]}>{'(#)' if node[6] else ''}")
+        parent = wrapper.get(node[0])
+        work.append("</>" + "+" * node[5] + "?" * bool(parent and node[4] < parent[4]))
+        work.extend(reversed(below.get(x, [])))
+    return "".join(out)
+
+
+def article(wrapper: Wrapper) -> int:
+    """The chain of the article's group: the one whose own and paragraphs' slots hold most text, an article or main element before others. Ties go to the smaller label and chain."""
+    below = _children(wrapper)
+    order, work = [], [(ROOT, False)]
+    while work:
+        chain, beside = work.pop()
+        beside = beside or wrapper[chain][3]
+        order.append((chain, beside))
+        work.extend((c, beside) for c in below.get(chain, []))
+    total, best = {}, ((0.0, "", 0), ROOT)
+    for chain, beside in reversed(order):
+        node = wrapper[chain]
+        own = 0 if beside else node[6]
+        total[chain] = own + sum(total[c] for c in below.get(chain, []))
+        if beside or node[2] in FLOW and chain != ROOT:
+            continue
+        own += sum(total[c] for c in below.get(chain, []) if wrapper[c][2] in FLOW)
+        weight = total[chain] * 1e6 if node[2] == "article" else total[chain] * 1e3 if node[2] == "main" else float(own)
+        best = max(best, ((weight, node[1], chain), chain))
     return best[1]
 
 
-def _at(node: Node, path: list[str]) -> list[Node]:
-    found = [node]
-    for label in path:
-        found = [x for n in found for x in n.items if isinstance(x, Node) and x.label == label and not x.noise]
-    return found
-
-
-def main_text(page: str | None, path: list[str] | None) -> str:
-    """The article's blocks of one page, by its host's article path where the page has it."""
+def main_text(page: str | None, region: int | None = None, template: frozenset = frozenset()) -> str:
+    """The article's blocks of one page, by its host's region where the page has it, else by its own expression. template: (chain, run) hashes that are the host's, not the page's."""
     if not page:
         return ""
-    root = tree(page)
-    regions = _at(root, path) if path else []
-    if not regions:
-        regions = _at(root, article_path(folded(root)))
-    blocks = [b for n in regions for b in texts(n, n.tag not in ("#root", "html", "body"))]
-    return "\n\n".join(blocks or texts(root, False))
+    stream = tree(page)
+    chains, c = set(), [ROOT]
+    for token in stream:
+        if token[0] == OPEN:
+            c.append(_chain(c[-1], token[1]))
+            chains.add(c[-1])
+        elif token[0] == CLOSE:
+            c.pop()
+    if region not in chains:
+        region = article(folded(stream))
+    inside, rest, text, titled = [], [], [], _titled(stream)
+    # (chain, beside, within the region, left out as a header)
+    stack = [(ROOT, False, region == ROOT, False)]
+
+    def close_run():
+        block = " ".join(entities.unescape("".join(text)).split())
+        text.clear()
+        chain, beside, within, header = stack[-1]
+        if block and not beside and not header:
+            rest.append(block)
+            if within and (not template or _mixed(chain, block) not in template):
+                inside.append(block)
+
+    for i, token in enumerate(stream):
+        if token[0] == TEXT:
+            text.append(token[1])
+            continue
+        if text:
+            close_run()
+        if token[0] == OPEN:
+            chain, beside, within, header = stack[-1]
+            below = _chain(chain, token[1])
+            # a header that titles the article is part of it; elsewhere it is the site's
+            is_header = "header" in token[1] and bool(re.search(r"\bheader\b", token[1]))
+            stack.append((below, beside or token[2], within or below == region, header or is_header and not (within and i in titled)))
+        else:
+            stack.pop()
+    if text:
+        close_run()
+    return "\n\n".join(inside or rest)
+
+
+def _titled(stream: list[tuple]) -> set[int]:
+    """Where elements open that hold an h1 or h2."""
+    out, stack = set(), []
+    for i, token in enumerate(stream):
+        if token[0] == OPEN:
+            if token[3] in ("h1", "h2"):
+                # those further out are in already once one of them is
+                for j in reversed(stack):
+                    if j in out:
+                        break
+                    out.add(j)
+            stack.append(i)
+        elif token[0] == CLOSE:
+            stack.pop()
+    return out
+
+
+def _mixed(chain: int, block: str) -> int:
+    return _hash(f"{chain} {_hash(block)}")
 
 
 def host_of(url) -> "F.Column":
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _partial(batches):
-    for piece in common.slices(batches, "html"):
-        found: dict[str, list] = {}
-        for host, page in zip(piece.column("host").to_pylist(), piece.column("html").to_pylist()):
-            if page:
-                one = folded(tree(page))
-                found[host] = aligned(found[host], one) if host in found else one
-        yield pa.record_batch([pa.array(list(found)), pa.array([json.dumps(w) for w in found.values()])], ["host", "wrapper"])
+_ROWS = "host string, page long, chain long, parent long, label string, tag string, beside boolean, pages long, repeated boolean, chars long, place double, run long"
+_KINDS = [("host", pa.string()), ("page", pa.int64()), ("chain", pa.int64()), ("parent", pa.int64()), ("label", pa.string()), ("tag", pa.string()), ("beside", pa.bool_()), ("pages", pa.int64()), ("repeated", pa.bool_()), ("chars", pa.int64()), ("place", pa.float64()), ("run", pa.int64())]
 
 
-def _merged(frame: pd.DataFrame) -> list:
-    out = None
-    for text in frame["wrapper"]:
-        one = json.loads(text)
-        out = one if out is None else aligned(out, one)
-    return out
+def _expressions(batches):
+    """Rows of elements, summed over the batch's pages of a host, and rows of runs (page and run set)."""
+    for piece in common.slices(batches, "html"):
+        whole: dict[str, Wrapper] = {}
+        rows = []
+        for host, page in zip(piece.column("host").to_pylist(), piece.column("html").to_pylist()):
+            one = folded(tree(page))
+            mark = _hash(page)
+            rows.extend((host, mark, c, None, None, None, None, None, None, None, None, r) for c, x in one.items() for r in x[8])
+            for x in one.values():
+                x[8] = {}
+            whole[host] = aligned(whole[host], one) if host in whole else one
+        rows.extend((host, None, c, *x[:8], None) for host, w in whole.items() for c, x in w.items())
+        columns = list(zip(*rows)) or [()] * len(_KINDS)
+        yield pa.record_batch([pa.array(c, kind) for c, (_, kind) in zip(columns, _KINDS)], [k for k, _ in _KINDS])
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, path): each host's expression, as text, and the labels on the way to its article. Pages with null html teach nothing."""
+    """(host, wrapper, region, template): each host's expression as text, the chain of its article, and the runs there that are template, as hashes. Pages with null html teach nothing; equal pages teach what is template once."""
     rows = pages.select(host_of(F.col("url")).alias("host"), "html").filter(F.col("html").isNotNull())
-    parts = rows.mapInArrow(_partial, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    parts = parts.groupBy("host", "salt").applyInPandas(lambda k, f: pd.DataFrame([(k[0], json.dumps(_merged(f)))], columns=["host", "wrapper"]), "host string, wrapper string")
-
-    def last(key, frame: pd.DataFrame) -> pd.DataFrame:
-        whole = _merged(frame)
-        return pd.DataFrame([(key[0], expression(whole), article_path(whole))], columns=["host", "wrapper", "path"])
-
-    return parts.groupBy("host").applyInPandas(last, "host string, wrapper string, path array<string>")
+    found = common.stored(rows.mapInArrow(_expressions, _ROWS))
+    elements = found.filter(F.col("run").isNull()).groupBy("host", "chain").agg(F.first("parent").alias("parent"), F.first("label").alias("label"), F.first("tag").alias("tag"), F.first("beside").alias("beside"), F.sum("pages").alias("pages"), F.max("repeated").alias("repeated"), F.sum("chars").alias("chars"), F.sum("place").alias("place"))
+    runs_ = found.filter(F.col("run").isNotNull()).select("host", "chain", "run", "page").distinct()
+    counted = runs_.groupBy("host", "chain", "run").agg(F.count("*").alias("n")).filter(F.col("n") >= TEMPLATE_PAGES)
+    different = found.filter(F.col("page").isNotNull()).select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("all"))
+    template = counted.join(different, "host").filter(F.col("n") >= TEMPLATE_SHARE * F.col("all"))
+    # what is template on a host is no slot: its characters count for nothing, whatever length a run has
+    template = common.stored(template.select("host", "chain", "run"))
+
+    def last(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame(columns=["host", "wrapper", "region", "template"])
+        whole = Wrapper({r.chain: [int(r.parent), r.label, r.tag, bool(r.beside), int(r.pages), bool(r.repeated), int(r.chars), float(r.place), {}] for r in left.itertuples()})
+        fixed = right["chain"].value_counts().to_dict()
+        for chain, n in fixed.items():
+            # a group that is template alone holds no slot
+            if chain in whole and not whole[chain][5]:
+                whole[chain][6] = 0
+        hashes = sorted(_hash(f"{r.chain} {r.run}") for r in right.itertuples())
+        return pd.DataFrame([(key[0], expression(whole), article(whole), hashes)], columns=["host", "wrapper", "region", "template"])
+
+    out = elements.groupBy("host").cogroup(template.groupBy("host")).applyInPandas(last, "host string, wrapper string, region long, template array<long>")
+    out = common.stored(out)
+    common.release(found, template)
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of (page_id, url, html).
 
-    Null or empty html gives an empty text; a null url is a host of its own. Repeated rows are extracted each.
+    Null or empty html gives an empty text; pages with a null url are one host. Repeated rows are extracted each. The
+    depth of nesting and the length of a page are not limited; other columns of the pages, whatever their names, are not looked at.
     """
-    wrappers = common.checkpointed(infer_wrappers(pages)).select(F.col("host").alias("of_host"), "path")
+    wrappers = infer_wrappers(pages).select(F.col("host").alias("of_host"), "region", "template")
+    size = wrappers.agg(F.sum(F.length("of_host") + 8 * (F.size("template") + 1))).first()[0] or 0
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    rows = rows.join(wrappers, F.col("host") == F.col("of_host"), "left").select("page_id", "url", "html", "path")
+    rows = rows.join(F.broadcast(wrappers) if size <= SENT_BYTES else wrappers, F.col("host") == F.col("of_host"), "left").select("page_id", "url", "html", "region", "template")
 
     def run(batches):
         for piece in common.slices(batches, "html"):
-            out = [main_text(p, path) for p, path in zip(piece.column("html").to_pylist(), piece.column("path").to_pylist())]
+            out = [main_text(p, region, frozenset(t or ())) for p, region, t in zip(piece.column("html").to_pylist(), piece.column("region").to_pylist(), piece.column("template").to_pylist())]
             yield pa.record_batch([piece.column("page_id"), piece.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
