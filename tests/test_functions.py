@@ -139,7 +139,7 @@ BLOCKS = [
     ("java", 'Exception in thread "main" java.lang.RuntimeException: outer\n\tat a.B.c(B.java:10)\nCaused by: java.lang.NullPointerException: inner\n\tat a.B.d(B.java:20)', "NullPointerException", 2),
     ("go", "panic: runtime error: index out of range\n\ngoroutine 1 [running]:\nmain.main()\n\t/x/main.go:12 +0x1", "panic", 1),
     ("node", "TypeError: x is not a function\n    at foo (/a/b.js:3:5)\n    at bar (/a/c.js:4:1)", "TypeError", 2),
-    ("rust", "thread 'main' panicked at src/main.rs:2:5:\nboom", "panic", 0),
+    ("rust", "thread 'main' panicked at src/main.rs:2:5:\nboom", "panic", 1),
     ("ruby", "app.rb:3:in `foo': undefined method `x' for nil (NoMethodError)\n\tfrom app.rb:9:in `<main>'", "NoMethodError", 2),
     ("cpp", "terminate called after throwing an instance of 'std::out_of_range'\n  what():  vector", "std::out_of_range", 0),
     ("dotnet", "Unhandled exception. System.InvalidOperationException: seq\n ---> System.ArgumentException: inner\n   at A.B.C(String x) in C:\\x\\y.cs:line 4", "ArgumentException", 1),

@@ -137,3 +137,10 @@ def logcat_ms(text: Column, reference: str = "2024-01-01 00:00:00") -> Column:
     p = rf"^(\d{{2}})-(\d{{2}})\s+{_CLOCK}(?:\.(\d{{1,9}}))?"
     g = lambda i: _part(F.trim(text), p, i)
     return F.when(F.trim(text).rlike(p), parts_ms(F.year(F.lit(reference).cast("timestamp_ntz")), g(1), g(2), g(3), g(4), g(5), g(6)))
+
+
+def bsd_year_ms(text: Column, zone: str = "UTC") -> Column:
+    """Mon DD YYYY HH:MM:SS."""
+    p = rf"^([A-Z][a-z]{{2}})\s+(\d{{1,2}})\s+(\d{{4}})\s+{_CLOCK}"
+    g = lambda i: _part(F.trim(text), p, i)
+    return F.when(F.trim(text).rlike(p), local_ms(parts_ms(g(3), _month(g(1)), g(2), g(4), g(5), g(6)), zone))

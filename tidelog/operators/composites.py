@@ -51,3 +51,25 @@ def alignment(frames: DataFrame, logs: DataFrame, grace_ms: float = 50) -> DataF
     """Whether no log row that a frame (seq, ts_ms) claims (seq, r_ts_ms) is later than its shutter plus the grace."""
     last = logs.groupBy("seq").agg(F.max("r_ts_ms").alias("last_ms"), F.count("*").alias("n"))
     return frames.join(last, "seq", "left").withColumn("aligned", F.coalesce(F.col("last_ms") <= F.col("ts_ms") + grace_ms, F.lit(True)))
+
+
+def overview(events: DataFrame) -> DataFrame:
+    """One row: events, sources, errors, first and last time, and the source with most errors."""
+    per = events.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("level") == "ERROR").alias("e"), F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi"))
+    worst = F.max_by("source", F.when(F.col("e") > 0, F.struct("e", "source")))
+    return per.agg(F.sum("n").alias("events"), F.count("*").alias("sources"), F.sum("e").alias("errors"), F.min("lo").alias("first_ms"), F.max("hi").alias("last_ms"), worst.alias("worst_source"))
+
+
+def replay(frames: DataFrame, by: list[str], order: list[str], changed: Column, logs: DataFrame, every: int = 5) -> DataFrame:
+    """Every nth frame and each one at which something changed, with the number of log rows (by, r_ts_ms) since the frame shown before."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*by).orderBy(*order)
+    shown = frames.withColumn("_i", F.row_number().over(w)).withColumn("_c", F.coalesce(changed, F.lit(False))).filter(((F.col("_i") - 1) % every == 0) | F.col("_c"))
+    shown = shown.withColumn("_from", F.lag("ts_ms").over(w)).withColumn("changed_moment", F.col("_c")).drop("_i", "_c")
+    # a log row belongs to the first frame shown at or after it
+    marks = shown.select(*by, F.col("ts_ms").alias("s_ts_ms"))
+    flipped = logs.select(*by, (-F.col("r_ts_ms")).alias("ts_ms"))
+    owner = temporal.as_of(flipped, marks.select(*by, (-F.col("s_ts_ms")).alias("s_ts_ms")), by)
+    counts = owner.groupBy(*by, (-F.col("state.s_ts_ms")).alias("ts_ms")).agg(F.count("*").alias("log_rows"))
+    return shown.drop("_from").join(counts, [*by, "ts_ms"], "left").fillna(0, ["log_rows"])

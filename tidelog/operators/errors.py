@@ -6,14 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .state import map_delta
 
 
 def histogram(rows: DataFrame, message: str, ts: str, source: str) -> DataFrame:
     """By fingerprint: count, a sample, its source, first and last. Partial sums before the shuffle; the sample is the smallest message."""
-    marked = rows.withColumn("fp", text.fingerprint(F.col(message))).filter(F.col("fp") != "")
+    # the filter stands on the message: one on the fingerprint would be worked out a second time below the projection
+    marked = rows.filter(F.col(message) != "").withColumn("fp", text.fingerprint(F.col(message)))
     return marked.groupBy("fp").agg(F.count("*").alias("n"), F.min(message).alias("sample"), F.min(source).alias("source"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
 
 
+def of_fingerprint(rows: DataFrame, message: str, fp: str) -> DataFrame:
+    """The rows whose message has this fingerprint."""
+    return rows.filter((F.col(message) != "") & (text.fingerprint(F.col(message)) == fp))
+
+
 def new_since(counted: DataFrame, start) -> DataFrame:
     return counted.filter(F.col("first_seen") >= start)
 
@@ -39,10 +46,14 @@ def difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return x.join(y, key, "left_anti").withColumn("change", F.lit("resolved")).union(y.join(x, key, "left_anti").withColumn("change", F.lit("new")))
 
 
-def recovery(rows: DataFrame, operation: str, failed: Column, ok: Column) -> DataFrame:
-    """Operations that both failed and succeeded, and how often."""
-    out = rows.groupBy(operation).agg(F.count_if(failed).alias("failed"), F.count_if(ok).alias("succeeded"))
-    return out.filter((F.col("failed") > 0) & (F.col("succeeded") > 0))
+def recovery(rows: DataFrame, operation: str, failed: Column, ok: Column, state: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """Operations that both failed and succeeded, and how often; with a state (a map) and an order also what the last success changed against the last failure."""
+    aggregates = [F.count_if(failed).alias("failed"), F.count_if(ok).alias("succeeded")]
+    if state:
+        at = F.struct(*order)
+        aggregates += [F.max_by(F.when(failed, F.col(state)), F.when(failed, at)).alias("_bad"), F.max_by(F.when(ok, F.col(state)), F.when(ok, at)).alias("_good")]
+    out = rows.groupBy(operation).agg(*aggregates).filter((F.col("failed") > 0) & (F.col("succeeded") > 0))
+    return out.withColumn("changed", map_delta(F.col("_bad"), F.col("_good"))["changed"]).drop("_bad", "_good") if state else out
 
 
 def swallowed(rows: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ CUES = [("python", r"Traceback \(most recent call last\)|^\s*File \"[^\"]+\", li
 FRAMES = {
     "python": (r"File \"([^\"]+)\", line (\d+)(?:, in (\S+))?", (1, 2, 3)),
     "go": (r"(?m)^(\S+\([^)]*\))\s*\n\s+(\S+\.go):(\d+)", (2, 3, 1)),
-    "rust": (r"at ([\w./\\-]+\.rs):(\d+)()", (1, 2, 3)),
+    # the panic's own place first, in both spellings; then the backtrace, which names a function above each place
+    "rust": (r"(?m)(?:panicked at (?:'[^']*', )?|^\s*\d+: +(\S+)\s*\n\s+at |^\s+at )([\w./\\-]+\.rs):(\d+)", (2, 3, 1)),
     "php": (r"#\d+ (\S+\.php)\((\d+)\): ([\w\\:>-]+)", (1, 2, 3)),
     "cpp": (r"#\d+\s+(?:0x[0-9a-f]+ in )?(\w[\w:~<>]*)[^\n]* at ([\w./-]+):(\d+)", (2, 3, 1)),
     "java": (r"at ([\w.$<>]+)\(([\w]+\.\w+):(\d+)\)", (2, 3, 1)),
@@ -51,7 +52,7 @@ def _heads(block: Column) -> dict[str, tuple[Column, Column]]:
     name = r"[A-Za-z_][\w.$]*"
     last_cause = r"(?s).*Caused by: (?:[\w$]+\.)*([\w$]+)(?:: ([^\n]*))?"
     go = _first(block, r"(?m)^panic: ()([^\n]*)")
-    rust = _first(block, r"(?s)panicked at ()[^\n]+:\d+:\d+:\n([^\n]*)", r"panicked at ()'([^']*)'", r"panicked at ()([^\n]*)")
+    rust = _first(block, r"panicked at ()[^\n']+\.rs:\d+(?::\d+)?:\n([^\n]*)", r"panicked at ()'([^']*)'", r"panicked at ()([^\n]*)")
     cpp_type, _ = _first(block, r"instance of '([^']+)'()", r"(SIGSEGV|SIGABRT)()", r"(Segmentation fault)()")
     return {
         "python": _first(block, rf"(?s).*\n({name})(?:: ([^\n]*(?:\n\s*\S[^\n]*)*))?\s*$", rf"^({name}): ([^\n]*)"),

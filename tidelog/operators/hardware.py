@@ -105,3 +105,92 @@ def unclean_sessions(samples: DataFrame, by: list[str], ts: str, boot: str) -> D
     """Sessions whose last sample lies before the next boot: the boot's sample and the gap."""
     w = Window.partitionBy(*by).orderBy(ts)
     return samples.withColumn("previous_s", F.lag(ts).over(w)).filter(F.col(boot) & F.col("previous_s").isNotNull()).withColumn("gap_s", F.col(ts) - F.col("previous_s"))
+
+
+def metrics(samples: DataFrame, by: list[str], ts: str, now_s: float, window_s: float = 600) -> DataFrame:
+    """Of the last window_s seconds, per key: hottest sensor and its temperature, highest and latest load, highest and latest watts. samples: ts in seconds, temps (a map), load, power (a map)."""
+    recent = samples.filter((F.col(ts) > now_s - window_s) & (F.col(ts) <= now_s)).withColumn("_hot", hottest(F.col("temps"))).withColumn("_watts", total_power(F.col("power")))
+    return recent.groupBy(*by).agg(
+        F.max("_hot").alias("_h"), F.max("load").alias("load_max"), F.max_by("load", ts).alias("load_latest"), F.max("_watts").alias("watts_max"), F.max_by("_watts", ts).alias("watts_latest"), F.count("*").alias("samples")
+    ).select(*by, F.col("_h.value").alias("hottest"), F.col("_h.key").alias("hottest_sensor"), "load_max", "load_latest", "watts_max", "watts_latest", "samples")
+
+
+def rail_metrics(samples: DataFrame, by: list[str], ts: str, now_s: float, window_s: float = 600) -> DataFrame:
+    """(by, rail, label, low, latest) of the last window_s seconds; samples have volts, a map by label. Rails go by value, or else by what the label says."""
+    recent = samples.filter((F.col(ts) > now_s - window_s) & (F.col(ts) <= now_s)).select(*by, ts, F.explode("volts").alias("label", "value"))
+    per = recent.groupBy(*by, "label").agg(F.min("value").alias("low"), F.max_by("value", ts).alias("latest"))
+    return per.select(*by, labelled_rail(F.col("label"), F.col("latest")).alias("rail"), "label", "low", "latest")
+
+
+def labelled_rail(label: Column, volts: Column) -> Column:
+    """The nominal rail by value, or else by the number in the label (+12V, 5VSB, 3.3V, VCC3V3)."""
+    plain = F.regexp_replace(F.lower(label), r"3v3|3,3|3\.3", "3.3v")
+    by_label = F.when(plain.contains("12"), 12.0).when(plain.contains("3.3v"), 3.3).when(plain.rlike(r"(?<![\d.])5"), 5.0)
+    return F.coalesce(rail_nominal(volts), by_label)
+
+
+def bugcheck(text_: Column) -> Column:
+    """The stop code of a power-loss event's text, decimal or hex; null where it names none."""
+    shown = F.regexp_extract(text_, r"(?i)bug\s?check\s?code\W*(0x[0-9a-f]+|\d+)", 1)
+    return F.when(shown.startswith("0x"), F.conv(F.substring(shown, 3, 20), 16, 10).try_cast("long")).otherwise(shown.try_cast("long"))
+
+
+#: Words by which a line tells of the hardware.
+HARDWARE_WORDS = ["whea", "mce", "machine check", "edac", "ecc", "thermal", "throttl", "over-current", "overcurrent", "under-voltage", "undervoltage", "watchdog", "hardware error"]
+
+
+def hardware_lines(lines: DataFrame, line: str, order: list[str], cap: int = 80) -> DataFrame:
+    """The last `cap` lines that tell of the hardware, as a report."""
+    words = r"(?i)(?<![a-z])(?:" + "|".join(w.replace(" ", r"\s+").replace("-", "-?") for w in HARDWARE_WORDS) + ")"
+    return lines.filter(F.col(line).rlike(words)).orderBy(*[F.desc(o) for o in order]).limit(cap)
+
+
+# What a machine's own cause of shutdown says: (meanings, cause, points).
+OWN_CAUSES = [(["temperature", "memory temperature", "battery temperature", "proximity temperature", "cpu temperature", "supply temperature"], "thermal", 4.0), (["power loss", "adapter", "adapter current", "battery", "battery current", "battery voltage"], "psu_power", 3.0), (["watchdog", "kernel panic"], "driver_software", 2.0)]
+
+
+def boot_points(boots: DataFrame, by: list[str]) -> DataFrame:
+    """(by, cause, points, rule) of what the next boot knows: boots has by, rebooted, bugcheck, software (other software evidence), t_max, and shutdown (a meaning).
+
+    A reboot below 85 degrees without software evidence and a zero stop code speak for the supply, another stop code for a driver.
+    """
+    rules = [
+        ("psu_power", 2.0, "rebooted cool without software evidence", F.col("rebooted") & (F.col("t_max") < 85) & ~F.col("software") & (F.coalesce(F.col("bugcheck"), F.lit(0)) == 0)),
+        ("driver_software", 3.0, "stop code", F.col("bugcheck") != 0),
+        ("psu_power", 1.0, "zero stop code", F.col("rebooted") & (F.col("bugcheck") == 0)),
+        *[(cause, points, "shutdown cause: " + cause, F.col("shutdown").isin(meanings)) for meanings, cause, points in OWN_CAUSES],
+    ]
+    hits = F.array(*[F.struct(F.lit(c).alias("cause"), F.lit(p).alias("points"), F.lit(r).alias("rule"), F.coalesce(hit, F.lit(False)).alias("hit")) for c, p, r, hit in rules])
+    return boots.select(*by, F.explode(F.filter(hits, lambda h: h["hit"])).alias("h")).select(*by, "h.cause", "h.points", "h.rule")
+
+
+def crash_report(points: DataFrame, boots: DataFrame, by: list[str]) -> DataFrame:
+    """The ranked verdict of sessions that rebooted; a session that did not is never called a crash."""
+    return verdict(points.join(boots.filter("rebooted").select(*by), by, "left_semi"), by)
+
+
+def sensor_tree(rows: DataFrame, key: list[str], json: str) -> DataFrame:
+    """(key, kind, sensor, value) of a tree of {Text, Value, Children} nodes as sensor services print it: units tell the kind, Fahrenheit becomes Celsius, comma decimals are read. The sensor is its path of texts."""
+    from . import state
+
+    flat = state.flatten(rows, key, json, max_depth=16, max_keys=20_000)
+    node = F.regexp_replace("path", r"\.?(?:Value|Text)$", "")
+    values = flat.filter(F.col("path").rlike(r"(?:^|\.)Value$") & F.col("value").rlike(r"\d")).select(*key, node.alias("node"), F.col("value").alias("shown"))
+    names = flat.filter(F.col("path").rlike(r"(?:^|\.)Text$")).select(*key, node.alias("at"), F.col("value").alias("name"))
+    # a node's name is the texts of itself and of the nodes above, which are its path cut at every child
+    links = F.regexp_extract_all("node", F.lit(r"\.?Children\[\d+\]"), F.lit(0))
+    steps = F.transform(F.sequence(F.lit(0), F.size(links)), lambda i: F.array_join(F.slice(links, F.lit(1), i), ""))
+    up = values.select(*key, "node", "shown", F.posexplode(steps).alias("depth", "at"))
+    named = up.join(names, [*key, "at"]).groupBy(*key, "node", "shown").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "name"))), lambda x: x["name"]), "/").alias("sensor"))
+    number = F.regexp_replace(F.regexp_extract("shown", r"(-?\d+(?:[.,]\d+)?)", 1), ",", ".").try_cast("double")
+    unit = F.trim(F.regexp_extract("shown", r"\d\s*([^\d\s.,]\S*)\s*$", 1))
+    kind = F.when(unit.isin("°C", "°F", "C", "F"), "temp").when(unit == "RPM", "fan").when(unit == "V", "volt").when(unit == "W", "power").when(unit == "%", "load")
+    value = F.when(unit.isin("°F", "F"), F.round((number - 32) / 1.8, 4)).otherwise(number)
+    return named.select(*key, kind.alias("kind"), "sensor", value.alias("value")).filter(F.col("kind").isNotNull())
+
+
+def sample_maps(readings: DataFrame, key: list[str]) -> DataFrame:
+    """One sample a key: maps by sensor of temperatures, fans, volts, powers and loads, from (key, kind, sensor, value)."""
+    of = lambda kind: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("sensor", "value")))))
+    once = readings.groupBy(*key, "kind", "sensor").agg(F.max("value").alias("value"))
+    return once.groupBy(*key).agg(of("temp").alias("temps"), of("fan").alias("fans"), of("volt").alias("volts"), of("power").alias("power"), of("load").alias("loads"))

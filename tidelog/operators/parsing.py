@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, levels, text, timeparse
@@ -16,11 +16,28 @@ FALLBACK = ["structural", "generic_ts", "raw"]
 
 
 def read_lines(spark: SparkSession, path: str, label: str | None = None, glob: str | None = None) -> DataFrame:
-    """(log_path, log_label, line_no, line) of text files. Whole files, so that lines keep their numbers; a file must fit a task."""
-    reader = spark.read.option("wholetext", True)
-    reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True) if glob else reader
-    files = reader.text(path).select(F.col("_metadata.file_path").alias("log_path"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
-    return files.filter(F.trim("line") != "").select("log_path", F.lit(label or "").alias("log_label"), "line_no", "line")
+    """(log_path, log_label, line_no, line) of text files, large ones split between tasks; blank lines are counted and left out.
+
+    A line's number is its place in its block of the file plus the lines of the blocks before, so no task sorts a file.
+    """
+    reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True) if glob else spark.read
+    read = reader.text(path).select(F.col("_metadata.file_path").alias("log_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    sizes = reader.text(path).groupBy(F.col("_metadata.file_path").alias("log_path"), F.col("_metadata.file_block_start").alias("block")).agg(F.count("*").alias("n"))
+    before = sizes.select("log_path", "block", (F.sum("n").over(Window.partitionBy("log_path").orderBy("block")) - F.col("n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("log_path", "block").orderBy("_at"))
+    lines = read.withColumn("_place", place).join(before, ["log_path", "block"])
+    return lines.filter(F.trim("line") != "").select("log_path", F.lit(label or "").alias("log_label"), (F.col("_before") + F.col("_place") - 1).alias("line_no"), "line")
+
+
+def multiline_score(element: Column, hit, threshold: float = 0.5, literal: bool = False) -> Column:
+    """1 if `hit` (of a Column) holds for at least `threshold` of the lines of a multi-line element, else 0; literal: breaks may be spelt as backslash n."""
+    lines = text.logical_lines(element) if literal else F.filter(F.split(element, r"\r?\n"), lambda x: F.trim(x) != "")
+    return F.when((F.size(lines) > 0) & (F.size(F.filter(lines, hit)) >= threshold * F.size(lines)), 1.0).otherwise(0.0)
+
+
+def capped_score(share: Column, cap: float = 0.85) -> Column:
+    """The score of a format known by its words alone: below what a strict grammar reaches."""
+    return F.least(F.lit(cap), share)
 
 
 def numbered(lines: DataFrame, source: str, order: list[str]) -> DataFrame:
@@ -52,20 +69,20 @@ def detect(lines: DataFrame, source: str, line: str, order: list[str], catalogue
 def parse(lines: DataFrame, detected: DataFrame, source: str, line: str, zone: str = "UTC", reference: str = "2024-01-01 00:00:00", catalogue: dict[str, formats.Format] | None = None) -> DataFrame:
     """Lines as events: ts_ms, level, category, source, message, data, adapter, trace_id, raw and the escalation audit, after all columns of the lines.
 
-    Each source is parsed with its own format only, so no plan holds the whole catalogue's expressions; a line that does
-    not fit is read by its structure, and no line is lost. The detected formats, one row a source, come to the driver.
+    Each line is read once, by its own source's format, and the plan holds no other formats than those in use; a line that
+    does not fit is read by its structure, and no line is lost. The names of the formats in use come to the driver.
     """
     known = catalogue or formats.FORMATS
     used = [r["adapter"] for r in detected.select("adapter").distinct().collect()]
     marked = lines.join(detected.select(F.col("source").alias("_of"), F.col("adapter").alias("_adapter")), F.col(source) == F.col("_of"), "left")
     c = F.col(line)
     empty = F.lit(None).cast(_PARTS)
-    parts = [marked.filter(F.col("_adapter").isNull()).withColumn("_one", empty)]
+    one = None
     for name in sorted(used):
-        one = formats.json_line(c) if name == "jsonl" else known[name].parsed(c) if name in known else empty
-        parts.append(marked.filter(F.col("_adapter") == name).withColumn("_one", one))
-    rows = reduce(lambda a, b: a.unionByName(b), parts)
-    rows = rows.withColumn("_kv", F.when(F.col("_one").isNull(), formats.pairs(c)))
+        if name == "jsonl" or name in known:
+            this = formats.json_line(c) if name == "jsonl" else known[name].parsed(c)
+            one = F.when(F.col("_adapter") == name, this) if one is None else one.when(F.col("_adapter") == name, this)
+    rows = marked.withColumn("_one", empty if one is None else one).withColumn("_kv", F.when(F.col("_one").isNull(), formats.pairs(c)))
     rows = rows.withColumn("_e", F.coalesce(F.col("_one"), formats.structural(c, F.col("_kv"))))
     rows = rows.withColumn("_ms", F.coalesce(F.col("_e.ts_ms"), timeparse.coerce_timestamp(F.col("_e.ts_text"), zone, reference)))
     level, was, why = levels.escalated(F.col("_e.level"), F.when(F.coalesce(F.col("_e.message"), F.lit("")) == "", c).otherwise(F.col("_e.message")))
@@ -105,7 +122,7 @@ def coverage(parsed: DataFrame, source: str) -> DataFrame:
 
 
 def test_line(spark: SparkSession, line: str, top: int = 5) -> DataFrame:
-    """The best formats of one line and their scores."""
+    """The best formats of one line and their scores; `parse` with the first gives its event."""
     one = spark.createDataFrame([("line", line)], "source string, line string")
     return scores(one, "source", "line").filter(F.col("score") > 0).orderBy(F.desc("score"), "priority").limit(top).select("adapter", "score")
 
@@ -119,11 +136,11 @@ def add_format(catalogue: dict[str, formats.Format], name: str, pattern: str, sa
     fit, taken = lines.agg(F.count_if(new.matches(F.col("line"))), F.count_if(reduce(lambda a, b: a | b, [f.matches(F.col("line")) for f in formats.FORMATS.values()]))).first()
     if fit < len(sample) or not sample:
         raise ValueError(f"{name} fits {fit} of {len(sample)} sample lines")
-    if taken == len(sample):
-        raise ValueError(f"built-in formats read all sample lines of {name}")
+    if taken:
+        raise ValueError(f"built-in formats read {taken} of the sample lines of {name}")
     return {name: new, **catalogue}
 
 
 def format_table(spark: SparkSession) -> DataFrame:
-    """The catalogue as rows, for listing and paging."""
+    """The catalogue as rows, for listing, filtering by family or name, and paging."""
     return spark.createDataFrame([(i, f.name, f.family, f.time, f.pattern) for i, f in enumerate(formats.FORMATS.values())], "priority int, name string, family string, time string, pattern string")

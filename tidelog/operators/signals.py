@@ -56,3 +56,55 @@ def incidents(triggers: DataFrame, ts: str, by: list[str], before_ms: int = 60_0
 
     out = sequence.sessions(triggers, by, ts, before_ms + after_ms + 1)
     return out.select(*by, "session", (F.col("start_ms") - before_ms).alias("from_ms"), (F.col("end_ms") + after_ms).alias("to_ms"), F.col("n").alias("triggers"))
+
+
+def built(state: DataFrame, by: list[str]) -> DataFrame:
+    """(by, kind, tier, fp, correction, deadline) of a session's state: what is worth saying, by what it says, never by its prose.
+
+    state: running, new_errors (array of fingerprints), recurring_errors, stuck, anomaly, blank, awaiting, expiring, cleared_errors, started. Errors
+    and a program that is gone alert, what goes on or needs a look is a notice, a session's start is a heartbeat.
+    """
+    one = lambda kind, tier, fp, when, correction=False, deadline=False: F.when(when, F.array(F.struct(F.lit(kind).alias("kind"), F.lit(tier).alias("tier"), fp.alias("fp"), F.lit(correction).alias("correction"), F.lit(deadline).alias("deadline")))).otherwise(F.array())
+    each = lambda kind, tier, fps, correction=False: F.transform(F.coalesce(fps, F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(tier).alias("tier"), x.alias("fp"), F.lit(correction).alias("correction"), F.lit(False).alias("deadline")))
+    none = F.lit("")
+    signals = F.concat(
+        each("resolved", "notice", F.col("cleared_errors"), True), each("new_error", "alert", F.col("new_errors")), one("not_running", "alert", none, ~F.col("running")), each("recurring_error", "notice", F.col("recurring_errors")),
+        one("stuck", "notice", none, F.col("stuck")), one("anomaly", "notice", none, F.col("anomaly")), one("blank", "notice", none, F.col("blank")), one("expiring", "notice", none, F.col("expiring") > 0, deadline=True), one("awaiting", "heartbeat", none, F.col("awaiting") > 0), one("started", "heartbeat", none, F.col("started")),
+    )
+    out = state.select(*by, F.explode(signals).alias("s")).select(*by, "s.*")
+    return out.withColumn("rank", F.coalesce(*[F.when(F.col("tier") == t, F.lit(r)) for t, r in TIERS.items()])).withColumn("identity", content_identity("tier", "kind", "fp"))
+
+
+def decided(signals: DataFrame, said: DataFrame, by: list[str], now_s: float, limit: int = 3) -> DataFrame:
+    """What to say now: signals without fresh repeats of equal or lower tier, then the highest tier's chosen ones, unless that tier spoke too lately.
+
+    said: (by, identity, rank, at_s) of what has been said. Corrections pass suppression; a heartbeat alone is said only where a session starts.
+    """
+    before = said.groupBy(*by, "identity").agg(F.max("rank").alias("_rank"))
+    fresh = signals.join(before, [*by, "identity"], "left").filter(F.col("correction") | F.col("_rank").isNull() | (F.col("rank") > F.col("_rank"))).drop("_rank")
+    key = Window.partitionBy(*by)
+    fresh = fresh.withColumn("_top", F.max("rank").over(key)).withColumn("_start", F.max(F.col("kind") == "started").over(key))
+    fresh = fresh.filter((F.col("_top") > TIERS["heartbeat"]) | F.col("_start"))
+    gap = F.coalesce(*[F.when(F.col("_top") == r, F.lit(GAPS_S[t])) for t, r in TIERS.items()])
+    last = said.groupBy(*by, F.col("rank").alias("_top")).agg(F.max("at_s").alias("_last"))
+    open_ = fresh.join(last, [*by, "_top"], "left").filter(F.col("_last").isNull() | (F.lit(now_s) - F.col("_last") >= gap))
+    return chosen(open_.drop("_top", "_start", "_last"), by, "rank", ["kind", "fp"], limit)
+
+
+def retractions(tracked: DataFrame, live: DataFrame, claimed: DataFrame, by: list[str]) -> DataFrame:
+    """Claims to take back: claimed or tracked, and backed by no live signal; each once, with whether it was tracked."""
+    known = claimed.select(*by).withColumn("_t", F.lit(False)).unionByName(tracked.select(*by).withColumn("_t", F.lit(True))).groupBy(*by).agg(F.max("_t").alias("tracked"))
+    return known.join(live.select(*by).distinct(), by, "left_anti")
+
+
+def spaced(passes: DataFrame, by: str, ts: str, tie: str, gap_s: float = 5.0, unseen: str = "unseen", most: int = 20) -> DataFrame:
+    """Emergency passes that may run: gap_s or more after the last one that ran, and with at most `most` frames that nobody has seen."""
+    from . import sequence
+
+    return sequence.rate_limited(passes.filter(F.col(unseen) <= most), by, ts, tie, gap_s)
+
+
+def since_baseline(events: DataFrame, baselines: DataFrame, by: list[str], ts: str) -> DataFrame:
+    """Events at or after their key's latest baseline (by, set_ms); keys without one give all."""
+    marks = baselines.groupBy(*by).agg(F.max("set_ms").alias("_since"))
+    return events.join(marks, by, "left").filter(F.col("_since").isNull() | (F.col(ts) >= F.col("_since"))).drop("_since")

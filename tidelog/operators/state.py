@@ -9,30 +9,27 @@ from pyspark.sql import functions as F
 MAX_DEPTH, MAX_KEYS, MAX_ITEMS, CLIP = 6, 400, 100, 200
 
 
-def flatten(rows: DataFrame, key: list[str], json: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(key, path, value): leaves of JSON objects and lists as dotted paths with [i], one exploding step a level.
+def flatten(rows: DataFrame, key: list[str], json: str, max_depth: int = MAX_DEPTH, max_keys: int = MAX_KEYS) -> DataFrame:
+    """(key, path, value): leaves of JSON objects and lists as dotted paths with [i], all levels opened within the row.
 
-    Levels below max_depth stay JSON text; lists give their first 100 items; values are clipped to 200 characters; text that is no JSON object or list gives no rows.
+    Levels below max_depth stay JSON text; lists give their first 100 items; a row gives max_keys leaves at most, by path
+    order within each object; values are clipped to 200 characters; text that is no JSON object or list gives no rows.
     """
-    level = rows.select(*key, F.lit("").alias("path"), F.try_parse_json(json).alias("v"))
-    leaves = []
-    for depth in range(max_depth + 1):
-        kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT<") | kind.startswith("ARRAY<")
-        if depth:
-            leaf = level if depth == max_depth else level.filter(~nested)
-            leaves.append(leaf.select(*key, "path", F.substring(F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")), 1, CLIP).alias("value")))
-        if depth < max_depth:
-            level.filter(nested).createOrReplaceTempView("_flatten_level")
-            spark = rows.sparkSession
-            cols = ", ".join(f"l.{c}" for c in key)
-            level = spark.sql(f"SELECT {cols}, l.path AS p, e.pos, e.key, e.value AS v FROM _flatten_level l, LATERAL variant_explode(l.v) e")
-            step = F.when(F.col("key").isNull(), F.concat("p", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("p") == "", F.col("key")).otherwise(F.concat_ws(".", "p", "key"))
-            level = level.filter(F.col("key").isNotNull() | (F.col("pos") < MAX_ITEMS)).select(*key, step.alias("path"), "v")
-    out = leaves[0]
-    for x in leaves[1:]:
-        out = out.union(x)
-    return out
+
+    def opened(item: Column) -> Column:
+        path, v = item["path"], item["v"]
+        kind = F.schema_of_variant(v)
+        below = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(F.when(path == "", e["key"]).otherwise(F.concat_ws(".", path, e["key"])).alias("path"), e["value"].alias("v")))
+        items = F.transform(F.slice(F.try_variant_get(v, "$", "array<variant>"), 1, MAX_ITEMS), lambda x, i: F.struct(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("v")))
+        return F.when(kind.startswith("OBJECT<"), below).when(kind.startswith("ARRAY<"), items).otherwise(F.array(F.struct(path.alias("path"), v.alias("v"))))
+
+    found = rows.select(*key, F.try_parse_json(json).alias("_v")).filter(F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)<"))
+    level = F.array(F.struct(F.lit("").alias("path"), F.col("_v").alias("v")))
+    for _ in range(max_depth):
+        level = F.flatten(F.transform(level, opened))
+    leaf = F.explode(F.slice(level, 1, max_keys)).alias("_l")
+    value = F.substring(F.coalesce(F.try_variant_get("_l.v", "$", "string"), F.to_json("_l.v")), 1, CLIP)
+    return found.select(*key, leaf).select(*key, F.col("_l.path").alias("path"), value.alias("value"))
 
 
 def state_diff(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:

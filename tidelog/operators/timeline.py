@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,10 +12,21 @@ from pyspark.sql import functions as F
 from ..functions import levels
 
 
-def in_window(events: DataFrame, start_ms: float, end_ms: float, keep_untimed: bool = True) -> DataFrame:
-    """Rows from start to end, both included; rows without a time pass unless told otherwise."""
-    inside = F.col("ts_ms").between(start_ms, end_ms)
-    return events.filter(F.col("ts_ms").isNull() | inside if keep_untimed else inside)
+def in_window(events: DataFrame, start_ms: float, end_ms: float, keep_untimed: bool = True, stamp: str | None = None) -> DataFrame:
+    """Rows from start to end, both included; rows without a time pass unless told otherwise.
+
+    stamp: a timestamp column without zone (in UTC) instead of ts_ms; a filter on a stored column reaches the scan.
+    """
+    c, low, high = F.col("ts_ms"), start_ms, end_ms
+    if stamp:
+        c, (low, high) = F.col(stamp), (F.lit(datetime.fromtimestamp(x / 1000, UTC).replace(tzinfo=None)).cast("timestamp_ntz") for x in (start_ms, end_ms))
+    inside = c.between(low, high)
+    return events.filter(c.isNull() | inside if keep_untimed else inside)
+
+
+def labelled(events: DataFrame, label: str) -> DataFrame:
+    """Rows of exactly this label; an empty one filters nothing."""
+    return events.filter(F.col("log_label") == label) if label else events
 
 
 def at_least(events: DataFrame, level: str) -> DataFrame:
@@ -37,10 +50,21 @@ def merged(*sources: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
 
 
-def search(rows: DataFrame, column: str, query: str, regex: bool = False) -> DataFrame:
-    """Rows whose column holds the query, upper or lower case."""
+def search(rows: DataFrame, column: str, query: str, regex: bool = False, level: str = "", category: str = "", trace_id: str = "") -> DataFrame:
+    """Rows whose column holds the query, upper or lower case, of at least this level, of this category and trace where they are given.
+
+    A query that is no regular expression is looked for as it stands.
+    """
+    if regex:
+        try:
+            re.compile(query)
+        except re.error:
+            regex = False
     c = F.col(column)
-    return rows.filter(c.rlike("(?i)" + query) if regex else F.contains(F.lower(c), F.lit(query.lower())))
+    out = rows.filter(c.rlike("(?i)" + query) if regex else F.contains(F.lower(c), F.lit(query.lower()))) if query else rows
+    out = at_least(out, level) if level else out
+    out = out.filter(F.col("category") == category) if category else out
+    return out.filter(F.col("trace_id") == trace_id) if trace_id else out
 
 
 def range_query(events: DataFrame, start_ms: float, end_ms: float, category: str = "", source: str = "") -> DataFrame:

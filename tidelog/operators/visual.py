@@ -37,12 +37,35 @@ def grid_diff(previous: Column, current: Column, delta: float = CELL_DELTA) -> C
     return F.when(fit, F.struct(F.round(changed / n, 4).alias("change_score"), F.round(total / n, 4).alias("mean_abs"), F.round(F.array_max(apart).cast("double"), 4).alias("max_abs"), changed.alias("n_changed")))
 
 
+def change_box(previous: Column, current: Column, columns: int, rows: int, width: Column, height: Column, delta: float = CELL_DELTA) -> Column:
+    """(x, y, w, h) in pixels of the envelope of changed cells, by a grid of columns x rows over an image; null where nothing has changed."""
+    cells = F.filter(F.transform(F.zip_with(previous, current, lambda a, b: F.abs(a - b) >= delta), lambda hit, i: F.when(hit, i)), lambda i: i.isNotNull())
+    x, y = F.transform(cells, lambda i: i % columns), F.transform(cells, lambda i: F.floor(i / columns))
+    left, top = F.floor(F.array_min(x) * width / columns), F.floor(F.array_min(y) * height / rows)
+    right, bottom = F.least(width, F.ceil((F.array_max(x) + 1) * width / columns)), F.least(height, F.ceil((F.array_max(y) + 1) * height / rows))
+    return F.when((F.size(previous) == F.size(current)) & (F.size(cells) > 0), F.struct(left.cast("long").alias("x"), top.cast("long").alias("y"), (right - left).cast("long").alias("w"), (bottom - top).cast("long").alias("h")))
+
+
+def visual_events(frames: DataFrame, by: list[str], ts: str, score: str, blank: str, error_text: str, least_ms: int = FREEZE_MS) -> DataFrame:
+    """(by, kind, start_ms, end_ms, frames): freezes of least_ms or more, blank screens, layout changes and errors on the screen; repeats of one kind in a row are one event."""
+    frozen_ = frozen(frames, by, ts, score, least_ms).select(*by, F.lit("freeze").alias("kind"), "start_ms", "end_ms", "frames")
+    kind = F.when(F.col(error_text), "screen_error").when(F.col(blank), "blank").when(F.col(score) >= LAYOUT_CHANGE, "layout_change").otherwise("")
+    runs = sequence.run_lengths(frames.withColumn("kind", kind), by, [ts], "kind").filter(F.col("kind") != "")
+    return frozen_.unionByName(runs.select(*by, "kind", F.col("first").alias("start_ms"), F.col("last").alias("end_ms"), F.col("repeat").alias("frames")))
+
+
 def entropy(histogram: Column) -> Column:
     """Bits of a list of counts."""
     total = F.aggregate(histogram, F.lit(0.0), lambda acc, x: acc + x)
     return F.aggregate(histogram, F.lit(0.0), lambda acc, x: acc - F.when(x > 0, x / total * F.log2(x / total)).otherwise(0.0))
 
 
+def character_counts(text: Column) -> Column:
+    """How often each distinct character stands in a text, smallest first; counted within the row by what taking it out removes."""
+    each = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+    return F.array_sort(F.transform(each, lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))).cast("double")))
+
+
 def change_class(score: Column) -> Column:
     return F.when(score == 0, "identical").when(score < MIN_CHANGE, "minor_change").when(score >= LAYOUT_CHANGE, "layout_change").otherwise("changed")
 

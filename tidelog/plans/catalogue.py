@@ -77,7 +77,8 @@ DOC_LINES = """dl AS (
 
 @query(f"WITH {EV} SELECT event_id, ts_ms, level, category, source FROM ev WHERE ts_ms BETWEEN {T0} AND {T0 + 7 * DAY}")
 def timeline_window(spark, sf_dir):
-    return timeline.in_order(timeline.in_window(events(spark, sf_dir), T0, T0 + 7 * DAY), "event_id").select("event_id", "ts_ms", "level", "category", "source")
+    stored = timeline.in_window(table(spark, sf_dir, "events"), T0, T0 + 7 * DAY, stamp="ts")
+    return timeline.in_order(schema.from_events(stored), "event_id").select("event_id", "ts_ms", "level", "category", "source")
 
 
 @query(f"WITH {EV} SELECT event_id, ts_ms, level FROM ev WHERE level IN ('WARN', 'ERROR', 'FATAL')")
@@ -259,18 +260,18 @@ def text_severity_counts(spark, sf_dir):
     return text_lines(spark, sf_dir).groupBy("origin", levels.content_reason(F.col("line")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-_ROLES = r"""f AS (SELECT '0x' || ltrim(substr(regexp_extract(line, 'src=(0x[0-9a-f]+)', 1), 3), '0') AS address, 'src' AS role, line FROM lines
- UNION ALL SELECT '0x' || ltrim(substr(regexp_extract(line, 'dst=(0x[0-9a-f]+)', 1), 3), '0'), 'dst', line FROM lines)"""
+_ROLES = r"""f AS (SELECT event_id, '0x' || ltrim(substr(regexp_extract(line, 'src=(0x[0-9a-f]+)', 1), 3), '0') AS address, 'src' AS role, line FROM lines
+ UNION ALL SELECT event_id, '0x' || ltrim(substr(regexp_extract(line, 'dst=(0x[0-9a-f]+)', 1), 3), '0'), 'dst', line FROM lines)"""
 
 
-@query(f"WITH {LINES_SQL}, {_ROLES} SELECT address, role, count(*) AS n, min(line) AS first_line, max(line) AS last_line FROM f GROUP BY 1, 2")
+@query(f"WITH {LINES_SQL}, {_ROLES} SELECT address, role, count(*) AS n, arg_min(line, event_id) AS first_line, arg_max(line, event_id) AS last_line FROM f GROUP BY 1, 2")
 def role_index(spark, sf_dir):
-    return roles.address_roles(lines_of_events(spark, sf_dir), "line")
+    return roles.address_roles(lines_of_events(spark, sf_dir), "line", order=["event_id"])
 
 
 @query(f"WITH {LINES_SQL}, {_ROLES} SELECT address, count(*) AS total, count(DISTINCT role) AS roles FROM f GROUP BY 1 HAVING count(*) FILTER (WHERE role = 'dst') = 0")
 def roles_never(spark, sf_dir):
-    return roles.never(roles.address_roles(lines_of_events(spark, sf_dir), "line"), "dst")
+    return roles.never(roles.address_roles(lines_of_events(spark, sf_dir), "line", order=["event_id"]), "dst")
 
 
 @query(f"""WITH {DOC_LINES}, m AS (SELECT *, CASE WHEN line IS NOT DISTINCT FROM lag(line) OVER w AND lag(line_no) OVER w IS NOT NULL THEN 0 ELSE 1 END AS s FROM dl WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
@@ -411,9 +412,8 @@ def grid_diff(spark, sf_dir):
 @query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents), h AS (SELECT doc_id, ch, count(*) AS n FROM c GROUP BY 1, 2), p AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM h)
 SELECT doc_id, round(-sum(p * log2(p)), 4) AS bits FROM p GROUP BY 1""")
 def entropy(spark, sf_dir):
-    c = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "")).alias("ch"))
-    h = c.groupBy("doc_id", "ch").agg(F.count("*").cast("double").alias("n")).groupBy("doc_id").agg(F.array_sort(F.collect_list("n")).alias("h"))
-    return h.select("doc_id", F.round(visual.entropy(F.col("h")), 4).alias("bits"))
+    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    return d.select("doc_id", F.round(visual.entropy(visual.character_counts(F.col("text"))), 4).alias("bits"))
 
 
 @query("SELECT e.event_id, j.key AS path, json_extract_string(e.props, '$.' || j.key) AS value FROM events e, json_each(e.props) j")
@@ -554,19 +554,19 @@ def ledger_report(spark, sf_dir):
     return retention.ledger_report(d, "n_chars", F.when(F.col("toxic") == 1, "pinned").when(F.col("quality") == 0, "expired").otherwise("cleared"))
 
 
-@query("SELECT doc_id, CAST(ceil(n_chars / 4) AS BIGINT) AS tokens, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', round(n_chars / 1024.0::DOUBLE, 1)) END AS size FROM documents WHERE n_chars < 1048576")
+@query("SELECT doc_id, CAST(ceil(n_chars / 4) AS BIGINT) AS tokens, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', round(n_chars / 1024.0::DOUBLE, 1)) WHEN n_chars < 1073741824 THEN printf('%.1f MB', round(n_chars / 1048576.0::DOUBLE, 1)) ELSE printf('%.1f GB', round(n_chars / 1073741824.0::DOUBLE, 1)) END AS size FROM documents")
 def token_report(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.text_tokens(F.col("n_chars")).alias("tokens"), text.human_size(F.col("n_chars")).alias("size"))
 
 
 @without_sql
 def text_role_index(spark, sf_dir):
-    return roles.address_roles(text_lines(spark, sf_dir), "line")
+    return roles.address_roles(text_lines(spark, sf_dir), "line", order=["origin", "id", "line_no"])
 
 
 @without_sql
 def text_roles_never(spark, sf_dir):
-    return roles.never(roles.address_roles(text_lines(spark, sf_dir), "line"), "dst")
+    return roles.never(roles.address_roles(text_lines(spark, sf_dir), "line", order=["origin", "id", "line_no"]), "dst")
 
 
 @without_sql
@@ -575,8 +575,12 @@ def detect_format(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import telemetry, texts  # noqa: F401  they add theirs
+
     return QUERIES | WITHOUT_SQL
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import telemetry, texts  # noqa: F401
+
     return dict(SQL)

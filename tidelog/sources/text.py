@@ -106,3 +106,52 @@ def code_signals(code: DataFrame, path: str, text: str, patterns: dict[str, str]
     counts = F.array(*[F.struct(F.lit(k).alias("signal"), F.regexp_count(text, F.lit(p)).alias("hits")) for k, p in patterns.items()])
     rows = code.select(F.col(path).alias("path"), F.explode(counts).alias("s")).filter(F.col("s.hits") > 0)
     return rows.groupBy("s.signal").agg(F.sum("s.hits").alias("hits"), F.count("*").alias("files"), F.min("path").alias("example"))
+
+
+def light_digest(code: DataFrame, path: str, text: str, most: int = 20) -> DataFrame:
+    """(path, line): one line a file that names its first symbols."""
+    pattern = r"(?m)^\s*(?:export\s+|public\s+|private\s+|async\s+|static\s+)*(class|def|func|fn|function|interface|struct)\s+([A-Za-z_]\w*)"
+    kind, name = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2))
+    listed = F.slice(F.zip_with(kind, name, lambda k, n: F.concat(k, F.lit(" "), n)), 1, most)
+    return code.select(F.col(path).alias("path"), F.concat(F.col(path), F.lit(": "), F.array_join(listed, ", ")).alias("line"))
+
+
+# Files that name a project's language whatever else it holds, and files that hint at one.
+STRONG_MARKERS = {"Cargo.toml": "rust", "go.mod": "go", "pom.xml": "java", "build.gradle": "java", "Gemfile": "ruby", "composer.json": "php", "pyproject.toml": "python", "setup.py": "python", "CMakeLists.txt": "cpp", "mix.exs": "elixir"}
+WEAK_MARKERS = {"package.json": "javascript", "requirements.txt": "python", "Makefile": "c"}
+
+
+def project_language(listing: DataFrame) -> DataFrame:
+    """One row (language, why): by a strong marker file, else the language with most files, else a weak marker."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    of = lambda table: F.try_element_at(F.create_map(*[F.lit(x) for p in table.items() for x in p]), name)
+    marked = listing.select(F.lit(0).alias("tier"), of(STRONG_MARKERS).alias("language"), F.lit("strong marker").alias("why"), F.lit(1).cast("long").alias("n"))
+    weak = listing.select(F.lit(2).alias("tier"), of(WEAK_MARKERS).alias("language"), F.lit("weak marker").alias("why"), F.lit(1).cast("long").alias("n"))
+    counted = census(listing).select(F.lit(1).alias("tier"), "language", F.lit("census").alias("why"), F.col("files").alias("n"))
+    found = marked.unionByName(counted).unionByName(weak).filter(F.col("language").isNotNull())
+    return found.groupBy("tier", "language", "why").agg(F.sum("n").alias("n")).orderBy("tier", F.desc("n"), "language").limit(1).select("language", "why")
+
+
+def last_lines(lines: DataFrame, by: list[str], order: str, n: int = 40) -> DataFrame:
+    """The last n lines of each file, in order."""
+    w = Window.partitionBy(*by).orderBy(F.desc(order))
+    return lines.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+
+
+def last_records(lines: DataFrame, by: list[str], order: str, line: str, n: int = 20) -> DataFrame:
+    """The last n JSON records of each file; lines that are none are left out and do not count."""
+    return last_lines(lines.filter(F.try_parse_json(line).isNotNull() & F.col(line).rlike(r"^\s*\{")), by, order, n)
+
+
+def raw_delta(lines: DataFrame, saved: DataFrame, path: str, offset: str, size: str, modified_ms: str, now_ms: float, most: int = 262_144, stale_ms: float = 120_000) -> DataFrame:
+    """Lines beyond each file's saved offset (path, saved), with restarted and stale; a file that shrank below it starts again at 0, and the newest `most` bytes of what is new win."""
+    joined = lines.join(saved.select(F.col(path), F.col("saved").alias("_saved")), path, "left").withColumn("restarted", F.coalesce(F.col("_saved") > F.col(size), F.lit(False)))
+    since = F.when(F.col("restarted"), F.lit(0)).otherwise(F.coalesce("_saved", F.lit(0)))
+    fresh = joined.filter((F.col(offset) >= since) & (F.col(offset) >= F.col(size) - most))
+    return fresh.withColumn("stale", F.lit(now_ms) - F.col(modified_ms) > stale_ms).drop("_saved")
+
+
+def action_log(profile: DataFrame) -> DataFrame:
+    """One row a profile: the legacy field, else the sink named events, else the first .jsonl source. profile: name, priority, kind (legacy, sink or source), label, path."""
+    rank = F.when((F.col("kind") == "legacy") & (F.col("path") != ""), 0).when((F.col("kind") == "sink") & (F.col("label") == "events"), 1).when((F.col("kind") == "source") & F.col("path").endswith(".jsonl"), 2)
+    return profile.withColumn("_r", rank).filter(F.col("_r").isNotNull()).groupBy("name").agg(F.min_by("path", F.struct("_r", "priority")).alias("path"))
