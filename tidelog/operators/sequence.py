@@ -14,18 +14,45 @@ def islands(rows: DataFrame, by: list[str], order: list[str], same: Column) -> D
     return rows.withColumn("_start", starts).withColumn("island", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
 
 
+def with_previous(rows: DataFrame, by: list[str], order: list[str], columns: list[str], width: float) -> DataFrame:
+    """rows + _b, the stretch of `width` of the order's first column, and _p, the columns of the row before as a struct, null at a key's first row.
+
+    Each stretch is sorted by itself and only stretches' last rows are carried over, so a key's history never meets in one task.
+    """
+    cut = rows.withColumn("_b", F.floor(F.col(order[0]) / width).cast("long"))
+    value, at = F.struct(*columns), F.struct(*order)
+    lasts = cut.groupBy(*by, "_b").agg(F.max_by(value, at).alias("_l"))
+    carried = lasts.select(*by, "_b", F.lag("_l").over(Window.partitionBy(*by).orderBy("_b")).alias("_c"))
+    inner = cut.withColumn("_p", F.lag(value).over(Window.partitionBy(*by, "_b").orderBy(*order)))
+    return inner.join(carried, [*by, "_b"]).withColumn("_p", F.coalesce("_p", "_c")).drop("_c")
+
+
+def numbered_runs(rows: DataFrame, by: list[str], order: list[str], same: Column) -> DataFrame:
+    """`with_previous` rows + island: runs are counted within each stretch and the counts of the stretches before are added. same: about a row and _p."""
+    marked = rows.withColumn("_start", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1).cast("long"))
+    counts = marked.groupBy(*by, "_b").agg(F.sum("_start").alias("_n"))
+    w = Window.partitionBy(*by).orderBy("_b")
+    base = counts.select(*by, "_b", (F.sum("_n").over(w) - F.col("_n")).alias("_base"))
+    within = F.sum("_start").over(Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("island", within).join(base, [*by, "_b"]).withColumn("island", F.col("island") + F.col("_base")).drop("_start", "_base", "_b", "_p")
+
+
 def before(column: str, by: list[str], order: list[str]) -> Column:
     return F.lag(column).over(Window.partitionBy(*by).orderBy(*order))
 
 
-def run_lengths(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
-    """Runs of equal values: by, island, value, repeat and the first and last of the order's first column."""
+def run_lengths(rows: DataFrame, by: list[str], order: list[str], value: str, width: float | None = None) -> DataFrame:
+    """Runs of equal values: by, island, value, repeat and the first and last of the order's first column. width: see with_previous; for keys with long histories."""
+    if width:
+        cut = with_previous(rows, by, order, [value], width)
+        runs = numbered_runs(cut, by, order, F.col("_p").isNotNull() & F.col(f"_p.{value}").eqNullSafe(F.col(value)))
+        return runs.groupBy(*by, "island").agg(F.first(value).alias(value), F.count("*").alias("repeat"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
     runs = islands(rows, by, order, F.col(value).eqNullSafe(before(value, by, order)) & F.lag(F.lit(1)).over(Window.partitionBy(*by).orderBy(*order)).isNotNull())
     return runs.groupBy(*by, "island").agg(F.first(value).alias(value), F.count("*").alias("repeat"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
 
 
-def streaks(rows: DataFrame, by: list[str], order: list[str], value: str, least: int) -> DataFrame:
-    return run_lengths(rows, by, order, value).filter(F.col("repeat") >= least)
+def streaks(rows: DataFrame, by: list[str], order: list[str], value: str, least: int, width: float | None = None) -> DataFrame:
+    return run_lengths(rows, by, order, value, width).filter(F.col("repeat") >= least)
 
 
 def stuck(rows: DataFrame, by: list[str], order: list[str], distance: str, size: str, near: int = 2, least: int = 5) -> DataFrame:
@@ -36,14 +63,19 @@ def stuck(rows: DataFrame, by: list[str], order: list[str], distance: str, size:
     return out.filter((F.col(distance) <= near) & (F.col("streak") >= least) & (F.col(size) <= F.col("_from"))).drop("_from", "island")
 
 
-def sessions(rows: DataFrame, by: list[str], ts: str, gap_ms: int, *ties: str) -> DataFrame:
+def sessions(rows: DataFrame, by: list[str], ts: str, gap_ms: int, *ties: str, width: float | None = None) -> DataFrame:
     """Gaps of gap_ms or more end a session: by, session, start, end and rows."""
     order = [ts, *ties]
-    runs = islands(rows, by, order, F.col(ts) - before(ts, by, order) < gap_ms)
+    if width:
+        runs = numbered_runs(with_previous(rows, by, order, [ts], width), by, order, F.col(ts) - F.col(f"_p.{ts}") < gap_ms)
+    else:
+        runs = islands(rows, by, order, F.col(ts) - before(ts, by, order) < gap_ms)
     return runs.groupBy(*by, F.col("island").alias("session")).agg(F.min(ts).alias("start_ms"), F.max(ts).alias("end_ms"), F.count("*").alias("n"))
 
 
-def deltas(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+def deltas(rows: DataFrame, by: list[str], order: list[str], value: str, width: float | None = None) -> DataFrame:
+    if width:
+        return with_previous(rows, by, order, [value], width).withColumn("delta", F.round(F.col(value) - F.col(f"_p.{value}"), 4)).drop("_b", "_p")
     return rows.withColumn("delta", F.round(F.col(value) - before(value, by, order), 4))
 
 

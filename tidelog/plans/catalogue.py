@@ -278,7 +278,7 @@ def roles_never(spark, sf_dir):
 i AS (SELECT *, CAST(sum(s) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS island FROM m)
 SELECT doc_id, island, any_value(line) AS line, count(*) AS repeat, min(line_no) AS first, max(line_no) AS last FROM i GROUP BY 1, 2""")
 def rle_collapse(spark, sf_dir):
-    return sequence.run_lengths(document_lines(spark, sf_dir), ["doc_id"], ["line_no"], "line").select("doc_id", "island", "line", "repeat", "first", "last")
+    return sequence.run_lengths(document_lines(spark, sf_dir), ["doc_id"], ["line_no"], "line", 100_000).select("doc_id", "island", "line", "repeat", "first", "last")
 
 
 _RUNS = f"""{EV}, m AS (SELECT *, CASE WHEN category = lag(category) OVER w THEN 0 ELSE 1 END AS s FROM ev WINDOW w AS (PARTITION BY source ORDER BY ts_ms, event_id)),
@@ -287,14 +287,14 @@ i AS (SELECT *, CAST(sum(s) OVER (PARTITION BY source ORDER BY ts_ms, event_id)
 
 @query(f"WITH {_RUNS} SELECT source, island, any_value(category) AS category, count(*) AS repeat, min(ts_ms) AS first, max(ts_ms) AS last FROM i GROUP BY 1, 2 HAVING count(*) >= 3")
 def stuck_streak(spark, sf_dir):
-    return sequence.streaks(events(spark, sf_dir), ["source"], ["ts_ms", "event_id"], "category", 3).select("source", "island", "category", "repeat", "first", "last")
+    return sequence.streaks(events(spark, sf_dir), ["source"], ["ts_ms", "event_id"], "category", 3, 10 * DAY).select("source", "island", "category", "repeat", "first", "last")
 
 
 @query(f"""WITH {EV}, m AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER w < {6 * HOUR} THEN 0 ELSE 1 END AS s FROM ev WINDOW w AS (PARTITION BY source ORDER BY ts_ms, event_id)),
 i AS (SELECT *, CAST(sum(s) OVER (PARTITION BY source ORDER BY ts_ms, event_id) AS BIGINT) AS session FROM m)
 SELECT source, session, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, count(*) AS n FROM i GROUP BY 1, 2""")
 def session_gap(spark, sf_dir):
-    return sequence.sessions(events(spark, sf_dir), ["source"], "ts_ms", 6 * HOUR, "event_id")
+    return sequence.sessions(events(spark, sf_dir), ["source"], "ts_ms", 6 * HOUR, "event_id", width=10 * DAY)
 
 
 @query(f"WITH {EV} SELECT category, ts_ms // {HOUR} * {HOUR} AS start_ms, count(*) AS n, round(sum(value), 4) AS total FROM ev GROUP BY 1, 2")
@@ -498,7 +498,7 @@ def new_resolved_errors(spark, sf_dir):
 
 @query(f"WITH {EV} SELECT event_id, source, round(value - lag(value) OVER (PARTITION BY source ORDER BY ts_ms, event_id), 4) AS delta FROM ev")
 def stat_delta(spark, sf_dir):
-    return sequence.deltas(events(spark, sf_dir), ["source"], ["ts_ms", "event_id"], "value").select("event_id", "source", "delta")
+    return sequence.deltas(events(spark, sf_dir), ["source"], ["ts_ms", "event_id"], "value", 10 * DAY).select("event_id", "source", "delta")
 
 
 @query(f"WITH {EV}, r AS (SELECT event_id, source, sum(CASE WHEN category = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY ts_ms, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n FROM ev) SELECT event_id, source FROM r WHERE n = 3")

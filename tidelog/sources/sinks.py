@@ -30,6 +30,46 @@ def over_budget(files: DataFrame, budget: int) -> DataFrame:
     return files.withColumn("_s", F.sum("length").over(w)).filter(F.col("_s") > budget).drop("_s")
 
 
+def within_budget(spark: SparkSession, path: str, budget: int) -> list[str]:
+    """Delete the oldest days of a day-partitioned store beyond the budget, never the newest one. Returns the days that went."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length").withColumn("day", F.regexp_extract("path", r"day=([0-9-]+)", 1)).filter(F.col("day") != "")
+    days = files.groupBy("day").agg(F.sum("length").alias("length"))
+    kept = F.sum("length").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0))
+    gone = [r["day"] for r in days.withColumn("_s", kept).filter(F.col("_s") > budget).orderBy("day").collect()]  # one row a day
+    newest = days.agg(F.max("day")).first()[0]
+    for day in gone:
+        if day != newest:
+            _delete(spark, f"{path}/day={day}")
+    return [d for d in gone if d != newest]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def archive_and_delete(rows: DataFrame, path: str, version: int, original: str) -> int:
+    """Archive a version and, only once it reads back whole, delete what it was made from."""
+    n = archive(rows, path, version)
+    _delete(rows.sparkSession, original)
+    return n
+
+
+def freeze(samples: DataFrame, verdict: DataFrame, path: str, ts: str, seconds: float = 600.0) -> None:
+    """A crash capsule: the last seconds of samples and the verdict's rows, as JSON lines of one kind each."""
+    last = samples.agg(F.max(ts).alias("_end"))
+    tail = samples.crossJoin(F.broadcast(last)).filter(F.col(ts) >= F.col("_end") - seconds).drop("_end")  # one row
+    rows = tail.select(F.lit("sample").alias("kind"), F.to_json(F.struct("*")).alias("body")).unionByName(verdict.select(F.lit("verdict").alias("kind"), F.to_json(F.struct("*")).alias("body")))
+    rows.withColumn("frozen_at", F.current_timestamp()).write.mode("append").json(path)
+
+
+def append_frame_note(spark: SparkSession, path: str, frames: DataFrame, seq: int, message: str) -> None:
+    """A note on a frame that exists; raises if there is none of this number."""
+    if frames.filter(F.col("sequence") == seq).isEmpty():
+        raise ValueError(f"there is no frame {seq}")
+    append_note(spark, path, f"frame/{seq}", message)
+
+
 def archive(rows: DataFrame, path: str, version: int) -> int:
     """Write a numbered version and read it back; raises if a row is missing. Returns the rows written."""
     target = f"{path}/version={version:06d}"

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..functions import levels, timeparse
 from ..operators import signals as batch_signals
 
 #: State of the processors lives in RocksDB; streams that use them need this setting.
@@ -18,6 +19,13 @@ def read_lines(spark: SparkSession, path: str, max_files: int = 1000) -> DataFra
     return spark.readStream.option("maxFilesPerTrigger", max_files).text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("log_path"))
 
 
+def console_events(lines: DataFrame, channel: str, line: str = "line", arrived: str = "arrived") -> DataFrame:
+    """A console's lines as events for a JSON sink: the time is that of arrival, the line's own is kept as emit_ts_ms, stderr starts as an error."""
+    c = F.col(line)
+    level = F.coalesce(F.nullif(levels.canonical_level(F.regexp_extract(c, r"(?i)\b(trace|debug|info|warn(?:ing)?|error|fatal|critical)\b", 1)), F.lit("")), F.lit("ERROR" if channel == "stderr" else "INFO"))
+    return lines.select(F.col(arrived).alias("ts"), level.alias("level"), levels.level_category(level).alias("category"), F.lit(channel).alias("source"), c.alias("message"), timeparse.parse_timestamp(c).alias("emit_ts_ms"))
+
+
 def read_parquet(spark: SparkSession, path: str, schema, max_files: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
@@ -79,8 +87,11 @@ class _Suppressor(StatefulProcessor):
 class _Limiter(StatefulProcessor):
     """Per session and tier: at least the tier's gap between two signals."""
 
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle) -> None:
-        self.last = handle.getMapState("last", "tier int", "ts_ms double")
+        self.last = handle.getMapState("last", "tier int", "ts_ms double", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         gaps = {rank: batch_signals.GAPS_S[name] * 1000.0 for name, rank in batch_signals.TIERS.items()}
@@ -106,8 +117,8 @@ def suppressed(signals: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     return signals.groupBy("session").transformWithStateInPandas(_Suppressor(ttl_ms), _SIGNAL, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
-def rate_limited(signals: DataFrame) -> DataFrame:
-    return signals.groupBy("session").transformWithStateInPandas(_Limiter(), _SIGNAL, "Append", "None")
+def rate_limited(signals: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    return signals.groupBy("session").transformWithStateInPandas(_Limiter(ttl_ms), _SIGNAL, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 def wait_for(stream: DataFrame, condition, timeout_s: float, checkpoint: str) -> bool:
