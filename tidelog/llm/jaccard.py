@@ -1,9 +1,11 @@
 """Exact Jaccard join of documents on sets of word shingles.
 
-Two sets of which the smaller has at least t of the larger's size can only be
-similar if they share one of their few smallest shingle hashes, so each document
-is filed under these. The documents under one hash form a group; what shares
-none with any other document drops out.
+In any one order of all shingles, two similar sets share one of their few first
+shingles, so each document is filed under these. The order is from rare to
+frequent, by counts over all documents in a table of fixed size in which
+shingles share places by hash (any order gives the same links; this one keeps
+common phrases from making large groups). The documents under one shingle form a
+group; what shares none with any other document drops out.
 
 Each remaining document goes to the tile of the smallest id that any of its
 groups has in its size band or the next smaller one, and large tiles split into
@@ -35,10 +37,12 @@ WORDS = 5
 #: Similarity as a fraction: num / den.
 NUM, DEN = 3, 4
 #: Bytes of text that a bucket of hashes stands for; parts that a comparison leader's followers are dealt to.
-BUCKET_BYTES, SALTS = 1 << 24, 64
+BUCKET_BYTES, SALTS = 1 << 26, 64
 #: Documents in a part of a tile, about.
 TILE_ROWS = 512
-#: The bits of a shingle's hash that are kept where candidates and sets travel.
+#: Places of the table of shingle counts, how many of them travel together, and how many parts of a sum one task adds.
+PLACES, CHUNK, ADDED = 1 << 22, 1 << 16, 256
+#: The bits of a shingle's hash that are dropped where candidates and sets travel.
 KEPT = np.uint64(16)
 
 
@@ -117,30 +121,65 @@ def _first_of_each_set(sets: list[np.ndarray], ids: list) -> dict[bytes, tuple[i
     return first
 
 
+def _places(keys: np.ndarray) -> np.ndarray:
+    return (common.mix64(keys) & np.uint64(PLACES - 1)).astype(np.int64)
+
+
 def _features(batches):
-    """doc_id, n, rep (the slice's smallest id with the same set) and, for that one, the signature."""
+    """doc_id, n, rep (the slice's smallest id with the same set) and, for that one, the set's digest and signature. At last the counts of the task's shingles, one row a chunk."""
+    counts = np.zeros(PLACES, np.uint32)
     for piece in common.slices(batches, "text"):
         ids = piece.column("doc_id").to_pylist()
         sets = shingle_sets(*common.text_bytes(piece.column("text")))
         first = _first_of_each_set(sets, ids)
         by = [first[_digest(s)] if len(s) and d is not None else (d, i) for i, (s, d) in enumerate(zip(sets, ids))]
+        if first:
+            counts += np.bincount(_places(np.concatenate([sets[i] for _, i in first.values()]) >> KEPT), minlength=PLACES).astype(np.uint32)
+        n = len(ids)
         yield pa.record_batch(
-            [piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([b[0] for b in by], pa.int64()), pa.array([signature(s) if b[1] == i and len(s) else None for i, (s, b) in enumerate(zip(sets, by))], pa.binary())],
-            ["doc_id", "n", "rep", "signature"],
+            [piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([b[0] for b in by], pa.int64()), pa.array([_digest(s) if b[1] == i and len(s) else None for i, (s, b) in enumerate(zip(sets, by))], pa.binary()), pa.array([signature(s) if b[1] == i and len(s) else None for i, (s, b) in enumerate(zip(sets, by))], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())],
+            _FEATURE_NAMES,
         )
+    if counts.any():
+        n = PLACES // CHUNK
+        yield pa.record_batch([pa.nulls(n, pa.int64())] * 3 + [pa.nulls(n, pa.binary())] * 2 + [pa.array(range(n), pa.int64()), pa.array([pack.put(x.astype(np.uint64)) for x in counts.reshape(n, CHUNK)], pa.binary())], _FEATURE_NAMES)
+
+
+_FEATURE_NAMES = ["doc_id", "n", "rep", "digest", "signature", "chunk", "counts"]
+
+
+def _summed(key, frame: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"chunk": [key[0]], "counts": [pack.put(sum(pack.get(x, np.uint64) for x in frame["counts"]))]})
+
+
+def rarity(counts: DataFrame) -> bytes:
+    """Four classes for each doubling of the count, one byte a place, packed. Only this table, of PLACES bytes whatever the input, comes to the driver."""
+    salts = max(1, -(-counts.groupBy("chunk").count().agg(F.max("count")).first()[0] // ADDED)) if not counts.isEmpty() else 1
+    parts = counts.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(salts))).groupBy("chunk", "salt").applyInPandas(_summed, "chunk long, counts binary")
+    rows = parts.groupBy("chunk").applyInPandas(_summed, "chunk long, counts binary").collect()
+    table = np.zeros(PLACES, np.uint8)
+    for r in rows:
+        table[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.minimum(4 * np.log2(1.0 + pack.get(r["counts"], np.uint64)), 255)
+    return pack.put(table)
 
 
-def _filed(buckets: int):
+def _filed(buckets: int, rare: bytes):
     def run(batches):
+        table = pack.get(rare, np.uint8)
         for piece in common.slices(batches, "text"):
             ids = piece.column("doc_id").to_pylist()
             sets = shingle_sets(*common.text_bytes(piece.column("text")))
             first = _first_of_each_set(sets, ids)
-            kept = sorted(i for _, i in first.values())
+            kept = sorted((i, digest) for digest, (_, i) in first.items())
             if not kept:
                 continue
-            lengths = [prefix_length(len(sets[i])) for i in kept]
-            keys = np.concatenate([sets[i][:n] for i, n in zip(kept, lengths)]) >> KEPT
+            marks = np.frombuffer(b"".join(d[:8] for _, d in kept), np.uint64)
+            kept = [i for i, _ in kept]
+            every = np.concatenate([sets[i] for i in kept]) >> KEPT
+            every |= table[_places(every)].astype(np.uint64) << np.uint64(48)
+            cut = np.cumsum([0, *[len(sets[i]) for i in kept]]).tolist()
+            lengths = [prefix_length(b - a) for a, b in zip(cut, cut[1:])]
+            keys = np.concatenate([np.partition(every[a:b], n - 1)[:n] for a, b, n in zip(cut, cut[1:], lengths)]) & np.uint64((1 << 48) - 1)
             own = np.repeat(np.arange(len(kept)), lengths)
             docs, sizes = np.array([ids[i] for i in kept], np.int64), np.array([len(sets[i]) for i in kept], np.int64)
             b = (common.mix64(keys) % np.uint64(buckets)).astype(np.int64)
@@ -151,8 +190,8 @@ def _filed(buckets: int):
                 some = order[cut[i] : cut[i + 1]]
                 if len(some):
                     who, at = np.unique(own[some], return_inverse=True)
-                    rows.append((i, pack.put_keys(keys[some]), pack.put(at.astype(np.uint32)), pack.put(docs[who]), pack.put(sizes[who].astype(np.uint32))))
-            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), *[pa.binary()] * 4))], ["bucket", "keys", "own", "docs", "sizes"])
+                    rows.append((i, pack.put_keys(keys[some]), pack.put(at.astype(np.uint32)), pack.put(docs[who]), pack.put(sizes[who].astype(np.uint32)), marks[who].tobytes()))
+            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), *[pa.binary()] * 5))], ["bucket", "keys", "own", "docs", "sizes", "marks"])
 
     return run
 
@@ -163,7 +202,7 @@ def _arrays(r) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _grouped(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's groups: the documents of all hashes that two or more have. Groups of the same documents are one."""
+    """A bucket's groups: the documents of all hashes that two or more have. Groups of the same documents are one, and so are documents with the same set (64 bits of its digest within one group)."""
     docs, sizes, keys, own, base = [], [], [], [], 0
     for r in frame.itertuples():
         d = pack.get(r.docs, np.int64)
@@ -172,9 +211,18 @@ def _grouped(key, frame: pd.DataFrame) -> pd.DataFrame:
         keys.append(pack.get_keys(r.keys))
         own.append(pack.get(r.own, np.uint32).astype(np.int64) + base)
         base += len(d)
+    marks = np.frombuffer(b"".join(frame["marks"]), np.uint64)
     docs, sizes, keys, own = (np.concatenate(x) for x in (docs, sizes, keys, own))
+    # the smallest id stands for all with its set
+    order = np.lexsort((docs, marks))
+    new = np.concatenate([[True], marks[order][1:] != marks[order][:-1]])
+    stands = np.empty(len(docs), np.int64)
+    stands[order] = order[new][np.cumsum(new) - 1]
+    own = stands[own]
     order = np.lexsort((docs[own], keys))
     keys, own = keys[order], own[order]
+    once = np.concatenate([[True], (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])])
+    keys, own = keys[once], own[once]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     lengths = np.diff(np.append(starts, len(keys)))
     marks = np.add.reduceat(common.mix64(docs[own].astype(np.uint64)), starts)
@@ -210,52 +258,71 @@ def _leaders(frames):
             yield pd.DataFrame({"bucket": np.full(int(new.sum()), r.bucket), "doc_id": docs[own[new]], "leader": lead[new]})
 
 
-def _tile(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """Links that join what is similar within one part of a tile: each component gets just enough of them."""
-    frame = frame.drop_duplicates("id").sort_values(["n", "id"])
-    ids, n = frame["id"].to_numpy(), frame["n"].to_numpy().astype(np.int64)
-    sets = [np.unique(pack.get_keys(k)) for k in frame["keys"]]
-    part, out = np.arange(len(ids)), []
-    # postings of the shingles that two or more have, so one document's overlaps with all others are one count
+def overlaps(sets: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
+    """How many elements each two of the sorted sets share: the sorted union is gone through in pieces, each a matrix of who has what."""
     every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(every, kind="stable")
     every, owner = every[order], owner[order]
-    same = every[1:] == every[:-1]
-    several = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(every) else np.zeros(0, bool)
-    every, owner = every[several], owner[several]
-    by_owner = np.argsort(owner, kind="stable")
-    cut = np.searchsorted(owner[by_owner], np.arange(len(sets) + 1))
-    sets = [every[by_owner[x:y]] for x, y in zip(cut[:-1], cut[1:])]
-    # who shares fewer than t of its shingles with all others together links with none of them
-    hope = DEN * np.array([len(s) for s in sets], np.int64) >= NUM * n
-    bands = band(n)
-
-    def compare(i: int) -> None:
-        near = hope & (part != part[i]) & (np.abs(bands - bands[i]) <= 1) & (DEN * np.minimum(n, n[i]) >= NUM * np.maximum(n, n[i]))
-        if not near.any():
-            return
-        a, b = np.searchsorted(every, sets[i]), np.searchsorted(every, sets[i], "right")
-        lengths = b - a
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(int(lengths.sum()))
-        overlap = np.bincount(owner[at], minlength=len(ids))
-        for j in np.flatnonzero(near & (DEN * overlap >= NUM * (n[i] + n - overlap))).tolist():
-            if part[j] != part[i]:
-                out.append((ids[i], ids[j]))
-                part[part == part[j]] = part[i]
-
-    if len(ids) and hope[np.argmin(ids)]:
-        compare(int(np.argmin(ids)))
-    # every pair of two components has a document outside the largest one
-    done = ~hope
-    while len(ids):
-        values, counts = np.unique(part, return_counts=True)
-        left = np.flatnonzero(~done & (part != values[np.argmax(counts)]))
-        if not len(left):
-            break
-        done[left[0]] = True
-        compare(int(left[0]))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    new = np.concatenate([[True], every[1:] != every[:-1]]) if len(every) else np.zeros(0, bool)
+    column = np.cumsum(new) - 1
+    counts = np.bincount(column) if len(column) else np.zeros(0, np.int64)
+    # what one set alone has is shared with none
+    several = counts[column] > 1 if len(column) else np.zeros(0, bool)
+    owner, column = owner[several], column[several]
+    _, column = np.unique(column, return_inverse=True)
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(column.max()) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, [start, start + columns])
+        has = np.zeros((len(sets), min(columns, int(column[b - 1]) + 1 - start)), np.float32)
+        has[owner[a:b], column[a:b] - start] = 1
+        out += has @ has.T
+    return np.rint(out).astype(np.int64)
+
+
+def spanning(ids: np.ndarray, similar: np.ndarray) -> list[tuple[int, int]]:
+    """Just enough links to join what the matrix links."""
+    out, left = [], np.ones(len(ids), bool)
+    for i in range(len(ids)):
+        if not left[i]:
+            continue
+        left[i] = False
+        edge = [i]
+        while edge:
+            near = np.flatnonzero(similar[edge[-1]] & left)
+            at = edge.pop()
+            left[near] = False
+            out.extend((ids[at], ids[j]) for j in near.tolist())
+            edge.extend(near.tolist())
+    return out
+
+
+def _tile(key, frame: pd.DataFrame) -> pd.DataFrame:
+    """Links that join what is similar within one part of a tile: each component gets just enough of them.
+
+    Bit signatures bound the overlap of each two from above; only documents that this leaves a chance meet in the exact count.
+    """
+    frame = frame.drop_duplicates("id").sort_values(["n", "id"])
+    ids, n = frame["id"].to_numpy(), frame["n"].to_numpy().astype(np.int64)
+    sets = [np.unique(pack.get_keys(k)) for k in frame["keys"]]
+    near = (np.abs(band(n)[:, None] - band(n)[None, :]) <= 1) & (DEN * np.minimum(n[:, None], n[None, :]) >= NUM * np.maximum(n[:, None], n[None, :]))
+    np.fill_diagonal(near, False)
+    signs = [signature(s << KEPT) for s in sets]
+    for b in np.unique(band(n)):
+        here = np.flatnonzero(np.abs(band(n) - b) <= 1)
+        mine = np.flatnonzero(band(n) == b)
+        size = min(len(signs[i]) for i in here)
+        bits = np.stack([folded(signs[i], size) for i in here])
+        for i in mine.tolist():
+            apart = np.bitwise_count(bits ^ bits[np.searchsorted(here, i)]).sum(axis=1, dtype=np.int64)
+            near[i, here] &= may_link(n[i], n[here], apart)
+    near &= near.T
+    hope = np.flatnonzero(near.any(axis=1))
+    if not len(hope):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    shared = overlaps([sets[i] for i in hope])
+    similar = near[np.ix_(hope, hope)] & (DEN * shared >= NUM * (n[hope][:, None] + n[hope][None, :] - shared))
+    return pd.DataFrame(spanning(ids[hope], similar), columns=["a", "b"]).astype("int64")
 
 
 def _crossing(key, frame: pd.DataFrame, known: pd.DataFrame) -> tuple | None:
@@ -326,10 +393,14 @@ def _across(key, frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"]) if out else empty
 
 
-def _sets(batches):
-    for piece in common.slices(batches, "text"):
-        sets = shingle_sets(*common.text_bytes(piece.column("text")))
-        yield pa.record_batch([piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([pack.put_keys(s >> KEPT) for s in sets], pa.binary())], ["id", "n", "keys"])
+def _sets(with_tile: bool):
+    def run(batches):
+        for piece in common.slices(batches, "text"):
+            sets = shingle_sets(*common.text_bytes(piece.column("text")))
+            own = [piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([pack.put_keys(s >> KEPT) for s in sets], pa.binary())]
+            yield pa.record_batch([piece.column("leader"), piece.column("part"), *own] if with_tile else own, ["leader", "part"] * with_tile + ["id", "n", "keys"])
+
+    return run
 
 
 def _settled(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -351,42 +422,59 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     whose doc_id is null, and its component_id is null. Rows that repeat an id are one document of the join.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    feature = common.checkpointed(docs.mapInArrow(_features, "doc_id long, n long, rep long, signature binary"))
+    found = common.stored(docs.mapInArrow(_features, "doc_id long, n long, rep long, digest binary, signature binary, chunk long, counts binary"))
+    feature = found.filter(F.col("chunk").isNull()).select("doc_id", "n", "rep", "digest", "signature")
+    rare = rarity(found.filter(F.col("chunk").isNotNull()).select("chunk", "counts"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(4096, max(4, -(-size // BUCKET_BYTES))))
-    filed = docs.mapInArrow(_filed(buckets), "bucket long, keys binary, own binary, docs binary, sizes binary")
-    groups = common.checkpointed(filed.groupBy("bucket").applyInPandas(_grouped, "bucket long, docs binary, sizes binary, groups binary, own binary"))
-    members = common.checkpointed(groups.mapInPandas(_leaders, "bucket long, doc_id long, leader long"))
-    tables = feature.filter(F.col("signature").isNotNull()).select("doc_id", "signature").dropDuplicates(["doc_id"])
+    filed = docs.mapInArrow(_filed(buckets, rare), "bucket long, keys binary, own binary, docs binary, sizes binary, marks binary")
+    groups = common.stored(filed.groupBy("bucket").applyInPandas(_grouped, "bucket long, docs binary, sizes binary, groups binary, own binary"))
+    common.release()
+    members = common.stored(groups.mapInPandas(_leaders, "bucket long, doc_id long, leader long"))
+    # the first of each set in its slice, linked with the first of all
+    firsts = feature.filter(F.col("signature").isNotNull())
+    whole = firsts.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    same = firsts.join(whole, "digest").filter(F.col("doc_id") > F.col("first")).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    copies = same.union(feature.filter(F.col("rep") < F.col("doc_id")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    tables = firsts.select("doc_id", "signature").dropDuplicates(["doc_id"])
 
     # each document's tile; a leader is in its own one as well and in each part of that
-    homes = common.checkpointed(members.groupBy("doc_id").agg(F.min("leader").alias("leader")))
-    parts = homes.groupBy("leader").agg(F.ceil(F.count("*") / TILE_ROWS).cast("long").alias("parts"))
-    homes = common.checkpointed(homes.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).select("doc_id", "leader", "part"))
+    led = common.stored(members.groupBy("doc_id").agg(F.min("leader").alias("leader")))
+    parts = common.stored(led.groupBy("leader").agg(F.ceil(F.count("*") / TILE_ROWS).cast("long").alias("parts")))
+    homes = common.stored(led.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).select("doc_id", "leader", "part"))
     leads = parts.select(F.col("leader").alias("doc_id"), "leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    places = homes.unionByName(leads).distinct()
-    needed = members.select("doc_id").distinct()
-    sets = common.checkpointed(docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets, "id long, n long, keys binary"))
-    placed = sets.join(places, sets["id"] == places["doc_id"]).select("leader", "part", "id", "n", "keys")
-    copies = feature.filter(F.col("rep") < F.col("doc_id")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    first = common.checkpointed(placed.groupBy("leader", "part").applyInPandas(_tile, _PAIR).union(copies))
-    joined = common.checkpointed(components(first))
+    places = common.stored(homes.unionByName(leads).distinct())
+    common.release(led, parts)
+    # never broadcast, as it grows with the documents
+    placed = docs.join(places.hint("merge"), "doc_id").select("doc_id", "text", "leader", "part").mapInArrow(_sets(True), "leader long, part long, id long, n long, keys binary")
+    first = common.stored(placed.groupBy("leader", "part").applyInPandas(_tile, _PAIR).union(copies))
+    common.release(places)
+    joined = common.stored(components(first))
+    common.release()
 
     # what shares a group, but neither a tile nor a component
     tile = F.xxhash64("leader", "part").alias("tile")
     state = homes.select("doc_id", tile).join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "tile", F.coalesce("component_id", "doc_id").alias("component"))
     known = members.select("bucket", "doc_id").join(state, "doc_id")
     open_ = groups.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(_open, "bucket long, doc_id long, component long, tile long")
-    signed = open_.join(tables, "doc_id").select("bucket", "doc_id", "component", "tile", "signature")
-    across = common.checkpointed(groups.groupBy("bucket").cogroup(signed.groupBy("bucket")).applyInPandas(_across, _PAIR).distinct())
+    signed = common.stored(open_.join(tables, "doc_id").select("bucket", "doc_id", "component", "tile", "signature"))
+    common.release(members, homes)
+    across = common.stored(groups.groupBy("bucket").cogroup(signed.groupBy("bucket")).applyInPandas(_across, _PAIR).distinct())
+    common.release(groups, signed)
     if not across.isEmpty():
         salt = F.pmod(F.xxhash64("b"), F.lit(SALTS))
+        wanted = across.select(F.col("a").alias("doc_id")).union(across.select("b")).distinct()
+        sets = common.stored(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(False), "id long, n long, keys binary"))
+        common.release()
         of_b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb")).dropDuplicates(["b"])
         of_a = sets.select(F.col("id").alias("lead"), F.col("n").alias("na"), F.col("keys").alias("ka")).dropDuplicates(["lead"])
         right = across.join(of_b, "b").select("a", salt.alias("salt"), "b", "nb", "kb")
         left = across.select(F.col("a").alias("lead"), salt.alias("lead_part")).distinct().join(of_a, "lead")
-        second = left.groupBy("lead", "lead_part").cogroup(right.groupBy("a", "salt")).applyInPandas(_settled, _PAIR)
-        joined = components(common.checkpointed(first.union(second)))
+        second = common.stored(left.groupBy("lead", "lead_part").cogroup(right.groupBy("a", "salt")).applyInPandas(_settled, _PAIR))
+        common.release(joined, sets)
+        joined = common.stored(components(first.union(second)))
+        common.release(second)
+    common.release(across, first)
     return feature.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
