@@ -89,7 +89,20 @@ def test_formats_can_be_added_tested_and_listed(spark):
         parsing.add_format({}, "mine", "^(?:npm|zzz).*$", ["npm ERR! x", "zzz"], spark)
     assert parsing.test_line(spark, "npm ERR! code 1").first()["adapter"] == "npm"
     table = parsing.format_table(spark)
-    assert table.count() == len(formats.FORMATS) > 250 and table.filter("family = 'kernel'").count() > 5
+    assert table.count() == len(formats.FORMATS) > 250 and table.filter("family = 'kernel'").count() == parsing.format_table(spark, "kernel").count() > 5
+    assert [r["name"] for r in parsing.format_table(spark, q="npm").collect()] == ["npm", "pnpm"]
+
+
+def test_formats_are_kept(spark, tmp_path):
+    path = str(tmp_path / "formats")
+    mine = formats.Format("mine", "user", "stamp", "", r"^(?<msg>.*)$")
+    assert parsing.load_formats(spark, path) == {}
+    parsing.save_format(spark, path, mine)
+    assert parsing.load_formats(spark, path) == {"mine": mine}
+    with pytest.raises(ValueError, match="already"):
+        parsing.save_format(spark, path, mine)
+    with pytest.raises(ValueError, match="already"):
+        parsing.save_format(spark, path, formats.FORMATS["npm"])
 
 
 def test_multi_line_scores(spark):

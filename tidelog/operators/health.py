@@ -46,3 +46,18 @@ def freshness(rows: DataFrame, source: str, ts: str, own: Column, now_ms: float,
 def rollup(rows: DataFrame, *keys: str) -> DataFrame:
     """Counts over all prefixes of the keys; an extension."""
     return rows.rollup(*keys).agg(F.count("*").alias("n"), F.grouping_id().alias("grouping_id"))
+
+
+def error_rate(rows: DataFrame, by: list[str], order: list[str], error: Column, last: int = 50) -> DataFrame:
+    """The share of errors among each key's last rows."""
+    recent = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*[F.desc(o) for o in order]))).filter(F.col("_i") <= last)
+    return recent.groupBy(*by).agg(F.round(F.avg(F.when(error, 1.0).otherwise(0.0)), 6).alias("error_rate"), F.count("*").alias("n"))
+
+
+def ranked_outliers(rows: DataFrame, by: list[str], fields: list[str], in_window: Column, top_n: int = 3) -> DataFrame:
+    """Each key's fields by how far their mean in the window is from that of all, in standard deviations: (by, rank, field, z)."""
+    sums = [a for f in fields for a in (F.avg(F.when(in_window, F.col(f))).alias(f"_p_{f}"), F.avg(f).alias(f"_a_{f}"), F.stddev_samp(f).alias(f"_s_{f}"))]
+    out = rows.groupBy(*by).agg(*sums)
+    z = F.array(*[F.struct(F.lit(f).alias("field"), F.round(F.try_divide(F.col(f"_p_{f}") - F.col(f"_a_{f}"), F.col(f"_s_{f}")), 6).alias("z")) for f in fields])
+    out = out.select(*by, F.explode(F.filter(z, lambda x: x["z"].isNotNull())).alias("x")).select(*by, "x.field", "x.z")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.abs("z")), "field"))).filter(F.col("rank") <= top_n)

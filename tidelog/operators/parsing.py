@@ -141,6 +141,24 @@ def add_format(catalogue: dict[str, formats.Format], name: str, pattern: str, sa
     return {name: new, **catalogue}
 
 
-def format_table(spark: SparkSession) -> DataFrame:
-    """The catalogue as rows, for listing, filtering by family or name, and paging."""
-    return spark.createDataFrame([(i, f.name, f.family, f.time, f.pattern) for i, f in enumerate(formats.FORMATS.values())], "priority int, name string, family string, time string, pattern string")
+def save_format(spark: SparkSession, path: str, fmt: formats.Format) -> None:
+    """Keep a format for later sessions; names that are built in or kept already are refused."""
+    if fmt.name in formats.FORMATS or fmt.name in load_formats(spark, path):
+        raise ValueError(f"there is a format {fmt.name} already")
+    row = [(fmt.name, fmt.family, fmt.time, fmt.rule, fmt.pattern)]
+    spark.createDataFrame(row, "name string, family string, time string, rule string, pattern string").coalesce(1).write.mode("append").json(path)
+
+
+def load_formats(spark: SparkSession, path: str) -> dict[str, formats.Format]:
+    """The kept formats by name; none where nothing has been kept."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return {}
+    rows = spark.read.schema("name string, family string, time string, rule string, pattern string").json(path).orderBy("name").collect()  # one row a format
+    return {r["name"]: formats.Format(*r) for r in rows}
+
+
+def format_table(spark: SparkSession, family: str = "", q: str = "") -> DataFrame:
+    """The catalogue as rows, for listing, filtering by family or part of the name, and paging."""
+    listed = [(i, f.name, f.family, f.time, f.pattern) for i, f in enumerate(formats.FORMATS.values()) if family in ("", f.family) and q in f.name]
+    return spark.createDataFrame(listed, "priority int, name string, family string, time string, pattern string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import composites, errors, hardware, retention, sequence, signals, visual
+from ..operators import composites, errors, hardware, health, retention, sequence, signals, visual
 from .catalogue import _NOW, DAY, EV, HOUR, T0, events, query, table
 from .texts import choice, choice_sql, ident
 
@@ -270,3 +270,29 @@ def recovery_changes(spark, sf_dir):
     found = errors.recovery(e, "source", F.col("category") == "error", F.col("category") == "purchase", "state", ["ts_ms", "event_id"])
     k = F.try_element_at("changed", F.lit("k"))
     return found.select("source", "failed", "succeeded", k["from"].alias("k_from"), k["to"].alias("k_to"))
+
+
+@query(f"""WITH {EV}, r AS (SELECT source, category, row_number() OVER (PARTITION BY source ORDER BY ts_ms DESC, event_id DESC) AS i FROM ev)
+SELECT source, round(avg(CASE WHEN category = 'error' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS error_rate, count(*) AS n FROM r WHERE i <= 50 GROUP BY 1""")
+def recent_error_rates(spark, sf_dir):
+    return health.error_rate(events(spark, sf_dir), ["source"], ["ts_ms", "event_id"], F.col("category") == "error")
+
+
+@query(f"""WITH {EV}, x AS (SELECT source, value, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, ts_ms >= {T0} AND ts_ms < {T0 + 5 * DAY} AS w FROM ev),
+a AS (SELECT source, 'value' AS field, round((avg(value) FILTER (WHERE w) - avg(value)) / nullif(stddev_samp(value), 0), 6) AS z FROM x GROUP BY 1 UNION ALL SELECT source, 'k', round((avg(k) FILTER (WHERE w) - avg(k)) / nullif(stddev_samp(k), 0), 6) FROM x GROUP BY 1)
+SELECT source, field, z, CAST(row_number() OVER (PARTITION BY source ORDER BY abs(z) DESC, field) AS INTEGER) AS rank FROM a WHERE z IS NOT NULL""")
+def ranked_outliers(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    return health.ranked_outliers(e, ["source"], ["value", "k"], (F.col("ts_ms") >= T0) & (F.col("ts_ms") < T0 + 5 * DAY))
+
+
+@query("SELECT s_suppkey, map_keys_ AS kind, n FROM (SELECT s_suppkey, unnest(['temps', 'fans', 'volts']) AS map_keys_, unnest([2, 1, 1])::BIGINT AS n FROM supplier)")
+def sensor_samples_from_trees(spark, sf_dir):
+    """One sample a tree: maps by sensor."""
+    sample = hardware.sample_maps(hardware_tree(spark, sf_dir), ["s_suppkey"])
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.size(k).cast("long").alias("n")) for k in ("temps", "fans", "volts")])).alias("x")
+    return sample.select("s_suppkey", kinds).select("s_suppkey", "x.kind", "x.n")
+
+
+def hardware_tree(spark, sf_dir) -> DataFrame:
+    return sensor_tree(spark, sf_dir)
