@@ -209,6 +209,10 @@ class Automaton:
         order = np.argsort(who, kind="stable")
         return token[order].astype("<u4").tobytes(), np.searchsorted(who[order], np.arange(len(words) + 1))
 
+    def path(self, word: bytes) -> list[int]:
+        """The tokens of one word."""
+        return np.frombuffer(self.paths([word])[0], "<u4").tolist()
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Of each text the ids as little-endian unsigned 32-bit integers; special tokens in the text are found first."""
         for held in (self.kept, self.chunks):
