@@ -14,7 +14,7 @@ or the last half word for word, as one edit leaves one of the halves alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -25,29 +25,37 @@ MIN_WORDS = 10
 
 def _plain(line: Column) -> Column:
     """A line's words joined by one space."""
-    return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
+    odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | line.contains(c)
+    return F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
+
+
+def _mark() -> Column:
+    """Tells rows that repeat an id apart by their text."""
+    return F.xxhash64("text")
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of every line with a word; lines end at \\n and count from 0."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """(doc_id, mark, line_no, line) of every line with a word; lines end at \\n and count from 0."""
+    lines = docs.select("doc_id", _mark().alias("mark"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def first_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(line_id, line_id2, doc_id, line_no, n, ends): distinct lines by their words, where each stands first, its number of words, and for lines of min_words hashes of its halves.
+    """(line_id, line_id2, doc_id, line_no, mark, n, ends): distinct lines by their words, where each stands first, its number of words, and for lines of min_words hashes of its halves.
 
-    Hashes alone travel, no text. Repeated rows of a document tie.
+    Hashes alone travel, no text. Of rows that repeat an id with other texts, the one with the smaller hash of its text is earlier at the same line number.
     """
     text = F.col("text")
-    lines = document_lines(docs).select("doc_id", "line_no", _plain(F.col("line")).alias("text")).withColumn("n", (F.length("text") - F.length(F.translate("text", " ", "")) + 1).cast("int"))
+    lines = document_lines(docs).select("doc_id", "mark", "line_no", _plain(F.col("line")).alias("text")).withColumn("n", (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).cast("int"))
     small = F.floor((F.col("n") - 1) / 2).cast("int")
     large = F.floor(F.col("n") / 2).cast("int")
     lines = lines.withColumn("small", small).withColumn("large", large)
     half = lambda end, h: F.when(F.col("n") >= min_words, F.xxhash64(F.lit(end), F.col(h), F.expr(f"substring_index(text, ' ', {'-' if end else ''}{h})")))
-    lines = lines.select(F.xxhash64(text).alias("line_id"), F.xxhash64(text, F.lit(1)).alias("line_id2"), "doc_id", "line_no", "n", half(0, "small").alias("p0"), half(1, "small").alias("s0"), half(0, "large").alias("p1"), half(1, "large").alias("s1"))
-    out = lines.groupBy("line_id", "line_id2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *[F.max(c).alias(c) for c in ("n", "p0", "s0", "p1", "s1")])
-    return out.select("line_id", "line_id2", "first.doc_id", "first.line_no", "n", "p0", "s0", "p1", "s1")
+    lines = lines.select(F.xxhash64(text).alias("line_id"), F.xxhash64(text, F.lit(1)).alias("line_id2"), "doc_id", "line_no", "mark", "n", half(0, "small").alias("p0"), half(1, "small").alias("s0"), half(0, "large").alias("p1"), half(1, "large").alias("s1"))
+    out = lines.groupBy("line_id", "line_id2").agg(F.min(F.struct("doc_id", "line_no", "mark")).alias("first"), *[F.max(c).alias(c) for c in ("n", "p0", "s0", "p1", "s1")])
+    return out.select("line_id", "line_id2", "first.doc_id", "first.line_no", "first.mark", "n", "p0", "s0", "p1", "s1")
 
 
 def one_word_apart(a: Column, b: Column) -> Column:
@@ -99,20 +107,36 @@ def edited_copies(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORDS)
 
 
 def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, kept): the numbers of the lines with words that stay, for documents that keep any."""
+    """(doc_id, mark, kept): the numbers of the lines with words that stay, for texts that keep any."""
     lines = common.stored(first_lines(docs, min_words))
     gone = common.stored(edited_copies(docs, lines, min_words))
-    left = lines.select("line_id", "line_id2", "doc_id", "line_no").join(gone, ["line_id", "line_id2"], "left_anti")
-    return left.groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("kept"))
+    left = lines.select("line_id", "line_id2", "doc_id", "mark", "line_no").join(gone, ["line_id", "line_id2"], "left_anti")
+    return left.groupBy("doc_id", "mark").agg(F.collect_list("line_no").alias("kept"))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with __turn: 1, and for rows that repeat both id and text 1, 2 and so on, in order of their other columns."""
+    key = [F.col("doc_id").alias("__id"), _mark().alias("__mark")]
+    again = common.stored(docs.groupBy(*key).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > 1).drop("__rows"))
+    if again.isEmpty():
+        return docs.withColumn("__turn", F.lit(1))
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (_mark() == F.col("__mark"))
+    turn = F.row_number().over(Window.partitionBy("doc_id", _mark()).orderBy(F.xxhash64(*docs.columns)))
+    return docs.join(again, same, "left_anti").withColumn("__turn", F.lit(1)).unionByName(docs.join(again, same, "left_semi").withColumn("__turn", turn))
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows and columns of the documents, text without the lines that an earlier line copies; null texts stay null."""
-    kept = kept_lines(docs, min_words).select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left")
-    stays = lambda line, i: ~line.rlike(r"[^\x20\x09-\x0D]") | F.coalesce(F.array_contains("__kept", i), F.lit(False))
-    text = F.array_join(F.filter(F.split("text", "\n"), stays), "\n")
-    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    """All rows and columns of the documents, text without the lines that an earlier line copies; null texts stay null.
+
+    Of rows that repeat both id and text one keeps its lines, the others lose all with words.
+    """
+    kept = kept_lines(docs, min_words).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("kept").alias("__kept"))
+    rows = _numbered(docs)
+    joined = rows.join(kept, rows["doc_id"].eqNullSafe(F.col("__id")) & (_mark() == F.col("__mark")) & (F.col("__turn") == 1), "left").withColumn("__lines", F.split("text", "\n"))
+    blank = F.filter(F.transform("__lines", lambda line, i: F.when(~line.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+    stays = F.array_sort(F.concat(F.coalesce("__kept", F.array().cast("array<int>")), blank))
+    text = F.array_join(F.transform(stays, lambda i: F.get("__lines", i)), "\n")
+    return joined.select(*[text.alias("text") if c == "text" else rows[c] for c in docs.columns])
 
 
 def documents_without_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
