@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Documents in one run of the shuffled order, and ranges of virtual time.
-RUN_ROWS, RANGES = 4096, 4096
+#: Documents in one run of the shuffled order, ranges that virtual time is cut into at each step (a power of two, so that cutting is exact), and turns in a range that one task may sort.
+RUN_ROWS, RANGES, EDGE_ROWS = 512, 4096, 100_000
 
 
 def fill_targets(sizes: list[int], weights: list[float], cap: float) -> list[float]:
@@ -40,7 +40,7 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), cap: int = 3, seed: int = 1
 
     Sizes count words; a null or empty text has size 0 and is taken 0 words. A null source is a source of its own,
     after all others; a null doc_id is an id like any other. Rows that agree in id, source and size are taken alike.
-    The only data on the driver are one row per source and RANGES sums.
+    The only data on the driver are one row per source and RANGES sums a step.
     """
     spark = docs.sparkSession
     size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit(common.WORD))).cast("long")
@@ -60,22 +60,27 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), cap: int = 3, seed: int = 1
     queue = rows.join(before, ["rank", "run"]).withColumn("sent", F.col("before") + F.sum(words).over(Window.partitionBy("rank", "run").orderBy(*order)))
     queue = common.checkpointed(queue.select("doc_id", "source", "size", "copies", "rank", "hash", "source_size", "target", "sent"))
     finish = [F.try_divide(F.col("sent") + F.lit(e) * F.col("source_size"), F.col("target")) for e in range(cap)]
-    turns = queue.withColumn("finish", F.explode(F.array(*finish))).filter(F.col("finish") < 2).withColumn("range", F.floor(F.col("finish") * RANGES).cast("long"))
-    sums = sorted(turns.groupBy("range").agg(F.sum(words).alias("sum")).collect())
+    turns = queue.withColumn("finish", F.explode(F.array(*finish))).filter(F.col("finish") < 2)
     left = sum(r.source_size for r in found)
-    edge = None
-    for r in sums:
-        if r["sum"] > left:
-            edge = r["range"]
-            break
-        left -= r["sum"]
+    # the range in which the budget runs out, cut again until few turns are left in it
+    edge, scale, rows_in = None, 1, None
+    while (edge is None and scale == 1) or (edge is not None and rows_in > EDGE_ROWS and scale < RANGES**4):
+        inside = turns if edge is None else turns.filter(F.floor(F.col("finish") * scale) == edge)
+        scale *= RANGES
+        sums = sorted(inside.groupBy(F.floor(F.col("finish") * scale).cast("long").alias("range")).agg(F.sum(words).alias("sum"), F.count("*").alias("n")).collect())
+        edge = None
+        for r in sums:
+            if r["sum"] > left:
+                edge, rows_in = r["range"], r["n"]
+                break
+            left -= r["sum"]
     key = ["finish", "rank", "hash", "doc_id", "size"]
     if edge is None:
         cut = None
     else:
-        last = turns.filter(F.col("range") == edge).withColumn("spent", F.sum(words).over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, 0)))
+        last = turns.filter(F.floor(F.col("finish") * scale) == edge).withColumn("spent", F.sum(words).over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, 0)))
         last = last.filter(F.col("spent") <= left).orderBy(*[F.desc(k) for k in key]).limit(1).collect()
-        cut = last[0] if last else Row(finish=edge / RANGES, rank=-1, hash=0, doc_id=None, size=-1)
+        cut = last[0] if last else Row(finish=edge / scale, rank=-1, hash=0, doc_id=None, size=-1)
 
     def in_mix(f):
         if cut is None:
