@@ -20,7 +20,8 @@ from . import common
 PROFILE = 400
 #: Distinct n-grams that a learning task holds before it hands on its counts.
 HELD_GRAMS = 500_000
-_BITS = np.uint64(21)
+#: A blank's code is no letter's and not 0, so that an n-gram that starts with one is not the shorter one after it.
+_BITS, _BLANK = np.uint64(21), np.uint64(1)
 
 
 @functools.cache
@@ -41,15 +42,19 @@ def letter_codes(text: str) -> np.ndarray:
     keep = codes != 0
     keep[1:] |= codes[:-1] != 0
     keep[0] = True
-    return codes[keep]
+    return np.where(codes[keep] == 0, _BLANK, codes[keep])
 
 
 def grams(codes: np.ndarray) -> np.ndarray:
-    """Sorted keys of all 1- to 3-grams that hold a letter."""
+    """Sorted keys of all 1- to 3-grams that hold a letter. A code of 0 parts texts; no n-gram spans it."""
     two = (codes[:-1] << _BITS) | codes[1:]
     three = (two[:-1] << _BITS) | codes[2:]
+    parts = codes == 0
+    if parts.any():
+        apart = parts[:-1] | parts[1:]
+        codes, two, three = codes[~parts], two[~apart], three[~(apart[:-1] | parts[2:])]
     keys = np.concatenate([codes, two, three])
-    keys = keys[keys > 0]
+    keys = keys[keys != _BLANK]
     keys.sort()
     return keys
 
@@ -82,8 +87,8 @@ def _count_grams(batches):
             if text:
                 by.setdefault(lang, []).append(letter_codes(text))
         for lang, codes in by.items():
-            # texts meet at a blank, so no n-gram with letters of two texts arises
-            keys, counts = counted(grams(np.concatenate(codes)))
+            part = np.zeros(1, np.uint64)
+            keys, counts = counted(grams(np.concatenate([x for c in codes for x in (c, part)])))
             held.setdefault(lang, []).append((keys, counts))
             n += len(keys)
         if n > 2 * HELD_GRAMS:
