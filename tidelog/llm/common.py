@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Python operators look at texts in slices of about this many bytes, which bounds a worker's memory.
 SLICE_BYTES = 1 << 21
+#: Bytes of a row group in stored tables.
+GROUP_BYTES = 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +48,8 @@ def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the same folder: smaller than a checkpoint, and later reads take only the columns they need."""
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # small row groups: rows can be megabytes, and a reader or writer holds one group whole
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = path
     weakref.finalize(out, _PATHS.pop, id(out), None)

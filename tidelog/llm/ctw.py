@@ -30,8 +30,10 @@ DEPTH = 5
 END = 0x0A
 #: Stands among word hashes for the token that ends each text.
 END_WORD = np.uint64(1)
-#: Raw bytes of documents a bucket stands for, and slices that one task of a bucket serves.
-BUCKET_BYTES, SERVED = 1 << 23, 256
+#: Raw bytes of documents a bucket stands for, slices whose counts one task adds, and bytes of questions that are worth a copy of a bucket's model, which may be larger itself.
+BUCKET_BYTES, SERVED, COPY_BYTES = 1 << 23, 256, 1 << 24
+#: Code lengths travel as multiples of this.
+UNIT = 2.0**-40
 #: Bytes of text in a slice; larger ones ask for fewer strings in all.
 SLICE = 3 << 20
 _HALF = -math.log(2)
@@ -249,9 +251,11 @@ def score_documents(docs: DataFrame, train, depth: int = DEPTH) -> DataFrame:
     size = slices.agg(F.sum("raw").alias("raw"), F.count("*").alias("n")).first()
     buckets = int(min(4096, max(4, -(-(size["raw"] or 0) // BUCKET_BYTES))))
     salts = max(1, -(-size["n"] // SERVED))
-    asked = common.checkpointed(slices.mapInPandas(_ask(depth, buckets), "bucket long, slice long, g binary, gn binary, w binary, wn binary").withColumn("salt", F.pmod("slice", F.lit(salts))))
-    partial = asked.groupBy("bucket", "salt").applyInPandas(_partial, "bucket long, g binary, gn binary, w binary, wn binary")
-    model = common.checkpointed(partial.groupBy("bucket").applyInPandas(_model(depth), "bucket long, g binary, gn binary, w binary, wn binary, g2 binary, n2 binary, tops array<binary>, weights array<binary>, vocabulary long, tokens long"))
+    asked = common.stored(slices.mapInPandas(_ask(depth, buckets), "bucket long, slice long, g binary, gn binary, w binary, wn binary"))
+    partial = common.stored(asked.groupBy("bucket", F.pmod("slice", F.lit(salts)).alias("salt")).applyInPandas(_partial, "bucket long, g binary, gn binary, w binary, wn binary"))
+    common.release()
+    model = common.stored(partial.groupBy("bucket").applyInPandas(_model(depth), "bucket long, g binary, gn binary, w binary, wn binary, g2 binary, n2 binary, tops array<binary>, weights array<binary>, vocabulary long, tokens long"))
+    common.release(partial)
     rows = model.select("g2", "n2", "tops", "weights", "vocabulary", "tokens").collect()
     high, total, vocabulary = upper_tree(rows), sum(r["tokens"] for r in rows), sum(r["vocabulary"] for r in rows)
 
@@ -259,7 +263,7 @@ def score_documents(docs: DataFrame, train, depth: int = DEPTH) -> DataFrame:
         x = _learned(right) if len(right) else {k: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for k in "gw"}
         asked_g = [pack.get_keys(b) for b in left["g"]]
         every = np.unique(np.concatenate(asked_g)) if asked_g else np.zeros(0, np.uint64)
-        lengths = code_lengths(every, Tree(*x["g"], depth, 2), high)
+        lengths = np.rint(code_lengths(every, Tree(*x["g"], depth, 2), high) / -UNIT).astype(np.uint64)
         out = []
         for r, g in zip(left.itertuples(), asked_g):
             w = pack.get_keys(r.w)
@@ -267,11 +271,17 @@ def score_documents(docs: DataFrame, train, depth: int = DEPTH) -> DataFrame:
             if len(x["w"][0]):
                 at = np.minimum(np.searchsorted(x["w"][0], w), len(x["w"][0]) - 1)
                 n = np.where(x["w"][0][at] == w, x["w"][1][at], 0)
-            out.append((r.slice, r.bucket, pack.put(lengths[np.searchsorted(every, g)].astype(np.float32)), pack.put(n)))
+            out.append((r.slice, r.bucket, pack.put(lengths[np.searchsorted(every, g)]), pack.put(n)))
         return pd.DataFrame(out, columns=["slice", "bucket", "lengths", "counts"])
 
-    copies = model.select("bucket", "g", "gn", "w", "wn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    answers = asked.groupBy("bucket", "salt").cogroup(copies.groupBy("bucket", "salt")).applyInPandas(answer, "slice long, bucket long, lengths binary, counts binary")
+    # a bucket's model goes out once for as many bytes of questions as it has itself, so all copies together grow with the questions
+    questions = asked.groupBy("bucket").agg(F.sum(F.octet_length("g") + F.octet_length("w")).alias("bytes"))
+    own = F.octet_length("g") + F.octet_length("gn") + F.octet_length("w") + F.octet_length("wn")
+    served = common.stored(model.select("bucket", own.alias("own")).join(questions, "bucket").select("bucket", F.ceil(F.col("bytes") / F.greatest("own", F.lit(COPY_BYTES))).cast("long").alias("salts")))
+    copies = model.join(served, "bucket").select("bucket", "g", "gn", "w", "wn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    asks = asked.select("bucket", "slice", "g", "w").join(served, "bucket").withColumn("salt", F.pmod(F.xxhash64("slice"), F.col("salts")))
+    answers = common.stored(asks.groupBy("bucket", "salt").cogroup(copies.groupBy("bucket", "salt")).applyInPandas(answer, "slice long, bucket long, lengths binary, counts binary"))
+    common.release(asked, model, served)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def finish(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -284,7 +294,7 @@ def score_documents(docs: DataFrame, train, depth: int = DEPTH) -> DataFrame:
                 distinct, at = np.unique(keys, return_inverse=True)
                 b = _bucket(distinct, depth, buckets) if kind == "g" else (distinct % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(b, kind="stable")
-                said = np.concatenate([pack.get(x, np.float32).astype(np.float64) for x in right["lengths"]] if kind == "g" else [pack.get(x, np.int64) for x in right["counts"]])
+                said = np.concatenate([pack.get(x, np.uint64) * -UNIT for x in right["lengths"]] if kind == "g" else [pack.get(x, np.int64) for x in right["counts"]])
                 value = np.empty(len(distinct), said.dtype)
                 value[order] = said
                 value = value[at]
@@ -295,7 +305,7 @@ def score_documents(docs: DataFrame, train, depth: int = DEPTH) -> DataFrame:
                     sums["base"] = np.bincount(own, np.log10((value + 0.5) / (total + 0.5 * (vocabulary + 1))), n)
                     sums["known"] = np.bincount(own, value > 0, n)
                     sums["tokens"] = np.bincount(own, minlength=n)
-            out.append(pd.DataFrame({"doc_id": r.ids, "n_tokens": sums["tokens"], "n_known": sums["known"].astype(np.int64), "train_tokens": total, "base_score": sums["base"], "score": sums["score"], "n_bytes": sums["n_bytes"]}))
+            out.append(pd.DataFrame({"doc_id": pd.Series(pack.get_ids(r.ids).to_pylist(), dtype=object), "n_tokens": sums["tokens"], "n_known": sums["known"].astype(np.int64), "train_tokens": total, "base_score": sums["base"], "score": sums["score"], "n_bytes": sums["n_bytes"]}))
         return pd.concat(out)
 
     return slices.groupBy("slice").cogroup(answers.groupBy("slice")).applyInPandas(finish, f"doc_id {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")

@@ -7,7 +7,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
@@ -40,22 +39,33 @@ def get(blob: bytes, kind) -> np.ndarray:
     return _unplanes(blob, kind)
 
 
+def put_ids(ids: pa.Array) -> bytes:
+    """Ids of any type as an Arrow stream: nulls and large numbers stay what they are."""
+    sink = pa.BufferOutputStream()
+    batch = pa.record_batch([ids], ["id"])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def get_ids(blob: bytes) -> pa.Array:
+    return pa.ipc.open_stream(blob).read_next_batch().column(0)
+
+
 def packed_documents(docs: DataFrame, limit: int = common.SLICE_BYTES, flag=None) -> DataFrame:
-    """Rows (slice, ids, flags, lengths, texts, raw) of about `limit` bytes of text each, in the shared checkpoint folder.
+    """Rows (slice, ids, flags, lengths, texts, raw) of about `limit` bytes of text each, in a table of the shared folder.
 
-    ids: the doc_ids; flags: the values of the boolean column `flag`; lengths: bytes of each text; texts: zstd of all
+    ids: the doc_ids, see get_ids; flags: the values of the boolean column `flag`; lengths: bytes of each text; texts: zstd of all
     texts, null as empty; raw: bytes before zstd. Later stages read the same slices however often they run.
     """
-    id_type = docs.schema["doc_id"].dataType
     rows = docs.select("doc_id", (F.lit(False) if flag is None else flag).alias("flag"), F.col("text").cast("binary").alias("text"))
 
     def run(batches):
-        kind = pa.list_(pa.from_numpy_dtype(np.int64)) if isinstance(id_type, T.LongType) else None
         for piece in common.slices(batches, "text", limit):
             data, offsets = common.text_bytes(piece.column("text"))
             yield pa.record_batch(
                 [
-                    pa.array([piece.column("doc_id").to_pylist()], kind),
+                    pa.array([put_ids(piece.column("doc_id"))], pa.binary()),
                     pa.array([piece.column("flag").to_pylist()]),
                     pa.array([np.diff(offsets)], pa.list_(pa.int64())),
                     pa.array([zstandard.ZstdCompressor(6).compress(data.tobytes())], pa.binary()),
@@ -64,8 +74,8 @@ def packed_documents(docs: DataFrame, limit: int = common.SLICE_BYTES, flag=None
                 ["ids", "flags", "lengths", "texts", "raw"],
             )
 
-    packed = rows.mapInArrow(run, f"ids array<{id_type.simpleString()}>, flags array<boolean>, lengths array<long>, texts binary, raw long")
-    return common.checkpointed(packed.withColumn("slice", F.monotonically_increasing_id()))
+    packed = rows.mapInArrow(run, "ids binary, flags array<boolean>, lengths array<long>, texts binary, raw long")
+    return common.stored(packed.withColumn("slice", F.monotonically_increasing_id()))
 
 
 def unpacked(texts: bytes, lengths) -> tuple[np.ndarray, np.ndarray]:

@@ -46,8 +46,11 @@ def _window_least(x: np.ndarray, width: int) -> np.ndarray:
 class Anchors:
     """The anchors of a slice's texts. Ties within a window go to the leftmost."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, size: int):
-        self.data, self.offsets = data, offsets
+    def __init__(self, r, length: int, size: int):
+        """r: a slice. Texts without an id have no anchors."""
+        ids = pack.get_ids(r.ids)
+        self.ids, known = np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid())
+        self.data, self.offsets = data, offsets = pack.unpacked(r.texts, r.lengths)
         self.place = self.text = np.zeros(0, np.int64)
         if len(data) >= length:
             prefix = common.prefix_hash(data)
@@ -61,6 +64,7 @@ class Anchors:
             place = place[starts + length <= ends]
             self.place = place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
             self.text = np.searchsorted(offsets, self.place, "right") - 1
+            self.place, self.text = self.place[known[self.text]], self.text[known[self.text]]
         # the bytes that windows over an anchor can reach, cut at the ends of its text
         self.start = np.maximum(self.place - (length - size), offsets[self.text])
         self.end = np.minimum(self.place + length, offsets[self.text + 1])
@@ -71,9 +75,9 @@ class Anchors:
         else:
             self.run = self.around = np.zeros(0, np.uint64)
 
-    def firsts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def firsts(self) -> tuple[np.ndarray, np.ndarray]:
         """Of equal anchors with equal surroundings the one of the smallest id, in order of run; and which of those stands for each anchor."""
-        own = ids[self.text]
+        own = self.ids[self.text]
         order = np.lexsort((own, self.around, self.run))
         r, a = self.run[order], self.around[order]
         new = np.concatenate([[True], (r[1:] != r[:-1]) | (a[1:] != a[:-1])]) if len(r) else np.zeros(0, bool)
@@ -91,8 +95,8 @@ def _asked(buckets: int, length: int, size: int):
     def run(frames):
         for frame in frames:
             for r in frame.itertuples():
-                x, ids = Anchors(*pack.unpacked(r.texts, r.lengths), length, size), np.asarray(r.ids, np.int64)
-                first, _ = x.firsts(ids)
+                x = Anchors(r, length, size)
+                ids, (first, _) = x.ids, x.firsts()
                 order, cut = _dealt((x.run[first] % np.uint64(buckets)).astype(np.int64), buckets)
                 rows = []
                 for i in range(buckets):
@@ -130,10 +134,11 @@ def _judged(buckets: int, length: int, size: int):
         """Of a slice: the spans (bucket -1) that whole surroundings settle, and for each bucket the surroundings to be looked at."""
         rows = []
         for r in left.itertuples():
-            x, ids = Anchors(*pack.unpacked(r.texts, r.lengths), length, size), np.asarray(r.ids, np.int64)
+            x = Anchors(r, length, size)
+            ids = x.ids
             if not len(x.place):
                 continue
-            first, stands = x.firsts(ids)
+            first, stands = x.firsts()
             order, _ = _dealt((x.run[first] % np.uint64(buckets)).astype(np.int64), buckets)
             said = np.empty(len(first), np.uint8)
             said[order] = np.concatenate([pack.get(b, np.uint8) for b in right.sort_values("bucket")["verdicts"]])
@@ -230,7 +235,7 @@ def _looked(length: int, size: int):
     return run
 
 
-def _removed(id_type: str, with_spans: bool):
+def _removed(with_spans: bool):
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in left.itertuples():
@@ -241,12 +246,14 @@ def _removed(id_type: str, with_spans: bool):
                 np.add.at(edge, base + pack.get(s.a, np.int64), 1)
                 np.add.at(edge, base + pack.get(s.b, np.int64), -1)
             gone = np.cumsum(edge)[:-1] > 0
-            for i, doc in enumerate(r.ids):
+            for i, doc in enumerate(pack.get_ids(r.ids).to_pylist()):
                 x, kept = gone[offsets[i] : offsets[i + 1]], data[offsets[i] : offsets[i + 1]]
                 turns = np.flatnonzero(np.diff(np.concatenate([[False], x, [False]]).astype(np.int8)))
                 row = [doc, len(x), int(x.sum()), len(turns) // 2, hashlib.sha256(kept[~x].tobytes()).hexdigest()]
                 out.append((*row, turns.reshape(-1, 2).tolist()) if with_spans else tuple(row))
-        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["spans"] * with_spans)
+        frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["spans"] * with_spans)
+        frame["doc_id"] = pd.Series([row[0] for row in out], dtype=object)  # beside a null, pandas would make doubles of them
+        return frame
 
     return run
 
@@ -255,20 +262,24 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR,
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every whole text; with_spans adds the removed (start, end) byte ranges.
 
     A byte is removed if a string of `length` bytes over it also stands in a document with a smaller doc_id. A null text
-    is empty and loses nothing. Rows that repeat an id are one document and take nothing from each other.
+    is empty and loses nothing. Rows that repeat an id are one document and take nothing from each other. Rows without
+    an id neither lose nor take. doc_id is an integer; it comes back as a long.
     """
+    if docs.schema["doc_id"].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        raise TypeError("doc_id must be an integer, as documents are told apart by the smaller one")
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     slices = pack.packed_documents(docs)
     total = slices.agg(F.sum("raw")).first()[0] or 0
     buckets = int(min(4096, max(4, -(-total // BUCKET_BYTES), common.parts(docs.sparkSession))))
     asked = slices.mapInPandas(_asked(buckets, length, size), "bucket long, slice long, runs binary, around binary, docs binary, own binary")
     said = asked.groupBy("bucket").applyInPandas(_verdicts, "slice long, bucket long, verdicts binary")
     judged = slices.groupBy("slice").cogroup(said.groupBy("slice")).applyInPandas(_judged(buckets, length, size), "slice long, bucket long, texts binary, ids binary, a binary, b binary, reach binary")
-    judged = common.checkpointed(judged)
+    judged = common.stored(judged)
     looked = judged.filter(F.col("bucket") >= 0).groupBy("bucket").applyInPandas(_looked(length, size), "slice long, texts binary, a binary, b binary")
-    spans = judged.filter(F.col("bucket") < 0).select("slice", "texts", "a", "b").unionByName(looked)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<array<long>>" * with_spans
-    return slices.groupBy("slice").cogroup(spans.groupBy("slice")).applyInPandas(_removed(id_type, with_spans), schema)
+    spans = common.stored(judged.filter(F.col("bucket") < 0).select("slice", "texts", "a", "b").unionByName(looked))
+    common.release(judged)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<array<long>>" * with_spans
+    return slices.groupBy("slice").cogroup(spans.groupBy("slice")).applyInPandas(_removed(with_spans), schema)
 
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
