@@ -268,7 +268,7 @@ def corroborate_claims(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     of = lambda rows, c: rows.select(F.explode(F.filter(roles.tokens(c), lambda t: t.startswith("a="))).alias("token")).distinct()
     shown = of(e, F.concat(F.lit("state a="), (ident() % 7000 + 10).cast("string")))
-    logged = of(e.filter(ident() % 7000 + 10 >= 5000), F.concat(F.lit("log: a="), (ident() % 7000 + 10).cast("string"), F.lit(", done")))
+    logged = of(e.filter(ident() % 7000 + 10 >= 5000), F.concat(F.lit("log has a="), (ident() % 7000 + 10).cast("string"), F.lit(", done")))
     return roles.corroborated(shown, "token", logged, "token")
 
 
