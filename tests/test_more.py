@@ -194,3 +194,10 @@ def test_streams_of_lines_alerts_and_triggers(spark, tmp_path):
     triggers = read().filter("load = 4").select(F.col("ts").alias("t_ts"), F.col("key").alias("t_key"))
     stream.run_once(stream.around_triggers(triggers, read()), "ring", str(tmp_path / "c5"))
     assert sorted(r["load"] for r in spark.table("ring").collect()) == [2.0, 3.0, 4.0]
+
+
+def test_entropy_of_counts_and_of_text(spark):
+    from tidelog.operators import visual
+
+    row = spark.createDataFrame([("aabb", [2.0, 2.0]), ("", []), (None, None)], "t string, h array<double>")
+    assert [tuple(r) for r in row.select(visual.text_entropy(F.col("t")), visual.entropy(F.col("h"))).collect()][:2] == [(1.0, 1.0), (0.0, 0.0)]

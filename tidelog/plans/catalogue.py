@@ -413,7 +413,7 @@ def grid_diff(spark, sf_dir):
 SELECT doc_id, round(-sum(p * log2(p)), 4) AS bits FROM p GROUP BY 1""")
 def entropy(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
-    return d.select("doc_id", F.round(visual.entropy(visual.character_counts(F.col("text"))), 4).alias("bits"))
+    return d.select("doc_id", F.round(visual.text_entropy(F.col("text")), 4).alias("bits"))
 
 
 @query("SELECT e.event_id, j.key AS path, json_extract_string(e.props, '$.' || j.key) AS value FROM events e, json_each(e.props) j")
