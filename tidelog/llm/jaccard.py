@@ -39,7 +39,7 @@ NUM, DEN = 3, 4
 #: Bytes of text that a bucket of hashes stands for; parts that a comparison leader's followers are dealt to.
 BUCKET_BYTES, SALTS = 1 << 26, 64
 #: Documents in a part of a tile, about.
-TILE_ROWS = 512
+TILE_ROWS = 256
 #: Places of the table of shingle counts, how many of them travel together, and how many parts of a sum one task adds.
 PLACES, CHUNK, ADDED = 1 << 22, 1 << 16, 256
 #: The bits of a shingle's hash that are dropped where candidates and sets travel.
