@@ -16,6 +16,7 @@ NAMES = {
     "op8_jaccard_join": ("jaccard", "op8_jaccard_join"),
     "op9_mix_sources": ("mixing", "op9_mix_sources"),
     "op10_language_id": ("language", "op10_language_id"),
+    "op11_fill_in_middle": ("fim", "op11_fill_in_middle"),
 }
 
 
@@ -24,6 +25,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import jaccard, lines, repeats, topk
+    from . import fim, jaccard, lines, repeats, topk
 
-    return {"op3_line_dedup": lines.OP3_SQL, "op6_topk_search": topk.OP6_SQL, "op7_repeated_passages": repeats.OP7_SQL, "op8_jaccard_join": jaccard.OP8_SQL}
+    return {"op11_fill_in_middle": fim.OP11_SQL, "op3_line_dedup": lines.OP3_SQL, "op6_topk_search": topk.OP6_SQL, "op7_repeated_passages": repeats.OP7_SQL, "op8_jaccard_join": jaccard.OP8_SQL}
