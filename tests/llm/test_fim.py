@@ -48,7 +48,7 @@ def test_equals_lists_of_units_and_comes_back(spark):
 
 def test_other_units_rates_and_sentinels(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts()[:200])], "doc_id long, text string")
-    options = {"unit": r"[^\s]+\s*", "rate": 60, "spm": 20, "seed": 3, "sentinels": ("[pre]", "[suf]", "[mid]")}
+    options = {"unit": r"\s+|[^\s]+", "rate": 60, "spm": 20, "seed": 3, "sentinels": ("[pre]", "[suf]", "[mid]")}
     for row in fim.transform(docs, **options).collect():
         assert (row["n"], row["form"], row["output"], row["prefix_chars"], row["middle_chars"]) == by_force(row["doc_id"], row["text"], options["unit"], 60, 20, 3, options["sentinels"])
     got = fim.transform(docs, **options)

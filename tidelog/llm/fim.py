@@ -33,8 +33,8 @@ SENTINELS = ("<P>", "<S>", "<M>")
 def _checked(sentinels: Iterable[str]) -> tuple[str, str, str]:
     """Sentinels that can be found again: none is empty, and none begins as it or another ends, so that no text beside one makes up another."""
     p, s, m = sentinels
-    for a, b in itertools.product((p, s, m), repeat=2):
-        if not a or any(a[-n:] == b[:n] for n in range(1, min(len(a), len(b)) + (a is not b))) or (a is not b and a in b):
+    for (i, a), (j, b) in itertools.product(enumerate((p, s, m)), repeat=2):
+        if not a or any(a[-n:] == b[:n] for n in range(1, min(len(a), len(b)) + (i != j))) or (i != j and a in b):
             raise ValueError(f"sentinels {a!r} and {b!r} could be taken for each other")
     return p, s, m
 

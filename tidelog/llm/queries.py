@@ -17,6 +17,7 @@ NAMES = {
     "op9_mix_sources": ("mixing", "op9_mix_sources"),
     "op10_language_id": ("language", "op10_language_id"),
     "op11_fill_in_middle": ("fim", "op11_fill_in_middle"),
+    "op13_license_scan": ("licenses", "op13_license_scan"),
 }
 
 
