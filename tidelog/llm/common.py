@@ -60,17 +60,19 @@ def stored(df: DataFrame) -> DataFrame:
 _PATHS: dict[int, str] = {}
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete tables of `stored` that no later job reads, and let Spark drop the shuffle files of jobs that are done.
-
-    What has been made from them must be stored itself, since a lost executor's work is redone from the tables it read.
-    """
+def deleted(*tables: DataFrame) -> None:
+    """Delete tables of `stored` that no later job reads. What has been made from them must be stored itself, since a lost executor's work is redone from the tables it read."""
     for table in tables:
         path = _PATHS.pop(id(table), None)
         if path:
             jvm = table.sparkSession.sparkContext._jvm
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """`deleted`, and let Spark drop the shuffle files of jobs that are done."""
+    deleted(*tables)
     gc.collect()
     SparkSession.active().sparkContext._jvm.System.gc()
 

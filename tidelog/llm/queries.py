@@ -17,6 +17,7 @@ NAMES = {
     "op9_mix_sources": ("mixing", "op9_mix_sources"),
     "op10_language_id": ("language", "op10_language_id"),
     "op11_fill_in_middle": ("fim", "op11_fill_in_middle"),
+    "op12_merkle_manifest": ("merkle", "op12_merkle_manifest"),
     "op13_license_scan": ("licenses", "op13_license_scan"),
 }
 
@@ -26,6 +27,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import fim, jaccard, lines, repeats, topk
+    from . import fim, jaccard, lines, merkle, repeats, topk
 
-    return {"op11_fill_in_middle": fim.OP11_SQL, "op3_line_dedup": lines.OP3_SQL, "op6_topk_search": topk.OP6_SQL, "op7_repeated_passages": repeats.OP7_SQL, "op8_jaccard_join": jaccard.OP8_SQL}
+    return {"op11_fill_in_middle": fim.OP11_SQL, "op12_merkle_manifest": merkle.OP12_SQL, "op3_line_dedup": lines.OP3_SQL, "op6_topk_search": topk.OP6_SQL, "op7_repeated_passages": repeats.OP7_SQL, "op8_jaccard_join": jaccard.OP8_SQL}
