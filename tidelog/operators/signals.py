@@ -40,11 +40,6 @@ def chosen(signals: DataFrame, by: list[str], rank: str, tie: list[str], limit:
     return placed.filter(keep).drop("_top", "_p", "_d")
 
 
-def corrections(claims: DataFrame, live: DataFrame, by: list[str]) -> DataFrame:
-    """Claims that no live signal backs any more, once each."""
-    return claims.select(*by).distinct().join(live.select(*by).distinct(), by, "left_anti")
-
-
 def content_identity(tier: str, *parts: str) -> "F.Column":
     """Identity of what is surfaced: tier and parts, never the prose."""
     return F.substring(F.sha1(F.concat_ws("\u0001", F.col(tier), *[F.col(p).cast("string") for p in parts])), 1, 12)
@@ -58,8 +53,8 @@ def incidents(triggers: DataFrame, ts: str, by: list[str], before_ms: int = 60_0
     return out.select(*by, "session", (F.col("start_ms") - before_ms).alias("from_ms"), (F.col("end_ms") + after_ms).alias("to_ms"), F.col("n").alias("triggers"))
 
 
-def built(state: DataFrame, by: list[str]) -> DataFrame:
-    """(by, kind, tier, fp, correction, deadline) of a session's state: what is worth saying, by what it says, never by its prose.
+def listed() -> "F.Column":
+    """The signals of a session's state as an array of (kind, tier, fp, correction, deadline): what is worth saying, by what it says, never by its prose.
 
     state: running, new_errors (array of fingerprints), recurring_errors, stuck, anomaly, blank, awaiting, expiring, cleared_errors, started. Errors
     and a program that is gone alert, what goes on or needs a look is a notice, a session's start is a heartbeat.
@@ -67,21 +62,25 @@ def built(state: DataFrame, by: list[str]) -> DataFrame:
     one = lambda kind, tier, fp, when, correction=False, deadline=False: F.when(when, F.array(F.struct(F.lit(kind).alias("kind"), F.lit(tier).alias("tier"), fp.alias("fp"), F.lit(correction).alias("correction"), F.lit(deadline).alias("deadline")))).otherwise(F.array())
     each = lambda kind, tier, fps, correction=False: F.transform(F.coalesce(fps, F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(tier).alias("tier"), x.alias("fp"), F.lit(correction).alias("correction"), F.lit(False).alias("deadline")))
     none = F.lit("")
-    signals = F.concat(
+    return F.concat(
         each("resolved", "notice", F.col("cleared_errors"), True), each("new_error", "alert", F.col("new_errors")), one("not_running", "alert", none, ~F.col("running")), each("recurring_error", "notice", F.col("recurring_errors")),
         one("stuck", "notice", none, F.col("stuck")), one("anomaly", "notice", none, F.col("anomaly")), one("blank", "notice", none, F.col("blank")), one("expiring", "notice", none, F.col("expiring") > 0, deadline=True), one("awaiting", "heartbeat", none, F.col("awaiting") > 0), one("started", "heartbeat", none, F.col("started")),
     )
-    out = state.select(*by, F.explode(signals).alias("s")).select(*by, "s.*")
+
+
+def built(state: DataFrame, by: list[str]) -> DataFrame:
+    """A session's signals as rows, with their rank and identity."""
+    out = state.select(*by, F.explode(listed()).alias("s")).select(*by, "s.*")
     return out.withColumn("rank", F.coalesce(*[F.when(F.col("tier") == t, F.lit(r)) for t, r in TIERS.items()])).withColumn("identity", content_identity("tier", "kind", "fp"))
 
 
 def decided(signals: DataFrame, said: DataFrame, by: list[str], now_s: float, limit: int = 3) -> DataFrame:
     """What to say now: signals without fresh repeats of equal or lower tier, then the highest tier's chosen ones, unless that tier spoke too lately.
 
-    said: (by, identity, rank, at_s) of what has been said. Corrections pass suppression; a heartbeat alone is said only where a session starts.
+    said: (by, kind, fp, rank, at_s) of what has been said. Corrections pass suppression; a heartbeat alone is said only where a session starts.
     """
-    before = said.groupBy(*by, "identity").agg(F.max("rank").alias("_rank"))
-    fresh = signals.join(before, [*by, "identity"], "left").filter(F.col("correction") | F.col("_rank").isNull() | (F.col("rank") > F.col("_rank"))).drop("_rank")
+    before = said.groupBy(*by, "kind", "fp").agg(F.max("rank").alias("_rank"))
+    fresh = signals.join(before, [*by, "kind", "fp"], "left").filter(F.col("correction") | F.col("_rank").isNull() | (F.col("rank") > F.col("_rank"))).drop("_rank")
     key = Window.partitionBy(*by)
     fresh = fresh.withColumn("_top", F.max("rank").over(key)).withColumn("_start", F.max(F.col("kind") == "started").over(key))
     fresh = fresh.filter((F.col("_top") > TIERS["heartbeat"]) | F.col("_start"))

@@ -178,7 +178,7 @@ def decided_signals(spark, sf_dir):
     """Users in threes have been told that they are stuck a moment ago: that is not said again, nor any other notice within its gap."""
     built = signals.built(sessions_state(spark, sf_dir), ["source"])
     third = F.substring("source", 6, 20).cast("long") % 3 == 0
-    said = built.filter((F.col("kind") == "stuck") & third).select("source", "identity", "rank", F.lit(990.0).alias("at_s"))
+    said = built.filter((F.col("kind") == "stuck") & third).select("source", "kind", "fp", "rank", F.lit(990.0).alias("at_s"))
     return signals.decided(built, said, ["source"], 1000.0).select("source", "kind", "fp")
 
 

@@ -60,6 +60,11 @@ def around_triggers(triggers: DataFrame, events: DataFrame, before: str = "60 se
     return triggers.join(events, F.expr(f"t_key = key AND ts >= t_ts - interval {before} AND ts <= t_ts + interval {after}"))
 
 
+def in_order(frames, *by: str) -> list:
+    """A key's rows of one micro-batch in order of time and `by`, whatever Arrow batches they came in."""
+    return list(pd.concat(list(frames)).sort_values(["ts_ms", *by], kind="stable").itertuples())
+
+
 class _Suppressor(StatefulProcessor):
     """Per session: a fingerprint surfaces first and then only at a higher tier."""
 
@@ -71,13 +76,12 @@ class _Suppressor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         out = []
-        for frame in rows:
-            for r in frame.sort_values("ts_ms").itertuples():
-                fp = (r.fp,)
-                last = self.seen.getValue(fp)[0] if self.seen.containsKey(fp) else 0
-                if r.tier > last:
-                    self.seen.updateValue(fp, (int(r.tier),))
-                    out.append((key[0], r.fp, int(r.tier), float(r.ts_ms)))
+        for r in in_order(rows):
+            fp = (r.fp,)
+            last = self.seen.getValue(fp)[0] if self.seen.containsKey(fp) else 0
+            if r.tier > last:
+                self.seen.updateValue(fp, (int(r.tier),))
+                out.append((key[0], r.fp, int(r.tier), float(r.ts_ms)))
         yield pd.DataFrame(out, columns=["session", "fp", "tier", "ts_ms"])
 
     def close(self) -> None:
@@ -96,13 +100,12 @@ class _Limiter(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         gaps = {rank: batch_signals.GAPS_S[name] * 1000.0 for name, rank in batch_signals.TIERS.items()}
         out = []
-        for frame in rows:
-            for r in frame.sort_values("ts_ms").itertuples():
-                tier = (int(r.tier),)
-                last = self.last.getValue(tier)[0] if self.last.containsKey(tier) else None
-                if last is None or r.ts_ms - last >= gaps.get(int(r.tier), 0.0):
-                    self.last.updateValue(tier, (float(r.ts_ms),))
-                    out.append((key[0], r.fp, int(r.tier), float(r.ts_ms)))
+        for r in in_order(rows):
+            tier = (int(r.tier),)
+            last = self.last.getValue(tier)[0] if self.last.containsKey(tier) else None
+            if last is None or r.ts_ms - last >= gaps.get(int(r.tier), 0.0):
+                self.last.updateValue(tier, (float(r.ts_ms),))
+                out.append((key[0], r.fp, int(r.tier), float(r.ts_ms)))
         yield pd.DataFrame(out, columns=["session", "fp", "tier", "ts_ms"])
 
     def close(self) -> None:
