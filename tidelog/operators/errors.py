@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import sequence
 from .state import map_delta
 
 
@@ -34,10 +35,10 @@ def trend(rows: DataFrame, by: list[str], order: list[str], is_error: Column, fr
     return out.withColumn("trend", F.when(F.col("frames") < 4, "unknown").when(F.col("newer") > F.col("older"), "rising").when(F.col("newer") < F.col("older"), "falling").otherwise("steady"))
 
 
-def occurrences(rows: DataFrame, fp: str, order: list[str], identity: str) -> DataFrame:
-    """Per fingerprint how often its block's text changed: a block that is read again does not count again."""
-    before = F.lag(identity).over(Window.partitionBy(fp).orderBy(*order))
-    return rows.withColumn("_new", F.when(before.isNull() | (before != F.col(identity)), 1).otherwise(0)).groupBy(fp).agg(F.sum("_new").alias("occurrences"))
+def occurrences(rows: DataFrame, fp: str, order: list[str], identity: str, width: float = sequence.STRETCH_MS) -> DataFrame:
+    """Per fingerprint how often its block's text changed: a block that is read again does not count again. width: of the stretches in which a fingerprint's rows are sorted."""
+    before = F.col(f"_p.{identity}")
+    return sequence.with_previous(rows, [fp], order, [identity], width).withColumn("_new", F.when(before.isNull() | (before != F.col(identity)), 1).otherwise(0)).groupBy(fp).agg(F.sum("_new").alias("occurrences"))
 
 
 def difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import records
 
 #: Cues in the order in which they decide, and each language's frame pattern with (file, line, function) groups.
 CUES = [("python", r"Traceback \(most recent call last\)|^\s*File \"[^\"]+\", line \d+"), ("go", r"(?m)^panic: |^goroutine \d+"), ("rust", r"panicked at"), ("php", r"PHP Fatal error|Uncaught .* in .*\.php"), ("cpp", r"terminate called|SIGSEGV|SIGABRT|Segmentation fault"), ("java", r"(?m)^\s+at [\w.$]+\([\w]+\.(?:java|kt|scala):\d+\)|Exception in thread"), ("ruby", r"\.rb:\d+:in "), ("dotnet", r"(?m)^\s+at .+ in .+:line \d+|--->"), ("node", r"(?m)^\s+at .+\(?[^()\s]+:\d+:\d+\)?")]
@@ -26,10 +27,7 @@ MAX_FRAMES, MAX_MESSAGE = 25, 400
 
 def blocks(lines: DataFrame, by: list[str], order: str, line: str, starts: Column) -> DataFrame:
     """(by, block_no, first, block): a line that starts a record opens a block, the others join the one before."""
-    w = Window.partitionBy(*by).orderBy(order)
-    rows = lines.withColumn("_b", F.sum(F.when(starts, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    per = rows.groupBy(*by, F.col("_b").alias("block_no")).agg(F.min(order).alias("first"), F.array_sort(F.collect_list(F.struct(order, line))).alias("_l"))
-    return per.withColumn("block", F.array_join(F.transform("_l", lambda x: x[line]), "\n")).drop("_l")
+    return records.assembled(lines, by, order, line, starts).select(*by, F.col("record_no").alias("block_no"), "first", F.col("record").alias("block"))
 
 
 def language(block: Column) -> Column:
@@ -85,9 +83,35 @@ def parse_exceptions(rows: DataFrame, block: str) -> DataFrame:
     return out.withColumn("fingerprint", F.when(F.col("language").isNotNull(), text.fingerprint(label))).withColumn("cause", text.probable_cause(F.col("type"), F.col("message")))
 
 
+def _parts(path: Column) -> Column:
+    """A path's parts from the last to the first."""
+    return F.reverse(F.filter(F.split(path, r"[/\\\\]+"), lambda x: (x != "") & (x != ".")))
+
+
+def _endings(parts: Column) -> Column:
+    """All endings of a path, each as one text, from its name alone to the whole."""
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("length"), F.array_join(F.slice(parts, 1, n), "/").alias("ending")))
+
+
+def resolved_files(errors: DataFrame, code: DataFrame, file: str = "file", path: str = "path") -> DataFrame:
+    """(file, path, length, candidates): for each distinct file of a frame the path with which it shares the longest ending, where one of the two is an ending of the other.
+
+    Every path gives its endings once, counted before they meet the files, so any number of paths of one name are one row. Of equally long matches the
+    first path by name is taken, and candidates says how many there were.
+    """
+    files = errors.select(F.col(file).alias("file")).filter(F.col("file").isNotNull()).distinct().withColumn("_f", _parts(F.col("file"))).filter(F.size("_f") > 0)
+    paths = code.select(F.col(path).alias("path")).filter(F.col("path").isNotNull()).distinct().withColumn("_p", _parts(F.col("path"))).filter(F.size("_p") > 0)
+    ends = paths.select("path", F.explode(_endings(F.col("_p"))).alias("e")).groupBy(F.col("e.ending").alias("ending")).agg(F.min("path").alias("path"), F.count("*").alias("candidates"))
+    inside = files.select("file", F.size("_f").alias("length"), F.array_join("_f", "/").alias("ending")).join(ends, "ending").select("file", "path", "length", "candidates")
+    whole = paths.groupBy(F.array_join("_p", "/").alias("ending")).agg(F.min("path").alias("path"), F.count("*").alias("candidates"))
+    around = files.select("file", F.explode(_endings(F.col("_f"))).alias("e")).select("file", "e.length", "e.ending").join(whole, "ending").select("file", "path", "length", "candidates")
+    best = inside.unionByName(around).groupBy("file").agg(F.min(F.struct((-F.col("length")).alias("less"), "path", "candidates")).alias("b"))
+    return best.select("file", "b.path", (-F.col("b.less")).alias("length"), "b.candidates")
+
+
 def source_lines(errors: DataFrame, code: DataFrame, context: int = 4) -> DataFrame:
-    """Each error frame (file, line) with the lines around it of code (path, line_no, text), joined by file name and then by path ending."""
-    name = lambda c: F.element_at(F.split(c, r"[/\\]"), -1)
-    a, b = errors.withColumn("_name", name(F.col("file"))), code.withColumn("_name", name(F.col("path")))
-    near = F.col("line_no").between(F.col("line") - context, F.col("line") + context)
-    return a.join(b, "_name").filter(near & (F.col("path").endswith(F.col("file")) | F.col("file").endswith(F.col("path")))).drop("_name")
+    """Each error frame (file, line) with the lines around it of code (path, line_no, text), by the path that shares the longest ending with the frame's file."""
+    found = errors.join(resolved_files(errors, code).select(F.col("file").alias("_file"), F.col("path").alias("path")), F.col("file") == F.col("_file")).drop("_file")
+    near = found.withColumn("line_no", F.explode(F.sequence(F.col("line") - context, F.col("line") + context)))
+    text_of = code.select("path", F.col("line_no").alias("_no"), *[c for c in code.columns if c not in ("path", "line_no")])
+    return near.join(text_of, (near["path"] == text_of["path"]) & (F.col("line_no") == F.col("_no"))).drop(text_of["path"]).drop("_no")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks, sequence
+
 # Floors of the supply rails in volts, critical temperatures, and evidence lines by (pattern, cause, points).
 RAIL_FLOORS = {12.0: 11.4, 5.0: 4.75, 3.3: 3.135}
 CRITICAL = [("gpu", 103.0), ("cpu|core|tctl", 95.0), ("", 108.0)]
@@ -39,14 +41,14 @@ def critical_limit(label: Column) -> Column:
     return out
 
 
-def telemetry_points(samples: DataFrame, by: list[str]) -> DataFrame:
+def telemetry_points(samples: DataFrame, by: list[str], width_s: float = 86_400.0) -> DataFrame:
     """(by, cause, points, rule) from samples (by, ts_s, temp, temp_label, fan_rpm, volts, watts) in seconds and plain columns.
 
     Rules: hottest of the last 120 s at its limit; a rise of 10 degrees over 300 s to 85 or more; a stopped fan at 80 or more;
     the newer half's lowest rail below its floor, or else 4 % below the median; the last watts at 1.5 times the earlier median of 5 or more.
     """
     end = samples.groupBy(*by).agg(F.max("ts_s").alias("_end"))
-    rows = samples.join(end, by).withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("ts_s"))).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
+    rows = ranks.with_place(samples.join(end, by), by, ["ts_s"], width_s, "_i", "_n")
     age = F.col("_end") - F.col("ts_s")
     floor = reduce(lambda acc, p: acc.when(F.col("_rail") == p[0], F.lit(p[1])), RAIL_FLOORS.items(), F.when(F.lit(False), F.lit(0.0)))
     rows = rows.withColumn("_rail", rail_nominal(F.col("volts"))).withColumn("_floor", floor)
@@ -59,11 +61,11 @@ def telemetry_points(samples: DataFrame, by: list[str]) -> DataFrame:
         F.max(F.when((F.col("fan_rpm") == 0) & (F.col("temp") >= 80), 1).otherwise(0)).alias("fan_stopped"),
         F.min(F.when(newer, F.col("volts") - F.col("_floor"))).alias("rail_gap"),
         F.min(F.when(newer, F.col("volts"))).alias("v_low"),
-        F.median("volts").alias("v_median"),
         F.max(F.when(age == 0, F.col("watts"))).alias("w_last"),
-        F.median(F.when((age > 0) & (age <= 600), F.col("watts"))).alias("w_median"),
         F.count_if(age <= 600).alias("w_n"),
     )
+    late = rows.withColumn("_w", F.when((age > 0) & (age <= 600), F.col("watts")))
+    facts = facts.join(ranks.medians(rows, by, "volts", "v_median"), by).join(ranks.medians(late, by, "_w", "w_median"), by)
     rules = [
         ("thermal", 3.0, "critical temperature", F.col("over") >= 0),
         ("thermal", 2.0, "temperature climbing", (F.col("t_last") - F.col("t_first") >= 10) & (F.col("t_last") >= 85)),
@@ -101,10 +103,10 @@ def shutdown_causes(lines: DataFrame, line: str) -> DataFrame:
     return lines.select(code.alias("code")).filter(F.col("code").isNotNull()).groupBy("code").agg(F.count("*").alias("n")).withColumn("meaning", meaning)
 
 
-def unclean_sessions(samples: DataFrame, by: list[str], ts: str, boot: str) -> DataFrame:
+def unclean_sessions(samples: DataFrame, by: list[str], ts: str, boot: str, width: float = sequence.STRETCH_MS) -> DataFrame:
     """Sessions whose last sample lies before the next boot: the boot's sample and the gap."""
-    w = Window.partitionBy(*by).orderBy(ts)
-    return samples.withColumn("previous_s", F.lag(ts).over(w)).filter(F.col(boot) & F.col("previous_s").isNotNull()).withColumn("gap_s", F.col(ts) - F.col("previous_s"))
+    found = sequence.with_previous(samples, by, [ts], [ts], width).withColumn("previous_s", F.col(f"_p.{ts}")).drop("_b", "_p")
+    return found.filter(F.col(boot) & F.col("previous_s").isNotNull()).withColumn("gap_s", F.col(ts) - F.col("previous_s"))
 
 
 def metrics(samples: DataFrame, by: list[str], ts: str, now_s: float, window_s: float = 600) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import lineage, ranks
+
+#: Width of a stretch of time, in milliseconds, where none is given; and rows of a run that are looked at within one array.
+STRETCH_MS, RUN_ROWS = 86_400_000.0, 1024
+
 
 def islands(rows: DataFrame, by: list[str], order: list[str], same: Column) -> DataFrame:
     """rows + `island`: numbers runs from 1; a run goes on while `same` (about a row and its predecessor) holds."""
@@ -79,16 +83,20 @@ def deltas(rows: DataFrame, by: list[str], order: list[str], value: str, width:
     return rows.withColumn("delta", F.round(F.col(value) - before(value, by, order), 4))
 
 
-def error_runs(rows: DataFrame, by: list[str], order: list[str], is_error: Column, window: int = 3) -> DataFrame:
+def error_runs(rows: DataFrame, by: list[str], order: list[str], is_error: Column, window: int = 3, width: float = STRETCH_MS) -> DataFrame:
     """Rows at which the last `window` rows are all errors."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - window, 0)
-    return rows.withColumn("_n", F.sum(F.when(is_error, 1).otherwise(0)).over(w)).filter(F.col("_n") == window).drop("_n")
+    placed = ranks.with_place(rows.withColumn("_e", F.coalesce(is_error, F.lit(False))), by, order, width, "_at")
+    runs = numbered_runs(with_previous(placed, by, order, ["_e"], width), by, order, F.col("_p._e") == F.col("_e")).filter("_e")
+    begins = runs.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("island").alias("_run")).agg(F.min("_at").alias("_first"))
+    on = F.col("island") == F.col("_run")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return runs.join(begins, on).filter(F.col("_at") - F.col("_first") >= window - 1).select(*rows.columns)
 
 
-def every_nth(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+def every_nth(rows: DataFrame, by: list[str], order: list[str], n: int, width: float = STRETCH_MS) -> DataFrame:
     """The 1st, (n+1)th, ... row of each key."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("_i", F.row_number().over(w)).filter((F.col("_i") - 1) % n == 0).drop("_i")
+    return ranks.with_place(rows, by, order, width).filter((F.col("_i") - 1) % n == 0).drop("_i")
 
 
 def slope(rows: DataFrame, by: list[str], ts: str, value: str, window_ms: int) -> DataFrame:
@@ -98,35 +106,78 @@ def slope(rows: DataFrame, by: list[str], ts: str, value: str, window_ms: int) -
     return recent.groupBy(*by).agg(F.round(F.max_by(value, ts) - F.min_by(value, ts), 6).alias("rise"), F.count("*").alias("n"))
 
 
-def sag(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+def _with(rows: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with the facts of their key; a null key is a key."""
+    named = facts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], *[c for c in facts.columns if c not in by])
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(named, on).drop(*[f"_k{i}" for i in range(len(by))])
+
+
+def sag(rows: DataFrame, by: list[str], order: list[str], value: str, width: float = STRETCH_MS) -> DataFrame:
     """The newer half's minimum against the median of all: sag_pct."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    numbered = rows.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    out = numbered.groupBy(*by).agg(F.median(value).alias("median"), F.min(F.when(F.col("_i") > F.col("_n") / 2, F.col(value))).alias("low"))
+    placed = ranks.with_place(rows, by, order, width, "_i", "_n")
+    low = placed.groupBy(*by).agg(F.min(F.when(F.col("_i") > F.col("_n") / 2, F.col(value))).alias("low"))
+    out = _with(low, ranks.medians(rows, by, value), by)
     return out.select(*by, F.round("median", 6).alias("median"), F.round("low", 6).alias("low"), F.round(F.try_divide(F.col("median") - F.col("low"), F.col("median")) * 100, 4).alias("sag_pct"))
 
 
 def spikes(rows: DataFrame, by: list[str], order: list[str], value: str, ratio: float = 1.5, least: int = 5) -> DataFrame:
     """Keys whose last value is `ratio` times the median of the earlier ones or more, of `least` rows at least."""
-    w = Window.partitionBy(*by).orderBy(*[F.desc(o) for o in order])
-    numbered = rows.withColumn("_i", F.row_number().over(w))
-    out = numbered.groupBy(*by).agg(F.max(F.when(F.col("_i") == 1, F.col(value))).alias("latest"), F.median(F.when(F.col("_i") > 1, F.col(value))).alias("median"), F.count("*").alias("n"))
-    return out.filter((F.col("n") >= least) & (F.col("latest") >= ratio * F.col("median"))).select(*by, F.round("latest", 6).alias("latest"), F.round("median", 6).alias("median"), "n")
-
-
-def rate_limited(rows: DataFrame, by: str, ts: str, tie: str, gap: float) -> DataFrame:
-    """Rows accepted when each must be `gap` or more after the last accepted one of its key. Depends on what was accepted, so it runs key by key; a key's rows come sorted in Arrow batches and only the last time is held."""
-    schema = rows.select(by, ts, tie).schema
-
-    def pick(batches):
-        last: dict = {}
-        for frame in batches:
-            keep = []
-            for key, t in zip(frame[by], frame[ts]):
-                ok = key not in last or t - last[key] >= gap
-                if ok:
-                    last = {key: t}
-                keep.append(ok)
-            yield frame[pd.Series(keep, index=frame.index, dtype=bool)]
-
-    return rows.select(by, ts, tie).repartition(F.col(by)).sortWithinPartitions(by, ts, tie).mapInPandas(pick, schema)
+    last = rows.groupBy(*by).agg(F.max(F.struct(*order)).alias("_last"), F.max_by(value, F.struct(*order)).alias("latest"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    earlier = _with(rows, last.select(*by, "_last"), by).filter(F.struct(*order) < F.col("_last"))
+    out = _with(last, ranks.medians(earlier, by, value), by)
+    return out.filter(F.col("latest") >= ratio * F.col("median")).select(*by, F.round("latest", 6).alias("latest"), F.round("median", 6).alias("median"), "n")
+
+
+def rate_limited(rows: DataFrame, by: str, ts: str, tie: str, gap: float, run_rows: int = RUN_ROWS) -> DataFrame:
+    """(by, ts, tie) of the rows accepted when each must be `gap` or more after the last accepted one of its key, in order of (ts, tie); rows without a time are left out.
+
+    A row after a silence of `gap` is accepted whatever came before, so what lies between two silences is a run of its own. A run of up to run_rows rows is gone
+    through within one array; in a longer one each row points at the first row `gap` later, and the pointers are doubled until all that the run's first row reaches is found.
+    """
+    data = rows.select(by, ts, tie).filter(F.col(ts).isNotNull())
+    runs = numbered_runs(with_previous(data, [by], [ts, tie], [ts], 64.0 * gap), [by], [ts, tie], F.col(ts) - F.col(f"_p.{ts}") < gap)
+    sized = _with(runs, runs.groupBy(by, "island").agg(F.count("*").alias("_size")), [by, "island"])
+    kind = data.schema[ts].dataType.simpleString()
+    short = sized.filter(F.col("_size") <= run_rows).groupBy(by, "island").agg(F.array_sort(F.collect_list(F.struct(ts, tie))).alias("_r"))
+    item = f"struct<{ts}:{kind},{tie}:{data.schema[tie].dataType.simpleString()}>"
+    start = F.struct(F.lit(None).cast(kind).alias("last"), F.array().cast(f"array<{item}>").alias("kept"))
+    step = lambda acc, r: F.when(acc["last"].isNull() | (r[ts] - acc["last"] >= gap), F.struct(r[ts].alias("last"), F.concat(acc["kept"], F.array(r)).alias("kept"))).otherwise(acc)
+    accepted = short.select(by, F.explode(F.aggregate("_r", start, step)["kept"]).alias("r")).select(by, F.col(f"r.{ts}").alias(ts), F.col(f"r.{tie}").alias(tie))
+    long = sized.filter(F.col("_size") > run_rows).select(by, ts, tie, "island")
+    if long.isEmpty():
+        return accepted
+    return accepted.unionByName(_reached(long, [by, "island"], ts, tie, gap).select(by, ts, tie))
+
+
+def successors(rows: DataFrame, by: list[str], ts: str, tie: str, gap: float) -> DataFrame:
+    """Rows + _next, the first row of their key `gap` or more later as (ts, tie); null at the end. Time is cut into cells of the gap: the row sought is in the next cell, or else the first of the next cell that has rows."""
+    cells = rows.withColumn("_cell", F.floor(F.col(ts) / gap).cast("long"))
+    me = F.struct(F.col(ts), F.col(tie))
+    # what asks stands among the rows of the next cell at its own time plus the gap
+    asked = cells.select(*by, (F.col("_cell") + 1).alias("_cell"), (F.col(ts) + gap).alias("_at"), F.lit(0).alias("_row"), me.alias("_me"))
+    there = cells.select(*by, "_cell", F.col(ts).alias("_at"), F.lit(1).alias("_row"), me.alias("_me"))
+    w = Window.partitionBy(*by, "_cell").orderBy("_at", "_row", "_me").rowsBetween(1, Window.unboundedFollowing)
+    found = asked.unionByName(there).withColumn("_near", F.first(F.when(F.col("_row") == 1, F.col("_me")), ignorenulls=True).over(w)).filter(F.col("_row") == 0)
+    firsts = cells.groupBy(*by, "_cell").agg(F.min(me).alias("_first")).withColumn("_down", -F.col("_cell"))
+    one = with_previous(firsts, by, ["_down"], ["_cell", "_first"], 4096.0).withColumn("_one", F.col("_p")).drop("_b", "_p")
+    two = with_previous(one, by, ["_down"], ["_one"], 4096.0)
+    far = F.when(F.col("_one._cell") == F.col("_cell") + 1, F.col("_p._one._first")).otherwise(F.col("_one._first"))
+    after = two.select(*by, (F.col("_cell") + 1).alias("_cell"), far.alias("_far"))
+    return _with(found, after, [*by, "_cell"]).select(*by, F.col(f"_me.{ts}").alias(ts), F.col(f"_me.{tie}").alias(tie), F.coalesce("_near", "_far").alias("_next"))
+
+
+def _reached(rows: DataFrame, by: list[str], ts: str, tie: str, gap: float) -> DataFrame:
+    """Rows that the first row of each key reaches by its pointers: after k rounds those of up to 2**k steps are known, and every pointer spans 2**k."""
+    points = lineage.cut(successors(rows, by, ts, tie, gap).withColumn("_me", F.struct(F.col(ts), F.col(tie))).select(*by, "_me", "_next"))
+    found = lineage.cut(points.groupBy(*by).agg(F.min("_me").alias("_me")))
+    while True:
+        ahead = points.filter(F.col("_next").isNotNull())
+        further = found.join(ahead, [*by, "_me"]).select(*by, F.col("_next").alias("_me"))
+        if further.isEmpty():
+            return found.select(*by, F.col(f"_me.{ts}").alias(ts), F.col(f"_me.{tie}").alias(tie))
+        found = lineage.cut(found.unionByName(further).distinct())
+        onward = ahead.select(*by, F.col("_me").alias("_next"), F.col("_next").alias("_then"))
+        points = lineage.cut(ahead.join(onward, [*by, "_next"]).select(*by, "_me", F.col("_then").alias("_next")))

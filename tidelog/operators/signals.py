@@ -24,9 +24,12 @@ def watch_hits(events: DataFrame, watches: list[dict]) -> DataFrame:
 
 
 def unsuppressed(signals: DataFrame, by: list[str], order: list[str], rank: str) -> DataFrame:
-    """Signals of a fingerprint that are its first or of a higher tier than any before."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return signals.withColumn("_before", F.max(rank).over(w)).filter(F.col("_before").isNull() | (F.col(rank) > F.col("_before"))).drop("_before")
+    """Signals of a fingerprint that are its first or of a higher tier than any before: of each tier the first row, where no row of a higher tier is earlier. Nothing is sorted but a fingerprint's tiers."""
+    me = F.struct(*order, *[c for c in signals.columns if c not in order])
+    firsts = signals.filter(F.col(rank).isNotNull()).groupBy(*by, F.col(rank).alias("_rank")).agg(F.min(me).alias("_me"))
+    above = F.min(F.struct(*[F.col(f"_me.{o}") for o in order])).over(Window.partitionBy(*by).orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, -1))
+    kept = firsts.withColumn("_above", above).filter(F.col("_above").isNull() | (F.struct(*[F.col(f"_me.{o}") for o in order]) < F.col("_above")))
+    return kept.select("_me.*").select(*signals.columns)
 
 
 def chosen(signals: DataFrame, by: list[str], rank: str, tie: list[str], limit: int = 3) -> DataFrame:

@@ -86,8 +86,8 @@ def without_own(lines: DataFrame, markers: list[str], column: str = "line") -> D
 
 
 def up_to_offset(rows: DataFrame, offset: int) -> DataFrame:
-    """Rows that were complete at a pinned byte offset; 0 pins nothing."""
-    return rows.filter(F.col("offset") <= offset) if offset else rows
+    """Rows (of `tail`'s readers) that were complete at a pinned byte offset; 0 pins nothing."""
+    return rows.filter(F.col("end") <= offset) if offset else rows
 
 
 def page(rows: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFrame:

@@ -575,12 +575,12 @@ def detect_format(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import telemetry, texts  # noqa: F401  they add theirs
+    from . import evidence, telemetry, texts  # noqa: F401  they add theirs
 
     return QUERIES | WITHOUT_SQL
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import telemetry, texts  # noqa: F401
+    from . import evidence, telemetry, texts  # noqa: F401
 
     return dict(SQL)

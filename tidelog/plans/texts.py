@@ -238,11 +238,6 @@ def timeline_page(spark, sf_dir):
     return timeline.page(events(spark, sf_dir), ["ts_ms", "event_id"], 50, 100).select("event_id", "ts_ms")
 
 
-@query("SELECT event_id FROM events WHERE event_id <= 1000")
-def pinned_offset(spark, sf_dir):
-    return timeline.up_to_offset(table(spark, sf_dir, "events").withColumn("offset", ident()), 1000).select("event_id")
-
-
 @query("SELECT event_id FROM events WHERE event_id % 4 NOT IN (0, 3)")
 def without_own_lines(spark, sf_dir):
     lines = table(spark, sf_dir, "events").select("event_id", choice("[observer] tick", "started", "stopped", "obs.heartbeat 3").alias("line"))
@@ -339,11 +334,6 @@ def code_symbols(spark, sf_dir):
     return sources.symbols(code(spark, sf_dir), "path", "text")
 
 
-@query("SELECT unnest(['raises', 'imports']) AS signal, unnest([count(*), 2 * count(*)]) AS hits, count(*) AS files, min('/src/f' || p_partkey || '.py') AS example FROM part")
-def code_signal_hits(spark, sf_dir):
-    return sources.code_signals(code(spark, sf_dir), "path", "text", {"raises": r"\braise\b", "imports": r"(?m)^(?:import|from) ", "none": "zzz"})
-
-
 @query("SELECT '/src/f' || p_partkey || '.py' AS path, '/src/f' || p_partkey || '.py: class C' || p_partkey || ', def run' AS line FROM part")
 def source_outline(spark, sf_dir):
     return sources.light_digest(code(spark, sf_dir), "path", "text")

@@ -101,13 +101,6 @@ def symbols(code: DataFrame, path: str, text: str) -> DataFrame:
     return code.select(F.col(path).alias("path"), F.explode(F.arrays_zip(kind.alias("kind"), name.alias("name"))).alias("s")).select("path", "s.kind", "s.name")
 
 
-def code_signals(code: DataFrame, path: str, text: str, patterns: dict[str, str]) -> DataFrame:
-    """(signal, hits, files, example) of named patterns over a tree, in one pass over the files."""
-    counts = F.array(*[F.struct(F.lit(k).alias("signal"), F.regexp_count(text, F.lit(p)).alias("hits")) for k, p in patterns.items()])
-    rows = code.select(F.col(path).alias("path"), F.explode(counts).alias("s")).filter(F.col("s.hits") > 0)
-    return rows.groupBy("s.signal").agg(F.sum("s.hits").alias("hits"), F.count("*").alias("files"), F.min("path").alias("example"))
-
-
 def light_digest(code: DataFrame, path: str, text: str, most: int = 20) -> DataFrame:
     """(path, line): one line a file that names its first symbols."""
     pattern = r"(?m)^\s*(?:export\s+|public\s+|private\s+|async\s+|static\s+)*(class|def|func|fn|function|interface|struct)\s+([A-Za-z_]\w*)"
