@@ -60,6 +60,7 @@ certificate | ssl sslhandshake certificate certificatevalidation x509 | | certif
 pool exhausted | pooltimeout | | pool exhausted; pool is exhausted; no available connections; too many connections; queuepool limit
 schema mismatch | undefinedtable undefinedcolumn operational | | no such table; no such column; unknown column; unknown table; does not exist in the schema
 conflict | conflict integrity duplicatekey alreadyexists fileexists uniqueviolation | 409 eexist | already exists; duplicate key; duplicate entry; unique constraint; conflict
+misused channel | | | send on closed channel; close of closed channel; close of nil channel
 lock contention | deadlock locktimeout lock wouldblock | eagain ewouldblock | deadlock; all goroutines are asleep; lock wait; would block; could not obtain lock; database is locked
 """
 
@@ -169,9 +170,12 @@ def text_tokens(n_chars: Column) -> Column:
     return F.ceil(n_chars / 4).cast("long")
 
 
-def visual_tokens(width: Column, height: Column, most: int = 1568) -> Column:
-    """Patches of 28 pixels, at most `most`."""
-    return F.least((F.ceil(width / 28) * F.ceil(height / 28)).cast("long"), F.lit(most).cast("long"))
+def visual_tokens(width: Column, height: Column, edge: int = 2576, most: int = 4784) -> Column:
+    """Patches of 28 pixels, at most `most`, after an image with a side beyond `edge` has been scaled down to it, each side cut to whole pixels but 1 at least. No size, no tokens."""
+    long = F.greatest(width, height)
+    scale = F.when(long > edge, F.lit(float(edge)) / long).otherwise(1.0)
+    side = lambda x: F.greatest(F.floor(x * scale), F.lit(1))
+    return F.when((width > 0) & (height > 0), F.least((F.ceil(side(width) / 28) * F.ceil(side(height) / 28)).cast("long"), F.lit(most).cast("long"))).otherwise(F.lit(0).cast("long"))
 
 
 def error_keywords(text: Column) -> Column:

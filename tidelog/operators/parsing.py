@@ -49,12 +49,12 @@ def scores(sample: DataFrame, source: str, line: str, catalogue: dict[str, forma
     known = list((catalogue or formats.FORMATS).values())
     c = F.col(line)
     hits = [F.when(f.matches(c), 1.0).otherwise(0.0) for f in known]
-    hits += [F.when(formats.is_json(c), 1.0).otherwise(0.0), F.when(timeparse.parse_timestamp(c).isNotNull(), formats.GENERIC_SHARE).otherwise(0.0), F.when(formats.recognised(c), formats.STRUCTURAL_CAP).otherwise(0.0)]
-    names = [f.name for f in known] + ["jsonl", "generic_ts", "structural"]
+    hits += [F.when(formats.is_json(c), 1.0).otherwise(0.0), F.when(timeparse.parse_timestamp(c).isNotNull(), formats.GENERIC_SHARE).otherwise(0.0), F.when(formats.recognised(c), formats.STRUCTURAL_CAP).otherwise(0.0), F.lit(formats.RAW_SCORE)]
+    names = [f.name for f in known] + ["jsonl", "generic_ts", "structural", "raw"]
     out = sample.filter(F.trim(line) != "").select(F.col(source).alias("source"), F.posexplode(F.array(*hits)).alias("priority", "hit"))
     out = out.groupBy("source", "priority").agg(F.avg("hit").alias("score"))
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("priority") + 1)
-    floor = F.when(F.col("priority") == len(names) - 1, F.greatest(F.col("score"), F.lit(formats.STRUCTURAL_FLOOR))).otherwise(F.col("score"))
+    floor = F.when(F.col("priority") == len(names) - 2, F.greatest(F.col("score"), F.lit(formats.STRUCTURAL_FLOOR))).otherwise(F.col("score"))
     return out.select("source", name.alias("adapter"), "priority", floor.alias("score"))
 
 
@@ -85,12 +85,13 @@ def parse(lines: DataFrame, detected: DataFrame, source: str, line: str, zone: s
     rows = marked.withColumn("_one", empty if one is None else one).withColumn("_kv", F.when(F.col("_one").isNull(), formats.pairs(c)))
     rows = rows.withColumn("_e", F.coalesce(F.col("_one"), formats.structural(c, F.col("_kv"))))
     rows = rows.withColumn("_ms", F.coalesce(F.col("_e.ts_ms"), timeparse.coerce_timestamp(F.col("_e.ts_text"), zone, reference)))
+    native = F.when(F.col("_adapter") == "jsonl", formats.native_category(c)) if "jsonl" in used else F.lit(None).cast("string")
     level, was, why = levels.escalated(F.col("_e.level"), F.when(F.coalesce(F.col("_e.message"), F.lit("")) == "", c).otherwise(F.col("_e.message")))
     return rows.select(
         *[F.col(x) for x in lines.columns],
         F.col("_ms").alias("ts_ms"),
         F.when(level == "", "INFO").otherwise(level).alias("level"),
-        levels.level_category(F.when(level == "", "INFO").otherwise(level)).alias("category"),
+        F.coalesce(native, levels.level_category(F.when(level == "", "INFO").otherwise(level))).alias("category"),
         F.col("_e.source").alias("event_source"),
         F.col("_e.message").alias("message"),
         F.col("_e.data").alias("data"),
@@ -115,10 +116,15 @@ def docker_json(lines: DataFrame, line: str) -> DataFrame:
     return out.select(*lines.columns, timeparse.parse_timestamp(F.col("_d.time")).alias("ts_ms"), level.alias("level"), levels.level_category(level).alias("category"), F.regexp_replace("_d.log", r"\r?\n$", "").alias("message"))
 
 
-def coverage(parsed: DataFrame, source: str) -> DataFrame:
-    """Per source: lines, lines that only a fallback read, and whether its format is known."""
+def coverage(parsed: DataFrame, source: str, declared: DataFrame | None = None) -> DataFrame:
+    """Per source: lines, lines that only a fallback read, and whether its format is known. With a table of declared sources also the verdict: covered, gaps, or pending where a declared source has no line yet."""
     gap = F.col("adapter").isin(FALLBACK)
-    return parsed.groupBy(source).agg(F.count("*").alias("n"), F.count_if(gap).alias("gaps"), F.bool_and(~gap).alias("ready"))
+    found = parsed.groupBy(source).agg(F.count("*").alias("n"), F.count_if(gap).alias("gaps"), F.bool_and(~gap).alias("ready"))
+    if declared is None:
+        return found
+    both = declared.select(source).distinct().join(found, source, "full_outer")
+    verdict = F.when(F.col("n").isNull(), "pending").when(F.col("ready"), "covered").otherwise("gaps")
+    return both.select(source, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("gaps", F.lit(0)).alias("gaps"), F.coalesce("ready", F.lit(False)).alias("ready"), verdict.alias("verdict"))
 
 
 def test_line(spark: SparkSession, line: str, top: int = 5) -> DataFrame:
@@ -127,6 +133,13 @@ def test_line(spark: SparkSession, line: str, top: int = 5) -> DataFrame:
     return scores(one, "source", "line").filter(F.col("score") > 0).orderBy(F.desc("score"), "priority").limit(top).select("adapter", "score")
 
 
+def test_event(spark: SparkSession, line: str, **options) -> DataFrame:
+    """The event that a line gives with its best format, and that format's score."""
+    one = spark.createDataFrame([("line", line)], "source string, line string")
+    found = detect(one.withColumn("_at", F.lit(0)), "source", "line", ["_at"])
+    return parse(one, found, "source", "line", **options).join(found.select("source", "score"), "source")
+
+
 def add_format(catalogue: dict[str, formats.Format], name: str, pattern: str, sample: list[str], spark: SparkSession, rule: str = "", time: str = "stamp", family: str = "user") -> dict[str, formats.Format]:
     """The catalogue with one more format in front. Refused if the name is built in, the format does not win its own sample, or it takes a sample line that a named format reads."""
     if name in formats.FORMATS:

@@ -59,12 +59,13 @@ def streaks(rows: DataFrame, by: list[str], order: list[str], value: str, least:
     return run_lengths(rows, by, order, value, width).filter(F.col("repeat") >= least)
 
 
-def stuck(rows: DataFrame, by: list[str], order: list[str], distance: str, size: str, near: int = 2, least: int = 5) -> DataFrame:
+def stuck(rows: DataFrame, by: list[str], order: list[str], distance: str, size: str, near: int = 2, least: int = 5, width: float = STRETCH_MS) -> DataFrame:
     """Rows at which `least` consecutive distances are at most `near` while the log has not grown since the streak's start."""
-    runs = islands(rows, by, order, (F.col(distance) <= near) & (before(distance, by, order) <= near))
-    w = Window.partitionBy(*by, "island").orderBy(*order)
-    out = runs.withColumn("streak", F.row_number().over(w)).withColumn("_from", F.first(size).over(w))
-    return out.filter((F.col(distance) <= near) & (F.col("streak") >= least) & (F.col(size) <= F.col("_from"))).drop("_from", "island")
+    placed = ranks.with_place(rows, by, order, width, "_at")
+    runs = numbered_runs(with_previous(placed, by, order, [distance], width), by, order, (F.col(distance) <= near) & (F.col(f"_p.{distance}") <= near))
+    begins = runs.groupBy(*by, "island").agg(F.min("_at").alias("_first"), F.min_by(size, "_at").alias("_from"))
+    out = _with(runs, begins, [*by, "island"]).withColumn("streak", F.col("_at") - F.col("_first") + 1)
+    return out.filter((F.col(distance) <= near) & (F.col("streak") >= least) & (F.col(size) <= F.col("_from"))).drop("_from", "_first", "_at", "island")
 
 
 def sessions(rows: DataFrame, by: list[str], ts: str, gap_ms: int, *ties: str, width: float | None = None) -> DataFrame:

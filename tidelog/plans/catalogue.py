@@ -559,14 +559,31 @@ def token_report(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.text_tokens(F.col("n_chars")).alias("tokens"), text.human_size(F.col("n_chars")).alias("size"))
 
 
-@without_sql
+def content_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of documents and pages as a log of what it holds would name it: addresses are digests of the line and of the whole text, so texts that repeat share them."""
+    d = table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text")
+    p = table(spark, sf_dir, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+    short = lambda c: F.substring(F.md5(F.col(c).cast("binary")), 1, 10)
+    lines = d.unionByName(p).select("origin", "id", short("text").alias("of"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.trim("line") != "")
+    return lines.select("origin", "id", "line_no", F.concat(F.lit("origin="), "origin", F.lit(" text=0x"), "of", F.lit(" part=0x"), short("line"), F.lit(" length="), F.length("line").cast("string")).alias("line"))
+
+
+_CONTENT = r"""raw AS (SELECT 'documents' AS origin, doc_id AS id, text FROM documents UNION ALL SELECT 'pages', page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') FROM pages),
+cut AS (SELECT origin, id, substr(md5(text), 1, 10) AS of, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM raw),
+cl AS (SELECT origin, id, line_no, of, substr(md5(l), 1, 10) AS part, 'origin=' || origin || ' text=0x' || of || ' part=0x' || substr(md5(l), 1, 10) || ' length=' || length(l) AS line FROM cut WHERE trim(l) <> ''),
+named AS (SELECT origin, id, line_no, line, 'text' AS role, of AS h FROM cl UNION ALL SELECT origin, id, line_no, line, 'part', part FROM cl),
+ri AS (SELECT '0x' || CASE WHEN ltrim(h, '0') = '' THEN '0' ELSE ltrim(h, '0') END AS address, role, count(*) AS n, arg_min(line, (origin, id, line_no)) AS first_line, arg_max(line, (origin, id, line_no)) AS last_line FROM named GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_CONTENT} SELECT address, role, CAST(n AS BIGINT) AS n, first_line, last_line FROM ri")
 def text_role_index(spark, sf_dir):
-    return roles.address_roles(text_lines(spark, sf_dir), "line", order=["origin", "id", "line_no"])
+    return roles.address_roles(content_lines(spark, sf_dir), "line", order=["origin", "id", "line_no"])
 
 
-@without_sql
+@query(f"WITH {_CONTENT} SELECT address, CAST(sum(n) AS BIGINT) AS total, count(*) AS roles FROM ri GROUP BY 1 HAVING count(*) FILTER (WHERE role = 'part') = 0")
 def text_roles_never(spark, sf_dir):
-    return roles.never(roles.address_roles(text_lines(spark, sf_dir), "line", order=["origin", "id", "line_no"]), "dst")
+    """Texts that stand as no line of another."""
+    return roles.never(roles.address_roles(content_lines(spark, sf_dir), "line", order=["origin", "id", "line_no"]), "part")
 
 
 @without_sql

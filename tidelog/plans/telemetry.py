@@ -254,12 +254,12 @@ def shutter_alignment(spark, sf_dir):
     return composites.alignment(e.filter("category = 'view'").select(F.col("event_id").alias("seq"), "ts_ms"), e.select((ident() - 1).alias("seq"), F.col("ts_ms").alias("r_ts_ms"))).select("seq", "last_ms", "n", "aligned")
 
 
-@query(f"""WITH {EV}, s AS (SELECT source, ts_ms, event_id, CASE WHEN value < 80 THEN 1 ELSE 9 END AS d, event_id AS size FROM ev), m AS (SELECT *, CASE WHEN d <= 2 AND lag(d) OVER w <= 2 THEN 0 ELSE 1 END AS x FROM s WINDOW w AS (PARTITION BY source ORDER BY ts_ms, event_id)),
+@query(f"""WITH {EV}, s AS (SELECT source, ts_ms, event_id, CASE WHEN value < 80 THEN 1 ELSE 9 END AS d, event_id // 4000 AS size FROM ev), m AS (SELECT *, CASE WHEN d <= 2 AND lag(d) OVER w <= 2 THEN 0 ELSE 1 END AS x FROM s WINDOW w AS (PARTITION BY source ORDER BY ts_ms, event_id)),
 i AS (SELECT *, sum(x) OVER (PARTITION BY source ORDER BY ts_ms, event_id) AS island FROM m), r AS (SELECT *, row_number() OVER w AS streak, first_value(size) OVER w AS f FROM i WINDOW w AS (PARTITION BY source, island ORDER BY ts_ms, event_id))
 SELECT event_id, CAST(streak AS INTEGER) AS streak FROM r WHERE d <= 2 AND streak >= 5 AND size <= f""")
 def stuck_screens(spark, sf_dir):
     """Five or more like frames in a row while the log has not grown."""
-    e = events(spark, sf_dir).withColumn("d", F.when(F.col("value") < 80, 1).otherwise(9)).withColumn("size", ident())
+    e = events(spark, sf_dir).withColumn("d", F.when(F.col("value") < 80, 1).otherwise(9)).withColumn("size", F.floor(ident() / 4000))
     return sequence.stuck(e, ["source"], ["ts_ms", "event_id"], "d", "size").select("event_id", F.col("streak").cast("int").alias("streak"))
 
 

@@ -155,9 +155,10 @@ def byte_sizes(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.parse_bytes(F.concat(ident().cast("string"), choice("", "K", "MB", " KiB", "gb", " parsecs")), 7).alias("bytes"))
 
 
-@query("SELECT doc_id, least(CAST(ceil((n_chars % 4000 + 1) / 28.0::DOUBLE) * ceil((doc_id % 2000 + 1) / 28.0::DOUBLE) AS BIGINT), 1568) AS tokens FROM documents")
+@query("""WITH s AS (SELECT doc_id, n_chars % 4000 + 1 AS w, strlen(text) % 3000 + 1 AS h FROM documents), c AS (SELECT *, CASE WHEN greatest(w, h) > 2576 THEN 2576::DOUBLE / greatest(w, h) ELSE 1::DOUBLE END AS k FROM s)
+SELECT doc_id, least(CAST(ceil(greatest(floor(w * k), 1) / 28) * ceil(greatest(floor(h * k), 1) / 28) AS BIGINT), 4784) AS tokens FROM c""")
 def image_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.visual_tokens(F.col("n_chars") % 4000 + 1, F.col("doc_id") % 2000 + 1).alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.visual_tokens(F.col("n_chars") % 4000 + 1, F.octet_length("text") % 3000 + 1).alias("tokens"))
 
 
 @query("SELECT event_id, unnest(['level', 'msg', 'k']) AS key, unnest(['warn', 'slow ' || event_id, CAST(user_id AS VARCHAR)]) AS value FROM events")
@@ -210,6 +211,28 @@ def source_coverage(spark, sf_dir):
     return parsing.coverage(parsing.normalised(rendered(spark, sf_dir), "src", "line", ["event_id"]), "src")
 
 
+@query("""WITH d AS (SELECT DISTINCT 'user_' || c_custkey AS src FROM customer), f AS (SELECT 'user_' || user_id AS src, user_id % 5 AS k, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT coalesce(d.src, f.src) AS src, coalesce(n, 0) AS n, CASE WHEN k = 4 THEN n ELSE 0 END AS gaps, coalesce(k <> 4, false) AS ready, CASE WHEN n IS NULL THEN 'pending' WHEN k <> 4 THEN 'covered' ELSE 'gaps' END AS verdict FROM d FULL JOIN f ON d.src = f.src""")
+def coverage_verdicts(spark, sf_dir):
+    """Every customer has declared a source; those that have logged nothing are pending."""
+    declared = table(spark, sf_dir, "customer").select(F.concat(F.lit("user_"), F.col("c_custkey").cast("string")).alias("src"))
+    return parsing.coverage(parsing.normalised(rendered(spark, sf_dir), "src", "line", ["event_id"]), "src", declared)
+
+
+@query("""SELECT event_id, epoch_us(ts) // 1000 + 0.0::DOUBLE AS ts_ms, event_type AS category, CASE WHEN user_id % 2 = 0 THEN (CASE event_type WHEN 'error' THEN 'FATAL' ELSE 'DEBUG' END) WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
+'user_' || user_id AS source, 'said ' || json_extract_string(props, '$.k') AS message, json_extract_string(props, '$.k') AS k FROM events""")
+def native_records(spark, sf_dir):
+    """Events written as this engine's own JSON records keep their category and data; every second one names its level in data."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    level = F.when(F.col("user_id") % 2 == 0, F.when(F.col("event_type") == "error", "fatal").otherwise("debug"))
+    data = F.struct(F.concat(F.lit("said "), k).alias("message"), level.alias("level"), k.alias("k"))
+    ts = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+    line = F.to_json(F.struct(ts.alias("ts_ms"), F.col("event_type").alias("category"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("source"), data.alias("data")))
+    found = parsing.normalised(e.select("event_id", F.lit("own").alias("src"), line.alias("line")), "src", "line", ["event_id"])
+    return found.select("event_id", "ts_ms", "category", "level", F.col("event_source").alias("source"), "message", F.try_element_at("data", F.lit("k")).alias("k"))
+
+
 @query("SELECT event_id, CAST(epoch_us(ts) // 1000000 * 1000 AS DOUBLE) AS ts_ms, CASE WHEN event_id % 2 = 0 THEN 'ERROR' ELSE 'INFO' END AS level, CASE WHEN event_id % 2 = 0 THEN 'error' ELSE 'log' END AS category, 'event ' || event_id AS message FROM events")
 def container_lines(spark, sf_dir):
     """Container runtimes' JSON lines: stderr is of category error."""
@@ -227,10 +250,10 @@ def search_errors(spark, sf_dir):
     return timeline.search(events(spark, sf_dir), "props", '"K": 5', level="WARN", category="error").select("event_id")
 
 
-@query("SELECT doc_id, source FROM documents WHERE contains(lower(text), '[the')")
+@query("SELECT page_id, url FROM pages WHERE contains(lower(html), 'track(')")
 def search_bad_regex(spark, sf_dir):
     """A query that is no regular expression is looked for as it stands."""
-    return timeline.search(table(spark, sf_dir, "documents"), "text", "[the", regex=True).select("doc_id", "source")
+    return timeline.search(table(spark, sf_dir, "pages"), "html", "Track(", regex=True).select("page_id", "url")
 
 
 @query(f"WITH {EV} SELECT event_id, ts_ms FROM ev ORDER BY ts_ms, event_id LIMIT 50 OFFSET 100")
@@ -288,6 +311,27 @@ def gpu_samples(spark, sf_dir):
     return sources.gpu_csv(table(spark, sf_dir, "part").select(line.alias("line")), "line").select(F.col("gpu").cast("long").alias("gpu"), "name", "temp", "load", "watts")
 
 
+@query("SELECT n_name AS machine, arg_max('card ' || s_suppkey, (round(s_acctbal), -s_suppkey)) AS name, CAST(max(round(s_acctbal)) AS DOUBLE) AS temp FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
+def hottest_cards(spark, sf_dir):
+    """A machine for each nation, a card for each of its suppliers: the hottest card of each."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    n = F.col("s_suppkey").cast("string")
+    line = F.concat(n, F.lit(", card "), n, F.lit(", "), F.round("s_acctbal").cast("long").cast("string"), F.lit(", [N/A], 80 W"))
+    return sources.hottest_card(sources.gpu_csv(s.select(F.col("n_name").alias("machine"), line.alias("line")), "line", ["machine"]), ["machine"]).select("machine", "name", "temp")
+
+
+@query("""WITH s AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey DESC) AS r FROM supplier)
+SELECT n_name AS machine, CAST(s_suppkey AS VARCHAR) AS fps, s_suppkey * 2 || ' ms' AS frame_ms FROM s JOIN nation ON s_nationkey = n_nationkey WHERE r = 1""")
+def latest_stats(spark, sf_dir):
+    """Each machine's newest stats file, its keys by the names that the engine knows."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    n = F.col("s_suppkey")
+    report = F.concat(F.lit("+----+\n| Frames Per Second: "), n.cast("string"), F.lit(" |\n| Frame Time: "), (n * 2).cast("string"), F.lit(" ms |"))
+    files = s.select(F.col("n_name").alias("machine"), F.concat(F.lit("/log/stats_"), n.cast("string"), F.lit(".log")).alias("path"), F.struct("s_acctbal", "s_suppkey").alias("modified"), report.alias("text"))
+    found = sources.latest_report(files, ["machine"], {"frames_per_second": "fps", "frame_time": "frame_ms"})
+    return found.select("machine", F.col("values.fps").alias("fps"), F.col("values.frame_ms").alias("frame_ms"))
+
+
 @query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS speed, 4.0::DOUBLE AS cpus FROM part")
 def thermal_limits(spark, sf_dir):
     report = F.concat(F.lit("Note: thermal\nCPU_Scheduler_Limit = 100\nCPU_Available_CPUs = 4\nCPU_Speed_Limit = "), F.col("p_size").cast("string"))

@@ -54,10 +54,27 @@ def ini_fields(text: Column) -> Column:
     return F.arrays_zip(k.alias("key"), v.alias("value"))
 
 
-def gpu_csv(lines: DataFrame, line: str) -> DataFrame:
-    """Samples from 'index, name, temperature, utilisation, power' lines; [N/A] is null."""
+def latest_report(files: DataFrame, by: list[str], aliases: dict[str, str] | None = None, name: str = r"stats_[^/]*\.log$") -> DataFrame:
+    """(by, path, values): of the files (by, path, modified, text) whose path fits, each key's newest one, and its 'key: value' lines with keys renamed by the aliases; a key that has its new name already wins over an alias of it."""
+    newest = files.filter(F.col("path").rlike(name)).groupBy(*by).agg(F.max_by(F.struct("path", "text"), F.struct("modified", "path")).alias("_f"))
+    values = key_values(F.col("_f.text"))
+    pairs = F.create_map(*[F.lit(x) for p in (aliases or {}).items() for x in p]) if aliases else F.create_map().cast("map<string,string>")
+    own = F.map_filter(values, lambda k, v: F.try_element_at(pairs, k).isNull())
+    renamed = F.filter(F.transform(F.map_entries(F.map_filter(values, lambda k, v: F.try_element_at(pairs, k).isNotNull())), lambda e: F.struct(F.try_element_at(pairs, e["key"]).alias("key"), e["value"].alias("value"))), lambda e: ~F.map_contains_key(own, e["key"]))
+    out = F.aggregate(renamed, own, lambda acc, e: F.when(F.map_contains_key(acc, e["key"]), acc).otherwise(F.map_concat(acc, F.create_map(e["key"], e["value"]))))
+    return newest.select(*by, F.col("_f.path").alias("path"), out.alias("values"))
+
+
+def hottest_card(samples: DataFrame, by: list[str]) -> DataFrame:
+    """The sample of each key's hottest card, of equals the lower number; cards without a temperature count as coldest."""
+    rest = [c for c in samples.columns if c not in by]
+    return samples.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(F.coalesce("temp", F.lit(float("-inf"))), -F.col("gpu"))).alias("_s")).select(*by, "_s.*")
+
+
+def gpu_csv(lines: DataFrame, line: str, keep: list[str] | None = None) -> DataFrame:
+    """Samples, after the columns to keep, from 'index, name, temperature, utilisation, power' lines; [N/A] is null."""
     part = lambda i: F.nullif(F.trim(F.try_element_at(F.split(line, ","), F.lit(i))), F.lit("[N/A]"))
-    return lines.select(part(1).try_cast("int").alias("gpu"), part(2).alias("name"), part(3).try_cast("double").alias("temp"), F.regexp_replace(part(4), "[^0-9.]", "").try_cast("double").alias("load"), F.regexp_replace(part(5), "[^0-9.]", "").try_cast("double").alias("watts")).filter(F.col("gpu").isNotNull())
+    return lines.select(*(keep or []), part(1).try_cast("int").alias("gpu"), part(2).alias("name"), part(3).try_cast("double").alias("temp"), F.regexp_replace(part(4), "[^0-9.]", "").try_cast("double").alias("load"), F.regexp_replace(part(5), "[^0-9.]", "").try_cast("double").alias("watts")).filter(F.col("gpu").isNotNull())
 
 
 def thermal_report(text: Column) -> Column:
