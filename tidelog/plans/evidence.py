@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codesigns
-from ..operators import predicates, ranks, records, timeline
+from ..operators import hardware, predicates, ranks, records, timeline, trees
 from ..sources import tail
 from .catalogue import DOC_LINES, document_lines, query, table
 
@@ -115,3 +115,81 @@ def hot_medians(spark, sf_dir):
     return ranks.medians(e, ["event_type"], "value").unionByName(whole).select("event_type", F.round("median", 9).alias("median"))
 
 
+
+
+def _grey(i: str = "x") -> str:
+    return f"greatest(least(CAST(floor(128 + 64 * CAST({i} AS DOUBLE)) AS INTEGER), 255), 0)"
+
+
+_CELLS = f"""cells AS (SELECT vec_id, i % 8 AS x, i // 8 AS y, {_grey("embedding[i + 1]")} AS grey FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings))"""
+
+
+def greys() -> F.Column:
+    """An embedding's components as shades."""
+    return F.transform("embedding", lambda x: F.greatest(F.least(F.floor(128 + 64 * x.cast("double")).cast("int"), F.lit(255)), F.lit(0)))
+
+
+_SHARE = "(log2(sum(n)) - sum(n * log2(n)) / sum(n)) / 4"
+
+
+def _level_sql(side: int) -> str:
+    return f"l{side} AS (SELECT vec_id, x, y, round({_SHARE}, 9) AS e FROM (SELECT vec_id, x // {side} * {side} AS x, y // {side} * {side} AS y, grey // 16 AS shade, count(*) AS n FROM cells GROUP BY ALL) GROUP BY ALL)"
+
+
+@query(f"""WITH {_CELLS}, {", ".join(map(_level_sql, (8, 4, 2)))},
+s8 AS (SELECT * FROM l8), s4 AS (SELECT l4.* FROM l4 JOIN s8 ON l4.vec_id = s8.vec_id AND s8.e > 0.35), s2 AS (SELECT l2.* FROM l2 JOIN s4 ON l2.vec_id = s4.vec_id AND l2.x // 4 * 4 = s4.x AND l2.y // 4 * 4 = s4.y AND s4.e > 0.35)
+SELECT vec_id, x, y, 8 AS side, e AS entropy FROM s8 WHERE e <= 0.35 UNION ALL SELECT vec_id, x, y, 4, e FROM s4 WHERE e <= 0.35 UNION ALL SELECT vec_id, x, y, 2, e FROM s2""")
+def grid_regions(spark, sf_dir):
+    """The quadtree of every embedding seen as an image of 8 x 8 shades."""
+    cells = trees.grid_cells(table(spark, sf_dir, "embeddings"), "vec_id", greys(), 8)
+    found = trees.quadtree(cells, ["vec_id"], 8, max_depth=2)
+    return found.select("vec_id", *[F.col(c).cast("long").alias(c) for c in "xy"], "side", "entropy")
+
+
+@query(f"""WITH p AS (SELECT vec_id, {_grey("embedding[3 * i + 1]")} // 16 AS r, {_grey("embedding[3 * i + 2]")} // 16 AS g, {_grey("embedding[3 * i + 3]")} // 16 AS b FROM (SELECT vec_id, embedding, unnest(range(21)) AS i FROM embeddings)),
+c AS (SELECT vec_id, r, g, b, count(*) AS n FROM p GROUP BY ALL), k AS (SELECT *, round(n / sum(n) OVER (PARTITION BY vec_id), 4) AS share, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, r, g, b) AS rank FROM c)
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, r, g, b, n, share FROM k WHERE rank <= 3""")
+def dominant_colours(spark, sf_dir):
+    """The three most frequent colours of every embedding seen as 21 pixels."""
+    shades = table(spark, sf_dir, "embeddings").select("vec_id", greys().alias("s"))
+    pixels = shades.select("vec_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.struct(*[F.get("s", 3 * i + j).alias(c) for j, c in enumerate("rgb")]))).alias("p")).select("vec_id", "p.*")
+    return trees.dominant_colours(pixels, ["vec_id"]).select("vec_id", "rank", "r", "g", "b", "n", "share")
+
+
+def order_trees(spark, sf_dir, text) -> DataFrame:
+    """(o_orderkey, tree): each order as a group of its lines as buttons, some invisible, some without size or text; every second group has a text."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.struct(F.lit("button").alias("role"), text.alias("text"), (F.col("l_returnflag") != "R").alias("visible"), F.array(F.col("l_linenumber") * 8, F.lit(0), F.col("l_linenumber") % 4, F.lit(5)).alias("bbox")).alias("node")).alias("n"))
+    of = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("n")), lambda x: x["node"]).alias("children"))
+    orders = table(spark, sf_dir, "orders").join(of, F.col("o_orderkey") == F.col("l_orderkey"))
+    group = F.struct(F.lit("Group").alias("role"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise("").alias("text"), F.array(F.lit(0), F.lit(0), F.lit(10), F.lit(10)).alias("bbox"), "children")
+    return orders.select("o_orderkey", F.to_json(F.array(group)).alias("tree"))
+
+
+_SHOWN = """shown AS (SELECT l_orderkey AS k, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag <> 'R' AND l_linenumber % 4 <> 0)"""
+
+
+@query(f"""WITH {_SHOWN} SELECT CAST(o_orderkey AS VARCHAR) AS id, 0 AS depth, 'Group' AS role, o_orderpriority AS text, 0.0::DOUBLE AS x, 10.0::DOUBLE AS w FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT CAST(k AS VARCHAR), CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END, 'button', 'part ' || l_partkey, l_linenumber * 8.0::DOUBLE, CAST(l_linenumber % 4 AS DOUBLE) FROM shown WHERE l_linenumber % 3 <> 0""")
+def interface_nodes(spark, sf_dir):
+    """Orders as interface trees, pruned and laid out as rows."""
+    found = trees.flatten(order_trees(spark, sf_dir, F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.concat(F.lit("part "), F.col("l_partkey").cast("string")))), "o_orderkey", "tree")
+    return found.select("id", "depth", "role", "text", "x", "w")
+
+
+@query(f"""WITH {_SHOWN}, b AS (SELECT k, l_linenumber AS cx, min('no ' || l_partkey) AS before FROM shown WHERE l_linenumber % 3 <> 0 GROUP BY ALL), a AS (SELECT k, l_linenumber AS cx, min('no ' || l_suppkey) AS after FROM shown WHERE l_linenumber % 5 <> 0 GROUP BY ALL)
+SELECT CAST(coalesce(a.k, b.k) AS VARCHAR) AS id, CAST(coalesce(a.cx, b.cx) AS BIGINT) AS cx, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'removed' ELSE 'changed' END AS change, before, after FROM a FULL JOIN b ON a.k = b.k AND a.cx = b.cx WHERE before IS NULL OR after IS NULL OR before <> after""")
+def interface_changes(spark, sf_dir):
+    """What changed between two looks at each order's tree."""
+    at = lambda n, c: trees.flatten(order_trees(spark, sf_dir, F.when(F.col("l_linenumber") % n == 0, "").otherwise(F.concat(F.lit("no "), F.col(c).cast("string")))), "o_orderkey", "tree")
+    return trees.tree_diff(at(3, "l_partkey"), at(5, "l_suppkey"), ["id"]).filter("role = 'button'").select("id", "cx", "change", "before", "after")
+
+
+@query("""WITH l AS (SELECT 'user_' || user_id AS source, event_type, CASE event_type WHEN 'error' THEN [('cpu_hardware', 4)] WHEN 'signup' THEN [('ram', 3)] WHEN 'purchase' THEN [('thermal', 2), ('thermal', 1)] ELSE [] END AS hits FROM events),
+p AS (SELECT DISTINCT source, event_type, unnest(hits) AS h, generate_subscripts(hits, 1) AS i FROM l), g AS (SELECT source, h[1] AS cause, CAST(sum(h[2]) AS DOUBLE) AS score FROM p GROUP BY ALL)
+SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY score DESC, cause) AS INTEGER) AS rank, cause, score, CASE WHEN score >= 4 THEN 'high' WHEN score >= 2.5 THEN 'medium' ELSE 'low' END AS confidence FROM g""")
+def postmortem_verdict(spark, sf_dir):
+    """Causes of crashes by what each source's last lines say of its hardware."""
+    kind = F.col("event_type")
+    said = F.when(kind == "error", "mce: [Hardware Error]: CPU ").when(kind == "signup", "EDAC MC0: 1 CE on ").when(kind == "purchase", "thermal event, clock throttled ").otherwise("all fine ")
+    lines = table(spark, sf_dir, "events").select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("source"), F.concat(said, F.get_json_object("props", "$.k")).alias("line"))
+    return hardware.verdict(hardware.postmortem_points(lines, ["source"], "line"), ["source"]).select("source", "rank", "cause", "score", "confidence")
