@@ -35,9 +35,14 @@ TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 4
 #: Wrappers of all hosts up to this many bytes go to every task.
 SENT_BYTES = 64 << 20
 # Elements of HTML by what they mean for text.
-BLOCKS = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary fieldset hgroup center nav header footer aside form menu dialog template noscript head title iframe svg button select textarea object canvas video audio search".split())
+BLOCKS = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary fieldset hgroup center nav header footer aside form menu dialog template noscript head title iframe svg button select textarea object canvas video audio search label legend datalist".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = set("head title script style noscript template iframe svg object canvas video audio nav footer aside form menu dialog button select textarea search".split())
+DROPPED = set("head title script style noscript template iframe svg object canvas video audio nav footer aside form menu dialog button select textarea search label legend datalist".split())
+#: Where one run of text stands for itself: template words between a host's slots are the article's in these, and noise elsewhere.
+ITEMS = set("h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: A form that holds this share of a page's text is no form but what the page is built in.
+FORM_SHARE = 0.5
 FLOW = set("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure li dt dd td th tr tbody thead figcaption caption".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist".split())
 # Names that pages give to parts beside the article. A name counts if all its words are among them.
@@ -169,7 +174,31 @@ def tree(page: str) -> list[tuple]:
             stack.append(tag)
             opened[tag] += 1
     out.extend([(CLOSE,)] * len(stack))
-    return out
+    return _forms_opened(out)
+
+
+def _forms_opened(stream: list[tuple]) -> list[tuple]:
+    """The stream in which forms that hold most of the page's text count as any container."""
+    forms = [i for i, token in enumerate(stream) if token[0] == OPEN and token[3] == "form"]
+    if not forms:
+        return stream
+    # characters of text up to each token, of what no other dropped element holds
+    total, held, shut, spans = 0, [], 0, {}
+    for i, token in enumerate(stream):
+        if token[0] == OPEN:
+            shut += token[2] and token[3] != "form"
+            held.append((i, total))
+        elif token[0] == CLOSE:
+            at, before = held.pop()
+            shut -= stream[at][2] and stream[at][3] != "form"
+            if stream[at][3] == "form":
+                spans[at] = total - before
+        elif not shut:
+            total += len(token[1].strip())
+    for at, n in spans.items():
+        if n >= FORM_SHARE * total and n:
+            stream[at] = (OPEN, stream[at][1], False, "form")
+    return stream
 
 
 def _chain(parent: int, label: str) -> int:
@@ -295,27 +324,29 @@ def main_text(page: str | None, region: int | None = None, template: frozenset =
     if not page:
         return ""
     stream = tree(page)
-    chains, c = set(), [ROOT]
+    chains, c = {ROOT: (0, "")}, [ROOT]
     for token in stream:
         if token[0] == OPEN:
             c.append(_chain(c[-1], token[1]))
-            chains.add(c[-1])
+            chains[c[-1]] = (c[-2], token[3])
         elif token[0] == CLOSE:
             c.pop()
     if region not in chains:
         region = article(folded(stream))
+    # articles beside the region's are the page's too, whatever they are called, unless their names say otherwise
+    parent, kind = chains[region]
     inside, rest, text, titled = [], [], [], _titled(stream)
-    # (chain, beside, within the region, left out as a header)
-    stack = [(ROOT, False, region == ROOT, False)]
+    # (chain, beside, within the region, left out as a header, tag)
+    stack = [(ROOT, False, region == ROOT, False, "")]
 
     def close_run():
         block = " ".join(entities.unescape("".join(text)).split())
         text.clear()
-        chain, beside, within, header = stack[-1]
+        chain, beside, within, header, tag = stack[-1]
         if block and not beside and not header:
             rest.append(block)
-            if within and (not template or _mixed(chain, block) not in template):
-                inside.append(block)
+            if within:
+                inside.append((block, chain, tag, bool(template) and _mixed(chain, block) in template))
 
     for i, token in enumerate(stream):
         if token[0] == TEXT:
@@ -324,24 +355,40 @@ def main_text(page: str | None, region: int | None = None, template: frozenset =
         if text:
             close_run()
         if token[0] == OPEN:
-            chain, beside, within, header = stack[-1]
+            chain, beside, within, header, _ = stack[-1]
             below = _chain(chain, token[1])
-            # a header that titles the article is part of it; elsewhere it is the site's
-            is_header = "header" in token[1] and bool(re.search(r"\bheader\b", token[1]))
-            stack.append((below, beside or token[2], within or below == region, header or is_header and not (within and i in titled)))
+            here = within or below == region or kind == token[3] == "article" and chain == parent and not _named_beside(token[1])
+            # a header that titles the article is part of it, and so is what an article itself calls one; elsewhere it is the site's
+            called = "header" in token[1] and token[3] not in FLOW and bool(re.search(r"\bheader\b", token[1]))
+            is_header = called and not (within and (i in titled or kind in ("article", "main") and token[3] != "header"))
+            stack.append((below, beside or token[2], here, header or is_header, token[3]))
         else:
             stack.pop()
     if text:
         close_run()
-    return "\n\n".join(inside or rest)
+    return "\n\n".join([block for block, *_ in _without_template(inside)] or rest)
+
+
+def _without_template(blocks: list[tuple]) -> list[tuple]:
+    """Blocks (text, chain, tag, template) without the host's own: of template runs only headings and items stay, between two slots or in a group that has slots on this page."""
+    slots = [i for i, b in enumerate(blocks) if not b[3]]
+    if len(slots) == len(blocks) or not slots:
+        return [blocks[i] for i in slots]
+    groups = {blocks[i][1] for i in slots}
+    return [b for i, b in enumerate(blocks) if not b[3] or b[2] in ITEMS and (slots[0] < i < slots[-1] or b[1] in groups)]
+
+
+def _named_beside(label: str) -> bool:
+    """Whether a label's names are all of parts beside an article."""
+    return any(words and words <= BESIDE and words - PLAIN for n in label.split(".")[1:] if (words := {w for w in re.split(r"[^a-z]+", n.lower()) if w}))
 
 
 def _titled(stream: list[tuple]) -> set[int]:
-    """Where elements open that hold an h1 or h2."""
+    """Where elements open that hold a heading."""
     out, stack = set(), []
     for i, token in enumerate(stream):
         if token[0] == OPEN:
-            if token[3] in ("h1", "h2"):
+            if token[3] in HEADINGS:
                 # those further out are in already once one of them is
                 for j in reversed(stack):
                     if j in out:

@@ -23,7 +23,10 @@ _EXACT = 2.0**53
 
 
 def quantized(x: np.ndarray) -> np.ndarray:
-    return np.floor(256.0 * x)
+    """floor(256 * x); components near the end of a double's range go through wider numbers, so none becomes infinite."""
+    with np.errstate(over="ignore"):
+        out = np.floor(256.0 * x)
+    return out if np.isfinite(out).all() else np.floor(np.longdouble(256) * x.astype(np.longdouble))
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,7 +108,6 @@ def _ranked(score: np.ndarray, who: np.ndarray, k: int, near: int) -> tuple[np.n
 def _packs(limit: int):
     def run(batches):
         for ids, x in vectors.matrices(batches):
-            x = quantized(x)
             for at in range(0, len(ids), limit):
                 part = x[at : at + limit]
                 yield pa.record_batch([pa.array([x.shape[1]], pa.int64()), pa.array([ids[at : at + limit].astype(np.int64).tobytes()]), pa.array([np.ascontiguousarray(part).tobytes()])], ["dim", "ids", "matrix"])
@@ -117,7 +119,8 @@ def top_inner_products(data: DataFrame, queries: DataFrame, k: int = 5) -> DataF
     """Each query's k largest integer inner products over all usable rows of `data` but those with its own vec_id.
 
     Both are (vec_id, v) as `vectors.usable` gives them; components count as floor(256 * x). Vectors of another length
-    than the query's take no part; repeated vec_ids count once, with their best score.
+    than the query's take no part; repeated vec_ids count once, with their best score. Sums are exact; one beyond a long's
+    range, which no long can say, counts as the nearest long.
     """
     spark = data.sparkSession
     schema = "dim long, ids binary, matrix binary"
@@ -131,7 +134,7 @@ def top_inner_products(data: DataFrame, queries: DataFrame, k: int = 5) -> DataF
         for frame in frames:
             for r in frame.itertuples():
                 q_ids, ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
-                got, who = block_search(q_ids, np.frombuffer(r.q_matrix, np.float64).reshape(len(q_ids), r.dim), ids, np.frombuffer(r.matrix, np.float64).reshape(len(ids), r.dim), k)
+                got, who = block_search(q_ids, quantized(np.frombuffer(r.q_matrix, np.float64).reshape(len(q_ids), r.dim)), ids, quantized(np.frombuffer(r.matrix, np.float64).reshape(len(ids), r.dim)), k)
                 some = ~np.ma.getmaskarray(who)
                 yield pd.DataFrame({"query_id": np.repeat(q_ids, k)[some.ravel()], "vec_id": who.data[some], "score": got[some]})
 
