@@ -17,7 +17,7 @@ def histogram(rows: DataFrame, message: str, ts: str, source: str) -> DataFrame:
     return marked.groupBy("fp").agg(F.count("*").alias("n"), F.min(message).alias("sample"), F.min(source).alias("source"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
 
 
-def of_fingerprint(rows: DataFrame, message: str, fp: str) -> DataFrame:
+def of_fingerprint(rows: DataFrame, message: str, fp: str | Column) -> DataFrame:
     """The rows whose message has this fingerprint."""
     return rows.filter((F.col(message) != "") & (text.fingerprint(F.col(message)) == fp))
 

@@ -41,21 +41,31 @@ def rail_metrics(spark, sf_dir):
     return hardware.rail_metrics(sensor_samples(spark, sf_dir), ["source"], "ts_s", _END / 1000, 5 * 86400).select("source", "rail", "label", F.round("low", 6).alias("low"), F.round("latest", 6).alias("latest"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN 209 WHEN 2 THEN 0 ELSE NULL END AS code FROM events")
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) WHEN 'signup' THEN user_id WHEN 'purchase' THEN 0 END AS code FROM events""")
 def stop_codes(spark, sf_dir):
-    line = F.concat(choice("BugcheckCode ", "Bug Check Code: 0x000000d", "BugcheckCode: ", "power lost "), F.when(ident() % 4 == 0, ident().cast("string")).when(ident() % 4 == 1, "1").otherwise("0"))
+    """Errors name a stop code in decimals, signups in hex, purchases name 0 and the rest none."""
+    kind = F.col("event_type")
+    line = F.when(kind == "error", F.concat(F.lit("BugcheckCode "), F.get_json_object("props", "$.k"))).when(kind == "signup", F.concat(F.lit("Bug Check Code: 0x"), F.lower(F.hex("user_id")))).when(kind == "purchase", "BugcheckCode: 0").otherwise(F.concat(F.lit("power lost "), F.col("user_id").cast("string")))
     return table(spark, sf_dir, "events").select("event_id", hardware.bugcheck(line).alias("code"))
 
 
-@query("SELECT code, count(*) AS n, meaning FROM (SELECT ([5, 3, 0, -3, -60, -128])[event_id % 6 + 1] AS code, (['normal', 'power button', 'power loss', 'temperature', 'bad disk', 'unknown'])[event_id % 6 + 1] AS meaning FROM events) GROUP BY 1, 3")
+_CAUSE_ROWS = ", ".join(f"({code}, '{meaning}')" for code, meaning in hardware.SHUTDOWN_CAUSES.items())
+
+
+@query(f"WITH c AS (SELECT CAST(5 - CAST(json_extract(props, '$.k') AS BIGINT) AS INTEGER) AS code FROM events WHERE event_type <> 'view') SELECT c.code, count(*) AS n, coalesce(m.meaning, 'unknown') AS meaning FROM c LEFT JOIN (VALUES {_CAUSE_ROWS}) m(code, meaning) ON c.code = m.code GROUP BY ALL")
 def shutdown_report(spark, sf_dir):
-    lines = table(spark, sf_dir, "events").select(F.concat(F.lit("2024-01-05 kernel: Previous shutdown cause: "), choice("5", "3", "0", "-3", "-60", "-128")).alias("line"))
+    """Causes of shutdowns counted, codes from 5 down by what events hold; views tell of none."""
+    k = (5 - F.get_json_object("props", "$.k").cast("int")).cast("string")
+    lines = table(spark, sf_dir, "events").select(F.when(F.col("event_type") != "view", F.concat(F.lit("2024-01-05 kernel: Previous shutdown cause: "), k)).otherwise(F.concat(F.lit("kernel: all well "), k)).alias("line"))
     return hardware.shutdown_causes(lines, "line").select("code", "n", "meaning")
 
 
-@query("SELECT event_id, line FROM (SELECT event_id, (['mce: [Hardware Error]: ', 'all fine ', 'EDAC MC0: 1 CE ', 'cpu throttled ', 'over-current change '])[event_id % 5 + 1] || event_id AS line FROM events) WHERE NOT starts_with(line, 'all fine') ORDER BY event_id DESC LIMIT 80")
+@query("SELECT event_id, line FROM (SELECT event_id, CASE event_type WHEN 'error' THEN 'mce: [Hardware Error]: bank ' WHEN 'signup' THEN 'EDAC MC0: 1 CE ' WHEN 'purchase' THEN 'cpu throttled ' WHEN 'click' THEN 'recce of ' ELSE 'all fine ' END || json_extract_string(props, '$.k') || ' ' || value AS line FROM events) WHERE NOT starts_with(line, 'all fine') AND NOT starts_with(line, 'recce') ORDER BY event_id DESC LIMIT 80")
 def hardware_lines(spark, sf_dir):
-    lines = table(spark, sf_dir, "events").select("event_id", F.concat(choice("mce: [Hardware Error]: ", "all fine ", "EDAC MC0: 1 CE ", "cpu throttled ", "over-current change "), ident().cast("string")).alias("line"))
+    """The last 80 lines that tell of the hardware."""
+    kind = F.col("event_type")
+    said = F.when(kind == "error", "mce: [Hardware Error]: bank ").when(kind == "signup", "EDAC MC0: 1 CE ").when(kind == "purchase", "cpu throttled ").when(kind == "click", "recce of ").otherwise("all fine ")
+    lines = table(spark, sf_dir, "events").select("event_id", F.concat(said, F.get_json_object("props", "$.k"), F.lit(" "), F.col("value").cast("string")).alias("line"))
     return hardware.hardware_lines(lines, "line", ["event_id"])
 
 
@@ -81,11 +91,15 @@ def unclean_sessions(spark, sf_dir):
     return hardware.unclean_sessions(e, ["source"], "ts_ms", "boot").select("source", "ts_ms", "previous_s", "gap_s")
 
 
-@query("SELECT s_suppkey, unnest(['temp', 'temp', 'fan', 'volt']) AS kind, unnest(['PC/CPU/Core', 'PC/CPU/Cover', 'PC/Fan', 'PC/Rail']) AS sensor, unnest([CAST(s_suppkey % 90 AS DOUBLE), 100.0::DOUBLE, CAST(s_suppkey AS DOUBLE), 11.9::DOUBLE]) AS value FROM supplier")
+_BALANCE = "round(abs(s_acctbal), 1)"
+
+
+@query(f"SELECT s_suppkey, unnest(['temp', 'temp', 'fan', 'volt']) AS kind, unnest([s_name || '/CPU/Core', s_name || '/CPU/Cover', s_name || '/Fan', s_name || '/Rail']) AS sensor, unnest([{_BALANCE}, round((s_nationkey + 50 - 32) / 1.8::DOUBLE, 4), CAST(s_suppkey AS DOUBLE), CAST(s_nationkey AS DOUBLE)]) AS value FROM supplier")
 def sensor_tree(spark, sf_dir):
-    """Nodes of a sensor service's tree: comma decimals, Fahrenheit, nodes without a unit left out."""
-    n = F.col("s_suppkey").cast("string")
-    tree = F.concat(F.lit('{"Text": "PC", "Value": "", "Children": [{"Text": "CPU", "Value": "", "Children": [{"Text": "Core", "Value": "'), (F.col("s_suppkey") % 90).cast("string"), F.lit(',0 °C"}, {"Text": "Cover", "Value": "212.0 °F"}]}, {"Text": "Fan", "Value": "'), n, F.lit(' RPM"}, {"Text": "Rail", "Value": "11,9 V"}, {"Text": "Clock", "Value": "3 GHz"}]}'))
+    """Nodes of a sensor service's tree for each supplier: comma decimals, Fahrenheit, nodes without a unit left out."""
+    n, core = F.col("s_suppkey").cast("string"), F.replace(F.format_string("%.1f", F.round(F.abs("s_acctbal"), 1)), F.lit("."), F.lit(","))
+    nation = F.col("s_nationkey")
+    tree = F.concat(F.lit('{"Text": "'), "s_name", F.lit('", "Value": "", "Children": [{"Text": "CPU", "Value": "", "Children": [{"Text": "Core", "Value": "'), core, F.lit(' °C"}, {"Text": "Cover", "Value": "'), (nation + 50).cast("string"), F.lit('.0 °F"}]}, {"Text": "Fan", "Value": "'), n, F.lit(' RPM"}, {"Text": "Rail", "Value": "'), nation.cast("string"), F.lit(',0 V"}, {"Text": "Clock", "Value": "3 GHz"}]}'))
     return hardware.sensor_tree(table(spark, sf_dir, "supplier").select("s_suppkey", tree.alias("tree")), ["s_suppkey"], "tree").select("s_suppkey", "kind", "sensor", F.round("value", 4).alias("value"))
 
 
@@ -109,10 +123,13 @@ def evict_low_disk(spark, sf_dir):
     return retention.eviction_low_disk(d, "n_chars", tier, "interest", "doc_id", "doc_id", 1_000_000, 50_000).select("doc_id", "tier", "freed_before")
 
 
-@query(f"SELECT event_id, {choice_sql(0.3, 0.2, 0.4, 0.9, 0.6, 0.7, 0.85)} AS confidence, {choice_sql('not running', 'nothing to see', 'screen unreadable and no log', 'error seen', 'no log', 'no image', 'complete')} AS why FROM events")
+@query("""SELECT event_id, CASE WHEN event_type = 'view' AND user_id % 5 = 0 THEN 0.3 WHEN value <= 10 AND k <= 10 THEN 0.2 WHEN user_id % 4 = 0 AND value <= 10 THEN 0.4 WHEN event_type = 'error' THEN 0.9 WHEN value <= 10 THEN 0.6 WHEN k <= 10 THEN 0.7 ELSE 0.85 END::DOUBLE AS confidence,
+CASE WHEN event_type = 'view' AND user_id % 5 = 0 THEN 'not running' WHEN value <= 10 AND k <= 10 THEN 'nothing to see' WHEN user_id % 4 = 0 AND value <= 10 THEN 'screen unreadable and no log' WHEN event_type = 'error' THEN 'error seen' WHEN value <= 10 THEN 'no log' WHEN k <= 10 THEN 'no image' ELSE 'complete' END AS why
+FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""")
 def self_evaluation(spark, sf_dir):
-    flag = lambda *v: choice(*[x == 1 for x in v])
-    confidence, why = retention.self_evaluation(flag(0, 1, 1, 1, 1, 1, 1), flag(0, 0, 0, 1, 0, 0, 0), flag(1, 0, 0, 1, 0, 1, 1), flag(1, 0, 1, 1, 1, 0, 1), flag(0, 0, 1, 0, 0, 0, 0))
+    """Events as snapshots: small values have no log, small k no image, some users' screens are unreadable, some views have no program."""
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("long")
+    confidence, why = retention.self_evaluation(~((kind == "view") & (F.col("user_id") % 5 == 0)), kind == "error", F.col("value") > 10, k > 10, F.col("user_id") % 4 == 0)
     return table(spark, sf_dir, "events").select("event_id", confidence.alias("confidence"), why.alias("why"))
 
 
@@ -286,12 +303,12 @@ def ranked_outliers(spark, sf_dir):
     return health.ranked_outliers(e, ["source"], ["value", "k"], (F.col("ts_ms") >= T0) & (F.col("ts_ms") < T0 + 5 * DAY))
 
 
-@query("SELECT s_suppkey, map_keys_ AS kind, n FROM (SELECT s_suppkey, unnest(['temps', 'fans', 'volts']) AS map_keys_, unnest([2, 1, 1])::BIGINT AS n FROM supplier)")
+@query(f"SELECT s_suppkey, unnest(['temps', 'fans', 'volts']) AS kind, unnest([2, 1, 1])::BIGINT AS n, unnest([greatest({_BALANCE}, round((s_nationkey + 50 - 32) / 1.8::DOUBLE, 4)), CAST(s_suppkey AS DOUBLE), CAST(s_nationkey AS DOUBLE)]) AS highest FROM supplier")
 def sensor_samples_from_trees(spark, sf_dir):
-    """One sample a tree: maps by sensor."""
+    """One sample a tree: maps by sensor, with their sizes and highest values."""
     sample = hardware.sample_maps(hardware_tree(spark, sf_dir), ["s_suppkey"])
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.size(k).cast("long").alias("n")) for k in ("temps", "fans", "volts")])).alias("x")
-    return sample.select("s_suppkey", kinds).select("s_suppkey", "x.kind", "x.n")
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.size(k).cast("long").alias("n"), F.array_max(F.map_values(k)).alias("highest")) for k in ("temps", "fans", "volts")])).alias("x")
+    return sample.select("s_suppkey", kinds).select("s_suppkey", "x.kind", "x.n", F.round("x.highest", 4).alias("highest"))
 
 
 def hardware_tree(spark, sf_dir) -> DataFrame:

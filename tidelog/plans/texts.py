@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import levels, text, timeparse
-from ..operators import errors, exceptions, parsing, roles, state, timeline
+from ..operators import errors, exceptions, parsing, roles, sequence, state, timeline
 from ..sources import text as sources
-from .catalogue import DAY, EV, T0, events, query, table
+from .catalogue import DAY, DOC_LINES, EV, T0, document_lines, events, query, table
 
 def ident() -> Column:
     return F.col("event_id")
@@ -74,35 +74,36 @@ def iso_stamps(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", timeparse.ms_to_iso(F.col("ts_ms")).alias("iso"))
 
 
-_WORDS = ["warning", "ERR", "crit", "Notice", "finest", "severe", "trc", "panic", "", "custom", "inf", "dbg"]
-_MEANS = ["WARN", "ERROR", "FATAL", "INFO", "DEBUG", "ERROR", "TRACE", "FATAL", "", "CUSTOM", "INFO", "DEBUG"]
-_CATS = ["warn", "error", "error", "log", "debug", "error", "debug", "error", "log", "log", "log", "debug"]
-_RANKS = [4, 5, 6, 3, 2, 5, 1, 6, 0, 0, 3, 2]
+_LEVEL_ROWS = ", ".join(f"('{w}', '{level}')" for level, ws in levels.LEVEL_WORDS.items() for w in ws.split())
+_CATEGORY_ROWS = ", ".join(f"('{level}', '{levels.LEVEL_CATEGORY[level]}', {rank})" for level, rank in levels.LEVEL_RANK.items())
 
 
-@query(f"SELECT event_id, {choice_sql(*_MEANS)} AS level, {choice_sql(*_CATS)} AS category, {choice_sql(*_RANKS)} AS rank FROM events")
+@query(f"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS word FROM documents), l AS (SELECT word, coalesce(m.level, upper(word)) AS level FROM w LEFT JOIN (VALUES {_LEVEL_ROWS}) m(key, level) ON lower(word) = m.key)
+SELECT word, l.level, coalesce(c.category, 'log') AS category, CAST(coalesce(c.rank, 0) AS BIGINT) AS rank FROM l LEFT JOIN (VALUES {_CATEGORY_ROWS}) c(level, category, rank) ON l.level = c.level""")
 def level_words(spark, sf_dir):
-    level = levels.canonical_level(choice(*_WORDS))
-    return table(spark, sf_dir, "events").select("event_id", level.alias("level"), levels.level_category(level).alias("category"), levels.level_rank(level).cast("long").alias("rank"))
+    """Every distinct word of all documents as a level."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word")).distinct()
+    level = levels.canonical_level(F.col("word"))
+    return words.select("word", level.alias("level"), levels.level_category(level).alias("category"), levels.level_rank(level).cast("long").alias("rank"))
 
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL ELSE printf('%08x', event_id) END AS trace_id FROM events")
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' OR turn % 3 = 0 THEN md5(text) END AS trace_id FROM conversations")
 def trace_ids(spark, sf_dir):
-    hexed = F.lower(F.lpad(F.hex(ident()), 8, "0"))
-    line = F.concat(choice("GET request_id=", 'a traceId: "', "x Correlation-Id=", "traceparent ", "trace of "), hexed, F.lit(" done"))
-    return table(spark, sf_dir, "events").select("event_id", text.trace_id(line).alias("trace_id"))
+    """Every turn as a line that names its text's digest: users' as a request, every third of the others' as a trace, the rest as nothing that is known."""
+    c, user = table(spark, sf_dir, "conversations"), F.col("role") == "user"
+    first = F.get(F.split("text", "\n"), 0)
+    line = F.concat(first, F.when(user, " request_id=").when(F.col("turn") % 3 == 0, ' traceId: "').otherwise(" digest of "), F.md5(F.col("text").cast("binary")), F.lit('" done'))
+    return c.select("conv_id", "turn", text.trace_id(line).alias("trace_id"))
 
 
-_FAULTS = [
-    ("KeyError", "'x'", "missing key"), ("java.lang.NullPointerException", "", "null dereference"), ("Error", "connect ECONNREFUSED 10.0.0.1:80", "connection refused"), ("System.InvalidCastException", "bad", "invalid cast"),
-    ("OSError", "[Errno 28] No space left on device", "disk full"), ("panic", "runtime error: index out of range [3]", "index out of bounds"), ("ZeroDivisionError", "division by zero", "division by zero"), ("Custom", "nothing known", None),
-    ("ModuleNotFoundError", "No module named 'a'", "missing module"), ("java.net.SocketTimeoutException", "Read timed out", "timeout"), ("asyncio.CancelledError", "", "cancelled"), ("java.lang.UnsupportedOperationException", "", "not implemented"),
-]
-
-
-@query(f"SELECT event_id, {choice_sql(*[f[2] for f in _FAULTS])} AS cause FROM events")
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN (CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) < 40 THEN 'index out of bounds' ELSE 'disk full' END) WHEN 'signup' THEN 'missing key' WHEN 'purchase' THEN 'connection refused'
+WHEN 'click' THEN (CASE WHEN value > 30 THEN 'timeout' END) ELSE 'misused channel' END AS cause FROM events""")
 def probable_causes(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", text.probable_cause(choice(*[f[0] for f in _FAULTS]), choice(*[f[1] for f in _FAULTS])).alias("cause"))
+    """Failures as the events' types and fields would raise them; a click below 30 raises nothing that is known."""
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k")
+    raised = F.when((kind == "error") & (k.cast("long") >= 40), "OSError").when(kind == "signup", "KeyError").when(kind == "purchase", "Error").when((kind == "click") & (F.col("value") > 30), "java.net.SocketTimeoutException").when(kind.isin("error", "view"), "panic").otherwise("Custom")
+    message = F.when((kind == "error") & (k.cast("long") < 40), F.concat(F.lit("runtime error: index out of range ["), k, F.lit("]"))).when(kind == "error", F.concat(F.lit("[Errno 28] No space left on device "), k)).when(kind == "signup", k).when(kind == "purchase", F.concat(F.lit("connect ECONNREFUSED 10.0.0."), k)).when(kind == "click", "seen").otherwise(F.concat(F.lit("send on closed channel "), k))
+    return table(spark, sf_dir, "events").select("event_id", text.probable_cause(raised, message).alias("cause"))
 
 
 #: Blocks of nine languages: (language, text with # for a number, type, message, frames, first file).
@@ -117,42 +118,79 @@ _BLOCKS = [
     ("dotnet", "Unhandled exception. System.InvalidOperationException: seq #\n   at A.B.C(String x) in /x/y.cs:line 4", "InvalidOperationException", "seq #", 1, "/x/y.cs"),
     ("php", "PHP Fatal error:  Uncaught Exception: bad # in /a/x.php:3\nStack trace:\n#0 /a/y.php(4): foo()", "Exception", "bad #", 1, "/a/y.php"),
 ]
-_NUMBERED = lambda i: f"replace({choice_sql(*[b[i] for b in _BLOCKS])}, '#', CAST(event_id AS VARCHAR))"
 
 
-@query(f"SELECT event_id, {choice_sql(*[b[0] for b in _BLOCKS])} AS language, {choice_sql(*[b[2] for b in _BLOCKS])} AS type, {_NUMBERED(3)} AS message, {choice_sql(*[b[4] for b in _BLOCKS])} AS n_frames, {choice_sql(*[b[5] for b in _BLOCKS])} AS file FROM events")
+def _user_choice(values: list, kind: str) -> Column:
+    return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), (F.col("user_id") % len(values) + 1).cast("int"))
+
+
+_USER_SQL = lambda i: choice_sql(*[b[i] for b in _BLOCKS]).replace("event_id", "user_id")
+
+
+@query(f"SELECT event_id, {_USER_SQL(0)} AS language, {_USER_SQL(2)} AS type, replace({_USER_SQL(3)}, '#', json_extract_string(props, '$.k')) AS message, {_USER_SQL(4)} AS n_frames, {_USER_SQL(5)} AS file FROM events")
 def tracebacks(spark, sf_dir):
+    """Each user's program is in one of nine languages and fails with what the event holds."""
     # the php frame's own mark stays
-    block = F.regexp_replace(choice(*[b[1] for b in _BLOCKS]), "#(?!0 )", ident().cast("string"))
+    block = F.regexp_replace(_user_choice([b[1] for b in _BLOCKS], "string"), F.lit("#(?!0 )"), F.get_json_object("props", "$.k"))
     found = exceptions.parse_exceptions(table(spark, sf_dir, "events").select("event_id", block.alias("block")), "block")
     return found.select("event_id", "language", "type", "message", F.size("frames").cast("long").alias("n_frames"), F.get("frames", F.lit(0))["file"].alias("file"))
 
 
-@query(f"SELECT event_id, {choice_sql('database', 'network', 'parsing', 'concurrency', None, 'file')} AS cause FROM events")
+_STACK_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in words) + f" THEN '{cause}'" for cause, words in text.STACK_CAUSES.items()) + " END"
+
+
+@query(f"WITH b AS (SELECT 'd' || doc_id AS id, lower(text) AS t FROM documents UNION ALL SELECT 'p' || page_id, lower(html) FROM pages) SELECT id, {_STACK_SQL} AS cause FROM b")
 def stack_causes(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", text.stack_cause(choice("at sqlite3.Cursor.execute", "in urllib3/conn.py", "json.loads(x)", "threading.py run", "main.go:1", "f = open(path)")).alias("cause"))
+    """What documents and pages are about by the words of stacks."""
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("text"))
+    return d.unionByName(p).select("id", text.stack_cause(F.col("text")).alias("cause"))
+
 
+_ERROR_SQL = lambda t: "(" + " OR ".join(f"contains(lower(regexp_replace({t}, '\\s+', '', 'g')), '{k}')" for k in text.ERROR_KEYWORDS) + ")"
+_SCREENS = """s AS (SELECT 'd' || doc_id AS id, text, lang IS NOT NULL AS ok FROM documents UNION ALL SELECT 'p' || page_id, html, true FROM pages UNION ALL SELECT 'e' || event_id, CASE WHEN value > 20 THEN event_type || ' ' || props || chr(10) || event_type ELSE ' ' END, user_id % 7 <> 0 FROM events)"""
 
-@query(f"SELECT event_id, {choice_sql('found', 'none', 'unreadable', 'found', 'unreadable')} AS verdict, {choice_sql(1, 0, 0, 2, 0)} AS n_lines FROM events")
+
+@query(f"""WITH {_SCREENS}, l AS (SELECT id, count(*) AS n FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM s WHERE ok) WHERE {_ERROR_SQL('line')} GROUP BY 1)
+SELECT s.id, CASE WHEN NOT ok OR trim(text) = '' THEN 'unreadable' WHEN {_ERROR_SQL('text')} THEN 'found' ELSE 'none' END AS verdict, least(coalesce(n, 0), 5) AS n_lines FROM s LEFT JOIN l ON s.id = l.id""")
 def screen_verdicts(spark, sf_dir):
-    shown = choice("Login\nE r r o r 5", "All is well", "  ", "Fatal: x\nok\nabort", "crash")
-    return table(spark, sf_dir, "events").select("event_id", text.screen_verdict(shown, choice(True, True, True, True, False)).alias("verdict"), F.size(F.when(choice(True, True, True, True, False), text.error_lines(shown)).otherwise(F.array())).cast("long").alias("n_lines"))
+    """Documents, pages and events as what a screen shows: error words may be torn apart by white space."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("id")
+    d = table(spark, sf_dir, "documents").select(name("d", "doc_id"), "text", F.col("lang").isNotNull().alias("ok"))
+    p = table(spark, sf_dir, "pages").select(name("p", "page_id"), F.col("html").alias("text"), F.lit(True).alias("ok"))
+    shown = F.when(F.col("value") > 20, F.concat("event_type", F.lit(" "), "props", F.lit("\n"), "event_type")).otherwise(" ")
+    e = table(spark, sf_dir, "events").select(name("e", "event_id"), shown.alias("text"), (F.col("user_id") % 7 != 0).alias("ok"))
+    s, t = d.unionByName(p).unionByName(e), F.col("text")
+    return s.select("id", text.screen_verdict(t, F.col("ok")).alias("verdict"), F.size(F.when(F.col("ok"), text.error_lines(t)).otherwise(F.array().cast("array<string>"))).cast("long").alias("n_lines"))
+
 
+_FAILS_SQL = " OR ".join(f"starts_with(w, '{k}')" for k in text.FAILURE_KINDS)
 
-@query(f"SELECT event_id, {choice_sql(True, False, True, False, True)} AS failed FROM events")
+
+@query(f"""WITH k AS (SELECT DISTINCT event_type || '.' || p_name AS kind FROM events, part UNION SELECT DISTINCT unnest(string_split(text, ' ')) FROM documents), w AS (SELECT kind, unnest(regexp_split_to_array(lower(kind), '[^a-z0-9]+')) AS w FROM k)
+SELECT kind, bool_or({_FAILS_SQL}) AS failed FROM w GROUP BY 1""")
 def failure_kinds(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", text.is_failure_kind(choice("run.fail", "profiler", "test_errors", "unfailing", "timeout-2")).alias("failed"))
+    """Every word of the documents, and every pair of an event's type and a part's name, as the kind of a record."""
+    types, names = table(spark, sf_dir, "events").select("event_type").distinct(), table(spark, sf_dir, "part").select("p_name").distinct()
+    pairs = types.groupBy().agg(F.collect_set("event_type").alias("t")).select(F.explode("t").alias("event_type")).join(F.broadcast(names.groupBy().agg(F.collect_set("p_name").alias("n"))), F.lit(True)).select(F.explode(F.transform("n", lambda n: F.concat("event_type", F.lit("."), n))).alias("kind"))
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("kind"))
+    return pairs.union(words).distinct().select("kind", text.is_failure_kind(F.col("kind")).alias("failed"))
 
 
-@query("SELECT event_id, unnest(range(0, 3)) AS i, unnest(['a' || event_id, 'b', 'c']) AS line FROM events")
+@query(r"""WITH b AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE replace(text, chr(10), '\n') || '\n ' || role END AS t FROM conversations),
+l AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(t, '\r?\n|\\n'), lambda x: trim(x) <> '') AS l FROM b) SELECT conv_id, turn, unnest(range(0, len(l))) AS i, unnest(l) AS line FROM l""")
 def logical_lines(spark, sf_dir):
-    block = F.concat(F.lit("a"), ident().cast("string"), F.lit("\n\n"), F.lit("b\\nc"))
-    return table(spark, sf_dir, "events").select("event_id", F.posexplode(text.logical_lines(block)).alias("i", "line")).select("event_id", F.col("i").cast("long").alias("i"), "line")
+    """Turns of conversations, every second with its line ends spelt out."""
+    block = F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.concat(F.replace("text", F.lit("\n"), F.lit("\\n")), F.lit("\\n "), "role"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(text.logical_lines(block)).alias("i", "line")).select("conv_id", "turn", F.col("i").cast("long").alias("i"), "line")
 
 
-@query(f"SELECT event_id, CASE WHEN event_id % 6 = 5 THEN 7 ELSE event_id * {choice_sql(1, 1024, 1048576, 1024, 1073741824, 0)} END AS bytes FROM events")
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN n_chars WHEN 'de' THEN n_chars * 1024 WHEN 'fr' THEN n_chars * 1048576 WHEN 'es' THEN CAST(n_chars / 8.0::DOUBLE * 1073741824 AS BIGINT) ELSE 7 END AS bytes FROM documents")
 def byte_sizes(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", text.parse_bytes(F.concat(ident().cast("string"), choice("", "K", "MB", " KiB", "gb", " parsecs")), 7).alias("bytes"))
+    """Documents' lengths as a configuration would spell them, in the unit of their language."""
+    n = F.col("n_chars").cast("string")
+    shown = F.when(F.col("lang") == "en", n).when(F.col("lang") == "de", F.concat(n, F.lit(" KiB"))).when(F.col("lang") == "fr", F.concat(n, F.lit("MB"))).when(F.col("lang") == "es", F.concat((F.col("n_chars") / 8.0).cast("decimal(20,3)").cast("string"), F.lit(" gb"))).otherwise(F.concat(n, F.lit(" parsecs")))
+    return table(spark, sf_dir, "documents").select("doc_id", text.parse_bytes(shown, 7).alias("bytes"))
 
 
 @query("""WITH s AS (SELECT doc_id, n_chars % 4000 + 1 AS w, strlen(text) % 3000 + 1 AS h FROM documents), c AS (SELECT *, CASE WHEN greatest(w, h) > 2576 THEN 2576::DOUBLE / greatest(w, h) ELSE 1::DOUBLE END AS k FROM s)
@@ -169,18 +207,23 @@ def logfmt_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.explode(formats.pairs(line)).alias("key", "value"))
 
 
-@query("SELECT event_id, unnest(['host', 'user', 'a', 'z']) AS key, unnest(['h1', 'json', CAST(event_id AS VARCHAR), 'first']) AS value FROM events")
+@query("SELECT event_id, unnest(['host', 'user', 'k', 'kind']) AS key, unnest(['user_' || user_id, CAST(user_id AS VARCHAR), json_extract_string(props, '$.k'), event_type]) AS value FROM events")
 def enriched_fields(spark, sf_dir):
-    """What is known stays, JSON comes before pairs, the first of a repeated key counts."""
-    message = F.concat(F.lit('user=kv z=first host=no {"a": '), ident().cast("string"), F.lit(', "user": "json"} z=second'))
-    return table(spark, sf_dir, "events").select("event_id", F.explode(text.enriched(message, F.create_map(F.lit("host"), F.lit("h1")))).alias("key", "value"))
+    """What is known stays, the event's JSON comes before pairs, the first of a repeated key counts."""
+    u = F.col("user_id").cast("string")
+    message = F.concat(F.lit("user="), u, F.lit(" kind="), "event_type", F.lit(" host=no k=none "), "props", F.lit(" kind=second"))
+    return table(spark, sf_dir, "events").select("event_id", F.explode(text.enriched(message, F.create_map(F.lit("host"), F.concat(F.lit("user_"), u)))).alias("key", "value"))
 
 
-@query("SELECT event_id, CAST(1 AS BIGINT) AS n_added, CAST(1 AS BIGINT) AS n_removed, CASE WHEN event_id % 3 = event_id % 2 THEN 0 ELSE 1 END::BIGINT AS n_changed FROM events")
+@query("""WITH m AS (SELECT event_id, event_type AS t, json_extract_string(props, '$.k') AS k, value > 30 AS dear, lag(event_type) OVER w AS pt, lag(json_extract_string(props, '$.k')) OVER w AS pk, lag(value > 30) OVER w AS pd FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, CASE WHEN dear AND (pd IS NULL OR NOT pd) THEN 1 ELSE 0 END + CASE WHEN pt IS NULL THEN 2 ELSE 0 END AS n_added, CASE WHEN pd AND NOT dear THEN 1 ELSE 0 END AS n_removed, CASE WHEN pt <> t THEN 1 ELSE 0 END + CASE WHEN pk <> k THEN 1 ELSE 0 END AS n_changed FROM m""")
 def map_deltas(spark, sf_dir):
-    m = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in kv])
-    d = state.map_delta(m("a", ident() % 3, "b", ident()), m("a", ident() % 2, "c", ident()))
-    return table(spark, sf_dir, "events").select("event_id", d.alias("d")).select("event_id", *[F.col(f"d.{c}").cast("long").alias(c) for c in ("n_added", "n_removed", "n_changed")])
+    """Each event's state against the one before of its user: type and k, and a price's mark only where it is dear."""
+    base = F.create_map(F.lit("type"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k"))
+    e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("m", F.when(F.col("value") > 30, F.map_concat(base, F.create_map(F.lit("dear"), F.lit("yes")))).otherwise(base))
+    rows = sequence.with_previous(e.select("event_id", "user_id", "us", "m"), ["user_id"], ["us", "event_id"], ["m"], DAY * 1000.0)
+    d = state.map_delta(F.coalesce(F.col("_p.m"), F.create_map().cast("map<string,string>")), F.col("m"))
+    return rows.select("event_id", d.alias("d")).select("event_id", *[F.col(f"d.{c}").cast("long").alias(c) for c in ("n_added", "n_removed", "n_changed")])
 
 
 def rendered(spark, sf_dir) -> DataFrame:
@@ -261,10 +304,10 @@ def timeline_page(spark, sf_dir):
     return timeline.page(events(spark, sf_dir), ["ts_ms", "event_id"], 50, 100).select("event_id", "ts_ms")
 
 
-@query("SELECT event_id FROM events WHERE event_id % 4 NOT IN (0, 3)")
+@query(f"WITH {DOC_LINES} SELECT doc_id, line_no FROM dl WHERE NOT contains(line, 'tion') AND NOT contains(line, 'GNU General')")
 def without_own_lines(spark, sf_dir):
-    lines = table(spark, sf_dir, "events").select("event_id", choice("[observer] tick", "started", "stopped", "obs.heartbeat 3").alias("line"))
-    return timeline.without_own(lines, ["[observer]", "obs.heartbeat"]).select("event_id")
+    """Document lines that hold neither mark."""
+    return timeline.without_own(document_lines(spark, sf_dir), ["tion", "GNU General"]).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
 
 
 @query(f"WITH {EV} SELECT event_id FROM ev WHERE source = 'user_9'")
@@ -272,12 +315,14 @@ def labelled_rows(spark, sf_dir):
     return timeline.labelled(events(spark, sf_dir).withColumn("log_label", F.col("source")), "user_9").select("event_id")
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_id % 3 = 0")
+_NORMAL = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '0x[0-9a-fA-F]+', '0xHEX', 'g'), '[A-Za-z]:[\\\\/][^\\s:''\",)\\]]+', '/PATH', 'g'), '/[^\\s:]+', '/PATH', 'g'), '[0-9]+', 'N', 'g'), '\\s+', ' ', 'g'))"
+_SAID = "This work is licensed under the GNU General Public License, version 77."
+
+
+@query(f"WITH {DOC_LINES} SELECT doc_id, line_no FROM dl WHERE sha1({_NORMAL('line')}) = sha1({_NORMAL(repr(_SAID))})")
 def errors_of_fingerprint(spark, sf_dir):
-    message = F.concat(choice("disk full on /dev/sd", "lost peer ", "bad block "), ident().cast("string"))
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", message.alias("message"))
-    wanted = spark.range(1).select(text.fingerprint(F.lit("disk full on /dev/sd77"))).first()[0]
-    return errors.of_fingerprint(rows, "message", wanted).select("event_id", "user_id")
+    """Document lines of the fingerprint of a known one."""
+    return errors.of_fingerprint(document_lines(spark, sf_dir), "line", text.fingerprint(F.lit(_SAID))).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
 
 
 @query("SELECT DISTINCT 'a=' || (event_id % 7000 + 10) AS token, event_id % 7000 + 10 >= 5000 AS corroborated FROM events WHERE event_id % 7000 + 10 >= 10")
@@ -347,11 +392,12 @@ def hwmon_values(spark, sf_dir):
     return sources.hwmon(table(spark, sf_dir, "part").select(path.alias("path"), (F.col("p_size") * 1000).cast("string").alias("value")), "path", "value")
 
 
-@query("SELECT CAST(p_partkey AS INTEGER) AS pid, '/var/log/a ' || p_partkey || '.log' AS path FROM part WHERE p_partkey % 3 < 2")
+@query("SELECT CAST(c_custkey + 100 AS INTEGER) AS pid, '/var/log/' || c_mktsegment || ' ' || c_name || '.log' AS path FROM customer WHERE c_acctbal >= 0")
 def open_for_writing(spark, sf_dir):
-    mode = F.element_at(F.array(F.lit("3w"), F.lit("4u"), F.lit("5r")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    line = F.concat(F.lit("app  "), F.col("p_partkey").cast("string"), F.lit(" root "), mode, F.lit(" REG 8,1 512 77 /var/log/a "), F.col("p_partkey").cast("string"), F.lit(".log"))
-    return sources.write_targets(table(spark, sf_dir, "part").select(line.alias("line")), "line")
+    """Customers with a balance as programs that write their log, the others read it."""
+    mode = F.when(F.col("c_acctbal") >= 5000, "3w").when(F.col("c_acctbal") >= 0, "4u").otherwise("5r")
+    line = F.concat(F.lit("app  "), (F.col("c_custkey") + 100).cast("string"), F.lit(" root "), mode, F.lit(" REG 8,1 512 77 /var/log/"), "c_mktsegment", F.lit(" "), "c_name", F.lit(".log"))
+    return sources.write_targets(table(spark, sf_dir, "customer").select(line.alias("line")), "line")
 
 
 @query("SELECT p_partkey, p_size AS passed, p_partkey % 3 AS failed FROM part")
@@ -361,39 +407,44 @@ def test_totals(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", s["passed"].cast("long").alias("passed"), s["failed"].cast("long").alias("failed")).select("p_partkey", F.col("passed").cast(table(spark, sf_dir, "part").schema["p_size"].dataType).alias("passed"), F.col("failed").cast(table(spark, sf_dir, "part").schema["p_partkey"].dataType).alias("failed"))
 
 
-def code(spark, sf_dir) -> DataFrame:
-    """A small source file for each part."""
-    n = F.col("p_partkey").cast("string")
-    body = F.concat(F.lit("import os\nfrom app.mod"), (F.col("p_partkey") % 5).cast("string"), F.lit(" import x\n\nclass C"), n, F.lit(":\n    def run(self):\n        raise ValueError('p"), n, F.lit("')\n"))
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("/src/f"), n, F.lit(".py")).alias("path"), body.alias("text"))
+def code(spark, sf_dir, path=None) -> DataFrame:
+    """A small source file for each part, made of its name, type and size."""
+    n, name = F.col("p_partkey").cast("string"), F.split("p_name", " ")
+    body = F.concat(F.lit("import "), F.get(name, 0), F.lit("\nfrom app.mod"), F.col("p_size").cast("string"), F.lit(" import x\n\nclass "), F.initcap(F.get(name, 1)), n, F.lit(":\n    def run_"), F.lower("p_type"), F.lit("(self):\n        raise ValueError('"), "p_name", F.lit("')\n"))
+    return table(spark, sf_dir, "part").select((F.concat(F.lit("/src/f"), n, F.lit(".py")) if path is None else path).alias("path"), body.alias("text"))
 
 
-@query("SELECT '/src/f' || p_partkey || '.py' AS path, unnest(['os', 'app.mod' || (p_partkey % 5)]) AS module FROM part")
+@query("SELECT '/src/f' || p_partkey || '.py' AS path, unnest([split_part(p_name, ' ', 1), 'app.mod' || p_size]) AS module FROM part")
 def imported_modules(spark, sf_dir):
     return sources.import_edges(code(spark, sf_dir), "path", "text")
 
 
-@query("SELECT '/src/f' || p_partkey || '.py' AS path, unnest(['class', 'def']) AS kind, unnest(['C' || p_partkey, 'run']) AS name FROM part")
+@query("SELECT '/src/f' || p_partkey || '.py' AS path, unnest(['class', 'def']) AS kind, unnest([upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] || p_partkey, 'run_' || lower(p_type)]) AS name FROM part")
 def code_symbols(spark, sf_dir):
     return sources.symbols(code(spark, sf_dir), "path", "text")
 
 
-@query("SELECT '/src/f' || p_partkey || '.py' AS path, '/src/f' || p_partkey || '.py: class C' || p_partkey || ', def run' AS line FROM part")
+@query("SELECT '/src/f' || p_partkey || '.py' AS path, '/src/f' || p_partkey || '.py: class ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] || p_partkey || ', def run_' || lower(p_type) AS line FROM part")
 def source_outline(spark, sf_dir):
     return sources.light_digest(code(spark, sf_dir), "path", "text")
 
 
-@query("SELECT p_partkey, 'l' || p_partkey AS text, CAST(1 AS BIGINT) AS n FROM part")
+@query("""WITH c AS (SELECT '/src/' || replace(p_brand, '#', '') || '/f' || p_partkey || '.py' AS path, p_partkey, unnest(range(1, 7)) AS line_no, unnest(['import ' || split_part(p_name, ' ', 1), 'from app.mod' || p_size || ' import x', '', 'class ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] || p_partkey || ':', '    def run_' || lower(p_type) || '(self):', '        raise ValueError(' || chr(39) || p_name || chr(39) || ')']) AS text FROM part),
+f AS (SELECT event_id, user_id * 3 % (SELECT count(*) FROM part) AS part, CAST(json_extract(props, '$.k') AS INTEGER) % 12 AS line FROM events WHERE event_type = 'error')
+SELECT event_id, line_no, text FROM f JOIN c ON f.part = c.p_partkey AND c.line_no BETWEEN line - 1 AND line + 1""")
 def frames_in_code(spark, sf_dir):
-    """Error frames joined with the code around them."""
-    n = F.col("p_partkey").cast("string")
-    files = table(spark, sf_dir, "part").select(F.concat(F.lit("/repo/src/f"), n, F.lit(".py")).alias("path"), F.lit(3).alias("line_no"), F.concat(F.lit("l"), n).alias("text"))
-    frames = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("src/f"), n, F.lit(".py")).alias("file"), F.lit(5).alias("line"))
-    return exceptions.source_lines(frames, files).groupBy("p_partkey", "text").agg(F.count("*").alias("n"))
+    """Frames of error events, which name a part's file from its brand's folder on, joined with the code around them."""
+    part = table(spark, sf_dir, "part")
+    folder = F.concat(F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("/f"), F.col("p_partkey").cast("string"), F.lit(".py"))
+    files = code(spark, sf_dir, F.concat(F.lit("/src/"), folder)).select("path", F.posexplode(F.split(F.rtrim(F.col("text"), F.lit("\n")), "\n")).alias("i", "text")).select("path", (F.col("i") + 1).alias("line_no"), "text")
+    named = part.select("p_partkey", folder.alias("file"))
+    errors_ = table(spark, sf_dir, "events").filter("event_type = 'error'").join(part.agg(F.count("*").alias("n")), F.lit(True)).select("event_id", (F.col("user_id") * 3 % F.col("n")).alias("p_partkey"), (F.get_json_object("props", "$.k").cast("int") % 12).alias("line"))
+    return exceptions.source_lines(errors_.join(named, "p_partkey"), files, 1).select("event_id", F.col("line_no").cast("long").alias("line_no"), "text")
 
 
-@query("""SELECT '/log/' || c_custkey AS path, CASE WHEN c_custkey % 4 = 0 THEN 'silent' WHEN c_custkey % 4 = 1 THEN 'unlisted' WHEN c_custkey % 300 > 120 THEN 'stale' ELSE 'ok' END AS verdict,
-CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(c_custkey % 300 AS DOUBLE) END AS age_s FROM customer""")
+@query("""SELECT '/log/' || c_custkey AS path, CASE WHEN c_mktsegment = 'BUILDING' THEN 'silent' WHEN c_acctbal < 0 THEN 'unlisted' WHEN abs(c_acctbal) / 10 > 120 THEN 'stale' ELSE 'ok' END AS verdict,
+CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE abs(c_acctbal) / 10 END AS age_s FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_acctbal >= 0""")
 def reconciled_logs(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("/log/"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_custkey").alias("k"))
-    return state.reconcile(c.filter("k % 4 <> 1"), c.filter("k % 4 <> 0").select("path", (F.col("k") % 300).cast("double").alias("age_s")))
+    """Logs of customers: those in debt are not configured, builders have written none, others as long ago as their balance says."""
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("/log/"), F.col("c_custkey").cast("string")).alias("path"), "c_mktsegment", "c_acctbal")
+    return state.reconcile(c.filter("c_acctbal >= 0"), c.filter("c_mktsegment <> 'BUILDING'").select("path", (F.abs("c_acctbal") / 10).alias("age_s")))
