@@ -185,3 +185,17 @@ def test_every_code_signal_has_words_and_finds_code(spark):
     code = "import logging\nimport threading\n\nasync def f():\n    try:\n        await g()\n    except ValueError: pass\n\nif __name__ == '__main__':\n    asyncio.run(f())\n"
     got = {r["signal"]: (r["hits"], r["files"], r["example"]) for r in predicates.signal_report(spark.createDataFrame([("a.py", code), ("b.py", "x = 1"), ("c.py", None)], "path string, text string"), "path", "text", codesigns.SIGNALS).collect()}
     assert {"async", "existing_logging", "py_stdlib_logging", "exception_handlers", "discards_error", "launch_surface", "event_loop_runner"} <= set(got) and got["async"] == (3, 1, "a.py")
+
+
+def test_plans_for_small_and_large_keys_agree(spark, monkeypatch):
+    from tidelog.operators import hardware
+
+    rng = random.Random(4)
+    rows = spark.createDataFrame(history(21), SCHEMA).filter("v IS NOT NULL")
+    samples = spark.createDataFrame([(k, float(t), 60 + rng.random() * 45, "cpu", rng.choice([0, 900]), rng.choice([11.0, 11.9, 12.1]), rng.random() * 300) for k in "abc" for t in range(0, 900, 7)], "k string, ts_s double, temp double, temp_label string, fan_rpm int, volts double, watts double")
+    shown = lambda d: sorted(map(str, d.collect()))
+    ways = []
+    for small in (True, False):
+        monkeypatch.setattr(ranks, "bounded", lambda *a, small=small: small)
+        ways.append([shown(sequence.sag(rows, ["k"], ["ts", "id"], "v", 50.0)), shown(sequence.spikes(rows, ["k"], ["ts", "id"], "v", 0.5)), shown(hardware.telemetry_points(samples, ["k"], 60.0))])
+    assert ways[0] == ways[1] and all(ways[0])

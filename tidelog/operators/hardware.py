@@ -48,7 +48,8 @@ def telemetry_points(samples: DataFrame, by: list[str], width_s: float = 86_400.
     the newer half's lowest rail below its floor, or else 4 % below the median; the last watts at 1.5 times the earlier median of 5 or more.
     """
     end = samples.groupBy(*by).agg(F.max("ts_s").alias("_end"))
-    rows = ranks.with_place(samples.join(end, by), by, ["ts_s"], width_s, "_i", "_n")
+    small = ranks.bounded(samples, by)
+    rows = ranks.with_place(samples.join(end, by), by, ["ts_s"], width_s, "_i", "_n", small=small)
     age = F.col("_end") - F.col("ts_s")
     floor = reduce(lambda acc, p: acc.when(F.col("_rail") == p[0], F.lit(p[1])), RAIL_FLOORS.items(), F.when(F.lit(False), F.lit(0.0)))
     rows = rows.withColumn("_rail", rail_nominal(F.col("volts"))).withColumn("_floor", floor)
@@ -63,9 +64,12 @@ def telemetry_points(samples: DataFrame, by: list[str], width_s: float = 86_400.
         F.min(F.when(newer, F.col("volts"))).alias("v_low"),
         F.max(F.when(age == 0, F.col("watts"))).alias("w_last"),
         F.count_if(age <= 600).alias("w_n"),
+        # where a key may be large its medians come from ranks
+        *([F.median("volts").alias("v_median"), F.median(F.when((age > 0) & (age <= 600), F.col("watts"))).alias("w_median")] if small else []),
     )
-    late = rows.withColumn("_w", F.when((age > 0) & (age <= 600), F.col("watts")))
-    facts = facts.join(ranks.medians(rows, by, "volts", "v_median"), by).join(ranks.medians(late, by, "_w", "w_median"), by)
+    if not small:
+        late = rows.withColumn("_w", F.when((age > 0) & (age <= 600), F.col("watts")))
+        facts = facts.join(ranks.medians(rows, by, "volts", "v_median"), by).join(ranks.medians(late, by, "_w", "w_median"), by)
     rules = [
         ("thermal", 3.0, "critical temperature", F.col("over") >= 0),
         ("thermal", 2.0, "temperature climbing", (F.col("t_last") - F.col("t_first") >= 10) & (F.col("t_last") >= 85)),

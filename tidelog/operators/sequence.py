@@ -118,9 +118,11 @@ def _with(rows: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
 
 def sag(rows: DataFrame, by: list[str], order: list[str], value: str, width: float = STRETCH_MS) -> DataFrame:
     """The newer half's minimum against the median of all: sag_pct."""
-    placed = ranks.with_place(rows, by, order, width, "_i", "_n")
-    low = placed.groupBy(*by).agg(F.min(F.when(F.col("_i") > F.col("_n") / 2, F.col(value))).alias("low"))
-    out = _with(low, ranks.medians(rows, by, value), by)
+    low = F.min(F.when(F.col("_i") > F.col("_n") / 2, F.col(value))).alias("low")
+    if ranks.bounded(rows, by):
+        out = ranks.with_place(rows, by, order, width, "_i", "_n", small=True).groupBy(*by).agg(F.median(value).alias("median"), low)
+    else:
+        out = _with(ranks.with_place(rows, by, order, width, "_i", "_n").groupBy(*by).agg(low), ranks.medians(rows, by, value), by)
     return out.select(*by, F.round("median", 6).alias("median"), F.round("low", 6).alias("low"), F.round(F.try_divide(F.col("median") - F.col("low"), F.col("median")) * 100, 4).alias("sag_pct"))
 
 
@@ -128,31 +130,42 @@ def spikes(rows: DataFrame, by: list[str], order: list[str], value: str, ratio:
     """Keys whose last value is `ratio` times the median of the earlier ones or more, of `least` rows at least."""
     last = rows.groupBy(*by).agg(F.max(F.struct(*order)).alias("_last"), F.max_by(value, F.struct(*order)).alias("latest"), F.count("*").alias("n")).filter(F.col("n") >= least)
     earlier = _with(rows, last.select(*by, "_last"), by).filter(F.struct(*order) < F.col("_last"))
-    out = _with(last, ranks.medians(earlier, by, value), by)
+    out = _with(last, ranks.medians(earlier, by, value, small=ranks.bounded(rows, by)), by)
     return out.filter(F.col("latest") >= ratio * F.col("median")).select(*by, F.round("latest", 6).alias("latest"), F.round("median", 6).alias("median"), "n")
 
 
 def rate_limited(rows: DataFrame, by: str, ts: str, tie: str, gap: float, run_rows: int = RUN_ROWS) -> DataFrame:
     """(by, ts, tie) of the rows accepted when each must be `gap` or more after the last accepted one of its key, in order of (ts, tie); rows without a time are left out.
 
-    A row after a silence of `gap` is accepted whatever came before, so what lies between two silences is a run of its own. A run of up to run_rows rows is gone
-    through within one array; in a longer one each row points at the first row `gap` later, and the pointers are doubled until all that the run's first row reaches is found.
+    A key of up to run_rows rows is gone through within one array. In a larger one a row after a silence of `gap` is accepted whatever came before, so what lies
+    between two silences is a run of its own; runs of up to run_rows rows are gone through in the same way, and in longer ones each row points at the first row
+    `gap` later, and the pointers are doubled until all that the run's first row reaches is found.
     """
     data = rows.select(by, ts, tie).filter(F.col(ts).isNotNull())
+    large = data.groupBy(F.col(by).alias("_large")).agg(F.count("*").alias("_n")).filter(F.col("_n") > run_rows).select("_large")
+    if large.isEmpty():
+        return _accepted(data, [by], ts, tie, gap).select(by, ts, tie)
+    same = F.col(by).eqNullSafe(F.col("_large"))
+    few, data = data.join(large, same, "left_anti"), data.join(large, same, "left_semi")
     runs = numbered_runs(with_previous(data, [by], [ts, tie], [ts], 64.0 * gap), [by], [ts, tie], F.col(ts) - F.col(f"_p.{ts}") < gap)
     sized = _with(runs, runs.groupBy(by, "island").agg(F.count("*").alias("_size")), [by, "island"])
-    kind = data.schema[ts].dataType.simpleString()
-    short = sized.filter(F.col("_size") <= run_rows).groupBy(by, "island").agg(F.array_sort(F.collect_list(F.struct(ts, tie))).alias("_r"))
-    item = f"struct<{ts}:{kind},{tie}:{data.schema[tie].dataType.simpleString()}>"
-    start = F.struct(F.lit(None).cast(kind).alias("last"), F.array().cast(f"array<{item}>").alias("kept"))
-    step = lambda acc, r: F.when(acc["last"].isNull() | (r[ts] - acc["last"] >= gap), F.struct(r[ts].alias("last"), F.concat(acc["kept"], F.array(r)).alias("kept"))).otherwise(acc)
-    accepted = short.select(by, F.explode(F.aggregate("_r", start, step)["kept"]).alias("r")).select(by, F.col(f"r.{ts}").alias(ts), F.col(f"r.{tie}").alias(tie))
+    short = sized.filter(F.col("_size") <= run_rows).select(by, ts, tie, "island")
+    accepted = _accepted(few, [by], ts, tie, gap).select(by, ts, tie).unionByName(_accepted(short, [by, "island"], ts, tie, gap).select(by, ts, tie))
     long = sized.filter(F.col("_size") > run_rows).select(by, ts, tie, "island")
     if long.isEmpty():
         return accepted
     return accepted.unionByName(_reached(long, [by, "island"], ts, tie, gap).select(by, ts, tie))
 
 
+def _accepted(rows: DataFrame, by: list[str], ts: str, tie: str, gap: float) -> DataFrame:
+    """The accepted rows of keys that fit an array."""
+    kind, other = rows.schema[ts].dataType.simpleString(), rows.schema[tie].dataType.simpleString()
+    start = F.struct(F.lit(None).cast(kind).alias("last"), F.array().cast(f"array<struct<{ts}:{kind},{tie}:{other}>>").alias("kept"))
+    step = lambda acc, r: F.when(acc["last"].isNull() | (r[ts] - acc["last"] >= gap), F.struct(r[ts].alias("last"), F.concat(acc["kept"], F.array(r)).alias("kept"))).otherwise(acc)
+    of = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(ts, tie))).alias("_r"))
+    return of.select(*by, F.explode(F.aggregate("_r", start, step)["kept"]).alias("r")).select(*by, F.col(f"r.{ts}").alias(ts), F.col(f"r.{tie}").alias(tie))
+
+
 def successors(rows: DataFrame, by: list[str], ts: str, tie: str, gap: float) -> DataFrame:
     """Rows + _next, the first row of their key `gap` or more later as (ts, tie); null at the end. Time is cut into cells of the gap: the row sought is in the next cell, or else the first of the next cell that has rows."""
     cells = rows.withColumn("_cell", F.floor(F.col(ts) / gap).cast("long"))

@@ -325,13 +325,14 @@ def errors_of_fingerprint(spark, sf_dir):
     return errors.of_fingerprint(document_lines(spark, sf_dir), "line", text.fingerprint(F.lit(_SAID))).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
 
 
-@query("SELECT DISTINCT 'a=' || (event_id % 7000 + 10) AS token, event_id % 7000 + 10 >= 5000 AS corroborated FROM events WHERE event_id % 7000 + 10 >= 10")
+@query("""WITH t AS (SELECT event_type, 'a=' || (CAST(json_extract(props, '$.k') AS BIGINT) * 1000 + user_id) AS token FROM events)
+SELECT token, token IN (SELECT token FROM t WHERE event_type = 'error') AS corroborated FROM (SELECT DISTINCT token FROM t WHERE event_type = 'view' AND len(token) >= 4)""")
 def corroborate_claims(spark, sf_dir):
-    """Pairs that a screen shows and whether a log has them too."""
-    e = table(spark, sf_dir, "events")
+    """Pairs that views show and whether an error's line has them too."""
+    e, pair = table(spark, sf_dir, "events"), (F.get_json_object("props", "$.k").cast("long") * 1000 + F.col("user_id")).cast("string")
     of = lambda rows, c: rows.select(F.explode(F.filter(roles.tokens(c), lambda t: t.startswith("a="))).alias("token")).distinct()
-    shown = of(e, F.concat(F.lit("state a="), (ident() % 7000 + 10).cast("string")))
-    logged = of(e.filter(ident() % 7000 + 10 >= 5000), F.concat(F.lit("log has a="), (ident() % 7000 + 10).cast("string"), F.lit(", done")))
+    shown = of(e.filter("event_type = 'view'"), F.concat(F.lit("state a="), pair))
+    logged = of(e.filter("event_type = 'error'"), F.concat(F.lit("log has a="), pair, F.lit(", done")))
     return roles.corroborated(shown, "token", logged, "token")
 
 
