@@ -150,3 +150,41 @@ def test_a_keys_rows_are_sorted_across_arrow_batches(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(r["ts_ms"] for r in spark.table("ordered").collect()) == [0.0, 10_000.0, 20_000.0, 30_000.0, 40_000.0]
+
+
+def test_console_locks_on_its_first_known_format(spark, tmp_path):
+    schema, folder = "channel string, line string, arrived timestamp", str(tmp_path / "in")
+    places = [str(tmp_path / x) for x in ("sink", "locks", "cp")]
+    log4j = "2024-01-05 10:00:0{0},123 [main] WARN app.Svc - event {0}"
+
+    def step(rows):
+        spark.createDataFrame(rows, "channel string, line string").withColumn("arrived", F.timestamp_seconds(F.lit(1_700_000_000))).coalesce(1).write.mode("append").parquet(folder)
+        stream.console_tee(stream.read_parquet(spark, folder, schema), *places).awaitTermination()
+        return {(r["channel"], r["adapter"]) for r in stream.known_locks(spark, places[1]).collect()}
+
+    assert step([("stdout", "starting up"), ("stderr", "oops")]) == set()
+    assert step([("stdout", log4j.format(i)) for i in range(4)]) == {("stdout", "log4j")}
+    assert step([("stdout", "plain again"), ("stdout", log4j.format(9)), ("stderr", "half done")]) == {("stdout", "log4j")}
+    rows = {r["message"]: r for r in spark.read.json(places[0]).collect()}
+    assert len(rows) == 9 and rows["event 9"]["level"] == "WARN" and rows["event 9"]["emit_ts_ms"] == 1704448809123.0
+    assert rows["oops"]["level"] == "ERROR" and rows["oops"]["category"] == "error" and rows["plain again"]["level"] == "INFO"
+
+
+def test_baselines_are_kept(spark, tmp_path):
+    path = str(tmp_path / "baselines")
+    assert signals.load_baselines(spark, path).count() == 0
+    for key, ms in (("a", 5.0), ("b", 7.0), ("a", 9.0)):
+        signals.save_baseline(spark, path, key, ms)
+    kept = signals.load_baselines(spark, path)
+    assert {tuple(r) for r in kept.collect()} == {("a", 9.0), ("b", 7.0)}
+    events = spark.createDataFrame([("a", 8.0), ("a", 9.0), ("b", 6.0), ("c", 1.0)], "key string, ts_ms double")
+    assert {tuple(r) for r in signals.since_baseline(events, kept, ["key"], "ts_ms").collect()} == {("a", 9.0), ("c", 1.0)}
+
+
+def test_alerts_that_follow_within_the_gap_are_one(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    spark.createDataFrame([("a", 0), ("a", 100), ("a", 1000), ("b", 50), ("z", 100_000)], "kind string, s long").select("kind", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(folder)
+    spark.createDataFrame([("z", 200_000)], "kind string, s long").select("kind", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+    source = stream.read_parquet(spark, folder, "kind string, ts timestamp", 1).withWatermark("ts", "0 seconds")
+    stream.run_once(stream.gap_sessions(source, "kind"), "gaps", str(tmp_path / "cp"))
+    assert {(r["kind"], r["n"]) for r in spark.table("gaps").filter("kind <> 'z'").collect()} == {("a", 2), ("a", 1), ("b", 1)}

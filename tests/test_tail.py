@@ -162,3 +162,36 @@ def test_offsets_of_texts_equal_those_of_files(spark):
     got = tail.with_offsets(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t").collect()
     want = {(i, *x) for i, t in enumerate(texts) for x in lines_by_force((t or "").encode(), 0, len((t or "").encode()))}
     assert {(r["path"], r["offset"], r["end"], r["complete"], r["line"]) for r in got} == want and len(got) == len(want)
+
+
+def test_logs_by_conventional_names(spark):
+    from tidelog.sources import text
+
+    paths = ["/var/log/syslog", "/var/log/syslog.1", "/var/log/messages-20240101", "/srv/catalina.out", "/srv/nohup.out", "/x/app.log", "/x/readme", "/x/kernel_notes.md", "/opt/syslog.py"]
+    got = {r["path"] for r in text.log_candidates(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert got == set(paths[:6])
+
+
+def test_events_of_a_tail(spark, tmp_path):
+    from tidelog.operators import parsing
+
+    log4j = "2024-01-05 10:00:{0:02},123 [main] WARN app.Svc - event {0}"
+    (tmp_path / "a.log").write_text("".join(log4j.format(i) + "\n" for i in range(50)))
+    (tmp_path / "b.log").write_text("".join('{"ts": "2024-01-05T10:00:%02dZ", "level": 50, "msg": "bad %d"}\n' % (i, i) for i in range(30)))
+    size = len(log4j.format(10)) + 1
+    rows = parsing.tail_events(spark, str(tmp_path), "mine", tail_bytes=10 * size).collect()
+    a = sorted((r["offset"], r["message"], r["level"], r["adapter"]) for r in rows if r["log_path"].endswith("a.log"))
+    assert [x[1:] for x in a] == [(f"event {i}", "WARN", "log4j") for i in range(40, 50)] and a[0][0] == os.path.getsize(tmp_path / "a.log") - 10 * size
+    assert {(r["level"], r["adapter"], r["log_label"]) for r in rows if r["log_path"].endswith("b.log")} == {("ERROR", "jsonl", "mine")}
+    path = str(tmp_path / "a.log")
+    pinned = parsing.tail_events(spark, path, max_offset={path: 5 * (size - 1)}, adapter="log4j").collect()
+    assert [r["message"] for r in sorted(pinned, key=lambda r: r["offset"])] == [f"event {i}" for i in range(5)]
+    assert {r["adapter"] for r in parsing.tail_events(spark, path, adapter="no such").collect()} <= set(parsing.FALLBACK)
+
+
+def test_frames_with_unknown_and_missing_keys(spark):
+    from tidelog import schema
+
+    rows = spark.createDataFrame([('{"sequence": 3, "summary": "s", "never_seen": {"a": 1}}',), ("no json",), (None,)], "t string")
+    got = [r["f"] for r in rows.select(schema.load_frame(F.col("t")).alias("f")).collect()]
+    assert got[0]["sequence"] == 3 and got[0]["summary"] == "s" and got[0]["tags"] is None and (got[1] is None or got[1]["sequence"] is None) and got[2] is None

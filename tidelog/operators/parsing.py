@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, levels, text, timeparse
+from ..sources import tail
 
 #: Lines of a source on which its format is decided.
 SAMPLE = 60
@@ -108,6 +109,13 @@ def normalised(lines: DataFrame, source: str, line: str, order: list[str], **opt
     return parse(lines, detect(lines, source, line, order), source, line, **options)
 
 
+def tail_events(spark: SparkSession, path: str, label: str | None = None, adapter: str = "auto", tail_bytes: int = tail.TAIL_BYTES, max_offset: int | dict[str, int] = 0, glob: str = "*", **options) -> DataFrame:
+    """The events in the last bytes of each file below max_offset, after log_path, log_label, offset, end and line. Each file's format is found on its first lines there, unless adapter names it; one name that is unknown is read as raw text, and adapter says what was used."""
+    lines = tail.read_tail(spark, path, tail_bytes, max_offset, glob).filter(F.trim("line") != "").select(F.col("path").alias("log_path"), F.lit(label or "").alias("log_label"), "offset", "end", "line")
+    known = detect(lines, "log_path", "line", ["offset"]) if adapter == "auto" else lines.select(F.col("log_path").alias("source"), F.lit(adapter if adapter in formats.FORMATS or adapter == "jsonl" else "raw").alias("adapter")).distinct()
+    return parse(lines, known, "log_path", "line", **options)
+
+
 def docker_json(lines: DataFrame, line: str) -> DataFrame:
     """Container logs {log, stream, time}: stderr is of category error."""
     d = F.from_json(F.col(line), "log string, stream string, time string")

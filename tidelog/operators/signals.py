@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Tiers from low to high and the least gaps between two signals of a tier, in seconds.
@@ -106,6 +106,20 @@ def spaced(passes: DataFrame, by: str, ts: str, tie: str, gap_s: float = 5.0, un
     return sequence.rate_limited(passes.filter(F.col(unseen) <= most), by, ts, tie, gap_s)
 
 
+def save_baseline(spark: SparkSession, path: str, key: str, set_ms: float) -> None:
+    """Keep a key's baseline for later sessions; an earlier one of the key stays in the file and no longer counts."""
+    spark.createDataFrame([(key, float(set_ms))], "key string, set_ms double").coalesce(1).write.mode("append").json(path)
+
+
+def load_baselines(spark: SparkSession, path: str) -> DataFrame:
+    """(key, set_ms): each key's latest baseline; none where nothing has been kept."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    schema = "key string, set_ms double"
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path).groupBy("key").agg(F.max("set_ms").alias("set_ms"))
+
+
 def since_baseline(events: DataFrame, baselines: DataFrame, by: list[str], ts: str) -> DataFrame:
     """Events at or after their key's latest baseline (by, set_ms); keys without one give all."""
     marks = baselines.groupBy(*by).agg(F.max("set_ms").alias("_since"))

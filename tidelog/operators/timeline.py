@@ -6,7 +6,7 @@ import re
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import levels
@@ -67,6 +67,12 @@ def search(rows: DataFrame, column: str, query: str, regex: bool = False, level:
     return out.filter(F.col("trace_id") == trace_id) if trace_id else out
 
 
+def of_traces(events: DataFrame, wanted: Column, order: list[str], trace: str = "trace_id") -> DataFrame:
+    """All events of the traces of which any event is wanted, with their step in the trace's order; an event without a trace belongs to none."""
+    traces = events.filter(wanted & F.col(trace).isNotNull()).select(trace).distinct()
+    return events.join(traces, trace, "left_semi").withColumn("step", F.row_number().over(Window.partitionBy(trace).orderBy(*order)))
+
+
 def range_query(events: DataFrame, start_ms: float, end_ms: float, category: str = "", source: str = "") -> DataFrame:
     """Category exactly, source as a part of the name."""
     out = events.filter(F.col("ts_ms").between(start_ms, end_ms))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import codesigns
+from ..functions import codesigns, text
 from ..operators import hardware, predicates, ranks, records, timeline, trees
 from ..sources import tail
 from .catalogue import DOC_LINES, document_lines, query, table
@@ -193,3 +193,13 @@ def postmortem_verdict(spark, sf_dir):
     said = F.when(kind == "error", "mce: [Hardware Error]: CPU ").when(kind == "signup", "EDAC MC0: 1 CE on ").when(kind == "purchase", "thermal event, clock throttled ").otherwise("all fine ")
     lines = table(spark, sf_dir, "events").select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("source"), F.concat(said, F.get_json_object("props", "$.k")).alias("line"))
     return hardware.verdict(hardware.postmortem_points(lines, ["source"], "line"), ["source"]).select("source", "rank", "cause", "score", "confidence")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, text, substr(md5(CAST(conv_id // 3 AS VARCHAR)), 1, 12) AS trace FROM conversations), w AS (SELECT DISTINCT trace FROM t WHERE role = 'user' AND length(text) > 60)
+SELECT t.trace AS trace_id, conv_id, turn, role, CAST(row_number() OVER (PARTITION BY t.trace ORDER BY conv_id, turn) AS INTEGER) AS step FROM t JOIN w ON t.trace = w.trace""")
+def traced_turns(spark, sf_dir):
+    """Turns as lines that name a trace, three conversations each: all lines of the traces in which a user wrote more than 60 characters, in order."""
+    trace = F.substring(F.md5(F.floor(F.col("conv_id") / 3).cast("long").cast("string").cast("binary")), 1, 12)
+    lines = table(spark, sf_dir, "conversations").withColumn("line", F.concat(F.lit("trace_id="), trace, F.lit(" "), F.get(F.split("text", "\n"), 0)))
+    found = timeline.of_traces(lines.withColumn("trace_id", text.trace_id(F.col("line"))), (F.col("role") == "user") & (F.length("text") > 60), ["conv_id", "turn"])
+    return found.select("trace_id", "conv_id", "turn", "role", "step")

@@ -106,7 +106,7 @@ def probable_causes(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.probable_cause(raised, message).alias("cause"))
 
 
-#: Blocks of nine languages: (language, text with # for a number, type, message, frames, first file).
+#: Blocks of nine languages, C++ with two numbered frames: (language, text with # for a number, type, message, frames, first file).
 _BLOCKS = [
     ("python", "Traceback (most recent call last):\n  File \"a.py\", line #, in f\n    g()\n  File \"b.py\", line 9, in g\n    x[1]\nKeyError: k#", "KeyError", "k#", 2, "a.py"),
     ("java", "Exception in thread \"main\" java.lang.RuntimeException: outer\n\tat a.B.c(B.java:10)\nCaused by: java.lang.IllegalStateException: inner #\n\tat a.B.d(D.java:20)", "IllegalStateException", "inner #", 2, "B.java"),
@@ -116,6 +116,7 @@ _BLOCKS = [
     ("rust", "thread 'main' panicked at 'boom #', src/lib.rs:7:5\nstack backtrace:\n   0: app::run\n             at ./src/lib.rs:7\n   1: app::main\n             at ./src/main.rs:3", "panic", "boom #", 3, "src/lib.rs"),
     ("ruby", "app.rb:3:in `foo': no # here (NoMethodError)\n\tfrom app.rb:9:in `<main>'", "NoMethodError", "no # here", 2, "app.rb"),
     ("dotnet", "Unhandled exception. System.InvalidOperationException: seq #\n   at A.B.C(String x) in /x/y.cs:line 4", "InvalidOperationException", "seq #", 1, "/x/y.cs"),
+    ("cpp", "terminate called after throwing an instance of 'std::out_of_range'\n  what():  bad index #\n#1  0x00 in at(int) at /a/v.cpp:3\n#2  main () at /a/m.cpp:9", "std::out_of_range", "bad index #", 2, "/a/v.cpp"),
     ("php", "PHP Fatal error:  Uncaught Exception: bad # in /a/x.php:3\nStack trace:\n#0 /a/y.php(4): foo()", "Exception", "bad #", 1, "/a/y.php"),
 ]
 
@@ -130,8 +131,8 @@ _USER_SQL = lambda i: choice_sql(*[b[i] for b in _BLOCKS]).replace("event_id", "
 @query(f"SELECT event_id, {_USER_SQL(0)} AS language, {_USER_SQL(2)} AS type, replace({_USER_SQL(3)}, '#', json_extract_string(props, '$.k')) AS message, {_USER_SQL(4)} AS n_frames, {_USER_SQL(5)} AS file FROM events")
 def tracebacks(spark, sf_dir):
     """Each user's program is in one of nine languages and fails with what the event holds."""
-    # the php frame's own mark stays
-    block = F.regexp_replace(_user_choice([b[1] for b in _BLOCKS], "string"), F.lit("#(?!0 )"), F.get_json_object("props", "$.k"))
+    # the marks of frames stay
+    block = F.regexp_replace(_user_choice([b[1] for b in _BLOCKS], "string"), F.lit("#(?!\\d )(?!\\d  )"), F.get_json_object("props", "$.k"))
     found = exceptions.parse_exceptions(table(spark, sf_dir, "events").select("event_id", block.alias("block")), "block")
     return found.select("event_id", "language", "type", "message", F.size("frames").cast("long").alias("n_frames"), F.get("frames", F.lit(0))["file"].alias("file"))
 

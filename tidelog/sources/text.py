@@ -30,10 +30,15 @@ def census(listing: DataFrame) -> DataFrame:
     return listing.filter(F.col("language").isNotNull()).groupBy("language").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
+#: Names under which systems and servers keep logs without a suffix that says so.
+LOG_NAMES = "syslog messages dmesg kern boot secure maillog cron daemon auth faillog btmp wtmp lastlog catalina nohup access_log error_log console stdout stderr actions events journal debug trace".split()
+
+
 def log_candidates(listing: DataFrame) -> DataFrame:
-    """Files that look like logs: by suffix, by folder, or .txt files named like one."""
+    """Files that look like logs: by suffix, by folder, by a conventional name, or .txt files named like one."""
     p = F.lower("path")
-    return listing.filter(p.rlike(r"\.(log|jsonl|ndjson|out|err)(\.\d+)?$") | p.rlike(r"/logs?/[^/]+$") | p.rlike(r"/[^/]*log[^/]*\.txt$"))
+    named = p.rlike(r"/(?:" + "|".join(LOG_NAMES) + r")(?:[-_.]\d[\w-]*)?(?:\.(?:out|txt|\d+))?$")
+    return listing.filter(named | p.rlike(r"\.(log|jsonl|ndjson|out|err)(\.\d+)?$") | p.rlike(r"/logs?/[^/]+$") | p.rlike(r"/[^/]*log[^/]*\.txt$"))
 
 
 def file_status(lines: DataFrame, path: str, ts: str, now_ms: float, stale_ms: float = 120_000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import levels, timeparse
+from ..operators import parsing
 from ..operators import signals as batch_signals
 
 #: State of the processors lives in RocksDB; streams that use them need this setting.
@@ -26,6 +27,42 @@ def console_events(lines: DataFrame, channel: str, line: str = "line", arrived:
     return lines.select(F.col(arrived).alias("ts"), level.alias("level"), levels.level_category(level).alias("category"), F.lit(channel).alias("source"), c.alias("message"), timeparse.parse_timestamp(c).alias("emit_ts_ms"))
 
 
+def console_tee(lines: DataFrame, sink: str, locks: str, checkpoint: str, **options):
+    """Start a query that writes console lines (channel, line, arrived) as events to a JSON sink; each channel is read in the format in which its first recognised lines are.
+
+    The first batch of a channel that a named format reads locks it: the lock (channel, adapter) is kept in a JSON table at `locks`, and later batches and
+    sessions are read in that format whatever they look like. Lines before are read by their structure. The event's time is that of arrival, the line's own is
+    emit_ts_ms, and stderr starts as an error. One row a channel comes to the driver.
+    """
+
+    def tee(frame: DataFrame, epoch: int) -> None:
+        spark = frame.sparkSession
+        rows = frame.withColumn("_at", F.monotonically_increasing_id()).persist()
+        known = known_locks(spark, locks)
+        fresh = parsing.detect(rows.join(known, "channel", "left_anti"), "channel", "line", ["_at"]).filter(~F.col("adapter").isin(parsing.FALLBACK))
+        new = [(r["source"], r["adapter"]) for r in fresh.collect()]
+        if new:
+            spark.createDataFrame(new, "channel string, adapter string").coalesce(1).write.mode("append").json(locks)
+        held = known.unionByName(spark.createDataFrame(new, known.schema)).select(F.col("channel").alias("source"), "adapter")
+        parsed = parsing.parse(rows.select("channel", F.col("line"), F.col("arrived")), held, "channel", "line", **options)
+        level = F.when((F.col("channel") == "stderr") & F.col("level").isin(levels.WEAK_LEVELS) & F.col("level_escalated_from").isNull(), "ERROR").otherwise(F.col("level"))
+        out = parsed.select(F.col("arrived").alias("ts"), level.alias("level"), levels.level_category(level).alias("category"), F.col("channel").alias("source"), F.coalesce(F.nullif("message", F.lit("")), "line").alias("message"), "data", "adapter", F.col("ts_ms").alias("emit_ts_ms"))
+        # a batch that is run again after a failure replaces what it wrote
+        out.withColumn("batch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").json(sink)
+        rows.unpersist()
+
+    return lines.writeStream.foreachBatch(tee).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def known_locks(spark: SparkSession, path: str) -> DataFrame:
+    """(channel, adapter) of the channels whose format is locked; the first lock of a channel holds."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    schema = "channel string, adapter string"
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path).groupBy("channel").agg(F.min("adapter").alias("adapter"))
+
+
 def read_parquet(spark: SparkSession, path: str, schema, max_files: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
