@@ -61,6 +61,11 @@ class Anchors:
             starts = np.arange(len(least))
             ends = np.repeat(offsets[1:], np.diff(offsets))[: len(least)]
             place = starts + (((least & _PLACE).astype(np.int64) - starts) & int(_PLACE))
+            # where places start again at 0 within a window, its leftmost smallest hash is looked up
+            width, turn = length - size + 1, int(_PLACE) + 1
+            for edge in range(turn, len(hashed), turn):
+                for s in range(max(0, edge - width + 1), min(edge, len(place))):
+                    place[s] = s + int(np.argmin(hashed[s : s + width] & ~_PLACE))
             place = place[starts + length <= ends]
             self.place = place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
             self.text = np.searchsorted(offsets, self.place, "right") - 1
