@@ -14,7 +14,7 @@ SF_DIR, CPUS, RUNS = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.
 HEADLINES = """timeline_window merge_sources errors_by_fingerprint error_trend bookmark_context actions_around state_at state_nearest state_diff bookmark_outliers search_regex
 content_severity role_index roles_never rle_collapse session_gap sliding_counts perf_metrics sag_vs_median health_score diagnose_rank crash_verdict retention_evict hamming_pairs grid_diff entropy flatten_json
 source_exclusive_signatures watch_hits signal_suppression rate_limited level_source_rollup
-text_severity text_role_index document_tails watch_table_hits code_signal_hits multiline_records hot_medians grid_regions interface_nodes map_deltas error_run stuck_screens frames_in_code""".split()
+text_severity content_role_index document_tails watch_table_hits code_signal_hits multiline_records hot_medians grid_regions interface_nodes map_deltas error_run stuck_screens frames_in_code""".split()
 
 
 def main() -> None:

@@ -576,16 +576,26 @@ ri AS (SELECT '0x' || CASE WHEN ltrim(h, '0') = '' THEN '0' ELSE ltrim(h, '0') E
 
 
 @query(f"WITH {_CONTENT} SELECT address, role, CAST(n AS BIGINT) AS n, first_line, last_line FROM ri")
-def text_role_index(spark, sf_dir):
+def content_role_index(spark, sf_dir):
     return roles.address_roles(content_lines(spark, sf_dir), "line", order=["origin", "id", "line_no"])
 
 
 @query(f"WITH {_CONTENT} SELECT address, CAST(sum(n) AS BIGINT) AS total, count(*) AS roles FROM ri GROUP BY 1 HAVING count(*) FILTER (WHERE role = 'part') = 0")
-def text_roles_never(spark, sf_dir):
+def content_roles_never(spark, sf_dir):
     """Texts that stand as no line of another."""
     return roles.never(roles.address_roles(content_lines(spark, sf_dir), "line", order=["origin", "id", "line_no"]), "part")
 
 
+@without_sql
+def text_role_index(spark, sf_dir):
+    return roles.address_roles(text_lines(spark, sf_dir), "line", order=["origin", "id", "line_no"])
+
+
+@without_sql
+def text_roles_never(spark, sf_dir):
+    return roles.never(roles.address_roles(text_lines(spark, sf_dir), "line", order=["origin", "id", "line_no"]), "dst")
+
+
 @without_sql
 def detect_format(spark, sf_dir):
     return parsing.detect(document_lines(spark, sf_dir), "source", "line", ["doc_id", "line_no"])
