@@ -667,10 +667,9 @@ def _regions(batches):
         yield pa.record_batch([batch.column("host"), batch.column("wrapper"), pa.array([r[0] for r in regions], pa.int32()), pa.array([r[1] for r in regions], pa.int32()), pa.array(templates, pa.list_(pa.int64()))], ["host", "wrapper", "region", "around", "template"])
 
 
-def _with_wrappers(rows: DataFrame, wrappers: DataFrame, size: "F.Column") -> DataFrame:
-    """Rows with their host's wrapper; the wrappers go to all tasks up to SENT_BYTES, which is checked."""
-    total = wrappers.agg(F.sum(size)).first()[0] or 0
-    return rows.join(F.broadcast(wrappers) if total <= SENT_BYTES else wrappers, "host", "left")
+def _small(wrappers: DataFrame, size: "F.Column") -> bool:
+    """Whether what there is of all hosts may go to every task."""
+    return (wrappers.agg(F.sum(size)).first()[0] or 0) <= SENT_BYTES
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
@@ -681,10 +680,13 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     some = structures.select("host", "part", "wrapper").repartition("host", "part").sortWithinPartitions("host", "part", "wrapper").mapInArrow(_in_turn, form)
     some = some.withColumn("part", F.lit(0)).repartition("host").sortWithinPartitions("host", "wrapper")
     wrappers = common.stored(some.mapInArrow(_in_turn, form).select("host", "wrapper"))
-    found = _with_wrappers(rows, wrappers, F.length("host") + F.length("wrapper")).mapInArrow(_slots, "host string, page long, node int, run long, chars long")
+    small = _small(wrappers, F.length("host") + F.length("wrapper"))
+    found = rows.join(F.broadcast(wrappers) if small else wrappers, "host").mapInArrow(_slots, "host string, page long, node int, run long, chars long")
     found = common.stored(found.distinct())
     different = found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("all"))
-    counted = found.groupBy("host", "node", "run").agg(F.count("*").alias("n"), F.max("chars").alias("chars")).join(different, "host")
+    counted = found.groupBy("host", "node", "run").agg(F.count("*").alias("n"), F.max("chars").alias("chars"))
+    # one short row a host: fewer bytes than the wrappers
+    counted = counted.join(F.broadcast(different) if small else different, "host")
     counted = counted.withColumn("same", (F.col("n") >= TEMPLATE_PAGES) & (F.col("n") >= TEMPLATE_SHARE * F.col("all")))
     # what is template on a host is no slot: its characters count for nothing
     slots = counted.groupBy("host", "node").agg(F.sum(F.when(F.col("same"), 0).otherwise(F.col("n") * F.col("chars"))).alias("chars"), F.collect_list(F.when(F.col("same"), F.struct("node", "run"))).alias("fixed"))
@@ -702,7 +704,9 @@ def extract(pages: DataFrame) -> DataFrame:
     depth of nesting and the length of a page are not limited; other columns of the pages, whatever their names, are not looked at.
     """
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    rows = _with_wrappers(rows, infer_wrappers(pages), F.length("host") + F.length("wrapper") + 8 * (F.size("template") + 2)).drop("host")
+    wrappers = infer_wrappers(pages)
+    small = _small(wrappers, F.length("host") + F.length("wrapper") + 8 * (F.size("template") + 2))
+    rows = rows.join(F.broadcast(wrappers) if small else wrappers, "host", "left").drop("host")
 
     def run(batches):
         for piece in common.slices(batches, "html"):
