@@ -38,10 +38,11 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def block_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, docs: np.ndarray, k: int, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+def block_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, docs: np.ndarray, k: int, size: int = BLOCK, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(scores, ids) of each query's k best documents here, own id excluded; missing ones are masked among the ids.
 
-    Scores descend, ties go to the smaller id.
+    Scores descend, ties go to the smaller id. floor: a score of each query below which nothing is looked for, such as its
+    kth over other documents; documents below it may be missing.
     """
     n, m = len(queries), len(docs)
     # ids count as their place among the distinct ones, so that -1 is an empty place whatever the ids are
@@ -66,6 +67,8 @@ def block_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, do
         block = visit[alive, turn]
         full = best_ids[alive, k - 1] >= 0
         keep = ~full | (bounds[alive, block] >= best[alive, k - 1].astype(np.float64))
+        if floor is not None:
+            keep &= bounds[alive, block] >= floor[alive]
         alive, block = alive[keep], block[keep]
         if not len(alive):
             break
@@ -81,6 +84,25 @@ def block_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, do
     return best, np.ma.array(names[best_ids], mask=best_ids < 0)
 
 
+def joined(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of two results of `block_search` for the same queries."""
+    score, who = np.concatenate([a[0], b[0]], 1), np.ma.concatenate([a[1], b[1]], 1)
+    real = ~np.ma.getmaskarray(who)
+    names, place = np.unique(who.data[real], return_inverse=True)
+    if not len(names):
+        return a
+    at = np.full(who.shape, -1)
+    at[real] = place
+    # an id is at most once on either side
+    best, at = _ranked(np.where(real, score, np.iinfo(np.int64).min), at, k, 2 * k)
+    return best, np.ma.array(names[at], mask=at < 0)
+
+
+def kth(found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Each query's kth score, below all others where it has fewer."""
+    return np.where(np.ma.getmaskarray(found[1])[:, -1], -np.inf, found[0][:, -1].astype(np.float64))
+
+
 def _ranked(score: np.ndarray, who: np.ndarray, k: int, near: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best (score, id) of each row, each id once; `near`: among how many best scores k ids are sure to be."""
     n = len(score)
@@ -131,14 +153,29 @@ def top_inner_products(data: DataFrame, queries: DataFrame, k: int = 5) -> DataF
     asks = asks.select("dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("tile"))
 
     def score(frames):
+        # packs of documents that meet the same queries follow one another: these keep their best from pack to pack
+        held, q_ids, q, best = None, None, None, None
+
+        def rows():
+            some = ~np.ma.getmaskarray(best[1])
+            return pd.DataFrame({"query_id": np.repeat(q_ids, k)[some.ravel()], "vec_id": best[1].data[some], "score": best[0][some]})
+
         for frame in frames:
             for r in frame.itertuples():
-                q_ids, ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
-                got, who = block_search(q_ids, quantized(np.frombuffer(r.q_matrix, np.float64).reshape(len(q_ids), r.dim)), ids, quantized(np.frombuffer(r.matrix, np.float64).reshape(len(ids), r.dim)), k)
-                some = ~np.ma.getmaskarray(who)
-                yield pd.DataFrame({"query_id": np.repeat(q_ids, k)[some.ravel()], "vec_id": who.data[some], "score": got[some]})
-
-    found = packs.join(asks, ["dim", "tile"]).select("dim", "ids", "matrix", "q_ids", "q_matrix").mapInPandas(score, "query_id long, vec_id long, score long")
+                if held != (r.dim, r.q_ids, r.q_matrix):
+                    if held is not None:
+                        yield rows()
+                    held, best = (r.dim, r.q_ids, r.q_matrix), None
+                    q_ids = np.frombuffer(r.q_ids, np.int64)
+                    q = quantized(np.frombuffer(r.q_matrix, np.float64).reshape(len(q_ids), r.dim))
+                ids = np.frombuffer(r.ids, np.int64)
+                got = block_search(q_ids, q, ids, quantized(np.frombuffer(r.matrix, np.float64).reshape(len(ids), r.dim)), k, floor=None if best is None else kth(best))
+                best = got if best is None else joined(best, got, k)
+        if held is not None:
+            yield rows()
+
+    # a merge join takes its left rows one by one, each with all packs of its tile
+    found = asks.join(packs.hint("merge"), ["dim", "tile"]).select("dim", "ids", "matrix", "q_ids", "q_matrix").mapInPandas(score, "query_id long, vec_id long, score long")
     return vectors.nearest_of_each(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k, F.desc("score"))
 
 
