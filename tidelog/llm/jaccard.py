@@ -42,7 +42,7 @@ BUCKET_BYTES, SALTS = 1 << 26, 64
 TILE_ROWS = 256
 #: Places of the table of shingle counts, how many of them travel together, and how many parts of a sum one task adds.
 PLACES, CHUNK, ADDED = 1 << 22, 1 << 16, 256
-#: The bits of a shingle's hash that are dropped where candidates and sets travel.
+#: The bits of a shingle's hash that are dropped where candidates are sought; what they find is counted with all bits.
 KEPT = np.uint64(16)
 
 
@@ -307,7 +307,7 @@ def _tile(key, frame: pd.DataFrame) -> pd.DataFrame:
     sets = [np.unique(pack.get_keys(k)) for k in frame["keys"]]
     near = (np.abs(band(n)[:, None] - band(n)[None, :]) <= 1) & (DEN * np.minimum(n[:, None], n[None, :]) >= NUM * np.maximum(n[:, None], n[None, :]))
     np.fill_diagonal(near, False)
-    signs = [signature(s << KEPT) for s in sets]
+    signs = [signature(s) for s in sets]
     for b in np.unique(band(n)):
         here = np.flatnonzero(np.abs(band(n) - b) <= 1)
         mine = np.flatnonzero(band(n) == b)
@@ -397,7 +397,7 @@ def _sets(with_tile: bool):
     def run(batches):
         for piece in common.slices(batches, "text"):
             sets = shingle_sets(*common.text_bytes(piece.column("text")))
-            own = [piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([pack.put_keys(s >> KEPT) for s in sets], pa.binary())]
+            own = [piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([pack.put_keys(s) for s in sets], pa.binary())]
             yield pa.record_batch([piece.column("leader"), piece.column("part"), *own] if with_tile else own, ["leader", "part"] * with_tile + ["id", "n", "keys"])
 
     return run
