@@ -9,8 +9,9 @@ group; what shares none with any other document drops out.
 
 Each remaining document goes to the tile of the smallest id that any of its
 groups has in its size band or the next smaller one, and large tiles split into
-parts that all hold that first document. A tile's pairs of one size band or
-neighbouring ones are settled exactly. A signature of hashed bits (each bit the
+parts that all hold that first document. Most tiles are small: those of one
+document are not built, and the others follow one another in sorted partitions.
+A tile's pairs of one size band or neighbouring ones are settled exactly. A signature of hashed bits (each bit the
 parity of the shingles that fall on it) bounds a pair's overlap from above,
 since every unequal bit needs a shingle in which the two differ; what passes is
 settled by intersecting the sorted sets. A pair that is already in one component
@@ -38,14 +39,20 @@ WORDS = 5
 NUM, DEN = 3, 4
 #: Bytes of text that a bucket of hashes stands for; parts that a comparison leader's followers are dealt to.
 BUCKET_BYTES, SALTS = 1 << 26, 64
-#: Documents in a part of a tile, about.
-TILE_ROWS = 256
+#: Documents in a part of a tile, about, and how many are compared two by two without signatures.
+TILE_ROWS, FEW = 256, 4
 #: Places of the table of shingle counts, how many of them travel together, and how many parts of a sum one task adds.
 PLACES, CHUNK, ADDED = 1 << 22, 1 << 16, 256
 #: The bits of a shingle's hash that are dropped where candidates are sought; what they find is counted with all bits.
 KEPT = np.uint64(16)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values: for these short arrays a sort takes a fifth of the time of numpy.unique, which hashes."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's `size`-word shingles; a text with fewer words has its whole sequence as one."""
     data = common.LOWER[data]
@@ -58,7 +65,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> li
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= size:
-            out.append(np.unique(key[a : b - size + 1]))
+            out.append(distinct(key[a : b - size + 1]))
         elif b > a:
             short = np.uint64(b - a)
             for w in word[a:b]:
@@ -297,14 +304,18 @@ def spanning(ids: np.ndarray, similar: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _tile(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """Links that join what is similar within one part of a tile: each component gets just enough of them.
+def similar_of_few(n: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """The matrix of which sets are similar, by intersecting each two."""
+    out = np.zeros((len(n), len(n)), bool)
+    for i in range(len(n)):
+        for j in range(i):
+            if DEN * min(n[i], n[j]) >= NUM * max(n[i], n[j]):
+                out[i, j] = out[j, i] = links(int(n[i]), int(n[j]), len(np.intersect1d(sets[i], sets[j], assume_unique=True)))
+    return out
 
-    Bit signatures bound the overlap of each two from above; only documents that this leaves a chance meet in the exact count.
-    """
-    frame = frame.drop_duplicates("id").sort_values(["n", "id"])
-    ids, n = frame["id"].to_numpy(), frame["n"].to_numpy().astype(np.int64)
-    sets = [np.unique(pack.get_keys(k)) for k in frame["keys"]]
+
+def similar_of_many(n: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """The same of many sets in the order of their sizes: bit signatures bound the overlap of each two from above; only documents that this leaves a chance meet in the exact count."""
     near = (np.abs(band(n)[:, None] - band(n)[None, :]) <= 1) & (DEN * np.minimum(n[:, None], n[None, :]) >= NUM * np.maximum(n[:, None], n[None, :]))
     np.fill_diagonal(near, False)
     signs = [signature(s) for s in sets]
@@ -318,11 +329,44 @@ def _tile(key, frame: pd.DataFrame) -> pd.DataFrame:
             near[i, here] &= may_link(n[i], n[here], apart)
     near &= near.T
     hope = np.flatnonzero(near.any(axis=1))
-    if not len(hope):
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    shared = overlaps([sets[i] for i in hope])
-    similar = near[np.ix_(hope, hope)] & (DEN * shared >= NUM * (n[hope][:, None] + n[hope][None, :] - shared))
-    return pd.DataFrame(spanning(ids[hope], similar), columns=["a", "b"]).astype("int64")
+    if len(hope):
+        shared = overlaps([sets[i] for i in hope])
+        near[np.ix_(hope, hope)] &= DEN * shared >= NUM * (n[hope][:, None] + n[hope][None, :] - shared)
+    return near
+
+
+_NO_PAIRS = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+
+
+def _tile(key, frame: pd.DataFrame) -> pd.DataFrame:
+    """Links that join what is similar within one part of a tile: each component gets just enough of them."""
+    ids, n, keys = frame["id"].to_numpy(), frame["n"].to_numpy().astype(np.int64), frame["keys"].to_numpy()
+    once = np.unique(ids, return_index=True)[1]
+    order = once[np.lexsort((ids[once], n[once]))]
+    # in the order of sizes what fits none of its neighbours fits no one
+    fit = DEN * n[order][:-1] >= NUM * n[order][1:]
+    order = order[np.concatenate([fit, [False]]) | np.concatenate([[False], fit])]
+    if not len(order):
+        return _NO_PAIRS
+    ids, n, sets = ids[order], n[order], [pack.get_keys(k) for k in keys[order]]
+    similar = (similar_of_few if len(ids) <= FEW else similar_of_many)(n, sets)
+    return pd.DataFrame(spanning(ids, similar), columns=["a", "b"]).astype("int64") if similar.any() else _NO_PAIRS
+
+
+def _tiles(frames):
+    """The links of all tiles of a partition, whose rows stand by (leader, part); a tile may go on in the next frame."""
+    rest = None
+    for frame in frames:
+        if not len(frame):
+            continue
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        leader, part = frame["leader"].to_numpy(), frame["part"].to_numpy()
+        cut = [0, *(np.flatnonzero((leader[1:] != leader[:-1]) | (part[1:] != part[:-1])) + 1).tolist()]
+        rest = frame.iloc[cut[-1] :]
+        found = [_tile(None, frame.iloc[a:b]) for a, b in zip(cut, cut[1:]) if b - a > 1]
+        yield pd.concat([_NO_PAIRS, *[x for x in found if len(x)]])
+    if rest is not None:
+        yield _tile(None, rest)
 
 
 def _crossing(key, frame: pd.DataFrame, known: pd.DataFrame) -> tuple | None:
@@ -407,14 +451,24 @@ def _settled(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """The pairs of one leader that are similar; left: the leader's set, right: the others'."""
     if not len(left) or not len(right):
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    n, keys = int(left["na"].iloc[0]), np.unique(pack.get_keys(left["ka"].iloc[0]))
-    ok = [links(n, int(m), len(np.intersect1d(keys, np.unique(pack.get_keys(k)), assume_unique=True))) for m, k in zip(right["nb"], right["kb"])]
+    n, keys = int(left["na"].iloc[0]), pack.get_keys(left["ka"].iloc[0])
+    ok = [links(n, int(m), len(np.intersect1d(keys, pack.get_keys(k), assume_unique=True))) for m, k in zip(right["nb"], right["kb"])]
     return pd.DataFrame({"a": np.full(sum(ok), key[0]), "b": right["b"].to_numpy()[ok]})
 
 
 _PAIR = "a long, b long"
 
 
+def tiled(led: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of (doc_id, leader): each document's tile (doc_id, leader, part, met), and (doc_id, leader, part) of what tiles of several documents hold: theirs, and a leader in its own tile and in each part of that."""
+    parts = common.stored(led.groupBy("leader").agg(F.ceil(F.count("*") / TILE_ROWS).cast("long").alias("parts"), (F.max("doc_id") > F.col("leader")).alias("met")))
+    homes = common.stored(led.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).select("doc_id", "leader", "part", "met"))
+    leads = parts.filter("met").select(F.col("leader").alias("doc_id"), "leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    places = common.stored(homes.filter("met").select("doc_id", "leader", "part").unionByName(leads).distinct())
+    common.release(led, parts)
+    return homes, places
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of (doc_id, text).
 
@@ -438,16 +492,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     copies = same.union(feature.filter(F.col("rep") < F.col("doc_id")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     tables = firsts.select("doc_id", "signature").dropDuplicates(["doc_id"])
 
-    # each document's tile; a leader is in its own one as well and in each part of that
-    led = common.stored(members.groupBy("doc_id").agg(F.min("leader").alias("leader")))
-    parts = common.stored(led.groupBy("leader").agg(F.ceil(F.count("*") / TILE_ROWS).cast("long").alias("parts")))
-    homes = common.stored(led.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).select("doc_id", "leader", "part"))
-    leads = parts.select(F.col("leader").alias("doc_id"), "leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    places = common.stored(homes.unionByName(leads).distinct())
-    common.release(led, parts)
+    homes, places = tiled(common.stored(members.groupBy("doc_id").agg(F.min("leader").alias("leader"))))
     # never broadcast, as it grows with the documents
     placed = docs.join(places.hint("merge"), "doc_id").select("doc_id", "text", "leader", "part").mapInArrow(_sets(True), "leader long, part long, id long, n long, keys binary")
-    first = common.stored(placed.groupBy("leader", "part").applyInPandas(_tile, _PAIR).union(copies))
+    first = common.stored(placed.repartition("leader", "part").sortWithinPartitions("leader", "part").mapInPandas(_tiles, _PAIR).union(copies))
     common.release(places)
     joined = common.stored(components(first))
     common.release()
