@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import codesigns
 from tidelog.operators import errors, exceptions, lineage, predicates, ranks, records, sequence, signals
+from tidelog.plans import catalogue
 from tidelog.streaming import stream
 
 
@@ -111,6 +112,11 @@ def test_files_of_one_name_do_not_meet(spark):
     assert lines == {(1, "/repo/pkg7/index.js", "7"), (2, "/repo/pkg0/index.js", "0"), (3, "/repo/pkg9/index.js", "9"), (4, "/repo/pkg11/index.js", "11")}
 
 
+def test_lines_of_code_do_not_pass_the_driver(spark):
+    physical = catalogue.queries()["frames_in_code"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in physical and "BroadcastHashJoin" not in physical
+
+
 def test_records_across_stretches(spark):
     rng = random.Random(5)
     lines, want, no = [], [], 0

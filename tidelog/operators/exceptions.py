@@ -97,21 +97,22 @@ def resolved_files(errors: DataFrame, code: DataFrame, file: str = "file", path:
     """(file, path, length, candidates): for each distinct file of a frame the path with which it shares the longest ending, where one of the two is an ending of the other.
 
     Every path gives its endings once, counted before they meet the files, so any number of paths of one name are one row. Of equally long matches the
-    first path by name is taken, and candidates says how many there were.
+    first path by name is taken, and candidates says how many there were. The joins are merges, as Spark takes rows made by explode() for as few as their
+    source and would send them through the driver.
     """
     files = errors.select(F.col(file).alias("file")).filter(F.col("file").isNotNull()).distinct().withColumn("_f", _parts(F.col("file"))).filter(F.size("_f") > 0)
     paths = code.select(F.col(path).alias("path")).filter(F.col("path").isNotNull()).distinct().withColumn("_p", _parts(F.col("path"))).filter(F.size("_p") > 0)
     ends = paths.select("path", F.explode(_endings(F.col("_p"))).alias("e")).groupBy(F.col("e.ending").alias("ending")).agg(F.min("path").alias("path"), F.count("*").alias("candidates"))
-    inside = files.select("file", F.size("_f").alias("length"), F.array_join("_f", "/").alias("ending")).join(ends, "ending").select("file", "path", "length", "candidates")
+    inside = files.select("file", F.size("_f").alias("length"), F.array_join("_f", "/").alias("ending")).join(ends.hint("merge"), "ending").select("file", "path", "length", "candidates")
     whole = paths.groupBy(F.array_join("_p", "/").alias("ending")).agg(F.min("path").alias("path"), F.count("*").alias("candidates"))
-    around = files.select("file", F.explode(_endings(F.col("_f"))).alias("e")).select("file", "e.length", "e.ending").join(whole, "ending").select("file", "path", "length", "candidates")
+    around = files.select("file", F.explode(_endings(F.col("_f"))).alias("e")).select("file", "e.length", "e.ending").join(whole.hint("merge"), "ending").select("file", "path", "length", "candidates")
     best = inside.unionByName(around).groupBy("file").agg(F.min(F.struct((-F.col("length")).alias("less"), "path", "candidates")).alias("b"))
     return best.select("file", "b.path", (-F.col("b.less")).alias("length"), "b.candidates")
 
 
 def source_lines(errors: DataFrame, code: DataFrame, context: int = 4) -> DataFrame:
     """Each error frame (file, line) with the lines around it of code (path, line_no, text), by the path that shares the longest ending with the frame's file."""
-    found = errors.join(resolved_files(errors, code).select(F.col("file").alias("_file"), F.col("path").alias("path")), F.col("file") == F.col("_file")).drop("_file")
+    found = errors.join(resolved_files(errors, code).select(F.col("file").alias("_file"), F.col("path").alias("path")).hint("merge"), F.col("file") == F.col("_file")).drop("_file")
     near = found.withColumn("line_no", F.explode(F.sequence(F.col("line") - context, F.col("line") + context)))
     text_of = code.select("path", F.col("line_no").alias("_no"), *[c for c in code.columns if c not in ("path", "line_no")])
-    return near.join(text_of, (near["path"] == text_of["path"]) & (F.col("line_no") == F.col("_no"))).drop(text_of["path"]).drop("_no")
+    return near.join(text_of.hint("merge"), (near["path"] == text_of["path"]) & (F.col("line_no") == F.col("_no"))).drop(text_of["path"]).drop("_no")

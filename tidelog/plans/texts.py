@@ -441,7 +441,7 @@ def frames_in_code(spark, sf_dir):
     files = code(spark, sf_dir, F.concat(F.lit("/src/"), folder)).select("path", F.posexplode(F.split(F.rtrim(F.col("text"), F.lit("\n")), "\n")).alias("i", "text")).select("path", (F.col("i") + 1).alias("line_no"), "text")
     named = part.select("p_partkey", folder.alias("file"))
     errors_ = table(spark, sf_dir, "events").filter("event_type = 'error'").join(part.agg(F.count("*").alias("n")), F.lit(True)).select("event_id", (F.col("user_id") * 3 % F.col("n")).alias("p_partkey"), (F.get_json_object("props", "$.k").cast("int") % 12).alias("line"))
-    return exceptions.source_lines(errors_.join(named, "p_partkey"), files, 1).select("event_id", F.col("line_no").cast("long").alias("line_no"), "text")
+    return exceptions.source_lines(errors_.join(named.hint("merge"), "p_partkey"), files, 1).select("event_id", F.col("line_no").cast("long").alias("line_no"), "text")
 
 
 @query("""SELECT '/log/' || c_custkey AS path, CASE WHEN c_mktsegment = 'BUILDING' THEN 'silent' WHEN c_acctbal < 0 THEN 'unlisted' WHEN abs(c_acctbal) / 10 > 120 THEN 'stale' ELSE 'ok' END AS verdict,
