@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions import codesigns
-from tidelog.operators import errors, exceptions, lineage, predicates, ranks, records, sequence, signals
+from tidelog.operators import errors, exceptions, lineage, parsing, predicates, ranks, records, sequence, signals
 from tidelog.plans import catalogue
 from tidelog.streaming import stream
 
@@ -117,6 +117,30 @@ def test_lines_of_code_do_not_pass_the_driver(spark):
     assert "SortMergeJoin" in physical and "BroadcastHashJoin" not in physical
 
 
+def test_formats_of_sources_by_their_first_line(spark, monkeypatch):
+    log4j, npm, pairs = "2024-01-05 10:00:00 [main] WARN app.Svc - event 1", "npm ERR! x", 'level=warn ts=2024-01-05T10:00:00Z msg="x" k=1'
+    sources = {"one": [log4j] * 3, "first": [npm] + [log4j] * 4, "last": [log4j] * 4 + [npm], "tie": [npm, log4j], "json": ['{"ts": 1}'] * 3, "bad": ['{"ts": 1}', "{", "x"], "pairs": [pairs] * 3, "stamps": ["2024-01-05 10:00:00 ~ x"] * 3, "text": ["x"], "late": [log4j] * 60 + [npm] * 80, None: [npm] * 2}
+    lines = spark.createDataFrame([(s, n, x) for s, xs in sources.items() for n, x in enumerate(["", *xs])], "src string, no int, line string")
+    plain = {}
+    for r in parsing.scores(lines.filter("no <= 60"), "src", "line").collect():
+        plain[r["source"]] = min(plain.get(r["source"], (0.0, 0, "")), (-r["score"], r["priority"], r["adapter"]))
+    runs = []
+    monkeypatch.setattr(lineage, "cut", lambda d, real=lineage.cut: runs.append(real(d)) or runs[-1])
+    read = parsing.recognised(lines, "src", "line", ["no"])
+    assert {r["source"]: (r["adapter"], r["score"]) for r in runs[0].collect()} == {s: (name, round(-less, 6)) for s, (less, _, name) in plain.items()}
+    # detection runs once, and neither more of it nor of the parsing is left in the plan
+    physical = read._jdf.queryExecution().executedPlan().toString()
+    assert len(runs) == 1 and "Window" not in physical and "regexp_extract" not in physical
+    same = lambda d: sorted((str(r["src"]), r["no"], r["adapter"]) for r in d.collect())
+    assert same(read) == same(parsing.parse(lines, runs[0], "src", "line")) == same(parsing.normalised(lines, "src", "line", ["no"])) and len(runs) == 2
+
+
+def test_coverage_does_not_parse(spark):
+    for name in ("source_coverage",):
+        physical = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "RLIKE" in physical and "regexp_extract" not in physical
+
+
 def test_records_across_stretches(spark):
     rng = random.Random(5)
     lines, want, no = [], [], 0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, levels, text, timeparse
 from ..sources import tail
+from . import lineage
 
 #: Lines of a source on which its format is decided.
 SAMPLE = 60
@@ -60,11 +61,39 @@ def scores(sample: DataFrame, source: str, line: str, catalogue: dict[str, forma
 
 
 def detect(lines: DataFrame, source: str, line: str, order: list[str], catalogue: dict[str, formats.Format] | None = None) -> DataFrame:
-    """(source, adapter, score): the best format of each source's first lines; of equal ones the earlier in the catalogue."""
-    first = numbered(lines.filter(F.trim(line) != ""), source, order).filter(F.col("_n") <= SAMPLE)
-    found = scores(first, source, line, catalogue)
-    best = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "priority"))
-    return found.withColumn("_r", best).filter(F.col("_r") == 1).select("source", "adapter", F.round("score", 6).alias("score"))
+    """(source, adapter, score): the best format of each source's first lines; of equal ones the earlier in the catalogue.
+
+    The first line is held against all formats. Where the earliest that fits it fits all other lines too, no other can be better or as good and earlier;
+    only the remaining sources have all their lines held against all formats, and a row is made only for a format that fits.
+    """
+    known = list((catalogue or formats.FORMATS).values())
+    c = F.col("_line")
+    first = numbered(lines.filter(F.trim(line) != "").select(F.col(source).alias("source"), F.col(line).alias("_line"), *[F.col(x).alias(f"_o{i}") for i, x in enumerate(order)]), "source", [f"_o{i}" for i in range(len(order))]).filter(F.col("_n") <= SAMPLE).select("source", "_n", "_line")
+    json, generic, structural = len(known), len(known) + 1, len(known) + 2
+    name = F.element_at(F.array(*[F.lit(f.name) for f in known], *map(F.lit, ("jsonl", "generic_ts", "structural"))), F.col("priority") + 1)
+    fit = lambda: F.concat(formats.fitting(c, known), F.when(formats.is_json(c), F.array(F.lit(json))).otherwise(F.array().cast("array<int>")))
+    by = Window.partitionBy("source").orderBy("_n")
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lead = first.withColumn("_fit", F.when(F.col("_n") == 1, fit())).withColumn("_lead", F.first(F.get("_fit", 0)).over(by))
+    fits = F.when(F.col("_lead") == json, formats.is_json(c)).when(F.col("_n") == 1, F.col("_lead").isNotNull())
+    for i, f in enumerate(known):
+        fits = fits.when(F.col("_lead") == i, f.matches(c))
+    lead = lead.withColumn("_fits", F.coalesce(fits, F.lit(False))).withColumn("_all", F.bool_and("_fits").over(whole)).withColumn("_lines", F.count("*").over(whole))
+    one = lambda priority, hit: F.struct(F.lit(priority).alias("priority"), hit.alias("hit"))
+    named = F.transform(F.coalesce("_fit", fit()), lambda p: F.struct(p.alias("priority"), F.lit(1.0).alias("hit")))
+    rest = F.array(one(generic, F.when(timeparse.parse_timestamp(c).isNotNull(), formats.GENERIC_SHARE).otherwise(0.0)), one(structural, F.when(formats.recognised(c), formats.STRUCTURAL_CAP).otherwise(0.0)))
+    won = F.array(F.struct(F.col("_lead").alias("priority"), F.col("_lines").cast("double").alias("hit")))
+    hits = lead.filter((F.col("_n") == 1) | ~F.col("_all")).select("source", "_lines", F.explode(F.when(F.col("_all"), won).otherwise(F.concat(named, rest))).alias("h"))
+    found = hits.groupBy("source", "_lines", "h.priority").agg((F.sum("h.hit") / F.col("_lines")).alias("score"))
+    floor = F.when(F.col("priority") == structural, F.greatest(F.col("score"), F.lit(formats.STRUCTURAL_FLOOR))).otherwise(F.col("score"))
+    best = found.groupBy("source").agg(F.min(F.struct((-floor).alias("less"), "priority")).alias("b"))
+    return best.select("source", "b.*").select("source", name.alias("adapter"), F.round(-F.col("less"), 6).alias("score"))
+
+
+def _marked(lines: DataFrame, detected: DataFrame, source: str) -> tuple[list[str], DataFrame]:
+    """The names of the formats in use, and the lines + _adapter, their source's format."""
+    used = sorted(r["adapter"] for r in detected.select("adapter").distinct().collect())
+    return used, lines.join(detected.select(F.col("source").alias("_of"), F.col("adapter").alias("_adapter")), F.col(source) == F.col("_of"), "left")
 
 
 def parse(lines: DataFrame, detected: DataFrame, source: str, line: str, zone: str = "UTC", reference: str = "2024-01-01 00:00:00", catalogue: dict[str, formats.Format] | None = None) -> DataFrame:
@@ -74,12 +103,11 @@ def parse(lines: DataFrame, detected: DataFrame, source: str, line: str, zone: s
     does not fit is read by its structure, and no line is lost. The names of the formats in use come to the driver.
     """
     known = catalogue or formats.FORMATS
-    used = [r["adapter"] for r in detected.select("adapter").distinct().collect()]
-    marked = lines.join(detected.select(F.col("source").alias("_of"), F.col("adapter").alias("_adapter")), F.col(source) == F.col("_of"), "left")
+    used, marked = _marked(lines, detected, source)
     c = F.col(line)
     empty = F.lit(None).cast(_PARTS)
     one = None
-    for name in sorted(used):
+    for name in used:
         if name == "jsonl" or name in known:
             this = formats.json_line(c) if name == "jsonl" else known[name].parsed(c)
             one = F.when(F.col("_adapter") == name, this) if one is None else one.when(F.col("_adapter") == name, this)
@@ -104,9 +132,25 @@ def parse(lines: DataFrame, detected: DataFrame, source: str, line: str, zone: s
     )
 
 
+def read_by(lines: DataFrame, detected: DataFrame, source: str, line: str, catalogue: dict[str, formats.Format] | None = None) -> DataFrame:
+    """Lines + adapter as `parse` gives it: the format of the line's source where the line fits it, else structural. Nothing else is read from the lines."""
+    known = catalogue or formats.FORMATS
+    used, marked = _marked(lines, detected, source)
+    fits = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name in used:
+        if name == "jsonl" or name in known:
+            fits = fits.when((F.col("_adapter") == name) & (formats.is_json_line(F.col(line)) if name == "jsonl" else known[name].matches(F.col(line))), F.lit(name))
+    return marked.select(*[F.col(x) for x in lines.columns], fits.otherwise("structural").alias("adapter"))
+
+
 def normalised(lines: DataFrame, source: str, line: str, order: list[str], **options) -> DataFrame:
     """Detect and parse."""
-    return parse(lines, detect(lines, source, line, order), source, line, **options)
+    return parse(lines, lineage.cut(detect(lines, source, line, order)), source, line, **options)
+
+
+def recognised(lines: DataFrame, source: str, line: str, order: list[str]) -> DataFrame:
+    """Detect, and the adapter that reads each line."""
+    return read_by(lines, lineage.cut(detect(lines, source, line, order)), source, line)
 
 
 def tail_events(spark: SparkSession, path: str, label: str | None = None, adapter: str = "auto", tail_bytes: int = tail.TAIL_BYTES, max_offset: int | dict[str, int] = 0, glob: str = "*", **options) -> DataFrame:

@@ -252,7 +252,7 @@ def parsed_lines(spark, sf_dir):
 
 @query("""SELECT 'user_' || user_id AS src, count(*) AS n, CASE WHEN user_id % 5 = 4 THEN count(*) ELSE 0 END AS gaps, user_id % 5 <> 4 AS ready FROM events GROUP BY user_id""")
 def source_coverage(spark, sf_dir):
-    return parsing.coverage(parsing.normalised(rendered(spark, sf_dir), "src", "line", ["event_id"]), "src")
+    return parsing.coverage(parsing.recognised(rendered(spark, sf_dir), "src", "line", ["event_id"]), "src")
 
 
 @query("""WITH d AS (SELECT DISTINCT 'user_' || c_custkey AS src FROM customer), f AS (SELECT 'user_' || user_id AS src, user_id % 5 AS k, count(*) AS n FROM events GROUP BY 1, 2)
