@@ -136,7 +136,7 @@ def test_formats_of_sources_by_their_first_line(spark, monkeypatch):
 
 
 def test_coverage_does_not_parse(spark):
-    for name in ("source_coverage",):
+    for name in ("source_coverage", "coverage_verdicts"):
         physical = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "RLIKE" in physical and "regexp_extract" not in physical
 

@@ -260,7 +260,7 @@ SELECT coalesce(d.src, f.src) AS src, coalesce(n, 0) AS n, CASE WHEN k = 4 THEN
 def coverage_verdicts(spark, sf_dir):
     """Every customer has declared a source; those that have logged nothing are pending."""
     declared = table(spark, sf_dir, "customer").select(F.concat(F.lit("user_"), F.col("c_custkey").cast("string")).alias("src"))
-    return parsing.coverage(parsing.normalised(rendered(spark, sf_dir), "src", "line", ["event_id"]), "src", declared)
+    return parsing.coverage(parsing.recognised(rendered(spark, sf_dir), "src", "line", ["event_id"]), "src", declared)
 
 
 @query("""SELECT event_id, epoch_us(ts) // 1000 + 0.0::DOUBLE AS ts_ms, event_type AS category, CASE WHEN user_id % 2 = 0 THEN (CASE event_type WHEN 'error' THEN 'FATAL' ELSE 'DEBUG' END) WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
