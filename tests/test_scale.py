@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.functions import codesigns
+from tidelog.functions import codesigns, formats, timeparse
 from tidelog.operators import errors, exceptions, lineage, parsing, predicates, ranks, records, sequence, signals
 from tidelog.plans import catalogue
 from tidelog.streaming import stream
@@ -141,6 +141,21 @@ def test_coverage_does_not_parse(spark):
         assert "RLIKE" in physical and "regexp_extract" not in physical
 
 
+def test_fields_of_a_json_line_are_read_once(spark):
+    lines = spark.createDataFrame([('{"ts": 1700000000, "level": 50, "msg": "x", "k": 1}',), ('{"ts_ms": 1, "category": "error", "data": {"message": "m", "level": "fatal"}}',), ("{}",), ("{",), ("x",), (None,)], "line string")
+    read = lines.select(formats.json_line(F.col("line")).alias("e"))
+    assert read._jdf.queryExecution().analyzed().toString().count("from_json(MapType(StringType,StringType,true), line#") == 1
+    got = [r["e"] and (r["e"]["ts_text"], r["e"]["level"], r["e"]["source"], r["e"]["message"], r["e"]["data"]) for r in read.collect()]
+    assert got == [("1700000000", "ERROR", "jsonl", "x", {"k": "1"}), ("1", "FATAL", "jsonl", "m", {"message": "m", "level": "fatal"}), (None, "", "jsonl", "", {}), None, None, None]
+
+
+def test_stamps_are_read_by_place(spark):
+    stamps = {"2024-02-29 10:11:12.5": 1709201472500.0, "2023-02-29 10:11:12": None, "2024/02/29 00:00:00": 1709164800000.0, "2024-02-29T10:11:12+01:00": 1709197872000.0, "2024-13-01 00:00:00": None, "2024-01-01 24:00:00": None, "10:11": None}
+    read = spark.createDataFrame([(x,) for x in stamps], "x string").select("x", timeparse.parse_timestamp(F.col("x")).alias("ms"))
+    assert {r["x"]: r["ms"] for r in read.collect()} == stamps
+    assert "try_to_date" not in (shown := read._jdf.queryExecution().optimizedPlan().toString()) and "format_string" not in shown
+
+
 def test_records_across_stretches(spark):
     rng = random.Random(5)
     lines, want, no = [], [], 0

@@ -29,7 +29,8 @@ def _month(name: Column) -> Column:
 
 def parts_ms(year, month, day, hour, minute, second, fraction=None) -> Column:
     """Calendar parts as epoch milliseconds as if in UTC; null where they are no time. fraction: the digits after the point."""
-    days = F.try_to_date(F.format_string("%04d-%02d-%02d", year.try_cast("int"), month.try_cast("int"), day.try_cast("int")), "yyyy-MM-dd")
+    zero = F.lit(0)
+    days = F.try_make_timestamp_ntz(year.try_cast("int"), month.try_cast("int"), day.try_cast("int"), zero, zero, zero.cast("decimal(16,6)")).cast("date")
     h, m, s = hour.try_cast("int"), minute.try_cast("int"), second.try_cast("int")
     valid = (h < 24) & (m < 60) & (s < 60)
     whole = F.datediff(days, F.lit("1970-01-01").cast("date")).cast("long") * 86400000 + (h * 3600 + m * 60 + s).cast("long") * 1000
@@ -60,14 +61,16 @@ def parse_timestamp(text: Column, zone: str = "UTC", reference: str = "2024-01-0
     today = F.lit(reference).cast("timestamp_ntz")
     g = lambda p: lambda i: _part(t, p, i)
     i, s, c, f, b, w = g(ISO), g(SLASH), g(CTIME), g(CLF), g(BSD), g(CLOCK)
-    iso = parts_ms(i(1), i(2), i(3), i(4), i(5), i(6), i(7))
-    slash = parts_ms(s(1), s(2), s(3), s(4), s(5), s(6), s(7))
+    # in these two shapes all up to the second stands at fixed places
+    fixed = [F.substring(t, at, n) for at, n in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2))]
+    iso = parts_ms(*fixed, i(7))
+    slash = parts_ms(*fixed, s(7))
     ctime = parts_ms(c(7), _month(c(1)), c(2), c(3), c(4), c(5), c(6))
     clf = parts_ms(f(3), _month(f(2)), f(1), f(4), f(5), f(6))
     bsd = parts_ms(F.year(today), _month(b(1)), b(2), b(3), b(4), b(5))
     clock = parts_ms(F.year(today), F.month(today), F.day(today), w(1), w(2), w(3), w(4))
     return (
-        F.when(t.rlike(ISO), F.coalesce(iso - offset_ms(F.nullif(i(8), F.lit(""))), F.when(i(8) == "", local_ms(iso, zone))))
+        F.when(t.rlike(ISO), F.when(i(8) == "", local_ms(iso, zone)).otherwise(iso - offset_ms(i(8))))
         .when(t.rlike(SLASH), local_ms(slash, zone))
         .when(t.rlike(CTIME), local_ms(ctime, zone))
         .when(t.rlike(CLF), clf - F.coalesce(offset_ms(F.nullif(f(7), F.lit(""))), F.lit(0)))

@@ -115,12 +115,13 @@ def parse(lines: DataFrame, detected: DataFrame, source: str, line: str, zone: s
     rows = rows.withColumn("_e", F.coalesce(F.col("_one"), formats.structural(c, F.col("_kv"))))
     rows = rows.withColumn("_ms", F.coalesce(F.col("_e.ts_ms"), timeparse.coerce_timestamp(F.col("_e.ts_text"), zone, reference)))
     native = F.when(F.col("_adapter") == "jsonl", formats.native_category(c)) if "jsonl" in used else F.lit(None).cast("string")
-    level, was, why = levels.escalated(F.col("_e.level"), F.when(F.coalesce(F.col("_e.message"), F.lit("")) == "", c).otherwise(F.col("_e.message")))
+    _, was, why = levels.escalated(F.col("_e.level"), F.when(F.coalesce(F.col("_e.message"), F.lit("")) == "", c).otherwise(F.col("_e.message")))
+    level = F.when(why.isNotNull(), "WARN").when(F.col("_e.level") == "", "INFO").otherwise(F.col("_e.level"))
     return rows.select(
         *[F.col(x) for x in lines.columns],
         F.col("_ms").alias("ts_ms"),
-        F.when(level == "", "INFO").otherwise(level).alias("level"),
-        F.coalesce(native, levels.level_category(F.when(level == "", "INFO").otherwise(level))).alias("category"),
+        level.alias("level"),
+        F.coalesce(native, levels.level_category(level)).alias("category"),
         F.col("_e.source").alias("event_source"),
         F.col("_e.message").alias("message"),
         F.col("_e.data").alias("data"),
